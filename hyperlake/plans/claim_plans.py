@@ -9,7 +9,7 @@ from ..operators import claims as cl
 from ..operators import effects as fx
 from ..operators import packets as pk
 from .bootstrap_plans import draws_sql, interval_sql
-from .data import COUNTS, EFFECTS, METRICS, q6, r6, runs
+from .data import COUNTS, EFFECTS, METRICS, q6, r6, runs, table
 from .registry import query
 
 B, SEED, EPS = 200, 7, (0.0, 0.02)
@@ -122,11 +122,110 @@ def illegal(spark, sf):
     return rounded(cl.illegal_promotion_rate(c, d), "illegal_promotion_rate")
 
 
-LIC = """CASE status WHEN 'admit' THEN '{a}' WHEN 'hold_unresolved' THEN '{h}' WHEN 'reject' THEN '{r}' ELSE '{u}' END"""
+KIND = "CASE status WHEN 'admit' THEN '{}' WHEN 'hold_unresolved' THEN '{}' WHEN 'reject' THEN '{}' ELSE '{}' END"
+RECOMMEND = """CASE WHEN status = 'admit' AND oracle_sign < 0 THEN 'keep_baseline' WHEN status = 'admit' THEN 'adopt_semantic'
+ WHEN status = 'hold_unresolved' THEN 'act_under_hold' ELSE 'withhold' END"""
 
 
-@query("packets_licences", f"""WITH {CLAIMS} SELECT estimand, regime, scenario, {LIC.format(**pk.SQL_ACTION)} AS action_licence, {LIC.format(**pk.SQL_CLAIM)} AS claim_licence,
- {pk.SQL_RECOMMEND} AS recommended_action FROM claims WHERE eps = 0""")
+@query("packets_licences", f"""WITH {CLAIMS} SELECT estimand, regime, scenario, {KIND.format('kernel', 'select', 'withhold', 'withhold')} AS action_kind,
+ {KIND.format('directed_effect', 'none', 'none', 'none')} AS claim_kind, {RECOMMEND} AS recommended, status IN ('admit', 'hold_unresolved') AS action_granted FROM claims WHERE eps = 0""")
 def licences(spark, sf):
     c = pk.with_licences(claims(spark, sf).filter("eps = 0"))
-    return c.select("estimand", "regime", "scenario", F.col("action.grade").alias("action_licence"), F.col("claim.grade").alias("claim_licence"), F.col("recommendation.action").alias("recommended_action"))
+    return c.select("estimand", "regime", "scenario", F.col("action.kind").alias("action_kind"), F.col("claim.kind").alias("claim_kind"),
+                    F.col("recommendation.action").alias("recommended"), F.col("action.granted").alias("action_granted"))
+
+
+SCHEMA, ROOT = "scenario_v1", 260826
+
+
+def scenarios(spark, sf):
+    """One decision scenario per customer; a few break the contract."""
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    return c.select(
+        F.lit(SCHEMA).alias("schema"), k.alias("id"), F.col("c_name").alias("name"), F.lit("operator").alias("operator_role"), F.col("c_mktsegment").alias("decision"),
+        F.when(k % 11 == 0, 0.0).otherwise(22.0).alias("horizon_s"), F.when(k % 13 == 0, 1).otherwise(ROOT).alias("root_seed"),
+        F.array(*[F.lit(s) for s in pk.SEED_MIX]).alias("seed_mix"), F.lit("throughput").alias("baseline_policy"),
+        F.when(k % 17 == 0, "scalar_semantic").otherwise("vault_gated").alias("semantic_policy"), F.lit("goal_utility_ratio").alias("estimand"))
+
+
+def stored_claims(spark, sf):
+    """Claims of customers from their account balance and order totals, one per customer with orders."""
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("m"))
+    c = table(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"))
+    e = [F.col("m") - 250000, F.col("m") - 252000, F.col("m") - 248000, F.col("m") - 245000]
+    claim = c.select(
+        F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias("regime"), F.col("c_acctbal").alias("oracle_effect"),
+        F.lit("goal_utility_ratio").alias("estimand"),
+        F.create_map(*[x for a, v in zip(("0.00", "0.25", "0.50", "1.00"), e) for x in (F.lit(a), v)]).alias("effects_by_alpha"), F.lit(True).alias("response_activation"))
+    status = F.when(F.col("id") % 19 == 0, "admit").otherwise(F.col("status"))
+    return cl.score(claim).select("id", "regime", "oracle_effect", "eps", "estimand", "effects_by_alpha", "oracle_sign", status.alias("status"))
+
+
+STORED = """st AS (SELECT c_custkey AS id, c_acctbal AS oe, CASE WHEN c_acctbal > 0 THEN 1 WHEN c_acctbal < 0 THEN -1 ELSE 0 END AS os,
+  [sign(m - 250000), sign(m - 252000), sign(m - 248000), sign(m - 245000)] AS ss FROM customer JOIN (SELECT o_custkey, avg(o_totalprice) AS m FROM orders GROUP BY 1) ON c_custkey = o_custkey),
+true_st AS (SELECT *, CASE WHEN os = 0 THEN 'outcome_unknown' WHEN list_min(ss) <> list_max(ss) THEN 'hold_unresolved' WHEN list_max(ss) = 0 THEN 'reject' WHEN list_max(ss) = os THEN 'admit' ELSE 'reject' END AS real_status FROM st),
+stored AS (SELECT *, CASE WHEN id % 19 = 0 THEN 'admit' ELSE real_status END AS status FROM true_st),
+packets AS (SELECT c_custkey AS scenario_id, status, os AS oracle_sign,
+  CASE WHEN c_custkey % 17 = 0 THEN 'semantic_policy is not an intervention policy' WHEN c_custkey % 11 = 0 THEN 'horizon_s must be positive'
+   WHEN c_custkey % 13 = 0 THEN 'root_seed is not the confirmatory seed' WHEN id IS NULL THEN 'underidentified: scenario is not in the evaluation corpus'
+   WHEN real_status <> status THEN 'claim status does not match the ensemble' END AS rejected FROM customer LEFT JOIN stored ON c_custkey = id)"""
+
+
+def packets(spark, sf):
+    return pk.build_packets(scenarios(spark, sf), stored_claims(spark, sf), SCHEMA, ROOT)
+
+
+@query("packets_build", f"WITH {STORED} SELECT scenario_id, status, rejected, rejected IS NULL AS has_checksum, CASE WHEN status IS NOT NULL THEN {RECOMMEND} ELSE 'withhold' END AS recommended FROM packets")
+def build(spark, sf):
+    return packets(spark, sf).select("scenario_id", "status", "rejected", F.col("checksum").isNotNull().alias("has_checksum"), F.col("recommendation.action").alias("recommended"))
+
+
+@query("packets_replay", f"""WITH {STORED} SELECT scenario_id, CASE WHEN scenario_id % 5 = 0 THEN 'packet checksum mismatch' END AS problem FROM packets WHERE rejected IS NULL""")
+def replay(spark, sf):
+    built = packets(spark, sf).filter("rejected IS NULL")
+    forged = built.withColumn("oracle_effect", F.when(F.col("scenario_id") % 5 == 0, F.col("oracle_effect") + 1).otherwise(F.col("oracle_effect")))
+    return pk.replay(forged, built)
+
+
+OCC = """occ AS (SELECT l_orderkey AS junction, l_partkey || ':' || l_suppkey || ':' || l_linenumber AS match_id, l_quantity AS load, p_size::DOUBLE AS capacity, l_returnflag <> 'R' AS admissible
+ FROM lineitem JOIN part ON l_partkey = p_partkey),
+jn AS (SELECT o_orderkey AS junction, CASE o_orderstatus WHEN 'F' THEN 'hold_unresolved' WHEN 'O' THEN 'admit' ELSE 'reject' END AS status FROM orders)"""
+
+
+def occurrences(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag")
+    p = table(spark, sf, "part").select("p_partkey", "p_size")
+    return li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("junction"), F.concat_ws(":", "l_partkey", "l_suppkey", "l_linenumber").alias("match_id"),
+        F.col("l_quantity").alias("load"), F.col("p_size").cast("double").alias("capacity"), (F.col("l_returnflag") != "R").alias("admissible"))
+
+
+def junctions(spark, sf):
+    status = F.when(F.col("o_orderstatus") == "F", "hold_unresolved").when(F.col("o_orderstatus") == "O", "admit").otherwise("reject")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("junction"), status.alias("status"))
+
+
+@query("junction_least_loaded", f"WITH {OCC} SELECT junction, match_id, {q6('pen')} AS load_penalty FROM (SELECT *, load / greatest(capacity, 1) AS pen, row_number() OVER (PARTITION BY junction ORDER BY load / greatest(capacity, 1), match_id) AS rn FROM occ WHERE admissible) WHERE rn = 1")
+def least_loaded(spark, sf):
+    return rounded(pk.least_loaded(occurrences(spark, sf).filter("admissible"), ["junction"]), "load_penalty")
+
+
+@query("junction_decision", f"""WITH {OCC}, b AS (SELECT junction, count(*) AS k, min(match_id) AS single, min_by(match_id, (load / greatest(capacity, 1), match_id)) AS best FROM occ WHERE admissible GROUP BY junction)
+SELECT junction, status, CASE WHEN status = 'admit' THEN 'kernel' WHEN status = 'hold_unresolved' AND best IS NOT NULL THEN 'select' ELSE 'withhold' END AS action,
+ CASE WHEN status = 'admit' AND k = 1 THEN single WHEN status = 'hold_unresolved' THEN best END AS match_id FROM jn LEFT JOIN b USING (junction)""")
+def decision(spark, sf):
+    return pk.junction_decision(junctions(spark, sf), occurrences(spark, sf)).drop("load_penalty")
+
+
+@query("junction_rewrite_requests", f"""WITH {OCC}, cur AS (SELECT junction, match_id, bool_or(admissible) AS admissible FROM occ GROUP BY ALL),
+ req AS (SELECT l_orderkey AS junction, l_partkey || ':' || l_suppkey || ':' || (l_linenumber % 6) AS match_id, status FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem) JOIN jn ON l_orderkey = junction)
+SELECT junction, match_id, status, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'refused' END AS outcome, reason FROM (
+ SELECT r.*, CASE WHEN status <> 'hold_unresolved' THEN concat('claim status ', chr(39), status, chr(39), ' does not license Brain rewrite') WHEN admissible IS NULL THEN 'occurrence is not currently matched'
+  WHEN NOT admissible THEN 'requested occurrence is not vault-legal' END AS reason FROM req r LEFT JOIN cur USING (junction, match_id))""")
+def requests(spark, sf):
+    cur = occurrences(spark, sf).groupBy(F.col("junction").alias("rule_id"), "match_id").agg(F.bool_or("admissible").alias("admissible"))
+    req = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").distinct().select(
+        F.col("l_orderkey").alias("rule_id"), F.concat_ws(":", "l_partkey", "l_suppkey", F.col("l_linenumber") % 6).alias("match_id"))
+    req = req.join(junctions(spark, sf).withColumnRenamed("junction", "rule_id"), "rule_id")
+    return pk.rewrite_requests(req, cur).withColumnRenamed("rule_id", "junction")
