@@ -167,8 +167,7 @@ class Graph:
                     cell = F.array(F.struct(F.lit(p.side).alias("side"), F.lit(p.role).alias("role"), F.lit(0).alias("ordinal"), F.col(p.column).alias("vertex_id")))
                     slots.append(F.when(F.col(p.column).isNotNull(), cell).otherwise(F.slice(cell, 1, 0)))
                 else:
-                    slots.append(F.transform(F.coalesce(F.col(p.column), F.array().cast("array<string>")), lambda v, i, p=p: F.struct(
-                        F.lit(p.side).alias("side"), F.lit(p.role).alias("role"), i.alias("ordinal"), v.alias("vertex_id"))))
+                    slots.append(F.transform(F.coalesce(F.col(p.column), F.array().cast("array<string>")), _slot(p)))
             if slots:
                 parts.append(d.select("edge_id", F.lit(t).alias("edge_type"), F.inline(F.concat(*slots))))
         return _union(parts).select(*INCIDENCE)
@@ -190,6 +189,10 @@ class Graph:
         return self.incidences().select("vertex_id", "edge_id", "edge_type").distinct()
 
 
+def _slot(p: Port):
+    return lambda v, i: F.struct(F.lit(p.side).alias("side"), F.lit(p.role).alias("role"), i.alias("ordinal"), v.alias("vertex_id"))
+
+
 def from_tables(catalog: Catalog, vertices: Mapping[str, DataFrame], edges: Mapping[str, DataFrame], incidences: DataFrame) -> Graph:
     """Build a graph from long-form incidences (edge_id, side, role, ordinal, vertex_id)."""
     tables = {}

@@ -180,7 +180,7 @@ def _edge_side(graph: Graph, e: E) -> _Side:
             if k not in have:
                 have.add(k)
                 df = df.withColumn(f"_x_{k}", F.explode(F.array_distinct(col)))
-            df = df.filter(F.size(F.filter(col, lambda v, k=k: v == F.col(f"_x_{k}"))) == times)
+            df = df.filter(F.size(F.filter(col, _equals(f"_x_{k}"))) == times)
             for other in dict.fromkeys(keys):
                 if other != k and other in have:
                     df = df.filter(F.col(f"_x_{k}") != F.col(f"_x_{other}"))
@@ -189,6 +189,10 @@ def _edge_side(graph: Graph, e: E) -> _Side:
     return _Side(df.drop(*ports).withColumnRenamed("edge_id", f"e_{e.key}"), side.binds)
 
 
+def _equals(name: str):
+    return lambda v: v == F.col(name)
+
+
 def _vertex_side(graph: Graph, v: V, keep: bool) -> _Side:
     df = graph.of_type(v.type, v.subtypes).drop("type_id")
     attr_names = [c for c in df.columns if c != "vertex_id"]
