@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import ordered
 from ..ordered import rlag, rlast, rlead, rnumber, rsum
+from ..session import cut
 from . import bootstrap as boot
 from .bootstrap import hashed
 
@@ -156,17 +157,18 @@ def compensator_increments(rates: DataFrame, events: DataFrame, horizon: float,
     """
     line = [*model, *keys, "mark"]
     r = rates.select(*line, "t", "rate", "dt")
-    r = ordered.scan(r, line, ["t"], {"_cum": rsum(F.col("rate") * F.col("dt"), inclusive=False)})
+    # read three times below, so written once
+    r = cut(ordered.scan(cut(r), line, ["t"], {"_cum": rsum(F.col("rate") * F.col("dt"), inclusive=False)}))
     at = r.select(*line, "t", F.lit(0).alias("_o"), F.struct(F.col("_cum").cast("double").alias("c"), F.col("rate").alias("r"), F.col("t").alias("s")).alias("_p"))
     head = at.groupBy(*line).agg(F.min_by("_p", "t").alias("_first"))
     e = events.select(*keys, "mark", "t").filter(F.col("t") > 1e-12).distinct()
     if model:
-        e = e.join(rates.select(*model, *keys, "mark").distinct(), [*keys, "mark"])
+        e = e.join(r.select(*line).distinct(), [*keys, "mark"])
     e = e.select(*line, "t", F.lit(1).alias("_o"), F.lit(None).cast(at.schema["_p"].dataType).alias("_p"))
     got = ordered.scan(at.unionByName(e), line, ["t", "_o"], {"_q": rlast("_p")}).filter("_o = 1").join(head, line)
     p = F.coalesce("_q", "_first")
     got = got.withColumn("_v", p["c"] + p["r"] * (F.least(F.col("t"), F.lit(float(horizon))) - p["s"]))
-    inc = ordered.scan(got.select(*line, "t", "_v"), line, ["t"], {"_prev": rlag("_v")})
+    inc = ordered.scan(cut(got.select(*line, "t", "_v")), line, ["t"], {"_prev": rlag("_v")})
     return inc.filter("_prev IS NOT NULL").select(*line, "t", (F.col("_v") - F.col("_prev")).alias("increment"))
 
 
@@ -236,6 +238,7 @@ def sparsify_trace(intervals: DataFrame, marks: Sequence[str], keep_probability:
 def evaluate_rates(rates: DataFrame, events: DataFrame, horizon: float, keys: Sequence[str] = ("model",)) -> DataFrame:
     """One row per model: likelihood, rate errors, count ratio and time-rescaling distances."""
     keys = list(keys)
+    rates = cut(rates)
     base = nll(rates, keys).join(rate_error(rates, keys), keys)
     total = rates.groupBy(*keys).agg((F.sum(F.col("rate") * F.col("dt")) / F.greatest(F.sum("n").cast("double"), F.lit(1e-9))).alias("count_ratio"))
     inc = compensator_increments(rates, events, horizon, model=keys)

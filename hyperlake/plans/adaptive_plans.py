@@ -55,9 +55,9 @@ def cusum(spark, sf):
     return ad.cusum_outage(b, K, O, "x").select("user_id", r6("last", 5).alias("last"), r6("cusum", 5).alias("cusum"), "available")
 
 
-@query("adaptive_prefix_series", f"WITH {BASE} SELECT user_id, event_id, {q6('avg(value) OVER (PARTITION BY user_id ORDER BY t, event_id)', 5)} AS prefix_mean FROM base")
+@query("adaptive_prefix_series", f"WITH {BASE} SELECT user_id, event_id, {q6('avg(value) OVER (PARTITION BY user_id ORDER BY t, event_id)', 9)} AS prefix_mean FROM base")
 def prefix(spark, sf):
-    return ad.prefix_series(base(spark, sf), K, O, "value").select("user_id", "event_id", r6("prefix_mean", 5).alias("prefix_mean"))
+    return ad.prefix_series(base(spark, sf), K, O, "value").select("user_id", "event_id", r6("prefix_mean", 9).alias("prefix_mean"))
 
 
 @query("adaptive_project_constraints", """SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS strict_value, c_acctbal < 0 AS strict_rejected, greatest(c_acctbal, 0.0) AS nonnegative, least(greatest(c_acctbal, 10.0), 5000.0) AS bounded,

@@ -136,8 +136,8 @@ def normalize(spark, sf):
 
 COMP = """cm AS (SELECT *, sum(rate * dt) OVER (PARTITION BY model, trace, mark ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM rates),
  fst AS (SELECT model, trace, mark, min_by(rate, t) AS r0, min(t) AS t0 FROM rates GROUP BY ALL),
- cv AS (SELECT f.model, f.trace, f.mark, e.t, CASE WHEN cm.t IS NULL THEN r0 * (e.t - t0) ELSE coalesce(c, 0) + cm.rate * (e.t - cm.t) END AS v FROM (SELECT fst.*, ev.t FROM fst JOIN (SELECT DISTINCT trace, mark, t FROM ev) ev USING (trace, mark)) e
-   JOIN fst f ON (f.model, f.trace, f.mark) = (e.model, e.trace, e.mark) ASOF LEFT JOIN cm ON cm.model = e.model AND cm.trace = e.trace AND cm.mark = e.mark AND e.t >= cm.t),
+ cv AS (SELECT e.model, e.trace, e.mark, e.t, CASE WHEN cm.t IS NULL THEN r0 * (e.t - t0) ELSE coalesce(c, 0) + cm.rate * (e.t - cm.t) END AS v FROM (SELECT fst.*, ev.t FROM fst JOIN (SELECT DISTINCT trace, mark, t FROM ev) ev USING (trace, mark)) e
+   ASOF LEFT JOIN cm ON cm.model = e.model AND cm.trace = e.trace AND cm.mark = e.mark AND e.t >= cm.t),
  ci AS (SELECT model, trace, mark, t, v - lag(v) OVER (PARTITION BY model, trace, mark ORDER BY t) AS x FROM cv)"""
 
 
