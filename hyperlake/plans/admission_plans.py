@@ -231,9 +231,10 @@ def conflicts(spark, sf):
     return cp.compose(v, w, h, cl, ["tag"], {"Any": 1, "Order": 2})["conflicts"]
 
 
-@query("compose_remaining_handles", "SELECT 'customers::k:' || c_custkey AS handle_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("compose_remaining_handles", "SELECT 'customers::k:' || c_custkey AS handle_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 3 = 0) UNION ALL SELECT 'orders::h:' || o_orderkey FROM orders WHERE o_custkey % 3 <> 0")
 def handles(spark, sf):
     v, w, h, cl = parts_of(spark, sf)
+    w = w.filter(F.substring("right_handle", 3, 20).cast("long") % 3 == 0)
     return cp.remaining_handles(h, w, v.withColumn("root", F.col("vertex_id"))).select("handle_id")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,19 +60,25 @@ def first_numeric(items: Column) -> Column:
     return numeric_or_null(F.get(items, F.lit(0)))
 
 
-def _lookup(line: Column, aliases: Sequence[str]) -> Column:
-    """Scalar of the first alias present as a key at any depth; exact names before dotted suffixes.
+def _scan_keys(line: Column) -> tuple[Column, Column]:
+    """All keys with scalar values at any depth and those values, latest first."""
+    pattern = r'"((?:[^"\\]|\\.)*)"\s*:\s*' + _SCALAR
+    both = lambda g: F.reverse(F.regexp_extract_all(line, F.lit(pattern), F.lit(g)))
+    return both(1), both(2)
+
+
+def _lookup(keys: Column, values: Column, aliases: Sequence[str]) -> Column:
+    """Scalar of the first alias present; exact names before dotted suffixes.
 
     Where a name occurs more than once the last one counts, as it does when nested
     objects are flattened in order.
     """
-    hits = []
-    for prefix in ("", r"[^\"\\]*\."):
-        for a in aliases:
-            found = F.regexp_extract_all(line, F.lit(f'"{prefix}{re.escape(a)}"\\s*:\\s*{_SCALAR}'), F.lit(1))
-            hits.append(F.when(F.size(found) > 0, F.struct(F.get(F.reverse(found), F.lit(0)).alias("v"))))
-    got = F.coalesce(*hits)["v"]
-    text = F.regexp_replace(F.regexp_replace(got, '^"|"$', ""), r'\\(.)', "$1")
+    wanted = F.array(*[F.lit(a) for a in aliases])
+    exact = F.array_position(keys, F.get(F.filter(wanted, lambda a: F.array_contains(keys, a)), F.lit(0)))
+    tails = F.transform(wanted, lambda a: F.array_position(F.transform(keys, lambda k: F.endswith(k, F.concat(F.lit("."), a))), F.lit(True)))
+    suffix = F.get(F.filter(tails, lambda i: i > 0), F.lit(0))
+    got = F.get(values, F.coalesce(exact, suffix).cast("int") - 1)
+    text = F.regexp_replace(F.regexp_replace(got, '^"|"$', ""), r"\\(.)", "$1")
     return F.when(got != "null", text)
 
 
@@ -88,17 +93,20 @@ def parse_kpm(lines: DataFrame, column: str = "value", throughput_scale: float =
     keys = F.json_object_keys("_t")
     df = df.filter(~F.coalesce(F.array_contains(keys, "cmd") & (F.size(keys) <= 2), F.lit(False)))
     t = F.col("_t")
-    vals = {name: numeric_or_null(_lookup(t, al)) for name, al in KPM_ALIASES.items()}
+    found = _scan_keys(t)
+    df = df.withColumns({"_k": found[0], "_v": found[1]})
+    look = lambda al: _lookup(F.col("_k"), F.col("_v"), al)
+    vals = {name: numeric_or_null(look(al)) for name, al in KPM_ALIASES.items()}
     for name in FRACTIONS:
         vals[name] = percent_to_fraction(vals[name])
     for name in ("dl_throughput_mbps", "ul_throughput_mbps"):
         vals[name] = vals[name] * F.lit(float(throughput_scale))
     for name in ("dl_volume_bytes", "ul_volume_bytes"):
         vals[name] = vals[name] * F.lit(float(volume_scale))
-    time = numeric_or_null(_lookup(t, TIME_ALIASES))
+    time = numeric_or_null(look(TIME_ALIASES))
     if default_time_s is not None:
         time = F.coalesce(time, F.lit(float(default_time_s)))
-    vals.update({"time_s": time, "ue_id": _lookup(t, UE_ALIASES), "cell_id": _lookup(t, CELL_ALIASES), "source": F.lit("srsran")})
+    vals.update({"time_s": time, "ue_id": look(UE_ALIASES), "cell_id": look(CELL_ALIASES), "source": F.lit("srsran")})
     problem = F.when(F.try_parse_json("_t").isNull(), "invalid_json").when(time.isNull(), "no_time")
     keep = [c for c in lines.columns if c != column]
     return df.select(*keep, *[vals[c].alias(c) for c in COLUMNS], problem.alias("problem"), F.when(problem.isNotNull(), t).alias("rejected_text"))
