@@ -383,18 +383,62 @@ def port_violations(edges: DataFrame, incidences: DataFrame, vertices: DataFrame
 
 def index_violations(vertices: DataFrame, edges: DataFrame, incidences: DataFrame) -> DataFrame:
     """Ids used twice, ids shared by a vertex and an edge, incidences of absent edges."""
+    orphan = incidences.join(edges, "edge_id", "left_anti").select(F.col("edge_id").alias("entity_id"), F.lit("orphan_incidence").alias("code"), F.col("vertex_id").alias("detail"))
+    return id_violations(vertices, edges).unionByName(orphan)
+
+
+def endpoint_violations(graph: Graph) -> DataFrame:
+    """Missing or wrongly typed endpoints of the typed edge tables.
+
+    Vertices are looked up once per distinct (port, vertex), which the map side
+    combines, and only the offending ones, normally none, go back to the edges.
+    """
+    cat = graph.catalog
+    inc = graph.incidences()
+    used = inc.select("edge_type", "side", "role", "vertex_id").distinct()
+    seen = used.join(graph.vertices(), "vertex_id", "left")
+    fits = F.lit(False)
+    for t in graph.edge_tables:
+        for p in cat.edge_types[t].ports:
+            here = (F.col("edge_type") == t) & (F.col("side") == p.side) & (F.col("role") == p.role)
+            fits = F.when(here, F.col("type_id").isin(*cat.compatible(p.vertex_type, p.allow_subtypes))).otherwise(fits)
+    code = F.when(F.col("type_id").isNull(), "unknown_vertex").when(~fits, "incompatible_vertex")
+    bad = seen.select("edge_type", "side", "role", "vertex_id", code.alias("code")).filter("code IS NOT NULL")
+    hit = inc.join(bad, ["edge_type", "side", "role", "vertex_id"])
+    return hit.select(F.col("edge_id").alias("entity_id"), "code", F.col("vertex_id").alias("detail"))
+
+
+def cardinality_violations(df: DataFrame, edge_type: EdgeType) -> DataFrame:
+    """Port minimum, maximum and repeats of one typed edge table, row by row."""
+    checks = []
+    for p in edge_type.ports:
+        c = F.col(p.column)
+        n = F.when(c.isNotNull(), 1).otherwise(0) if p.scalar else F.coalesce(F.size(c), F.lit(0))
+        code = F.when(n < p.minimum, "below_port_minimum")
+        if p.maximum is not None and not p.scalar:
+            code = code.when(n > p.maximum, "above_port_maximum")
+        if not p.repeated and not p.scalar:
+            code = code.when(F.size(F.array_distinct(c)) != F.size(c), "repeated_vertex")
+        checks.append(F.when(code.isNotNull(), F.struct(code.alias("code"), F.lit(f"{p.side}.{p.role}").alias("detail"))))
+    return df.select(F.col("edge_id").alias("entity_id"), F.inline(F.filter(F.array(*checks), lambda x: x.isNotNull())))
+
+
+def id_violations(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ids used twice or shared by a vertex and an edge."""
     ids = vertices.select(F.col("vertex_id").alias("entity_id"), F.lit(1).alias("v")).unionByName(
         edges.select(F.col("edge_id").alias("entity_id"), F.lit(0).alias("v"))
     )
-    per = ids.groupBy("entity_id").agg(F.sum("v").alias("nv"), F.count(F.lit(1)).alias("n"))
-    code = F.when((F.col("nv") > 0) & (F.col("nv") < F.col("n")), "id_shared").when(F.col("n") > 1, "id_duplicate")
-    dup = per.select("entity_id", code.alias("code"), F.col("n").cast("string").alias("detail")).filter("code IS NOT NULL")
-    orphan = incidences.join(edges, "edge_id", "left_anti").select(F.col("edge_id").alias("entity_id"), F.lit("orphan_incidence").alias("code"), F.col("vertex_id").alias("detail"))
-    return dup.unionByName(orphan)
+    per = ids.groupBy("entity_id").agg(F.sum("v").alias("nv"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    code = F.when((F.col("nv") > 0) & (F.col("nv") < F.col("n")), "id_shared").otherwise("id_duplicate")
+    return per.select("entity_id", code.alias("code"), F.col("n").cast("string").alias("detail"))
 
 
 def validate_graph(graph: Graph) -> DataFrame:
-    """All violations of a graph in one report (entity_id, code, detail)."""
+    """All violations of a graph in one report (entity_id, code, detail).
+
+    Attribute, invariant and cardinality rules are row-local; only endpoint
+    existence and id uniqueness shuffle, and those shuffle keys alone.
+    """
     cat = graph.catalog
     parts = []
     for t, d in graph.vertex_tables.items():
@@ -405,10 +449,10 @@ def validate_graph(graph: Graph) -> DataFrame:
         et = cat.edge_types[t]
         if et.attrs or et.invariants:
             parts.append(attribute_violations(d, "edge_id", et.attrs, et.extensions, [p.column for p in et.ports], et.invariants))
-    vertices, edges, inc = graph.vertices(), graph.edges(), graph.incidences()
-    spark = vertices.sparkSession
-    parts.append(port_violations(edges, inc, vertices, cat.ports_df(spark), cat.closure_df(spark)))
-    parts.append(index_violations(vertices, edges, inc))
+        if et.ports:
+            parts.append(cardinality_violations(d, et))
+    parts.append(endpoint_violations(graph))
+    parts.append(id_violations(graph.vertices(), graph.edges()))
     return _union(parts)
 
 

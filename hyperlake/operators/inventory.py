@@ -11,7 +11,7 @@ The loop ends when every start is confirmed, so the result is exact.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -66,6 +66,24 @@ def ledger(events: DataFrame, keys: Sequence[str] = ("sku",), order: Sequence[st
     schema = ", ".join([*fields, "status STRING", "on_hand BIGINT", "reserved BIGINT"])
     names = [n for n, _ in events.dtypes]
 
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, a, r = None, 0, 0
+        for pdf in batches:
+            out = pdf[names].copy()
+            ident = list(zip(*[pdf[k] for k in keys]))
+            kinds, qty = pdf["kind"].to_numpy(), pdf["quantity"].to_numpy()
+            status, on_hand, held = [], [], []
+            for i, item in enumerate(ident):
+                if item != now:
+                    now, a, r = item, 0, 0
+                ok, free, taken, _ = fold(kinds[i:i + 1], qty[i:i + 1], a, r)
+                a, r = int(free[0]), int(taken[0])
+                status.append("applied" if ok[0] else "rejected")
+                on_hand.append(a + r)
+                held.append(r)
+            out["status"], out["on_hand"], out["reserved"] = status, on_hand, held
+            yield out
+
     def replay(pdf: pd.DataFrame, a: int, r: int) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         ok, free, held, _ = fold(pdf["kind"].to_numpy(), pdf["quantity"].to_numpy(), a, r)
@@ -75,7 +93,8 @@ def ledger(events: DataFrame, keys: Sequence[str] = ("sku",), order: Sequence[st
         return out
 
     if ordered.CHUNK not in df.columns:
-        return df.groupBy(*keys).applyInPandas(lambda pdf: replay(pdf, 0, 0), schema)
+        # whole items per partition, streamed batch by batch with the running state
+        return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(stream, schema)
 
     part = [*keys, ordered.CHUNK]
     key_fields = [f"`{k}` {dict(df.dtypes)[k]}" for k in part]

@@ -131,7 +131,13 @@ def _constrain(df: DataFrame, key: str, attrs: Mapping[str, Any], attr_names: Se
     return _Side(df.select(*[c for c in df.columns if c not in attr_names], *[F.col(a).alias(f"{key}__{a}") for a in attr_names]), binds)
 
 
-def _edge_side(graph: Graph, e: E) -> _Side:
+def _may_equal(graph: Graph, a: V, b: V) -> bool:
+    """Whether two pattern vertices could be one entity (their concrete types overlap)."""
+    cat = graph.catalog
+    return bool(set(cat.compatible(a.type, a.subtypes)) & set(cat.compatible(b.type, b.subtypes)))
+
+
+def _edge_side(graph: Graph, e: E, specs: Mapping[str, V]) -> _Side:
     """Edge rows with one column ``_x_<vertex key>`` per endpoint key of the pattern."""
     et = graph.catalog.edge_types[e.type]
     df = graph.edge_tables[e.type]
@@ -149,7 +155,7 @@ def _edge_side(graph: Graph, e: E) -> _Side:
         if key in have:
             return df.filter(F.col(f"_x_{key}") == value)
         have.add(key)
-        return df.withColumn(f"_x_{key}", value).filter(F.col(f"_x_{key}").isNotNull())
+        return df.withColumn(f"_x_{key}", value)
 
     unordered = []
     for p in et.ports:
@@ -163,7 +169,7 @@ def _edge_side(graph: Graph, e: E) -> _Side:
                 for k in keys:
                     df = put(df, k, col)
             else:
-                df = put(df, keys[0], col)
+                df = put(df.filter(col.isNotNull()), keys[0], col)
         elif not keys:
             df = df.filter(col.isNull() | (F.size(col) == 0))
         else:
@@ -185,7 +191,8 @@ def _edge_side(graph: Graph, e: E) -> _Side:
                 if other != k and other in have:
                     df = df.filter(F.col(f"_x_{k}") != F.col(f"_x_{other}"))
     for a, b in combinations(sorted(have), 2):
-        df = df.filter(F.col(f"_x_{a}") != F.col(f"_x_{b}"))
+        if _may_equal(graph, specs[a], specs[b]):
+            df = df.filter(F.col(f"_x_{a}") != F.col(f"_x_{b}"))
     return _Side(df.drop(*ports).withColumnRenamed("edge_id", f"e_{e.key}"), side.binds)
 
 
@@ -293,7 +300,7 @@ def find(
                 cur = _merge(cur, _vertex_side(graph, v, key in mentioned), {f"v_{key}": f"v_{key}"}, allow_cartesian)
             for other in done_v - {key}:
                 o = specs[other]
-                if set(graph.catalog.compatible(v.type, v.subtypes)) & set(graph.catalog.compatible(o.type, o.subtypes)):
+                if _may_equal(graph, v, o):
                     cur = cur.filter(F.col(f"v_{key}") != F.col(f"v_{other}"))
         return cur
 
@@ -313,7 +320,7 @@ def find(
 
         e = min(left, key=rank)
         left.remove(e)
-        side = _edge_side(graph, e)
+        side = _edge_side(graph, e, specs)
         on = {f"v_{k}": f"_x_{k}" for k in e.endpoints() if k in have and cur is not None}
         if e.key in bound_e:
             on[f"e_{e.key}"] = f"e_{e.key}"
@@ -336,7 +343,7 @@ def find(
             done_v.add(v.key)
             for other in done_v - {v.key}:
                 o = specs[other]
-                if set(graph.catalog.compatible(v.type, v.subtypes)) & set(graph.catalog.compatible(o.type, o.subtypes)):
+                if _may_equal(graph, v, o):
                     cur = cur.filter(F.col(f"v_{v.key}") != F.col(f"v_{other}"))
     return cur
 

@@ -37,10 +37,10 @@ LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"
 
 def line_id():
     """The six columns that identify an order line."""
-    return F.concat_ws(":", F.lit("L"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"), F.col("l_extendedprice").cast("string"))
+    return F.concat_ws(":", F.lit("L"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.unix_date(F.to_date("l_shipdate")), F.round(F.col("l_extendedprice") * 100).cast("long"))
 
 
-LINE_ID = "concat_ws(':', 'L', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d'), l_extendedprice::VARCHAR)"
+LINE_ID = "concat_ws(':', 'L', l_orderkey, l_linenumber, l_partkey, l_suppkey, datediff('day', DATE '1970-01-01', l_shipdate::DATE), round(l_extendedprice * 100)::BIGINT)"
 
 
 def vid(prefix: str, col: str):

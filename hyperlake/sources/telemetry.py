@@ -67,7 +67,7 @@ def _scan_keys(line: Column) -> tuple[Column, Column]:
     return both(1), both(2)
 
 
-def _lookup(keys: Column, values: Column, aliases: Sequence[str]) -> Column:
+def _lookup(keys: Column, values: Column, aliases: Sequence[str], dotted: Column) -> Column:
     """Scalar of the first alias present; exact names before dotted suffixes.
 
     Where a name occurs more than once the last one counts, as it does when nested
@@ -77,7 +77,8 @@ def _lookup(keys: Column, values: Column, aliases: Sequence[str]) -> Column:
     exact = F.array_position(keys, F.get(F.filter(wanted, lambda a: F.array_contains(keys, a)), F.lit(0)))
     tails = F.transform(wanted, lambda a: F.array_position(F.transform(keys, lambda k: F.endswith(k, F.concat(F.lit("."), a))), F.lit(True)))
     suffix = F.get(F.filter(tails, lambda i: i > 0), F.lit(0))
-    got = F.get(values, F.coalesce(exact, suffix).cast("int") - 1)
+    at = F.coalesce(exact, F.when(dotted, suffix))
+    got = F.get(values, at.cast("int") - 1)
     text = F.regexp_replace(F.regexp_replace(got, '^"|"$', ""), r"\\(.)", "$1")
     return F.when(got != "null", text)
 
@@ -94,8 +95,11 @@ def parse_kpm(lines: DataFrame, column: str = "value", throughput_scale: float =
     df = df.filter(~F.coalesce(F.array_contains(keys, "cmd") & (F.size(keys) <= 2), F.lit(False)))
     t = F.col("_t")
     found = _scan_keys(t)
-    df = df.withColumns({"_k": found[0], "_v": found[1]})
-    look = lambda al: _lookup(F.col("_k"), F.col("_v"), al)
+    # most lines have no dotted key beyond the aliases, and skip the suffix search
+    plain = F.array(*[F.lit(a) for al in KPM_ALIASES.values() for a in al if "." in a])
+    dotted = F.exists(F.array_except(found[0], plain), lambda k: F.contains(k, F.lit(".")))
+    df = df.withColumns({"_k": found[0], "_v": found[1], "_dot": dotted})
+    look = lambda al: _lookup(F.col("_k"), F.col("_v"), al, F.col("_dot"))
     vals = {name: numeric_or_null(look(al)) for name, al in KPM_ALIASES.items()}
     for name in FRACTIONS:
         vals[name] = percent_to_fraction(vals[name])

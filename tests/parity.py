@@ -75,6 +75,8 @@ def main(argv):
     wanted = argv[1:]
     sf_dir = f"/root/testdata/sf{sf}"
     spark = local_session(8)
+    if os.environ.get("ROWS_PER_CHUNK"):
+        spark.conf.set("hyperlake.rowsPerChunk", os.environ["ROWS_PER_CHUNK"])
     con = connect(sf_dir)
     queries, oracle = entry.queries(), entry.oracle_sql()
     failed = []
