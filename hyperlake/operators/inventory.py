@@ -115,20 +115,19 @@ def ledger(events: DataFrame, keys: Sequence[str] = ("sku",), order: Sequence[st
         pdf = pdf.sort_values(ordered.CHUNK)
         a = r = 0
         rows = []
-        settled = True
-        for row in pdf.itertuples(index=False):
-            fits = row.lo_a <= a < row.hi_a and row.lo_r <= r < row.hi_r
-            settled = settled and fits
-            rows.append((*[getattr(row, k) for k in keys], getattr(row, "_chunk_no"), a, r, not fits, settled))
-            a, r = a + row.da, r + row.dr
-        return pd.DataFrame(rows, columns=[*part, "a", "r", "again", "settled"])
-
-    chain_schema = ", ".join([*key_fields, "a BIGINT, r BIGINT, again BOOLEAN, settled BOOLEAN"])
+        heads = pdf[part].itertuples(index=False, name=None)
+        reps = pdf[["da", "dr", "lo_a", "hi_a", "lo_r", "hi_r"]].itertuples(index=False, name=None)
+        for head, (da, dr, lo_a, hi_a, lo_r, hi_r) in zip(heads, reps):
+            fits = lo_a <= a < hi_a and lo_r <= r < hi_r
+            rows.append((*head, a, r, not fits))
+            a, r = a + da, r + dr
+        return pd.DataFrame(rows, columns=[*part, "a", "r", "again"])
+
+    chain_schema = ", ".join([*key_fields, "a BIGINT, r BIGINT, again BOOLEAN"])
     reports = cut(df.groupBy(*part).cogroup(start.groupBy(*part)).applyInPandas(report, report_schema))
     for _ in range(max_rounds):
         # one summary row per chunk of an item, never its events
-        named = reports.withColumn("_chunk_no", F.col(ordered.CHUNK))
-        start = cut(named.groupBy(*keys).applyInPandas(chain, chain_schema))
+        start = cut(reports.groupBy(*keys).applyInPandas(chain, chain_schema))
         redo = start.filter("again").select(*part, "a", "r")
         if redo.isEmpty():
             break
