@@ -95,13 +95,15 @@ def reachable(edges: DataFrame, targets: DataFrame, keys: Sequence[str] = RUN, f
         targets.select(*keys, F.col("event_id").alias("target"), F.col("event_id").alias("_from"))
         .join(step, [*keys, "_from"]).select(*ids).distinct()
     )
-    seen = frontier
+    parts = [frontier]
     for _ in range(max_rounds):
+        seen = reduce(lambda x, y: x.unionByName(y), parts)
         found = frontier.withColumnRenamed("event_id", "_from").join(step, [*keys, "_from"]).select(*ids).distinct()
         frontier = cut(found.join(seen, ids, "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = cut(seen.unionByName(frontier))
+        # earlier rounds are files already; only now and then are they merged into one
+        parts = [cut(seen), frontier] if len(parts) >= 16 else [*parts, frontier]
     raise RuntimeError(f"causal chains exceed {max_rounds} events")
 
 

@@ -215,6 +215,18 @@ def _texts(rule: Rule) -> list[str]:
     return [v.text for v in vals if isinstance(v, Ex)]
 
 
+def occurrence_limits(occ: DataFrame, max_matches: int | None = None, max_activity: float | None = None) -> DataFrame:
+    """Matches and activity per rule against hard limits; a breach is an error, never a cut."""
+    got = occ.groupBy("rule_id").agg(F.count(F.lit(1)).alias("matches"), F.sum("hazard").alias("activity"))
+    over = lambda c, cap: F.coalesce(F.col(c) > F.lit(cap), F.lit(False))
+    return got.withColumn("exceeded", over("matches", max_matches) | over("activity", max_activity))
+
+
+def canonical_order(matches: DataFrame) -> DataFrame:
+    """Range-sorted by match id, for sinks that want the canonical order."""
+    return matches.orderBy("match_id")
+
+
 def all_occurrences(parts: Sequence[DataFrame]) -> DataFrame:
     """Occurrences of several rules: match_id, rule_id, hazard."""
     return reduce(lambda a, b: a.unionByName(b), [p.select("match_id", "rule_id", "hazard") for p in parts])

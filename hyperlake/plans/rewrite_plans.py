@@ -168,10 +168,10 @@ def transitions(spark, sf):
     return rw.transition_table(r).withColumn("rate", r6("rate"))
 
 
-@query("rewrite_rule_instances", """SELECT p_brand AS instance_id, count(*) AS matches FROM lineitem, (SELECT p_brand, min(p_size)::DOUBLE AS gain, any_value('A') AS flag FROM part GROUP BY 1) WHERE l_returnflag = 'R' AND gain <= 2 AND l_quantity > 49 GROUP BY 1""")
+@query("rewrite_rule_instances", """SELECT p_brand AS instance_id, count(*) AS matches FROM lineitem, (SELECT p_brand, min(p_size)::DOUBLE AS gain, any_value('A') AS flag FROM part GROUP BY 1) WHERE l_returnflag = 'R' AND gain <= 2 GROUP BY 1""")
 def instances(spark, sf):
     g = graph(spark, sf)
-    m = mt.matches(g, LEFT, guard="l__qty > 49", rule_id="t")
+    m = mt.matches(g, LEFT, rule_id="t")
     b = table(spark, sf, "part").groupBy(F.col("p_brand").alias("instance_id")).agg(F.min("p_size").cast("double").alias("gain"))
     got, _ = rw.rule_instances(m.select("match_id"), b, {"gain": {"lower": 0.0, "upper": 2.0}})
     return got.groupBy("instance_id").agg(F.count(F.lit(1)).alias("matches"))
@@ -209,3 +209,16 @@ def payload(spark, sf):
 def copies(spark, sf):
     return rw.disjoint_copies(table(spark, sf, "customer").select(vid("C", "c_custkey").alias("vertex_id")), 3, ["vertex_id"])
 
+
+
+@query("rewrite_occurrence_limits", f"WITH {OCC} SELECT 'cancel-line' AS rule_id, count(*) AS matches, round(sum(hazard), 2) + 0.0 AS activity, true AS exceeded FROM occ")
+def occurrence_limits(spark, sf):
+    occ = rw.occurrences(graph(spark, sf), CANCEL)
+    return rw.occurrence_limits(occ, max_matches=100).withColumn("activity", r6("activity", 2))
+
+
+@query("rewrite_all_occurrences_ranked", f"WITH {OCC} SELECT 'cancel-line' AS rule_id, count(*) AS n, {q6('sum(hazard)', 2)} AS hazard FROM occ UNION ALL SELECT 'timed', count(*), {q6('sum(l_quantity * 2.0)', 2)} FROM lineitem WHERE l_returnflag = 'R'")
+def all_occurrences(spark, sf):
+    g = graph(spark, sf)
+    both = rw.canonical_order(rw.all_occurrences([rw.occurrences(g, CANCEL), rw.occurrences(g, TIMED, time=1.0)]))
+    return both.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("hazard"), 2).alias("hazard"))

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import admission as ad
+from ..operators import graph as gr
 from ..operators import trust as tr
+from ..session import shared_dir
 from ..sources import digests as dg
 from ..sources import notes as nt
+from ..sources import runs as rs
 from ..sources import telemetry as tm
 from ..sources import trust_io as io
-from .data import EFFECTS, q6, r6, table
-from .event_data import BASE, base
+from .data import EFFECTS, RUNS, q6, r6, runs, table
+from .event_data import BASE, LOG, base, log
 from .registry import query
+from .tpch_graph import graph
 from .trust_plans import CELLS, OBJ, PRED, errors, predictive
 
 
@@ -173,3 +179,51 @@ def triple_lines(spark, sf):
  UNION ALL SELECT 'urn:s:' || s_suppkey, 'urn:p:balance', s_acctbal::VARCHAR, 'literal', 'http://www.w3.org/2001/XMLSchema#double', NULL FROM supplier""")
 def triples_read(spark, sf):
     return ad.parse_triples(triple_lines(spark, sf))
+
+
+# --- through files in the shared folder --------------------------------------
+
+
+def scratch(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("files_run_table_csv", f"""WITH {RUNS} SELECT regime, scenario, replicate::INT AS replicate, model, policy, {q6('goal_utility_ratio')} AS goal_utility_ratio, events FROM runs""")
+def run_table_csv(spark, sf):
+    path = scratch(spark, "runs")
+    rs.canonical_order(runs(spark, sf)).write.option("header", True).csv(path)
+    got = rs.read_run_table(spark, path)
+    return got.select("regime", "scenario", "replicate", "model", "policy", r6("goal_utility_ratio").alias("goal_utility_ratio"), "events")
+
+
+@query("files_event_log", f"WITH {LOG} SELECT run_id, event_index, kind, true AS intact FROM log")
+def event_log(spark, sf):
+    path = scratch(spark, "log")
+    lg = log(spark, sf).withColumn("run_group", F.col("run_id")).withColumn("run_id", F.col("run_id") % 8)
+    io.write_event_log(lg, path)
+    back = io.read_event_log(spark, path)
+    return back.select(F.col("run_group").alias("run_id"), "event_index", "kind", "intact")
+
+
+@query("files_graph_parquet", "SELECT 'Supply' AS edge_type, count(*) * 3 AS incidences FROM lineitem UNION ALL SELECT 'Placed', count(*) * 2 FROM orders")
+def graph_parquet(spark, sf):
+    path = scratch(spark, "graph")
+    gr.write_graph(graph(spark, sf), path)
+    inc = spark.read.parquet(f"{path}/incidences").filter(F.col("edge_type").isin("Supply", "Placed"))
+    return inc.groupBy("edge_type").agg(F.count(F.lit(1)).alias("incidences"))
+
+
+@query("files_kpm_jsonl", "SELECT count(*) FILTER (event_id % 6 <> 2) AS rows, count(*) FILTER (event_id % 6 IN (3, 4)) AS problems FROM events")
+def kpm_jsonl(spark, sf):
+    path = scratch(spark, "kpm")
+    kpm_lines(spark, sf).select("value").write.text(path)
+    return tm.read_kpm_jsonl(spark, path).agg(F.count(F.lit(1)).alias("rows"), F.count("problem").alias("problems"))
+
+
+@query("files_checksums", "SELECT count(DISTINCT lang) AS files, true AS all_hashed FROM documents")
+def checksums(spark, sf):
+    path = scratch(spark, "docs")
+    d = table(spark, sf, "documents").select("lang", F.translate("text", "\n", " ").alias("value"))
+    d.repartition("lang").write.partitionBy("lang").text(path)
+    got = dg.checksum_files(spark, f"{path}/lang=*/*.txt")
+    return got.agg(F.count_distinct("sha256").alias("files"), F.bool_and(F.length("sha256") == 64).alias("all_hashed"))

@@ -24,13 +24,20 @@ def cells_from_json(lines: DataFrame, grid: tuple[float, ...] = (0.0, 0.25, 0.5,
 
 
 def write_event_log(events: DataFrame, path: str) -> None:
-    """Parquet partitioned by run, with the canonical JSON of each record and its digest."""
-    body = F.to_json(F.struct(*[F.col(c) for c in sorted(events.columns)]))
-    events.withColumn("record_sha256", F.sha2(body, 256)).write.mode("overwrite").partitionBy("run_id").parquet(path)
+    """Parquet partitioned by run, with the digest of each record's canonical JSON.
+
+    The run id is digested as text, since a partition value comes back from its
+    path and may have another type.
+    """
+    events.withColumn("record_sha256", _record_digest(events.columns)).write.mode("overwrite").partitionBy("run_id").parquet(path)
 
 
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     """The log with ``intact``: whether each record still has its stored digest."""
     df = spark.read.parquet(path)
-    cols = sorted(c for c in df.columns if c != "record_sha256")
-    return df.withColumn("intact", F.sha2(F.to_json(F.struct(*[F.col(c) for c in cols])), 256) == F.col("record_sha256"))
+    return df.withColumn("intact", _record_digest([c for c in df.columns if c != "record_sha256"]) == F.col("record_sha256"))
+
+
+def _record_digest(columns: list[str]):
+    cols = [F.col(c).cast("string").alias(c) if c == "run_id" else F.col(c) for c in sorted(columns)]
+    return F.sha2(F.to_json(F.struct(*cols)), 256)
