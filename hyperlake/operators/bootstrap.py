@@ -225,9 +225,10 @@ def welch(df: DataFrame, value: str, arm: str, a: str, b: str, keys: Sequence[st
         of(a, F.avg).alias("ma"), of(b, F.avg).alias("mb"), of(a, F.var_samp).alias("va"), of(b, F.var_samp).alias("vb"),
         of(a, F.count).alias("na"), of(b, F.count).alias("nb"),
     )
-    sa, sb = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
-    dof = F.pow(sa + sb, 2) / (sa * sa / (F.col("na") - 1) + sb * sb / (F.col("nb") - 1))
-    got = got.withColumns({"mean_difference": F.col("ma") - F.col("mb"), "t": (F.col("ma") - F.col("mb")) / F.sqrt(sa + sb), "dof": dof})
+    sa, sb = F.try_divide("va", "na"), F.try_divide("vb", "nb")
+    # an arm of one unit, or without spread, has no test: its columns are null
+    dof = F.try_divide(F.pow(sa + sb, 2), F.try_divide(sa * sa, F.col("na") - 1) + F.try_divide(sb * sb, F.col("nb") - 1))
+    got = got.withColumns({"mean_difference": F.col("ma") - F.col("mb"), "t": F.try_divide(F.col("ma") - F.col("mb"), F.sqrt(sa + sb)), "dof": dof})
     return got.select(*keys, "mean_difference", "t", "dof", student_p_two_sided(F.col("t"), F.col("dof")).alias("welch_p"))
 
 

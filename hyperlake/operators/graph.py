@@ -510,7 +510,7 @@ def relation_adjacency(links: DataFrame, symmetric: bool = True) -> DataFrame:
         both = links.unionByName(links.select("relation", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     w = both.groupBy("relation", "dst", "src").agg(F.sum("weight").alias("weight"))
     total = w.groupBy("relation", "dst").agg(F.sum("weight").alias("_t"))
-    return w.join(total, ["relation", "dst"]).select("relation", "dst", "src", (F.col("weight") / F.col("_t")).alias("weight"))
+    return w.join(total, ["relation", "dst"]).select("relation", "dst", "src", F.coalesce(F.try_divide("weight", "_t"), F.lit(0.0)).alias("weight"))
 
 
 def project_members(edges: DataFrame, members: Sequence[str], relation: str, weight: Column) -> DataFrame:

@@ -61,7 +61,7 @@ def ledger(events: DataFrame, keys: Sequence[str] = ("sku",), order: Sequence[st
     ``events``: keys, order columns, kind in receive / reserve / release, quantity.
     """
     keys, order = list(keys), list(order)
-    df = ordered.split_hot(events, keys, order[0])
+    df = ordered.split_hot(events, keys, order)
     fields = [f"`{n}` {t}" for n, t in events.dtypes]
     schema = ", ".join([*fields, "status STRING", "on_hand BIGINT", "reserved BIGINT"])
     names = [n for n, _ in events.dtypes]

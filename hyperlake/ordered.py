@@ -28,6 +28,9 @@ from .session import cut
 CHUNK = "_chunk"
 ALL = "_all"
 ROWS_PER_CHUNK = 1_000_000
+# a round cuts a slice into at most FANOUT parts; the rounds fit one BIGINT chunk number
+FANOUT = 4096
+SPLIT_ROUNDS = 5
 
 
 def rows_per_chunk(df: DataFrame) -> int:
@@ -47,38 +50,47 @@ def _number(df: DataFrame, col: str) -> Column:
     return F.col(col).cast("double")
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], order: str, limit: int | None = None) -> DataFrame:
+def split_hot(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], limit: int | None = None) -> DataFrame:
     """Add ``_chunk`` when some key exceeds ``limit`` rows, else return ``df``.
 
-    Chunks are equal slices of the key's own order range, so chunk numbers are a
-    deterministic function of the row and recomputation gives the same split.
+    A hot key is cut into equal slices of its own order range.  Slices that are
+    still too large are cut again: by the first order column while it varies, by
+    the second where all rows share one value of the first.  So clustered times
+    and a single crowded instant are split too, and chunk numbers keep the order.
     """
     if CHUNK in df.columns:
         return df
     limit = limit or rows_per_chunk(df)
     keys = list(keys)
+    order = [order] if isinstance(order, str) else list(order)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     largest = counts.agg(F.max("n")).first()[0] or 0
     if largest <= limit:
         return df
-    pos = _number(df, order)
-    stats = (
-        df.groupBy(*keys)
-        .agg(F.min(pos).alias("_lo"), F.max(pos).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > limit)
-        .withColumn("_parts", F.ceil(F.col("_n") / limit) * 4)
-        .drop("_n")
-    )
-    span = F.col("_hi") - F.col("_lo")
-    chunk = F.when(
-        span > 0,
-        F.least(F.floor((pos - F.col("_lo")) / span * F.col("_parts")), F.col("_parts") - 1),
-    ).otherwise(F.lit(0))
-    if keys:
-        joined = df.join(stats, keys, "left")
-    else:
-        joined = df.withColumn(ALL, F.lit(1)).join(stats.withColumn(ALL, F.lit(1)), ALL, "left").drop(ALL)
-    return joined.withColumn(CHUNK, F.coalesce(chunk, F.lit(0)).cast("long")).drop("_lo", "_hi", "_parts")
+    # read once per round below, so it is written first
+    out = cut(df).withColumn(CHUNK, F.lit(0).cast("long"))
+    first = order[0]
+    second = order[1] if len(order) > 1 else first
+    pos = [_number(out, first), _number(out, second)]
+    for _ in range(SPLIT_ROUNDS):
+        stats = out.groupBy(*keys, CHUNK).agg(
+            F.count(F.lit(1)).alias("_n"), F.min(pos[0]).alias("_lo0"), F.max(pos[0]).alias("_hi0"), F.min(pos[1]).alias("_lo1"), F.max(pos[1]).alias("_hi1"),
+            (F.min(first) == F.max(first)).alias("_same"),
+        )
+        by0, by1 = F.col("_lo0") < F.col("_hi0"), F.col("_same") & (F.col("_lo1") < F.col("_hi1"))
+        hot = stats.filter((F.col("_n") > limit) & (by0 | by1)).select(
+            *keys, CHUNK, by0.alias("_by0"), F.when(by0, F.col("_lo0")).otherwise(F.col("_lo1")).alias("_lo"),
+            F.when(by0, F.col("_hi0")).otherwise(F.col("_hi1")).alias("_hi"), F.least(F.ceil(F.col("_n") / limit) * 4, F.lit(FANOUT)).alias("_parts"),
+        )
+        # slices over the limit: at most rows / limit of them
+        hot = cut(hot)
+        if hot.isEmpty():
+            break
+        p = F.when(F.col("_by0"), pos[0]).otherwise(pos[1])
+        sub = F.least(F.floor((p - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_parts")), F.col("_parts") - 1)
+        out = out.join(hot, [*keys, CHUNK], "left").withColumn(CHUNK, (F.col(CHUNK) * FANOUT + F.coalesce(sub, F.lit(0))).cast("long"))
+        out = out.drop("_by0", "_lo", "_hi", "_parts")
+    return out
 
 
 @dataclass(frozen=True)
@@ -236,7 +248,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: Map
 def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: Mapping[str, Scan]) -> DataFrame:
     """``split_hot`` + ``running`` without leaving ``_chunk`` behind."""
     had = CHUNK in df.columns
-    out = running(split_hot(df, keys, order[0]), keys, order, scans)
+    out = running(split_hot(df, keys, order), keys, order, scans)
     return out if had else out.drop(CHUNK)
 
 

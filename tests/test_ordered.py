@@ -106,3 +106,12 @@ def test_chunk_is_order_preserving(spark):
     for spans in per.values():
         spans.sort()
         assert all(a[2] < b[1] for a, b in zip(spans, spans[1:]))
+
+
+def test_crowded_instant_is_split_by_the_next_column(spark):
+    """Most rows of the hot key share one time; the sequence number splits them."""
+    rows_in = [("hot", 5.0 if i % 10 else float(i), i, i % 7, None if i % 3 else i % 5) for i in range(400)] + [("cold", 1.0, 0, 1, 1)]
+    df = spark.createDataFrame(rows_in, "k STRING, t DOUBLE, i INT, x INT, y INT")
+    split = od.split_hot(df, ["k"], ["t", "i"], limit=30)
+    assert max(r["count"] for r in split.groupBy("k", od.CHUNK).count().collect()) <= 30
+    assert rows(od.running(split, ["k"], ["t", "i"], scans())) == rows(od.running(df, ["k"], ["t", "i"], scans()))
