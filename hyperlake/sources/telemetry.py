@@ -67,20 +67,32 @@ def _scan_keys(line: Column) -> tuple[Column, Column]:
     return both(1), both(2)
 
 
-def _lookup(keys: Column, values: Column, aliases: Sequence[str], dotted: Column) -> Column:
+_FIELDS = {**KPM_ALIASES, "time_s": TIME_ALIASES, "ue_id": UE_ALIASES, "cell_id": CELL_ALIASES}
+_ALL_ALIASES = list(dict.fromkeys(a for al in _FIELDS.values() for a in al))
+
+
+def _positions(keys: Column) -> Column:
+    """Where each known alias stands among the keys (0 when absent): one pass per line."""
+    return F.transform(F.array(*[F.lit(a) for a in _ALL_ALIASES]), lambda a: F.array_position(keys, a))
+
+
+def _lookup(keys: Column, values: Column, positions: Column, dotted: Column, field: str) -> Column:
     """Scalar of the first alias present; exact names before dotted suffixes.
 
     Where a name occurs more than once the last one counts, as it does when nested
     objects are flattened in order.
     """
+    aliases = _FIELDS[field]
+    exact = F.coalesce(*[F.nullif(F.get(positions, F.lit(_ALL_ALIASES.index(a))), F.lit(0)) for a in aliases])
     wanted = F.array(*[F.lit(a) for a in aliases])
-    exact = F.array_position(keys, F.get(F.filter(wanted, lambda a: F.array_contains(keys, a)), F.lit(0)))
     tails = F.transform(wanted, lambda a: F.array_position(F.transform(keys, lambda k: F.endswith(k, F.concat(F.lit("."), a))), F.lit(True)))
     suffix = F.get(F.filter(tails, lambda i: i > 0), F.lit(0))
-    at = F.coalesce(exact, F.when(dotted, suffix))
-    got = F.get(values, at.cast("int") - 1)
-    text = F.regexp_replace(F.regexp_replace(got, '^"|"$', ""), r"\\(.)", "$1")
-    return F.when(got != "null", text)
+    got = F.get(values, F.coalesce(exact, F.when(dotted, suffix)).cast("int") - 1)
+    return F.when(got != "null", F.btrim(got, F.lit('"')))
+
+
+def _unescape(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("\\")), F.regexp_replace(text, r"\\(.)", "$1")).otherwise(text)
 
 
 def parse_kpm(lines: DataFrame, column: str = "value", throughput_scale: float = 1.0, volume_scale: float = 1.0, default_time_s: float | None = None) -> DataFrame:
@@ -95,22 +107,22 @@ def parse_kpm(lines: DataFrame, column: str = "value", throughput_scale: float =
     df = df.filter(~F.coalesce(F.array_contains(keys, "cmd") & (F.size(keys) <= 2), F.lit(False)))
     t = F.col("_t")
     found = _scan_keys(t)
+    df = df.withColumns({"_k": found[0], "_v": found[1]})
     # most lines have no dotted key beyond the aliases, and skip the suffix search
-    plain = F.array(*[F.lit(a) for al in KPM_ALIASES.values() for a in al if "." in a])
-    dotted = F.exists(F.array_except(found[0], plain), lambda k: F.contains(k, F.lit(".")))
-    df = df.withColumns({"_k": found[0], "_v": found[1], "_dot": dotted})
-    look = lambda al: _lookup(F.col("_k"), F.col("_v"), al, F.col("_dot"))
-    vals = {name: numeric_or_null(look(al)) for name, al in KPM_ALIASES.items()}
+    plain = F.array(*[F.lit(a) for a in _ALL_ALIASES if "." in a])
+    df = df.withColumns({"_pos": _positions(F.col("_k")), "_dot": F.contains(F.array_join(F.array_except("_k", plain), " "), F.lit("."))})
+    look = lambda field: _lookup(F.col("_k"), F.col("_v"), F.col("_pos"), F.col("_dot"), field)
+    vals = {name: numeric_or_null(look(name)) for name in KPM_ALIASES}
     for name in FRACTIONS:
         vals[name] = percent_to_fraction(vals[name])
     for name in ("dl_throughput_mbps", "ul_throughput_mbps"):
         vals[name] = vals[name] * F.lit(float(throughput_scale))
     for name in ("dl_volume_bytes", "ul_volume_bytes"):
         vals[name] = vals[name] * F.lit(float(volume_scale))
-    time = numeric_or_null(look(TIME_ALIASES))
+    time = numeric_or_null(look("time_s"))
     if default_time_s is not None:
         time = F.coalesce(time, F.lit(float(default_time_s)))
-    vals.update({"time_s": time, "ue_id": look(UE_ALIASES), "cell_id": look(CELL_ALIASES), "source": F.lit("srsran")})
+    vals.update({"time_s": time, "ue_id": _unescape(look("ue_id")), "cell_id": _unescape(look("cell_id")), "source": F.lit("srsran")})
     problem = F.when(F.try_parse_json("_t").isNull(), "invalid_json").when(time.isNull(), "no_time")
     keep = [c for c in lines.columns if c != column]
     return df.select(*keep, *[vals[c].alias(c) for c in COLUMNS], problem.alias("problem"), F.when(problem.isNotNull(), t).alias("rejected_text"))
