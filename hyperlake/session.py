@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,13 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and drop its lineage.
+    """Write ``df`` as a table in the shared folder and read it back without its lineage.
 
-    A reliable checkpoint: the files outlive any executor, so a lost executor
-    costs a re-read and never a recomputation of the loop that led here.
+    The files outlive any executor, so a lost executor costs a re-read and never a
+    recomputation of what led here.  Parquet keeps column pruning and sizes, so
+    small results can still be broadcast where the planner sees fit.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
