@@ -408,13 +408,15 @@ def conflict_free_batch(touch: DataFrame, max_rounds: int | None = None) -> Data
     combined on the map side and joins back as a single row.
     """
     open_ = cut(touch)
-    chosen = None
+    parts: list[DataFrame] = []
     rounds = 0
     while True:
         best = open_.groupBy("entity_id").agg(F.min("match_id").alias("_min"), F.bool_or("is_write").alias("_w")).filter("_w")
         lost = open_.join(best, "entity_id").filter("match_id <> _min").select("match_id").distinct()
         won = cut(open_.join(lost, "match_id", "left_anti").select("match_id").distinct())
-        chosen = won if chosen is None else chosen.unionByName(won)
+        # every part is a file already; now and then they are merged into one
+        parts = [cut(reduce(lambda a, b: a.unionByName(b), parts)), won] if len(parts) >= 16 else [*parts, won]
+        chosen = reduce(lambda a, b: a.unionByName(b), parts)
         rounds += 1
         if max_rounds is not None and rounds >= max_rounds:
             return chosen
@@ -424,7 +426,6 @@ def conflict_free_batch(touch: DataFrame, max_rounds: int | None = None) -> Data
         open_ = cut(rest.join(clash, "match_id", "left_anti"))
         if open_.isEmpty():
             return chosen
-        chosen = cut(chosen)
 
 
 def apply_batch(graph: Graph, rule: Rule, *, max_rounds: int | None = None, handles: DataFrame | None = None) -> tuple[Graph, DataFrame]:
