@@ -29,15 +29,21 @@ def local_session(cores: int | str = "*", app: str = "hyperlake", memory: str =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch folder only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    made = getattr(spark, "_hyperlake_dir", None)
-    if made is None:
-        made = tempfile.mkdtemp(prefix="hyperlake-")
-        spark._hyperlake_dir = made
-    return made
+    """The session's own subfolder of the shared folder ``spark.checkpoint.dir`` names.
+
+    Everything a session cuts lies under this one subfolder, so it can be dropped as
+    a whole.  Without a named folder only a ``local[...]`` session gets a scratch
+    folder: on a cluster each executor would write to its own disk, so it raises.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
+        named = getattr(spark, "_hyperlake_dir", None)
+        if named is None:
+            named = spark._hyperlake_dir = tempfile.mkdtemp(prefix="hyperlake-")
+    return f"{named.rstrip('/')}/hyperlake-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
