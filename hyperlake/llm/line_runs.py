@@ -80,6 +80,11 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
+def n_chars(text: str) -> Column:
+    """Characters of a text column; null stays null."""
+    return F.char_length(F.col(text)).cast("long")
+
+
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
