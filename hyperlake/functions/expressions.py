@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: the functions an expression may call
@@ -26,14 +26,13 @@ _TOKEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|`[^`]+`|[A-Za-z_][A-Za-z_0-9.]*|\d+\.
 _RENAME = {"round": "bround", "min": "least", "max": "greatest", "float": "double", "bool": "boolean", "len": "size", "log": "ln"}
 
 
-def register(spark: SparkSession) -> None:
-    """SQL functions Spark has no name for; Catalyst inlines their bodies."""
-    for text in (
-        "clip(v DOUBLE, lo DOUBLE, hi DOUBLE) RETURNS DOUBLE RETURN least(greatest(v, lo), hi)",
-        "softplus(v DOUBLE) RETURNS DOUBLE RETURN CASE WHEN v > 40 THEN v ELSE ln(1 + exp(v)) END",
-        "isfinite(v DOUBLE) RETURNS BOOLEAN RETURN v IS NOT NULL AND NOT isnan(v) AND abs(v) < double('Infinity')",
-    ):
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {text}")
+# functions Spark has no name for, as built-in terms of their arguments
+_TERMS = {
+    "clip": "least(greatest({0}, {1}), {2})",
+    "softplus": "(CASE WHEN {0} > 40 THEN {0} ELSE log1p(exp({0})) END)",
+    "isfinite": "({0} IS NOT NULL AND NOT isnan({0}) AND abs({0}) < double('Infinity'))",
+    "sum": "aggregate({0}, double(0), (_acc, _item) -> _acc + double(_item))",
+}
 
 
 def names_in(text: str) -> set[str]:
@@ -60,15 +59,84 @@ def checked(text: str, columns: Iterable[str]) -> Column:
     unknown = sorted(n for n in names_in(text) if n not in known and n.split(".")[0] not in known)
     if unknown:
         raise ValueError(f"unknown names in expression: {unknown}")
-    out = []
-    for i, t in enumerate(toks):
-        call = i + 1 < len(toks) and toks[i + 1] == "(" and re.match(r"[A-Za-z_]", t)
-        if call and t.lower() not in KEYWORDS:
-            if t.lower() not in FUNCTIONS and t.lower() not in SPARK_NAMES:
+    return F.expr(" ".join(_terms(toks)))
+
+
+def _closing(toks: list[str], at: int) -> int:
+    """Where the parenthesis opened at ``at`` closes."""
+    depth = 0
+    for k in range(at, len(toks)):
+        depth += (toks[k] == "(") - (toks[k] == ")")
+        if depth == 0:
+            return k
+    raise ValueError("a parenthesis is not closed")
+
+
+def _arguments(toks: list[str]) -> list[str]:
+    parts, depth = [[]], 0
+    for t in toks:
+        depth += (t == "(") - (t == ")")
+        if t == "," and depth == 0:
+            parts.append([])
+        else:
+            parts[-1].append(t)
+    return [" ".join(_terms(p)) for p in parts] if toks else []
+
+
+def _terms(toks: list[str]) -> list[str]:
+    """The tokens with calls and groups folded to one term each, and ``**`` and ``//`` as functions."""
+    out, i = [], 0
+    while i < len(toks):
+        t = toks[i]
+        if i + 1 < len(toks) and toks[i + 1] == "(" and re.match(r"[A-Za-z_]", t) and t.lower() not in KEYWORDS:
+            name = t.lower()
+            if name not in FUNCTIONS and name not in SPARK_NAMES:
                 raise ValueError(f"function {t!r} is not allowed")
-            t = _RENAME.get(t.lower(), t)
-        out.append(t)
-    return F.expr(" ".join(out))
+            end = _closing(toks, i + 1)
+            args = _arguments(toks[i + 2 : end])
+            if name in _TERMS and len(args) != _ARITY[name]:
+                raise ValueError(f"{t} takes {_ARITY[name]} arguments")
+            # cast keeps its own syntax inside the parentheses
+            out.append(_TERMS[name].format(*[f"({a})" for a in args]) if name in _TERMS else f"{_RENAME.get(name, t)}({', '.join(args)})")
+            i = end + 1
+        elif t == "(":
+            end = _closing(toks, i)
+            out.append(f"({', '.join(_arguments(toks[i + 1 : end]))})")
+            i = end + 1
+        else:
+            out.append(t)
+            i += 1
+    return _floor_divisions(_powers(out))
+
+
+_ARITY = {"clip": 3, "softplus": 1, "isfinite": 1, "sum": 1}
+_OPERATORS = {"+", "-", "*", "/", "%", "<", ">", "=", "!", ",", "|", "&", "(", ")"} | set(KEYWORDS) - {"null", "true", "false", "end"}
+
+
+def _powers(terms: list[str]) -> list[str]:
+    """``a ** b``, right to left; it binds tighter than a sign on its left."""
+    for k in range(len(terms) - 3, 0, -1):
+        if terms[k : k + 2] == ["*", "*"] and k + 2 < len(terms):
+            end = k + 3 + (terms[k + 2] == "-")
+            terms = [*terms[: k - 1], f"power({terms[k - 1]}, {' '.join(terms[k + 2 : end])})", *terms[end:]]
+    return terms
+
+
+def _floor_divisions(terms: list[str]) -> list[str]:
+    """``a // b``, left to right, where ``a`` is the product before it."""
+    k = 1
+    while k + 2 < len(terms):
+        if terms[k : k + 2] == ["/", "/"]:
+            first = k - 1
+            while first >= 2 and terms[first - 1] in ("*", "/", "%"):
+                first -= 2
+            if first and terms[first - 1] == "-" and (first == 1 or terms[first - 2].lower() in _OPERATORS):
+                first -= 1
+            end = k + 3 + (terms[k + 2] == "-")
+            terms = [*terms[:first], f"floor(({' '.join(terms[first:k])}) / ({' '.join(terms[k + 2 : end])}))", *terms[end:]]
+            k = first
+        k += 1
+    return terms
 
 
 def with_context(df: DataFrame, parameters: Mapping[str, float] | None = None, memory: Mapping[str, float] | None = None, time: float | None = None) -> DataFrame:
@@ -82,8 +150,9 @@ def with_context(df: DataFrame, parameters: Mapping[str, float] | None = None, m
 
 def dead_zone_sign(x: Column, eps: float = 0.0) -> Column:
     if eps < 0:
-        raise ValueError("eps must be nonnegative")
-    return F.when(x > eps, 1).when(x < -eps, -1).otherwise(0)
+        raise ValueError(f"the band around zero cannot be {eps}")
+    """1, 0 or -1 with a band of ``eps`` around zero; null stays null."""
+    return F.when(x > eps, 1).when(x < -eps, -1).when(x.isNotNull(), 0)
 
 
 def content_hash(columns: Iterable[str]) -> Column:

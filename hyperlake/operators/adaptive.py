@@ -143,12 +143,6 @@ def cusum_outage(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     return top.withColumn("available", up)
 
 
-def availability_prefix(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, drop: float = DROP_THRESHOLD) -> DataFrame:
-    """Inference over every prefix where the last value alone decides; null elsewhere."""
-    x = F.col(value)
-    return df.withColumn("available", F.when(x <= 0, False).when(x >= UP_LEVEL, True).when(x < drop, False))
-
-
 def prefix_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str = "prefix_mean") -> DataFrame:
     """Mean of every prefix of a series."""
     got = ordered.scan(df, keys, order, {"_s": rsum(value), "_i": rnumber()})
@@ -180,14 +174,6 @@ def project(x: Column, constraint: str, policy: str = "strict", lower: float | N
     return F.struct(F.when(ok, x).when(finite, clipped).alias("value"), (~ok & ~finite).alias("rejected"))
 
 
-def availability_grid(cases: DataFrame, horizon: float, dt: float) -> DataFrame:
-    """Availability 0 inside [outage_start, outage_end), else 1, on a regular grid."""
-    steps = int((horizon + 1e-9) // dt)
-    grid = cases.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("t", F.col("i") * F.lit(dt))
-    inside = (F.col("t") >= F.col("outage_start")) & (F.col("t") < F.col("outage_end"))
-    return grid.withColumn("availability", F.when(inside, 0.0).otherwise(1.0)).drop("i")
-
-
 def scheduled_assignments(events: DataFrame, updates: DataFrame, keys: Sequence[str], names: Mapping[str, float]) -> DataFrame:
     """Parameter values in force at every event: the latest scheduled update at or before it.
 

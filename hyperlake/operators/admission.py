@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import ordered
 from ..session import cut
+from .match import one_sided
 
 # fixed values: name forms and reserved device names
 COMPONENT_NAME = "^[a-z0-9](?:[a-z0-9._-]{0,126}[a-z0-9])?$"
@@ -73,7 +76,9 @@ def classify(messages: DataFrame, owners: DataFrame, components: DataFrame, conc
     m = messages.join(owners.select(F.col("owner").alias("source_owner"), F.lit(True).alias("_own")).distinct(), "source_owner", "left")
     m = m.join(owners.select(F.col("owner").alias("name"), F.lit(True).alias("_taken")).distinct(), "name", "left")
     m = m.join(components.select("name", F.lit(True).alias("_exists")).distinct(), "name", "left")
-    m = m.join(concepts.select(F.col("concept_id").alias("constraint"), F.col("requires_fidelity").alias("_rf"), F.lit(True).alias("_known")), "constraint", "left")
+    # a concept given twice is known once and asks for what any of its rows asks for
+    single = concepts.groupBy(F.col("concept_id").alias("constraint")).agg(F.bool_or("requires_fidelity").alias("_rf"), F.lit(True).alias("_known"))
+    m = m.join(single, "constraint", "left")
     m = fidelity_reason(m, fidelity).join(missing_dependencies(messages, components), "message_id", "left")
     k = F.col("kind")
     fr = F.col("fidelity_reason")
@@ -103,7 +108,7 @@ def classify(messages: DataFrame, owners: DataFrame, components: DataFrame, conc
     )
 
 
-def resolve_dependencies(messages: DataFrame, owners: DataFrame, components: DataFrame, concepts: DataFrame, fidelity: DataFrame, reserved: Sequence[str] = (), max_rounds: int = 1000) -> DataFrame:
+def resolve_dependencies(messages: DataFrame, owners: DataFrame, components: DataFrame, concepts: DataFrame, fidelity: DataFrame, reserved: Sequence[str] = ()) -> DataFrame:
     """Re-classify held proposals as their dependencies are admitted, to a fixpoint.
 
     Rounds are bounded by the longest dependency chain; each round only carries
@@ -112,7 +117,7 @@ def resolve_dependencies(messages: DataFrame, owners: DataFrame, components: Dat
     open_ = cut(messages)
     known = components.select("name").distinct()
     done = None
-    for round_no in range(max_rounds):
+    for round_no in itertools.count():
         now = cut(classify(open_, owners, known, concepts, fidelity, reserved).withColumn("round", F.lit(round_no)))
         held = now.filter("status = 'hold_unresolved'")
         fresh = now.filter(f"status = 'admit' AND kind = '{PROPOSE}'").select("name")
@@ -122,7 +127,6 @@ def resolve_dependencies(messages: DataFrame, owners: DataFrame, components: Dat
             return done.unionByName(held)
         known = cut(known.unionByName(fresh).distinct())
         open_ = held.select(*messages.columns)
-    raise RuntimeError("dependencies did not settle")
 
 
 # --- triples -----------------------------------------------------------------
@@ -205,7 +209,7 @@ def state_disagreements(available: DataFrame, routes: DataFrame) -> DataFrame:
     """Availability edges (route, source, target) against routes that are up, both ways."""
     want = routes.filter("up").select("route", "source", "target")
     have = available.select("route", "source", "target")
-    return have.exceptAll(want).withColumn("side", F.lit("unexpected_edge")).unionByName(want.exceptAll(have).withColumn("side", F.lit("missing_edge")))
+    return one_sided(have, want, "unexpected_edge", "missing_edge")
 
 
 def admission_preview(triples: DataFrame, proposals: DataFrame, content: DataFrame, ns: str) -> tuple[DataFrame, DataFrame]:
@@ -223,7 +227,9 @@ def admission_preview(triples: DataFrame, proposals: DataFrame, content: DataFra
     deps = triples.filter(F.col("p") == ns + "dependsOn").select(F.col("s").alias("proposal"), F.col("o").alias("member")).join(proposals, "proposal")
     gone = deps.join(members, ["cell", "member"], "left_anti").groupBy("proposal").agg(F.count(F.lit(1)).alias("_gone"))
     # an identifier is in use when anything but its own proposal points at it
-    refs = triples.select(F.explode(F.array("s", "o", "p")).alias("component")).groupBy("component").agg(F.count(F.lit(1)).alias("_refs"))
+    named = p.select("component").distinct()
+    uses = reduce(lambda a, b: a.unionByName(b), [triples.select(F.col(c).alias("component")).join(named, "component", "left_semi") for c in ("s", "o", "p")])
+    refs = uses.groupBy("component").agg(F.count(F.lit(1)).alias("_refs"))
     j = p.join(taken, ["cell", "name"], "left").join(gone, "proposal", "left").join(refs, "component", "left")
     same = p.filter("problem IS NULL").groupBy("cell", "name").agg(F.min("proposal").alias("_first"))
     j = j.join(same, ["cell", "name"], "left")

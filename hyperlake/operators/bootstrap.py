@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import ordered
@@ -94,15 +94,15 @@ def units_of(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str
 
 def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     if keys:
-        return left.join(right, list(keys))
-    return left.withColumn(ALL, F.lit(1)).join(right.withColumn(ALL, F.lit(1)), ALL).drop(ALL)
+        return left.join(right, list(keys), "left")
+    return left.withColumn(ALL, F.lit(1)).join(right.withColumn(ALL, F.lit(1)), ALL, "left").drop(ALL)
 
 
 def bootstrap_mean(
     df: DataFrame, value: str, keys: Sequence[str] = (), order: Sequence[str] = (), draws: int = 2000,
     seed: int = 7, strata: Sequence[str] = (), method: str = "index", exact_rank: bool = False,
 ) -> DataFrame:
-    """``keys, mean, lo, hi, n``; a group without units gives no interval row.
+    """``keys, mean, lo, hi, n``; a group without values has NaN for all but ``n``, which is 0.
 
     The unit table is an aggregate many times smaller than its source and is read
     several times, so it is written once and the source is scanned once.
@@ -112,7 +112,9 @@ def bootstrap_mean(
         F.avg(F.col(value).cast("double")).alias("mean"), F.count(value).alias("n")
     )
     drawn = draw_means(df, value, keys, order, draws, seed, strata, method)
-    return _attach(point, interval(drawn, keys, exact_rank=exact_rank), keys)
+    both = _attach(point, interval(drawn, keys, exact_rank=exact_rank), keys)
+    # a group without values has no mean and no interval, but it has a row
+    return both.withColumns({c: F.coalesce(F.col(c), F.lit(float("nan"))) for c in ("mean", "lo", "hi")})
 
 
 def stratified_bootstrap_mean(
@@ -281,10 +283,3 @@ def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFra
     """Rank correlation with averaged ties."""
     ranked = ordered.rank_average(ordered.rank_average(df, keys, x, "_rx"), keys, y, "_ry")
     return ranked.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("rank_corr"))
-
-
-def rank_window(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Average rank for groups known to be small (a window, no join)."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    ties = Window.partitionBy(*keys, value)
-    return df.withColumn(out, F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2)

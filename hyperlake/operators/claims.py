@@ -16,9 +16,9 @@ UNIT = ("estimand", "regime", "scenario")
 
 
 def signed(x: Column, eps: Column | float) -> Column:
-    """Dead-zone sign: 1 above eps, -1 below -eps, else 0."""
+    """Dead-zone sign: 1 above eps, -1 below -eps, else 0; null stays null."""
     eps = eps if isinstance(eps, Column) else F.lit(float(eps))
-    return F.when(x > eps, 1).when(x < -eps, -1).otherwise(0)
+    return F.when(x > eps, 1).when(x < -eps, -1).when(x.isNotNull(), 0)
 
 
 def incomplete_ensembles(rows: DataFrame, hypotheses: Sequence[float] = GRID, keys: Sequence[str] = UNIT) -> DataFrame:
@@ -95,12 +95,17 @@ def ensembles(runs: DataFrame, estimands: Sequence[str], hypotheses: Sequence[fl
 
 
 def score_table(runs: DataFrame, estimands: Sequence[str], eps: Sequence[float] = (0.0,), horizon: float = 0.0, hypotheses: Sequence[float] = GRID) -> DataFrame:
-    return score(ensembles(runs, estimands, hypotheses), eps, horizon)
+    """Claims of all units; a unit without exactly the declared alphas and effects has a ``problem`` and no status."""
+    arms = fx.arm_abs_error(fx.scenario_effects(runs, estimands))
+    gaps = incomplete_ensembles(arms.filter(F.col("effect").isNotNull()), hypotheses).select(*UNIT, F.lit("incomplete_ensemble").alias("problem"))
+    found = score(ensembles(runs, estimands, hypotheses), eps, horizon).join(gaps, list(UNIT), "left")
+    sound = F.col("problem").isNull()
+    return found.withColumns({c: F.when(sound, F.col(c)) for c in ("status", "notes", "spread")})
 
 
 def point_direction(oracle_effect: Column, point: Column, eps: Column | float) -> Column:
     o, p = signed(oracle_effect, eps), signed(point, eps)
-    return F.when((o == 0) | (p == 0), "unknown").when(o == p, "match").otherwise("mismatch")
+    return F.when(o.isNull() | p.isNull() | (o == 0) | (p == 0), "unknown").when(o == p, "match").otherwise("mismatch")
 
 
 def illegal_promotion(status: Column, direction: Column) -> Column:
@@ -119,7 +124,7 @@ def annotate_foil(claims: DataFrame, name: str, alpha: Column) -> DataFrame:
 
 def annotate_foils(claims: DataFrame, table: DataFrame, table_name: str = "table", fixed: float = 1.0) -> DataFrame:
     """Two foils: a lookup table (estimand, regime, foil_alpha) and one fixed alpha."""
-    joined = claims.join(table.select("estimand", "regime", "foil_alpha"), ["estimand", "regime"])
+    joined = claims.join(table.select("estimand", "regime", "foil_alpha"), ["estimand", "regime"], "left")
     first = annotate_foil(joined, table_name, F.col("foil_alpha")).drop("foil_alpha")
     return annotate_foil(first, "fixed", F.lit(fixed))
 

@@ -31,7 +31,7 @@ def wire_pairs(wires: DataFrame, handles: DataFrame, vertices: DataFrame, closur
     return w.select(*wires.columns, "left_vertex", "right_vertex", problem.alias("problem"))
 
 
-def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable over undirected links.
 
     Min-label propagation with pointer jumping, so long chains take a logarithmic
@@ -40,7 +40,7 @@ def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 1
     """
     edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(nodes.select("node", F.col("node").alias("root")))
-    for _ in range(max_rounds):
+    while True:
         sent = edges.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("root").alias("_m"))
         near = labels.join(sent, "node", "left").select("node", F.col("root").alias("_old"), F.least("root", F.coalesce("_m", "root")).alias("root"))
         near = cut(near)
@@ -53,7 +53,6 @@ def connected_components(nodes: DataFrame, links: DataFrame, max_rounds: int = 1
         labels = nxt.select("node", "root")
         if settled:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def merge_vertices(members: DataFrame, attributes: Sequence[str], depth: Mapping[str, int], merge: Mapping[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -81,7 +81,7 @@ def causal_edges(prints: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     return got.select(*keys, F.col("writer").alias("cause"), F.col("event_id").alias("effect")).distinct()
 
 
-def reachable(edges: DataFrame, targets: DataFrame, keys: Sequence[str] = RUN, forward: bool = False, max_rounds: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, targets: DataFrame, keys: Sequence[str] = RUN, forward: bool = False) -> DataFrame:
     """Ancestors (or descendants with ``forward``) of each target: keys, target, event_id.
 
     Frontier iteration: each round joins only the newly found events, drops those
@@ -96,7 +96,7 @@ def reachable(edges: DataFrame, targets: DataFrame, keys: Sequence[str] = RUN, f
         .join(step, [*keys, "_from"]).select(*ids).distinct()
     )
     parts = [frontier]
-    for _ in range(max_rounds):
+    while True:
         seen = reduce(lambda x, y: x.unionByName(y), parts)
         found = frontier.withColumnRenamed("event_id", "_from").join(step, [*keys, "_from"]).select(*ids).distinct()
         frontier = cut(found.join(seen, ids, "left_anti"))
@@ -104,7 +104,6 @@ def reachable(edges: DataFrame, targets: DataFrame, keys: Sequence[str] = RUN, f
             return seen
         # earlier rounds are files already; only now and then are they merged into one
         parts = [cut(seen), frontier] if len(parts) >= 16 else [*parts, frontier]
-    raise RuntimeError(f"causal chains exceed {max_rounds} events")
 
 
 def state_as_of(initial: DataFrame, deltas: DataFrame, index: int | None, keys: Sequence[str] = RUN) -> DataFrame:

@@ -55,7 +55,7 @@ def fold(kinds: np.ndarray, qty: np.ndarray, available: int, reserved: int):
     return ok, free, held, (a - available, r - reserved, lo_a, hi_a, lo_r, hi_r)
 
 
-def ledger(events: DataFrame, keys: Sequence[str] = ("sku",), order: Sequence[str] = ("t",), max_rounds: int = 1000) -> DataFrame:
+def ledger(events: DataFrame, keys: Sequence[str] = ("sku",), order: Sequence[str] = ("t",)) -> DataFrame:
     """Add ``status`` (applied / rejected), ``on_hand`` and ``reserved`` after every event.
 
     ``events``: keys, order columns, kind in receive / reserve / release, quantity.
@@ -125,7 +125,7 @@ def ledger(events: DataFrame, keys: Sequence[str] = ("sku",), order: Sequence[st
 
     chain_schema = ", ".join([*key_fields, "a BIGINT, r BIGINT, again BOOLEAN"])
     reports = cut(df.groupBy(*part).cogroup(start.groupBy(*part)).applyInPandas(report, report_schema))
-    for _ in range(max_rounds):
+    while True:
         # one summary row per chunk of an item, never its events
         start = cut(reports.groupBy(*keys).applyInPandas(chain, chain_schema))
         redo = start.filter("again").select(*part, "a", "r")
@@ -133,8 +133,6 @@ def ledger(events: DataFrame, keys: Sequence[str] = ("sku",), order: Sequence[st
             break
         fresh = df.join(redo.select(*part), part, "left_semi").groupBy(*part).cogroup(redo.groupBy(*part)).applyInPandas(report, report_schema)
         reports = cut(reports.join(redo.select(*part), part, "left_anti").unionByName(fresh))
-    else:
-        raise RuntimeError("stock ledger did not settle")
 
     def final(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return replay(left, int(right["a"].iloc[0]), int(right["r"].iloc[0]))

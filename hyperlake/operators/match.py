@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from ..functions import expressions as ex
 from .graph import Graph, _same_kind
 
-CARTESIAN_ROWS = 100_000
-
 
 @dataclass(frozen=True)
 class Var:
@@ -254,10 +252,8 @@ def _merge(cur: DataFrame | None, side: _Side, on: Mapping[str, str], allow_cart
     else:
         if not allow_cartesian:
             raise ValueError("the pattern is disconnected: pass allow_cartesian=True for its product semantics")
-        # a product by definition; the added component must be small, which is checked
-        if right.limit(CARTESIAN_ROWS + 1).count() > CARTESIAN_ROWS:
-            raise ValueError(f"the disconnected component exceeds {CARTESIAN_ROWS} rows")
-        out = cur.withColumn("_one", F.lit(1)).join(F.broadcast(right.withColumn("_one", F.lit(1))), "_one").drop("_one")
+        # a product by definition, which the caller asked for; how it runs is left to the planner
+        out = cur.crossJoin(right)
     if cond is not None:
         out = out.filter(cond)
     if fresh:
@@ -374,9 +370,8 @@ def apply_condition(graph: Graph, base: DataFrame, cond: Condition) -> DataFrame
         ext = ext.filter(ex.checked(cond.guard, ext.columns))
         ctx = []
     cols = [F.col(c).alias(f"_k_{c}") for c in shared] + [F.col(c) for c in ctx]
-    ext = ext.select(*cols, F.lit(1).alias("_k_one"))
-    if not ctx:
-        ext = ext.distinct() if shared else ext.limit(1)
+    # only whether some row fits is asked, so equal rows count once; without any column one row tells
+    ext = ext.select(*cols).distinct() if cols else ext.select(F.lit(1).alias("_k_one")).limit(1)
     on = None
     for c, b in shared.items():
         if ext_types[c] != base_types[b]:
@@ -384,10 +379,6 @@ def apply_condition(graph: Graph, base: DataFrame, cond: Condition) -> DataFrame
         else:
             hit = F.col(b) == F.col(f"_k_{c}") if c[0] in "ve" else F.col(b).eqNullSafe(F.col(f"_k_{c}"))
         on = hit if on is None else on & hit
-    work = base
-    if on is None:
-        work = base.withColumn("_one", F.lit(1))
-        on = F.col("_one") == F.col("_k_one")
     if cond.guard and from_base:
         text = cond.guard
         clash = [c for c in ctx if c in base_types]
@@ -395,10 +386,8 @@ def apply_condition(graph: Graph, base: DataFrame, cond: Condition) -> DataFrame
             ext = ext.withColumnRenamed(c, f"_x_{c}")
         pool = [*base.columns, *ctx]
         guard = ex.checked(text, pool)
-        on = on & guard
-    how = "left_semi" if cond.positive else "left_anti"
-    out = work.join(ext, on, how)
-    return out.drop("_one") if "_one" in out.columns else out
+        on = guard if on is None else on & guard
+    return base.join(ext, F.lit(True) if on is None else on, "left_semi" if cond.positive else "left_anti")
 
 
 def matches(
@@ -441,8 +430,15 @@ def match_delta(before: DataFrame, after: DataFrame, touched: DataFrame | None =
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of two match relations that differ, by id and by bindings (multiset)."""
     cols = sorted(set(a.columns) & set(b.columns))
-    x, y = a.select(*cols), b.select(*cols)
-    return x.exceptAll(y).withColumn("side", F.lit("left")).unionByName(y.exceptAll(x).withColumn("side", F.lit("right")))
+    return one_sided(a.select(*cols), b.select(*cols), "left", "right")
+
+
+def one_sided(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
+    """Rows with more copies in one table than in the other, once for each copy, and the side; each input is read once."""
+    cols = a.columns
+    both = a.withColumn("_n", F.lit(1)).unionByName(b.withColumn("_n", F.lit(-1))).groupBy(*cols).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    side = F.when(F.col("_n") > 0, left).otherwise(right)
+    return both.select(*cols, side.alias("side"), F.explode(F.sequence(F.lit(1), F.abs("_n"))).alias("_n")).drop("_n")
 
 
 def touched_matches(df: DataFrame, pattern: Pattern, entities: DataFrame) -> DataFrame:

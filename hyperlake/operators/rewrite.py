@@ -128,16 +128,28 @@ def dangling(graph: Graph, df: DataFrame, rule: Rule) -> DataFrame:
     _, de, _ = rule.edge_keys
     if not dv:
         return df
-    degree = graph.incidences().groupBy("vertex_id").agg(F.count_distinct("edge_id").alias("_deg"))
     out = df
     left = {e.key: e for e in rule.left.edges}
+    kinds = {v.key: v.type for v in rule.left.vertices}
     for k in dv:
+        # only edge types with a port this vertex may stand at, and only candidates' edges, are counted
+        at = [t for t, et in graph.catalog.edge_types.items() if t in graph.edge_tables and any(_may_meet(graph, p, kinds[k]) for p in et.ports)]
+        if not at:
+            continue
+        candidates = out.select(F.col(f"v_{k}").alias("vertex_id")).distinct()
+        degree = graph.incidences(at).join(candidates, "vertex_id", "left_semi").groupBy("vertex_id").agg(F.count_distinct("edge_id").alias("_deg"))
         mine = sum(1 for e in de if k in left[e].endpoints())
         d = degree.withColumnRenamed("vertex_id", f"v_{k}")
         out = out.join(d, f"v_{k}", "left").filter(F.coalesce("_deg", F.lit(0)) <= mine).drop("_deg")
     return out
 
 
+def _may_meet(graph: Graph, port, kind: str) -> bool:
+    """Whether a vertex matched as ``kind`` (or a subtype) can stand at a port."""
+    fits = set(graph.catalog.compatible(port.vertex_type, port.allow_subtypes))
+    return bool(fits & set(graph.catalog.compatible(kind, True)))
+
+
 def gluing(df: DataFrame, rule: Rule, handles: DataFrame | None) -> DataFrame:
     """Drop matches that delete a vertex bound by a handle the rule does not mention."""
     _, dv, _ = rule.vertex_keys
@@ -348,7 +360,7 @@ def apply_delta(graph: Graph, deltas: DataFrame, vertex_types: Sequence[str], ed
     Each touched table is joined once with its latest change per entity, then the
     created rows are appended.
     """
-    def one(df: DataFrame, key: str, kind: str, t: str) -> DataFrame:
+    def one(df: DataFrame, key: str, kind: str, t: str, fixed: Sequence[str] = ()) -> DataFrame:
         d = deltas.filter((F.col("entity_kind") == kind) & (F.col("type_id") == t))
         names = [c for c in df.columns if c != key]
         schema = df.select(*names).schema if names else None
@@ -360,7 +372,7 @@ def apply_delta(graph: Graph, deltas: DataFrame, vertex_types: Sequence[str], ed
             made = d.filter("op = 'create'").select(F.col("entity_id").alias(key))
         else:
             new = F.from_json("_after", schema)
-            kept = j.select(key, *[F.when(F.col("_after").isNotNull(), new[n]).otherwise(F.col(n)).alias(n) for n in names])
+            kept = j.select(key, *[(F.coalesce(new[n], F.col(n)) if n in fixed else F.when(F.col("_after").isNotNull(), new[n]).otherwise(F.col(n))).alias(n) for n in names])
             made = d.filter("op = 'create'").select(F.col("entity_id").alias(key), F.from_json("after", schema).alias("_n")).select(key, *[F.col("_n")[n].alias(n) for n in names])
         return kept.unionByName(made)
 
@@ -370,10 +382,7 @@ def apply_delta(graph: Graph, deltas: DataFrame, vertex_types: Sequence[str], ed
         if t in e:
             # updates carry attributes only, so endpoints are kept from the row
             ports = [p.column for p in graph.catalog.edge_types[t].ports]
-            full = one(e[t], "edge_id", "edge", t)
-            ends = e[t].select("edge_id", *[F.col(p).alias(f"_{p}") for p in ports])
-            full = full.join(ends, "edge_id", "left")
-            e[t] = full.withColumns({p: F.coalesce(F.col(p), F.col(f"_{p}")) for p in ports}).drop(*[f"_{p}" for p in ports])
+            e[t] = one(e[t], "edge_id", "edge", t, ports)
     return Graph(graph.catalog, v, e)
 
 
@@ -398,7 +407,14 @@ def access(rule: Rule, occ: DataFrame) -> DataFrame:
     return occ.select("match_id", F.inline(items)).groupBy("match_id", "entity_id").agg(F.bool_or("is_write").alias("is_write"))
 
 
-def conflict_free_batch(touch: DataFrame, max_rounds: int | None = None) -> DataFrame:
+def first_winners(touch: DataFrame) -> DataFrame:
+    """Ids of matches that are the smallest on every entity they share with a writer."""
+    best = touch.groupBy("entity_id").agg(F.min("match_id").alias("_min"), F.bool_or("is_write").alias("_w")).filter("_w")
+    lost = touch.join(best, "entity_id").filter("match_id <> _min").select("match_id").distinct()
+    return touch.join(lost, "match_id", "left_anti").select("match_id").distinct()
+
+
+def conflict_free_batch(touch: DataFrame) -> DataFrame:
     """Ids of matches that can fire together, lowest id first.
 
     No chosen match writes an entity another chosen match reads or writes.  Each
@@ -409,17 +425,11 @@ def conflict_free_batch(touch: DataFrame, max_rounds: int | None = None) -> Data
     """
     open_ = cut(touch)
     parts: list[DataFrame] = []
-    rounds = 0
     while True:
-        best = open_.groupBy("entity_id").agg(F.min("match_id").alias("_min"), F.bool_or("is_write").alias("_w")).filter("_w")
-        lost = open_.join(best, "entity_id").filter("match_id <> _min").select("match_id").distinct()
-        won = cut(open_.join(lost, "match_id", "left_anti").select("match_id").distinct())
+        won = cut(first_winners(open_))
         # every part is a file already; now and then they are merged into one
         parts = [cut(reduce(lambda a, b: a.unionByName(b), parts)), won] if len(parts) >= 16 else [*parts, won]
         chosen = reduce(lambda a, b: a.unionByName(b), parts)
-        rounds += 1
-        if max_rounds is not None and rounds >= max_rounds:
-            return chosen
         mine = open_.join(won, "match_id", "left_semi").groupBy("entity_id").agg(F.bool_or("is_write").alias("_ww"))
         rest = open_.join(won, "match_id", "left_anti")
         clash = rest.join(mine, "entity_id").filter("is_write OR _ww").select("match_id").distinct()
@@ -428,11 +438,11 @@ def conflict_free_batch(touch: DataFrame, max_rounds: int | None = None) -> Data
             return chosen
 
 
-def apply_batch(graph: Graph, rule: Rule, *, max_rounds: int | None = None, handles: DataFrame | None = None) -> tuple[Graph, DataFrame]:
+def apply_batch(graph: Graph, rule: Rule, *, handles: DataFrame | None = None) -> tuple[Graph, DataFrame]:
     """Occurrences, conflict-free choice, delta and the resulting graph of one epoch."""
     keep = [v.key for v in rule.left.vertices] + [e.key for e in rule.left.edges]
     occ = cut(occurrences(graph, rule, handles=handles, keep_attrs=keep))
-    chosen = conflict_free_batch(access(rule, occ), max_rounds)
+    chosen = conflict_free_batch(access(rule, occ))
     d = cut(delta(graph, rule, occ.join(chosen, "match_id", "left_semi")))
     types = {v.type for v in rule.left.vertices} | {v.type for v in rule.vertices}
     etypes = {e.type for e in rule.left.edges} | {e.type for e in rule.edges}
@@ -470,27 +480,13 @@ def outputs(occ: DataFrame, rule: Rule, directions: Mapping[str, str]) -> DataFr
     return occ.select(F.col("match_id").alias("event_id"), F.inline(F.array(*rows)))
 
 
-def transition_table(routes: DataFrame, group: str = "system") -> DataFrame:
-    """Every state of every small on/off system, its legal transitions and rates.
-
-    ``routes``: system, position (0..n-1), fail, repair.  States are bit masks;
-    toggling bit i costs its failure rate when up, its repair rate when down.
-    The table is exhaustive by definition (2^n states per system of n routes).
-    """
-    n = routes.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    each = routes.join(n, group).withColumn("state", F.explode(F.sequence(F.lit(0), F.expr("shiftleft(1, int(_n)) - 1"))))
-    bit = F.expr("shiftleft(1, int(position))")
-    up = F.col("state").bitwiseAND(bit) != 0
-    moves = each.select(group, "state", F.col("state").bitwiseXOR(bit).alias("target"), F.when(up, F.col("fail")).otherwise(F.col("repair")).alias("rate"))
-    return moves.filter("rate > 0").groupBy(group, "state", "target").agg(F.sum("rate").alias("rate"))
-
-
 def rule_instances(matches: DataFrame, bindings: DataFrame, specs: Mapping[str, Mapping[str, Any]]) -> tuple[DataFrame, DataFrame]:
     """(instances, rejected): a template's matches under every valid binding row.
 
     ``bindings``: instance_id and one column per parameter; ``specs`` maps each to
-    its lower / upper / choices.  Bindings are a hand-made table: they are folded
-    into one array (checked against 10,000 rows) and unfolded on every match.
+    its lower / upper / choices.  Every match meets every binding, so matches are
+    dealt over salts and each salt gets the bindings: no row meets all others in
+    one task, and the planner still broadcasts a small table of bindings.
     """
     checks = []
     for name, s in specs.items():
@@ -505,10 +501,10 @@ def rule_instances(matches: DataFrame, bindings: DataFrame, specs: Mapping[str,
             checks.append(F.when(~c.isin(*s["choices"]), F.lit(f"{name} is not a choice")))
     judged = bindings.withColumn("problem", F.get(F.filter(F.array(*checks), lambda x: x.isNotNull()), F.lit(0)) if checks else F.lit(None).cast("string"))
     good = judged.filter("problem IS NULL").select("instance_id", *specs)
-    if good.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 rule instances")
-    folded = good.agg(F.collect_list(F.struct("instance_id", *[F.col(s).alias(f"meta_{s}") for s in specs])).alias("_b")).withColumn("_k", F.lit(1))
-    inst = matches.withColumn("_k", F.lit(1)).join(F.broadcast(folded), "_k").drop("_k").select(*matches.columns, F.inline("_b"))
+    salts = int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = matches.withColumn("_salt", F.pmod(F.xxhash64(*matches.columns), F.lit(salts)).cast("int"))
+    each = good.select("instance_id", *[F.col(s).alias(f"meta_{s}") for s in specs]).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    inst = dealt.join(each, "_salt").select(*matches.columns, "instance_id", *[f"meta_{s}" for s in specs])
     return inst, judged.filter("problem IS NOT NULL").select("instance_id", "problem")
 
 
@@ -555,9 +551,3 @@ def payload_violations(raw: DataFrame, specs: Mapping[str, Any], extensions: boo
         unknown = F.array_sort(F.array_except(present, F.array(*[F.lit(n) for n in specs])))
         checks.append(F.when(F.size(unknown) > 0, F.struct(F.lit("unknown_field").alias("code"), F.array_join(unknown, ",").alias("detail"))))
     return raw.select(key, F.inline(F.filter(F.array(*checks), lambda x: x.isNotNull())))
-
-
-def disjoint_copies(df: DataFrame, copies: int, ids: Sequence[str]) -> DataFrame:
-    """k disjoint copies of a table with suffixed ids (scaling workload)."""
-    got = df.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    return got.withColumns({c: F.concat_ws("#", F.col(c), F.col("copy")) for c in ids})

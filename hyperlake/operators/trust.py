@@ -27,14 +27,15 @@ def cell_objective(errors: DataFrame, predictive: DataFrame | None = None, lam:
     if predictive is None:
         mae = mae.withColumn("nmae", F.lit(0.0))
     else:
-        # one row per alpha of the grid
-        mae = mae.join(predictive.select("alpha", "nmae"), "alpha")
+        # one row per alpha of the grid; an alpha without a predictive error has no objective and cannot be chosen
+        mae = mae.join(predictive.select("alpha", "nmae"), "alpha", "left")
     return mae.withColumn("objective", F.col("mae") + F.lit(float(lam)) * F.col("nmae"))
 
 
 def select_alpha(objectives: DataFrame, keys: Sequence[str] = ("estimand", "regime")) -> DataFrame:
     """Smallest objective, then smallest alpha."""
-    best = F.min(F.struct("objective", "alpha"))
+    best = F.min(F.when(F.col("objective").isNotNull(), F.struct("objective", "alpha")))
+    # a cell none of whose alphas has an objective keeps its row, with a null alpha
     return objectives.groupBy(*keys).agg(best.alias("_b")).select(*keys, F.col("_b.alpha").alias("alpha"), F.col("_b.objective").alias("objective"))
 
 

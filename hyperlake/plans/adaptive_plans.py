@@ -70,12 +70,6 @@ def project(spark, sf):
         ad.project(x, "bounded", "project", 10.0, 5000.0)["value"].alias("bounded"), ad.project(x / 5000, "probability", "project")["value"].alias("probability"))
 
 
-@query("adaptive_availability_grid", """SELECT s_suppkey, t, CASE WHEN t >= s_suppkey % 7 AND t < s_suppkey % 7 + 2 THEN 0.0 ELSE 1.0 END::DOUBLE AS availability FROM supplier, (SELECT i * 0.5::DOUBLE AS t FROM range(21) r(i))""")
-def grid(spark, sf):
-    c = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 7).alias("outage_start"), (F.col("s_suppkey") % 7 + 2).alias("outage_end"))
-    return ad.availability_grid(c, 10.0, 0.5).select("s_suppkey", "t", "availability")
-
-
 @query("adaptive_scheduled_assignments", f"""WITH {BASE}, u AS (SELECT user_id, t, event_id, CASE WHEN event_type = 'signup' THEN value END AS rate, CASE WHEN event_type = 'purchase' THEN value / 2 END AS gain FROM base),
  l AS (SELECT b.user_id, b.event_id, b.event_type, last_value(u.rate IGNORE NULLS) OVER w AS rate, last_value(u.gain IGNORE NULLS) OVER w AS gain FROM base b JOIN u USING (user_id, event_id) WINDOW w AS (PARTITION BY b.user_id ORDER BY b.t, b.event_id))
 SELECT user_id, event_id, {q6('coalesce(rate, 1.0)')} AS rate, {q6('coalesce(gain, 0.5)')} AS gain FROM l WHERE event_type IN ('click', 'view', 'error')""")
@@ -92,7 +86,6 @@ def scheduled(spark, sf):
 @query("expression_functions", f"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {q6('least(greatest(l_quantity, 10), 20)')} AS clipped, {q6('ln(1 + exp(l_discount))')} AS soft, round_even(l_extendedprice / 1000, 0)::DOUBLE AS rounded,
  l_tax BETWEEN 0.02 AND 0.05 AND l_returnflag IN ('A', 'N') AS chosen, {q6('CASE WHEN l_quantity > 25 THEN tanh(l_discount) ELSE sqrt(l_tax) END')} AS branch, floor(l_extendedprice / 7)::BIGINT AS whole, {q6('l_quantity % 7')} AS rest FROM lineitem""")
 def functions(spark, sf):
-    ex.register(spark)
     li = table(spark, sf, "lineitem")
     e = lambda text: ex.checked(text, li.columns)
     return li.select(

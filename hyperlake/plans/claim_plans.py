@@ -26,12 +26,12 @@ S = "CASE WHEN {0} > eps THEN 1 WHEN {0} < -eps THEN -1 ELSE 0 END"
 CLAIMS = f"""{EFFECTS}, {ACT}, ens AS (SELECT estimand, regime, scenario, any_value(oracle_effect) AS oracle_effect, list(effect ORDER BY alpha) AS es FROM arm_errors GROUP BY ALL),
 signs AS (SELECT *, {S.format('oracle_effect')} AS oracle_sign, list_transform(es, lambda x: {S.format('x')}) AS ss FROM ens, (VALUES (0.0::DOUBLE), (0.02::DOUBLE)) t(eps)),
 claims AS (SELECT estimand, regime, scenario, eps, oracle_effect, oracle_sign, es, ss,
-  CASE WHEN oracle_sign = 0 THEN 'outcome_unknown' WHEN list_min(ss) <> list_max(ss) THEN 'hold_unresolved' WHEN list_max(ss) = 0 THEN 'reject'
+  CASE WHEN len(es) <> 4 THEN NULL WHEN oracle_sign = 0 THEN 'outcome_unknown' WHEN list_min(ss) <> list_max(ss) THEN 'hold_unresolved' WHEN list_max(ss) = 0 THEN 'reject'
        WHEN list_max(ss) = oracle_sign THEN 'admit' ELSE 'reject' END AS status,
-  CASE WHEN oracle_sign = 0 THEN 'oracle contrast not expressed' WHEN list_min(ss) <> list_max(ss) THEN 'residual signs disagree'
+  CASE WHEN len(es) <> 4 THEN NULL WHEN oracle_sign = 0 THEN 'oracle contrast not expressed' WHEN list_min(ss) <> list_max(ss) THEN 'residual signs disagree'
        WHEN list_max(ss) = 0 THEN 'ensemble silent while oracle expressed' WHEN list_max(ss) = oracle_sign THEN 'all hypotheses and oracle agree'
        ELSE 'ensemble agrees, disagrees with oracle' END AS notes,
-  oracle_sign <> 0 AS effect_expressed, list_max(es) - list_min(es) AS spread,
+  oracle_sign <> 0 AS effect_expressed, CASE WHEN len(es) = 4 THEN list_max(es) - list_min(es) END AS spread,
   (events <> 0 OR outages <> 0 OR handovers <> 0 OR reroutes <> 0) AS response_activation,
   (events <> 0 OR outages <> 0 OR handovers <> 0 OR reroutes <> 0) AND oracle_sign = 0 AS activation_without_effect
   FROM signs JOIN act USING (regime, scenario))"""

@@ -89,7 +89,7 @@ PAIRS = """tc AS (SELECT match_id, 'O:' || o AS ent, true AS w FROM m UNION ALL
 @query("rewrite_conflict_free_round", f"""WITH m AS (SELECT DISTINCT o_orderkey AS o, l_partkey AS p, lpad(l_partkey::VARCHAR, 12, '0') || ':' || lpad(o_orderkey::VARCHAR, 12, '0') AS match_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
  {PAIRS} SELECT match_id FROM m WHERE NOT EXISTS (SELECT 1 FROM tc JOIN b USING (ent) WHERE tc.match_id = m.match_id AND mn <> m.match_id)""")
 def conflict_round(spark, sf):
-    return rw.conflict_free_batch(_touch(spark, sf), max_rounds=1)
+    return rw.first_winners(_touch(spark, sf))
 
 
 def _touch(spark, sf):
@@ -160,14 +160,6 @@ def effects(spark, sf):
     return rw.boundary_effects(handles, c.select(vid("H", "c_custkey").alias("handle_id"), kind.alias("kind"), vid("N", "c_nationkey").alias("vertex_id")))
 
 
-@query("rewrite_transition_table", """WITH r AS (SELECT s_suppkey AS system, i AS position, 0.1 * (i + 1) AS fail, 0.2 + (s_suppkey % 5) / 10.0 AS repair FROM supplier, range(3) t(i)),
- st AS (SELECT r.*, s.state FROM r, range(8) s(state)) SELECT system, state::INT AS state, xor(state, (1 << position))::INT AS target, round(CASE WHEN state & (1 << position) <> 0 THEN fail ELSE repair END, 6)::DOUBLE AS rate FROM st""")
-def transitions(spark, sf):
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("system"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("position"))
-    r = s.withColumns({"fail": 0.1 * (F.col("position") + 1), "repair": 0.2 + (F.col("system") % 5) / 10.0})
-    return rw.transition_table(r).withColumn("rate", r6("rate"))
-
-
 @query("rewrite_rule_instances", """SELECT p_brand AS instance_id, count(*) AS matches FROM lineitem, (SELECT p_brand, min(p_size)::DOUBLE AS gain, any_value('A') AS flag FROM part GROUP BY 1) WHERE l_returnflag = 'R' AND gain <= 2 GROUP BY 1""")
 def instances(spark, sf):
     g = graph(spark, sf)
@@ -205,12 +197,6 @@ def payload(spark, sf):
     return rw.payload_violations(raw, {"load": gr.Attr("int", required=True, minimum=0)})
 
 
-@query("rewrite_disjoint_copies", "SELECT 'C:' || c_custkey || '#' || i AS vertex_id, i::INT AS copy FROM customer, range(3) r(i)")
-def copies(spark, sf):
-    return rw.disjoint_copies(table(spark, sf, "customer").select(vid("C", "c_custkey").alias("vertex_id")), 3, ["vertex_id"])
-
-
-
 @query("rewrite_occurrence_limits", f"WITH {OCC} SELECT 'cancel-line' AS rule_id, count(*) AS matches, round(sum(hazard), 2) + 0.0 AS activity, true AS exceeded FROM occ")
 def occurrence_limits(spark, sf):
     occ = rw.occurrences(graph(spark, sf), CANCEL)

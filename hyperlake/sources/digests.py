@@ -8,8 +8,6 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SMALL_BYTES = 64 * 1024 * 1024
-
 
 def checksum_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """name, sha256 and length of every file."""
@@ -17,27 +15,6 @@ def checksum_files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return df.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), "length")
 
 
-def concatenated_digest(spark: SparkSession, path: str | Sequence[str], names: bool = True, trailing_nul: bool = False) -> DataFrame:
-    """One sha256 over name, NUL, bytes (and NUL) of all files in name order.
-
-    The digest is one stream by definition, so the file set must be small: its
-    total size is checked against 64 MB first.  Use :func:`dataset_fingerprint`
-    for data.
-    """
-    df = spark.read.format("binaryFile").load(path)
-    total = df.agg(F.sum("length")).first()[0] or 0
-    if total > SMALL_BYTES:
-        raise ValueError(f"{total} bytes exceed the {SMALL_BYTES} byte limit of a single-stream digest")
-    name = F.element_at(F.split("path", "/"), -1)
-    nul = F.unhex(F.lit("00"))
-    parts = [F.encode(name, "UTF-8"), nul, F.col("content")] if names else [F.col("content")]
-    if trailing_nul:
-        parts.append(nul)
-    rows = df.select(name.alias("n"), F.hex(F.concat(*parts)).alias("h"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "h"))), lambda x: x["h"]), "")
-    return rows.agg(F.sha2(F.unhex(joined), 256).alias("sha256"))
-
-
 def row_digest(columns: Sequence[str]) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
 
@@ -70,8 +47,16 @@ def freeze_drift(frozen: DataFrame, current: DataFrame) -> DataFrame:
     return a.join(b, "item", "full_outer").filter(~F.col("frozen").eqNullSafe(F.col("current")))
 
 
+class FreezeDriftError(ValueError):
+    """Something changed after the freeze; ``drift`` is the table of all such items."""
+
+    def __init__(self, drift: DataFrame) -> None:
+        super().__init__("inputs or protocol differ from the frozen manifest; see the drift table")
+        self.drift = drift
+
+
 def require_freeze(frozen: DataFrame, current: DataFrame) -> None:
-    """Raise when anything drifted; a manifest holds a handful of rows."""
-    bad = [r["item"] for r in freeze_drift(frozen, current).limit(20).collect()]
-    if bad:
-        raise ValueError(f"inputs or protocol changed after the freeze: {bad}")
+    """Raise when anything drifted."""
+    drift = freeze_drift(frozen, current)
+    if not drift.isEmpty():
+        raise FreezeDriftError(drift)

@@ -19,17 +19,21 @@ REQUIRED = ("regime", "scenario", "replicate", "model", "policy", "trust", "goal
 
 
 def read_run_table(spark: SparkSession, path: str | Sequence[str], required: Sequence[str] = REQUIRED, schema: str = RUN_SCHEMA) -> DataFrame:
-    """CSV run table: header checked against ``required``, columns typed by name.
+    """CSV run table: header checked against ``required``, columns typed by name; ``problem`` names malformed values.
 
     Only the header lines are looked at on the driver; row order is left to
     whoever writes the result, see :func:`canonical_order`.
     """
-    raw = spark.read.option("header", True).csv(path)
+    # a file whose header differs from the first one's is refused, never read by position
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     missing = sorted(set(required) - set(raw.columns))
     if missing:
         raise ValueError(f"run table is missing columns: {missing}")
     types = dict(part.strip().split(" ") for part in schema.split(","))
-    return raw.select(*[F.expr(f"try_cast(`{c}` AS {types[c]})").alias(c) if c in types else F.col(c) for c in raw.columns])
+    typed = {c: F.col(c).try_cast(types[c]) for c in raw.columns if c in types}
+    lost = F.filter(F.array(*[F.when(F.col(c).isNotNull() & x.isNull(), F.lit(c)) for c, x in typed.items()]), lambda c: c.isNotNull())
+    problem = F.when(F.size(lost) > 0, F.concat(F.lit("malformed: "), F.array_join(lost, ", ")))
+    return raw.select(*[typed.get(c, F.col(c)).alias(c) for c in raw.columns], problem.alias("problem"))
 
 
 def canonical_order(df: DataFrame) -> DataFrame:
@@ -49,7 +53,8 @@ def dedup_keep_last(df: DataFrame, keys: Sequence[str], shard: str) -> DataFrame
     reduced before the shuffle.
     """
     rest = [c for c in df.columns if c not in keys and c != shard]
-    got = df.groupBy(*keys).agg(F.max_by(F.struct(shard, *rest), shard).alias("_r"))
+    # of two rows of one shard the larger one counts, so the choice does not depend on their order
+    got = df.groupBy(*keys).agg(F.max(F.struct(shard, *rest)).alias("_r"))
     return got.select(*keys, "_r.*").select(*df.columns)
 
 
@@ -89,7 +94,7 @@ def design_audit(df: DataFrame) -> DataFrame:
         F.sum("_c").alias("rows"), (F.sum("_c") - F.count(F.lit(1))).alias("duplicate_arm_keys"),
         F.sum("_e").alias("accepted_events"), F.sum("_t").alias("thinning_rejections"), F.lit(1).alias("_k"),
     )
-    levels = df.agg(*[F.size(F.collect_set(c)).cast("long").alias(f"{c}s" if c != "policy" else "policies") for c in ("regime", "model", "policy")], F.lit(1).alias("_k"))
+    levels = df.agg(*[F.count_distinct(c).alias(f"{c}s" if c != "policy" else "policies") for c in ("regime", "model", "policy")], F.lit(1).alias("_k"))
     # distinct hashes are counted by a shuffle, not gathered
     hashes = df.select("final_hash").distinct().agg(F.count(F.lit(1)).alias("unique_state_hashes"), F.lit(1).alias("_k"))
     return totals.join(levels, "_k").join(hashes, "_k").drop("_k")

@@ -46,8 +46,8 @@ _SCALAR = r'("(?:[^"\\]|\\.)*"|-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)
 
 
 def numeric_or_null(text: Column) -> Column:
-    """Finite number or null."""
-    x = text.try_cast("double")
+    """Finite number or null; a truth value is 1 or 0."""
+    x = F.when(text == "true", F.lit(1.0)).when(text == "false", F.lit(0.0)).otherwise(text.try_cast("double"))
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
 
 
@@ -55,11 +55,6 @@ def percent_to_fraction(x: Column) -> Column:
     return F.when(x > 1, x / 100).otherwise(x)
 
 
-def first_numeric(items: Column) -> Column:
-    """First element of a list as a finite number."""
-    return numeric_or_null(F.get(items, F.lit(0)))
-
-
 def _scan_keys(line: Column) -> tuple[Column, Column]:
     """All keys with scalar values at any depth and those values, latest first."""
     pattern = r'"((?:[^"\\]|\\.)*)"\s*:\s*' + _SCALAR

@@ -184,12 +184,3 @@ def test_round_trip_and_validation(spark):
     back = from_tables(CAT, g.vertex_tables, plain, g.incidences())
     for t, d in g.edge_tables.items():
         assert sorted(map(str, back.edge_tables[t].select(*d.columns).collect())) == sorted(map(str, d.collect()))
-
-
-def test_law_table(spark):
-    routes = spark.createDataFrame([("s", 0, 0.2, 0.8), ("s", 1, 0.5, 0.5), ("s", 2, 0.1, 0.4)], "system STRING, position INT, fail DOUBLE, repair DOUBLE")
-    table = rw.transition_table(routes)
-    assert table.count() == 24
-    # routes 0 and 2 up, 1 down: state 0b101
-    got = {r["target"]: round(r["rate"], 6) for r in table.filter("state = 5").collect()}
-    assert got == {4: 0.2, 7: 0.5, 1: 0.1}
