@@ -100,7 +100,7 @@ def fit_ema_alpha(df: DataFrame, keys: Sequence[str], order: Sequence[str], valu
     a long series is spread over the alphas as well as over its chunks.
     """
     keys = list(keys)
-    rows = df.select(*keys, *order, F.col(value).cast("double").alias("_y"))
+    rows = ordered.measured(df.select(*keys, *order, F.col(value).cast("double").alias("_y")), keys, order)
     rows = ordered.scan(rows, keys, order, {"_i": rnumber()})
     each = rows.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in grid])))
     each = each.withColumns({
@@ -130,7 +130,8 @@ def cusum_outage(df: DataFrame, keys: Sequence[str], order: Sequence[str], value
     prefix scans and one maximum.
     """
     keys = list(keys)
-    rows = ordered.scan(df.select(*keys, *order, F.col(value).cast("double").alias("_x")), keys, order, {"_i": rnumber()})
+    rows = ordered.measured(df.select(*keys, *order, F.col(value).cast("double").alias("_x")), keys, order)
+    rows = ordered.scan(rows, keys, order, {"_i": rnumber()})
     n = rows.groupBy(*keys).agg(F.max("_i").alias("_n"), F.max_by("_x", "_i").alias("last"))
     rows = rows.join(n, keys)
     half = F.greatest(F.lit(1), F.floor(F.col("_n") / 2))

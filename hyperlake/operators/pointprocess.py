@@ -51,13 +51,17 @@ def build_intervals(obs: DataFrame, events: DataFrame, marks: Sequence[str], hor
     o = obs.select(*keys, "t", F.lit(0).alias("_o"), F.lit(None).cast("string").alias("mark"))
     e = events.select(*keys, "t", F.lit(1).alias("_o"), "mark")
     # several observations or events at one instant keep their kind order
-    got = ordered.scan(o.unionByName(e), keys, ["t", "_o"], {"_i": rsum(F.when(F.col("_o") == 0, 1).otherwise(0))})
+    both = ordered.measured(o.unionByName(e), keys, ["t", "_o"])
+    got = ordered.scan(both, keys, ["t", "_o"], {"_i": rsum(F.when(F.col("_o") == 0, 1).otherwise(0))})
     per = got.filter("_i > 0").groupBy(*keys, (F.col("_i") - 1).alias("i")).agg(
         F.min(F.when(F.col("_o") == 0, F.col("t"))).alias("t"), *[F.count_if(F.col("mark") == m).alias(f"n_{m}") for m in marks]
     )
+    if ordered.WHOLE in both.columns:
+        # a key has no more intervals than observations and events
+        per = per.withColumn(ordered.WHOLE, F.lit(True))
     nxt = ordered.scan(per, keys, ["t"], {"_next": rlead("t", float(horizon))})
     nxt = nxt.withColumn("dt", F.col("_next") - F.col("t")).drop("_next")
-    return lag_features(nxt, marks, keys)
+    return ordered.unmarked(lag_features(nxt, marks, keys))
 
 
 def lag_features(intervals: DataFrame, marks: Sequence[str], keys: Sequence[str] = TRACE) -> DataFrame:

@@ -8,6 +8,7 @@ ordered operator of the library goes through :func:`split_hot` and
 * ``split_hot`` measures the largest group with one map-side-combined count.  If
   it fits ``rows_per_chunk`` nothing changes and plain windows are used.
   Otherwise rows of the hot keys get an order-preserving ``_chunk`` number.
+  Operators with several scans measure once (``measured``) and pass the answer on.
 * ``running`` evaluates its scans inside ``(key, _chunk)`` and adds the carry of
   the preceding chunks, which comes from one small summary row per chunk.
 
@@ -26,11 +27,9 @@ from pyspark.sql import functions as F
 from .session import cut
 
 CHUNK = "_chunk"
+WHOLE = "_whole"
 ALL = "_all"
 ROWS_PER_CHUNK = 1_000_000
-# a round cuts a slice into at most FANOUT parts; the rounds fit one BIGINT chunk number
-FANOUT = 4096
-SPLIT_ROUNDS = 5
 
 
 def rows_per_chunk(df: DataFrame) -> int:
@@ -38,59 +37,50 @@ def rows_per_chunk(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("hyperlake.rowsPerChunk", str(ROWS_PER_CHUNK)))
 
 
-def _number(df: DataFrame, col: str) -> Column:
-    kind = dict(df.dtypes)[col]
-    if kind.startswith("timestamp"):
-        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
-    if kind == "date":
-        return F.unix_date(F.col(col)).cast("double")
-    if kind == "string":
-        # the first bytes of a string order it coarsely but correctly
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(col), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return F.col(col).cast("double")
-
-
 def split_hot(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], limit: int | None = None) -> DataFrame:
     """Add ``_chunk`` when some key exceeds ``limit`` rows, else return ``df``.
 
-    A hot key is cut into equal slices of its own order range.  Slices that are
-    still too large are cut again: by the first order column while it varies, by
-    the second where all rows share one value of the first.  So clustered times
-    and a single crowded instant are split too, and chunk numbers keep the order.
+    Rows of hot keys are range-partitioned by the keys and the whole order tuple, and
+    the number of the range is the chunk.  So clustered times, long common prefixes and
+    ties in the first columns are split alike; only rows that tie in every order column
+    stay together.  All other rows share chunk 0.
     """
-    if CHUNK in df.columns:
+    if CHUNK in df.columns or WHOLE in df.columns:
         return df
     limit = limit or rows_per_chunk(df)
     keys = list(keys)
     order = [order] if isinstance(order, str) else list(order)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.agg(F.max("n")).first()[0] or 0
-    if largest <= limit:
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    over = F.when(F.col("_n") > limit, F.col("_n"))
+    hot_rows = counts.agg(F.sum(over)).first()[0]
+    if not hot_rows:
         return df
-    # read once per round below, so it is written first
-    out = cut(df).withColumn(CHUNK, F.lit(0).cast("long"))
-    first = order[0]
-    second = order[1] if len(order) > 1 else first
-    pos = [_number(out, first), _number(out, second)]
-    for _ in range(SPLIT_ROUNDS):
-        stats = out.groupBy(*keys, CHUNK).agg(
-            F.count(F.lit(1)).alias("_n"), F.min(pos[0]).alias("_lo0"), F.max(pos[0]).alias("_hi0"), F.min(pos[1]).alias("_lo1"), F.max(pos[1]).alias("_hi1"),
-            (F.min(first) == F.max(first)).alias("_same"),
-        )
-        by0, by1 = F.col("_lo0") < F.col("_hi0"), F.col("_same") & (F.col("_lo1") < F.col("_hi1"))
-        hot = stats.filter((F.col("_n") > limit) & (by0 | by1)).select(
-            *keys, CHUNK, by0.alias("_by0"), F.when(by0, F.col("_lo0")).otherwise(F.col("_lo1")).alias("_lo"),
-            F.when(by0, F.col("_hi0")).otherwise(F.col("_hi1")).alias("_hi"), F.least(F.ceil(F.col("_n") / limit) * 4, F.lit(FANOUT)).alias("_parts"),
-        )
-        # slices over the limit: at most rows / limit of them
-        hot = cut(hot)
-        if hot.isEmpty():
-            break
-        p = F.when(F.col("_by0"), pos[0]).otherwise(pos[1])
-        sub = F.least(F.floor((p - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_parts")), F.col("_parts") - 1)
-        out = out.join(hot, [*keys, CHUNK], "left").withColumn(CHUNK, (F.col(CHUNK) * FANOUT + F.coalesce(sub, F.lit(0))).cast("long"))
-        out = out.drop("_by0", "_lo", "_hi", "_parts")
-    return out
+    # written first: it is sampled for the ranges and read for both parts
+    rows = cut(df)
+    parts = 2 * -(-hot_rows // limit)
+    hot = cold = rows
+    if keys:
+        marks = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+        on = None
+        for k in keys:
+            hit = F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
+            on = hit if on is None else on & hit
+        hot, cold = rows.join(marks, on, "left_semi"), rows.join(marks, on, "left_anti")
+    ranged = hot.repartitionByRange(int(parts), *keys, *order).withColumn(CHUNK, F.spark_partition_id().cast("long") + 1)
+    return cut(ranged.unionByName(cold.withColumn(CHUNK, F.lit(0).cast("long"))) if keys else ranged)
+
+
+def measured(df: DataFrame, keys: Sequence[str], order: str | Sequence[str]) -> DataFrame:
+    """``df`` measured once for several scans: with ``_chunk`` where a key is hot, else with a mark that none is.
+
+    The column stays through :func:`scan`; whoever measured drops it (see :func:`unmarked`).
+    """
+    out = split_hot(df, keys, order)
+    return out if CHUNK in out.columns or WHOLE in out.columns else out.withColumn(WHOLE, F.lit(True))
+
+
+def unmarked(df: DataFrame) -> DataFrame:
+    return df.drop(CHUNK, WHOLE)
 
 
 @dataclass(frozen=True)
@@ -247,7 +237,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: Map
 
 def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: Mapping[str, Scan]) -> DataFrame:
     """``split_hot`` + ``running`` without leaving ``_chunk`` behind."""
-    had = CHUNK in df.columns
+    had = CHUNK in df.columns or WHOLE in df.columns
     out = running(split_hot(df, keys, order), keys, order, scans)
     return out if had else out.drop(CHUNK)
 
@@ -271,9 +261,10 @@ def quantiles(
     """
     keys = list(keys)
     clean = df.filter(F.col(value).isNotNull())
-    counts = clean.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    # written once: measured, scanned and summed from here, so the source is read once
+    counts = cut(clean.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
     cum = scan(counts, keys, [value], {"_before": rsum("_n", inclusive=False)})
-    sizes = clean.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     if keys:
         placed = cum.join(sizes, keys)
     else:

@@ -61,6 +61,13 @@ def closure(spark, sf):
     return gr.subtype_closure(e)
 
 
+@query("graph_subtype_closure_deep", """WITH c AS (SELECT c_custkey AS k, c_custkey // 150 AS g FROM customer) SELECT a.k AS type_id, b.k AS ancestor FROM c a JOIN c b ON a.g = b.g AND b.k <= a.k""")
+def deep_closure(spark, sf):
+    """Chains of up to 150 types."""
+    k = F.col("c_custkey")
+    return gr.subtype_closure(table(spark, sf, "customer").select(k.alias("type_id"), F.when(k % 150 != 0, k - 1).otherwise(k).alias("parent")))
+
+
 @query("graph_validate", """SELECT 'O:' || o_orderkey AS entity_id, 'not_a_choice' AS code, 'status' AS detail FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
  UNION ALL SELECT 'P:' || p_partkey, 'above_maximum', 'size' FROM part WHERE p_size > 48
  UNION ALL SELECT 'P:' || p_partkey, 'invariant', 'price > size + 900' FROM part WHERE NOT p_retailprice > p_size + 900
