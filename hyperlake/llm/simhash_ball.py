@@ -10,6 +10,8 @@ near copies with one fingerprint were collapsed before.
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -89,6 +91,13 @@ def fingerprint_links(fps: DataFrame, bits: int = 2) -> DataFrame:
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
 
 
+def _grouped(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    grouped = components(links).withColumnRenamed("node", "fp")
+    whole = cut(nodes.join(grouped, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    smallest = whole.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    return rows.join(whole.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
 def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, bits: int = 2) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``: the smallest ``doc_id`` reachable over links.
 
@@ -98,14 +107,81 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = cut(fingerprints(docs, doc_id, text, words))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    grouped = components(fingerprint_links(nodes, bits)).withColumnRenamed("node", "fp")
-    whole = cut(nodes.join(grouped, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    smallest = whole.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    return rows.join(whole.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return _grouped(rows, nodes, fingerprint_links(nodes, bits))
+
+
+# --- by similarity -----------------------------------------------------------
+
+
+def likely_bits(similarity: float, deviations: float = 3.0) -> int:
+    """How many of 64 bits differ between two sets of this Jaccard similarity, with a margin of standard deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(64 * share + deviations * math.sqrt(64 * share * (1 - share)))
+
+
+def projected_links(fps: DataFrame, similarity: float, tables: int = 8, spare: int = 6, seed: int = 9) -> DataFrame:
+    """``a, b``: pairs of distinct fingerprints that may belong to texts of this similarity.
+
+    Two fingerprints of similar texts differ in more bits than a ball over all 64 can bridge.  So the balls of radius
+    one are taken over ``tables`` random choices of fewer bits: ``spare`` more than the logarithm of the number of
+    fingerprints, so that a variant meets less than one stranger on average, whatever the size of the table.  In a bucket
+    each fingerprint is paired with its neighbour in order, so a crowded one makes a chain, not all pairs; pairs that
+    differ in too many of the 64 bits are dropped.
+    """
+    width = min(64, math.ceil(math.log2(max(fps.count(), 2))) + spare)
+    rng = random.Random(seed)
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    entries = []
+    for k in range(tables):
+        chosen = rng.sample(range(64), width)
+        mask = sum(1 << b for b in chosen)
+        entries += [F.struct(F.lit(k).alias("k"), F.lit(signed(mask)).alias("mask"), F.lit(signed(flip)).alias("flip")) for flip in (0, *(1 << b for b in chosen))]
+    variants = fps.select("fp").distinct().withColumn("e", F.explode(F.array(*entries)))
+    variants = variants.select("fp", "e.k", F.col("fp").bitwiseAND(F.col("e.mask")).bitwiseXOR(F.col("e.flip")).alias("variant"))
+    pairs = variants.select("fp", F.lag("fp").over(Window.partitionBy("k", "variant").orderBy("fp")).alias("b")).filter("b is not null")
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= likely_bits(similarity)
+    return pairs.filter(near).select(F.col("fp").alias("a"), "b").distinct()
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Distinct hashes of all shingles of a whole text."""
+    parts = (text or "").encode("utf-8", "replace").lower().split()
+    shingles = [b" ".join(parts[k : k + words]) for k in range(max(len(parts) - words + 1, 1 if parts else 0))]
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) & 0xFFFFFFFF for s in shingles], dtype=np.uint32).view(np.int32))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, doc_id: str, text: str, words: int) -> DataFrame:
+    """The pairs whose texts have at least this Jaccard similarity of shingle sets; only texts in pairs are read again."""
+
+    @F.pandas_udf("fp long, shingles array<int>")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"fp": [fingerprint_of(t, words) for t in texts], "shingles": [shingle_set(t, words) for t in texts]}, columns=["fp", "shingles"])
+
+    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes, "fp")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(ends, F.col("doc_id") == F.col("first_doc"))
+    # an id may repeat with another text
+    sets = rows.select("fp", both("text").alias("e")).filter(F.col("e.fp") == F.col("fp")).select("fp", "e.shingles").dropDuplicates(["fp"])
+    sets = cut(sets)
+    joined = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return joined.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 8) -> DataFrame:
+    """``doc_id, fp, component_id`` like :func:`simhash_groups`, for texts of at least ``similarity``.
+
+    Texts with one fingerprint link.  Other candidates come from :func:`projected_links` and link when the Jaccard
+    similarity of their sets of shingles of ``words`` words is at least ``similarity``; no pair below it links.  The
+    candidates are approximate: a pair near the bound is found with a likelihood that grows with ``tables``.
+    """
+    rows = cut(fingerprints(docs, doc_id, text, words))
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
+    pairs = cut(projected_links(nodes, similarity, tables))
+    return _grouped(rows, nodes, verified(pairs, docs, nodes, similarity, doc_id, text, words))
 
 
-def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the smallest of its group, with all their columns."""
+def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is the smallest of its group of similar texts, with all their columns."""
     mark, = fresh(docs, "_first_doc")
-    firsts = simhash_groups(docs, doc_id, text, words, bits).select(F.col("component_id").alias(mark)).distinct()
+    firsts = similar_groups(docs, doc_id, text, words, similarity).select(F.col("component_id").alias(mark)).distinct()
     return docs.join(firsts, docs[doc_id].eqNullSafe(firsts[mark]), "left_semi")
