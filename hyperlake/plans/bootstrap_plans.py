@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import bootstrap as boot
@@ -189,6 +191,26 @@ def ablation(spark, sf):
     return rounded(got.select("estimand", "regime", "model", *cols), cols)
 
 
-@query("bootstrap_poisson_weights")
+def poisson_sql(source: str, value: str, cell: list[str], order: list[str], draws: int = B, seed: int = SEED) -> str:
+    """CTE draws with hashed Poisson(1) weights: how many cumulative probabilities the hashed unit reaches."""
+    cum, p, bounds = 0.0, math.exp(-1), []
+    for k in range(1, 12):
+        cum += p
+        bounds.append(cum)
+        p /= k
+    ident = ", ".join(f"{c}::VARCHAR" for c in [*cell, *order])
+    weight = " + ".join(f"(u >= {b!r}::DOUBLE)::INT" for b in bounds)
+    keys = ", ".join(cell)
+    return f"""draws AS (SELECT {keys}, draw, sum(w * v) / sum(w) AS draw_mean FROM (SELECT {keys}, draw, v, {weight} AS w FROM (
+    SELECT {keys}, draw, {value} AS v, ('0x' || substr(md5(concat_ws('|', {seed}, draw, {ident})), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+    FROM {source}, range({draws}) d(draw) WHERE {value} IS NOT NULL)) GROUP BY {keys}, draw)"""
+
+
+POOLED = ["estimand", "alpha"]
+
+
+@query("bootstrap_poisson_weights", f"""WITH {EFFECTS}, {poisson_sql('arm_errors', 'abs_error', POOLED, ['regime', 'scenario'])}
+SELECT estimand, alpha, {q6('mean')} AS mean, {q6('lo')} AS lo, {q6('hi')} AS hi, n
+FROM (SELECT estimand, alpha, avg(abs_error) AS mean, count(*) AS n FROM arm_errors GROUP BY ALL) JOIN ({interval_sql(POOLED)}) USING (estimand, alpha)""")
 def poisson(spark, sf):
     return rounded(boot.bootstrap_mean(errors(spark, sf), "abs_error", ["estimand", "alpha"], ["regime", "scenario"], B, SEED, method="poisson"))

@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", app: str = "hyperlake", memory: str = "12g") -> SparkSession:
-    """A session for tests and the bench; a cluster brings its own."""
+def local_session(cores: int | str = "*", app: str = "hyperlake", memory: str = "12g", shared: str | None = None) -> SparkSession:
+    """A session for tests and the bench with its folder for cuts; a cluster brings its own."""
+    shared = shared or tempfile.mkdtemp(prefix="hyperlake-")
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -22,6 +23,7 @@ def local_session(cores: int | str = "*", app: str = "hyperlake", memory: str =
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.dataFrameQueryContext.enabled", "false")
+        .config("spark.checkpoint.dir", shared)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -22,11 +22,15 @@ from ..operators.adaptive import CUSUM_H, CUSUM_K, DROP_THRESHOLD, EMA_ALPHA, UP
 Step = Callable[[tuple, object], tuple[tuple, tuple | None]]
 
 
-def fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], output: str, state: str, initial: tuple, step: Step) -> DataFrame:
+def fold(
+    stream: DataFrame, keys: Sequence[str], order: Sequence[str], output: str, state: str, initial: tuple, step: Step,
+    load: Callable[[tuple], tuple] = tuple, dump: Callable[[tuple], tuple] = tuple,
+) -> DataFrame:
     """Apply ``step(state, row) -> (state, output or None)`` to every row of a key in order.
 
     ``output`` and ``state`` are DDL schemas; the key columns are put in front of
-    the output.
+    the output.  ``load`` and ``dump`` turn the stored state into the one ``step``
+    works on and back, once for each key and micro-batch, not for each row.
     """
     keys, order = list(keys), list(order)
     types = dict(stream.dtypes)
@@ -34,38 +38,45 @@ def fold(stream: DataFrame, keys: Sequence[str], order: Sequence[str], output: s
     names = [c.strip().split(" ")[0] for c in output.split(",")]
 
     def run(key: tuple, frames, group: GroupState):
-        current = group.get if group.exists else initial
+        current = load(tuple(group.get if group.exists else initial))
         rows = []
         batch = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable")
         for row in batch.itertuples(index=False):
-            current, out = step(tuple(current), row)
+            current, out = step(current, row)
             if out is not None:
                 rows.append((*key, *out))
-        group.update(tuple(current))
+        group.update(dump(current))
         yield pd.DataFrame(rows, columns=[*keys, *names])
 
     return stream.groupBy(*keys).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def ordered_ingest(stream: DataFrame, keys: Sequence[str] = ("run_id",), keep_seconds: float = 3600.0) -> DataFrame:
+def ordered_ingest(stream: DataFrame, keys: Sequence[str] = ("run_id",), keep_seconds: float | None = None) -> DataFrame:
     """accepted, late or duplicate for every event of a run.
 
-    An event earlier than the run's current time is late; an id seen within
-    ``keep_seconds`` of the current time is a duplicate, which bounds the state.
-    Needs t, namespace, sequence, event_id.
+    An event earlier than the run's current time is late; an id accepted before is a
+    duplicate, however long ago.  The state of a run is its clock and its accepted ids;
+    ``keep_seconds`` is an explicit choice to forget ids that are older than that and
+    to take them as new again.  Needs t, namespace, sequence, event_id.
     """
     def step(s: tuple, r) -> tuple:
-        last, ids = s[0], json.loads(s[1])
+        last, ids = s
         ident = str(r.event_id)
-        if ident in ids:
+        if ident in ids and (keep_seconds is None or ids[ident] >= r.t - keep_seconds):
             return s, (ident, float(r.t), "duplicate")
         if r.t < last:
             return s, (ident, float(r.t), "late")
-        ids = {i: t for i, t in ids.items() if t >= r.t - keep_seconds}
         ids[ident] = float(r.t)
-        return (float(r.t), json.dumps(ids)), (ident, float(r.t), "accepted")
+        return (float(r.t), ids), (ident, float(r.t), "accepted")
 
-    return fold(stream, keys, ["t", "namespace", "sequence"], "event_id STRING, t DOUBLE, status STRING", "last DOUBLE, ids STRING", (-math.inf, "{}"), step)
+    def dump(s: tuple) -> tuple:
+        kept = s[1] if keep_seconds is None else {i: t for i, t in s[1].items() if t >= s[0] - keep_seconds}
+        return s[0], json.dumps(kept)
+
+    return fold(
+        stream, keys, ["t", "namespace", "sequence"], "event_id STRING, t DOUBLE, status STRING", "last DOUBLE, ids STRING", (-math.inf, "{}"), step,
+        lambda s: (s[0], json.loads(s[1])), dump,
+    )
 
 
 def handle_state(stream: DataFrame, immutable: Sequence[str] = (), keys: Sequence[str] = ("handle_id",)) -> DataFrame:
@@ -130,13 +141,15 @@ def outage(stream: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     the series of a key is its state; inputs are expected per cell and study.
     """
     def step(s: tuple, r) -> tuple:
-        series, was = json.loads(s[0]), s[1]
+        series, was = s
         series.append(float(getattr(r, value)))
         now = infer_outage(series)
-        new = (json.dumps(series), "up" if now else "down")
-        return new, ((float(getattr(r, order[0])), now) if new[1] != was else None)
+        state = "up" if now else "down"
+        return (series, state), ((float(getattr(r, order[0])), now) if state != was else None)
 
-    return fold(stream, keys, order, "t DOUBLE, available BOOLEAN", "series STRING, was STRING", ("[]", ""), step)
+    return fold(
+        stream, keys, order, "t DOUBLE, available BOOLEAN", "series STRING, was STRING", ("[]", ""), step, lambda s: (json.loads(s[0]), s[1]), lambda s: (json.dumps(s[0]), s[1]),
+    )
 
 
 def inventory(stream: DataFrame, keys: Sequence[str] = ("sku",), order: Sequence[str] = ("t", "event_id")) -> DataFrame:

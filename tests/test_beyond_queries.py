@@ -137,3 +137,31 @@ def test_a_cluster_needs_a_named_folder(spark):
         session.shared_dir(Elsewhere)
     named = type("N", (), {"conf": type("C", (), {"get": staticmethod(lambda k, d=None: "hdfs:///shared/")}), "sparkContext": Elsewhere.sparkContext})
     assert session.shared_dir(named) == "hdfs:///shared/hyperlake-a"
+
+
+def test_streams_remember_ids_and_see_late_events(spark, tmp_path):
+    from hyperlake.streaming import stateful as st
+
+    def drained(name, batches, run):
+        schema = "run_id STRING, event_id STRING, t DOUBLE, namespace INT, sequence INT, x DOUBLE"
+        for k, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+            st.drain(run(spark.readStream.schema(schema).parquet(str(tmp_path / name))), str(tmp_path / f"{name}-out"))
+        return spark.read.parquet(str(tmp_path / f"{name}-out" / "rows"))
+
+    event = lambda e, t: ("r", e, t, 0, 0, 0.0)
+    got = drained("ingest", [[event("e1", 0.0), event("e2", 5000.0)], [event("e1", 6000.0), event("e3", 4000.0)], [event("e3", 7000.0)]], st.ordered_ingest)
+    assert sorted((r["event_id"], r["t"], r["status"]) for r in got.collect()) == [
+        ("e1", 0.0, "accepted"), ("e1", 6000.0, "duplicate"), ("e2", 5000.0, "accepted"), ("e3", 4000.0, "late"), ("e3", 7000.0, "accepted"),
+    ]
+    # values between the bounds, so that the running sum of drops decides
+    values = [0.98] * 6 + [0.6] * 12 + [0.98] + [0.6] * 4
+    rows = [("r", f"e{k}", float(k), 0, k, v) for k, v in enumerate(values)]
+    moves = drained("outage", [rows[:9], rows[9:]], lambda s: st.outage(s, ["run_id"], ["t"], "x")).collect()
+    want, was = [], None
+    for k in range(len(values)):
+        now = st.infer_outage(values[: k + 1])
+        if now != was:
+            want.append((float(k), now))
+        was = now
+    assert sorted((r["t"], r["available"]) for r in moves) == want and len(want) > 1
