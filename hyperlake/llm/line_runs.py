@@ -34,25 +34,27 @@ class LineRuns:
         self.levels: list[list[str]] = [[]]
         self.names: list[str] = []
 
+    def _path(self, name: str) -> str:
+        return f"{shared_dir(self.spark)}/{name}"
+
     def _write(self, counted: DataFrame) -> str:
         name = f"hyperlake_line_run_{uuid.uuid4().hex}"
         sorted_run = counted.repartition(self.buckets, *HASHES).write.bucketBy(self.buckets, *HASHES).sortBy(*HASHES)
-        sorted_run.option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
+        sorted_run.option("path", self._path(name)).saveAsTable(name)
         self.names.append(name)
         return name
 
     def _merged(self, runs: list[str]) -> DataFrame:
-        whole = self.spark.table(runs[0])
-        for run in runs[1:]:
-            whole = whole.unionByName(self.spark.table(run))
-        return whole.groupBy(*HASHES).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+        # Spark takes a union of bucketed scans for partitioned, but reads their buckets one after the other: counts of
+        # one line would not meet.  So runs are merged from their files, without the buckets.
+        files = self.spark.read.schema(self.spark.table(runs[0]).schema).parquet(*[self._path(run) for run in runs])
+        return files.groupBy(*HASHES).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch: ``h1, h2, doc_id``, each line once for each document that has it."""
         counted = lines.groupBy(*HASHES).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
         runs = [run for level in self.levels for run in level]
-        if runs:
-            counted = counted.repartition(self.buckets, *HASHES)
+        counted = counted.repartition(self.buckets, *HASHES)
         for run in runs:
             counted = counted.join(self.spark.table(run).filter(F.col("n_docs") >= self.min_docs), HASHES, "left_anti")
         self.levels[0].append(self._write(counted))
