@@ -1,22 +1,20 @@
 """Language identification: averaged hashed subword embeddings and a linear softmax.
 
-A word is its letters in lower case between ``<`` and ``>``; its subwords are all its
-character n-grams and the word itself, each hashed to one of ``2 ** bits`` rows of an
-embedding table.  A document is the average of all its subwords' embeddings.  Both the
-table and the softmax layer are trained in numpy by stochastic gradient descent on a
-bounded sample of labelled documents and on short passages of them.  A part of the
-sample that is not trained on calibrates the temperature and the rejection threshold.
-
-Since the layer is linear, a word's share of the logits is a fixed vector; workers
-remember it per word, so scoring costs a table look-up per word.
+A word is a run of letters in lower case between two marks; its subwords are all its
+byte n-grams, each hashed to one of ``2 ** bits`` rows of an embedding table.  A
+document is the average of all its subwords' embeddings.  Both the table and the
+softmax layer are trained in numpy by stochastic gradient descent on a bounded sample
+of labelled documents and on short passages of them.  A part of the sample that is not
+trained on calibrates the temperature and the rejection threshold.
+
+Since the layer is linear, the logits of a document are the average of its subwords'
+logits; workers get the product of table and layer, one row for each bucket.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -24,10 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, held_out
-from .words import WordVectors, fit_temperature, sample_per_label, softmax
+from .words import fit_temperature, sample_per_label, softmax, subword_buckets
 
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
@@ -40,47 +37,38 @@ class LanguageModel:
     temperature: float
     threshold: float
     bits: int
-    grams: tuple[int, int]
+    longest: int
 
 
-def subwords(word: str, bits: int, grams: tuple[int, int]) -> list[int]:
-    """Bucket of every n-gram of ``<word>`` with ``grams[0] <= n <= grams[1]``, and of the whole."""
-    mask, whole = (1 << bits) - 1, f"<{word}>"
-    out = [crc32(whole.encode("utf-8", "replace")) & mask]
-    for n in range(grams[0], grams[1] + 1):
-        out += [crc32(whole[k : k + n].encode("utf-8", "replace")) & mask for k in range(len(whole) - n + 1)]
-    return out
+def has_letter(text: str | None) -> bool:
+    return any(map(str.isalpha, text)) if text else False
 
 
-def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
-
-
-def _bag(words: list[str], known: dict[str, list[int]], bits: int, grams: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    ids: list[int] = []
-    for w in words:
-        if w not in known:
-            known[w] = subwords(w, bits, grams)
-        ids += known[w]
-    rows, counts = np.unique(np.array(ids, dtype=np.int64), return_counts=True)
+def _bag(text: str, bits: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets and the share of each."""
+    ids = np.concatenate([np.zeros(0, dtype=np.int64), *subword_buckets(text, bits, longest)])
+    rows, counts = np.unique(ids, return_counts=True)
     return rows, (counts / max(len(ids), 1)).astype(np.float32)
 
 
 def train(
-    texts: list[str], labels: list[str], bits: int = 16, dim: int = 16, grams: tuple[int, int] = (2, 4), epochs: int = 6, rate: float = 4.0, seed: int = 7,
+    texts: list[str], labels: list[str], bits: int = 15, dim: int = 16, longest: int = 4, epochs: int = 6, rate: float = 4.0, seed: int = 7,
     false_rejections: float = 0.001,
 ) -> LanguageModel | None:
     """Fit on texts with letters; every fifth calibrates instead.  Returns None when there is nothing to learn from."""
     rng = np.random.default_rng(seed)
     languages = tuple(sorted(set(labels)))
-    known: dict[str, list[int]] = {}
     bags, ys, fold, short = [], [], [], []
     for k, (text, label) in enumerate(zip(texts, labels, strict=True)):
-        if not (words := words_of(text)):
+        if not has_letter(text):
             continue
+        words = text.split()
         start, size = int(rng.integers(len(words))), int(rng.integers(3, 20))
-        for passage, is_short in ((words, False), (words[start : start + size], True)):
-            bags.append(_bag(passage, known, bits, grams))
+        for passage, is_short in ((text, False), (" ".join(words[start : start + size]), True)):
+            bag = _bag(passage, bits, longest)
+            if not len(bag[0]):
+                continue
+            bags.append(bag)
             ys.append(languages.index(label))
             fold.append(k % 5 == 4)
             short.append(is_short)
@@ -119,10 +107,10 @@ def train(
     right = (sure.argmax(axis=1) == y[test]) & ~short[test]
     # as strict as keeping all but a small share of what it gets right allows, and never stricter than an even bet
     threshold = min(0.5, float(np.quantile(sure.max(axis=1)[right], false_rejections))) if right.any() else 0.0
-    return LanguageModel(languages, logits, bias, temperature, threshold, bits, grams)
+    return LanguageModel(languages, logits.astype(np.float32), bias, temperature, threshold, bits, longest)
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 800, **options) -> LanguageModel | None:
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 600, **options) -> LanguageModel | None:
     """Train on at most ``per_language`` documents of each language, none of them held out.
 
     Only the text and the label of documents with both are used.  The sample is bounded by the number of languages,
@@ -138,17 +126,17 @@ def scorer(model: LanguageModel | None):
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if model is not None:
-            known = WordVectors(lambda w: (lambda r: np.append(model.logits[r].sum(axis=0), len(r)))(subwords(w, model.bits, model.grams)), len(model.languages) + 1)
         for texts in batches:
             out = []
             for text in texts:
-                words = words_of(text) if text and model is not None else []
-                if not words:
+                if model is None or not has_letter(text):
                     out.append((UNKNOWN, 0.0, True))
                     continue
-                total = sum(block.sum(axis=0, dtype=np.float64) for block in known.blocks(words))
-                sure = softmax((total[:-1] / total[-1] + model.bias) / model.temperature)
+                total, many = np.zeros(len(model.languages)), 0
+                for buckets in subword_buckets(text, model.bits, model.longest):
+                    total += model.logits[buckets].sum(axis=0, dtype=np.float64)
+                    many += len(buckets)
+                sure = softmax((total / max(many, 1) + model.bias) / model.temperature)
                 best = int(sure.argmax())
                 out.append((model.languages[best], float(sure[best]), bool(sure[best] < model.threshold)))
             yield pd.DataFrame(out, columns=["lang_pred", "score", "rejected"])
