@@ -27,16 +27,27 @@ from .common import cut
 #: distinct words a Python worker remembers, and the longest such word
 KEPT_WORDS, LONGEST = 300_000, 200
 BLANK = re.compile(r"[ \t\n\x0b\x0c\r]+")
-SEPARATORS = re.compile("[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Latin letters, then punctuation that no special token has
+SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([.,;:!?#$%&*()\"-]*)")
 BUCKETS, DIMS, ORDER = 256, 3, 16
 
 
+def byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder(dict):
     """word -> its token ids as little-endian 32-bit bytes.
 
     The tokenizer never merges across white space, so a text is the concatenation of its words' ids; that makes most of
     a corpus a look-up.  Python also splits at four control characters that the tokenizer does not know as blanks; texts
-    that have them are split at ASCII blanks only.
+    that have them are split at ASCII blanks only.  Of a word of Latin letters and closing punctuation, normalisation
+    and splitting are known, so its two parts go straight to the tokenizer's model; all other words go through the
+    whole tokenizer.  Two generations of words are remembered: when the younger is full, the elder is forgotten.
     """
 
     def __init__(self, path: str) -> None:
@@ -44,18 +55,46 @@ class Encoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.elder, self.known = Tokenizer.from_file(path), {}, {}
+        self.model, signs = self.tokenizer.model, byte_signs()
+        self.signs = {c: "".join(signs[b] for b in chr(c).lower().encode()) for c in range(256)}
+        # a tokenizer that prepares words in another way is only used as a whole
+        probe = ["Abc", "\u00c9\u00df\u00fc", "word,", "...", "a\u00e9!?", "%%%", "zz;"]
+        self.split = all(self._parts(w) == self._whole(w) for w in probe)
+
+    def _ids(self, part: str) -> list[int]:
+        """Ids of letters or of punctuation; words share these parts, whatever their case."""
+        if not part:
+            return []
+        part = part.translate(self.signs)
+        out = self.known.get(part)
+        if out is None:
+            if len(self.known) > KEPT_WORDS // 2:
+                self.known.clear()
+            out = self.known[part] = [t.id for t in self.model.tokenize(part)]
+        return out
+
+    def _parts(self, word: str) -> list[int] | None:
+        m = SIMPLE.fullmatch(word)
+        return self._ids(m[1]) + self._ids(m[2]) if m else None
+
+    def _whole(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        out = self.elder.get(word)
+        if out is None:
+            ids = self._parts(word) if self.split else None
+            out = np.array(self._whole(word) if ids is None else ids, dtype="<u4").tobytes()
         if len(word) <= LONGEST:
-            self[word] = ids
-        return ids
+            self[word] = out
+        return out
 
     def encode(self, text: str) -> bytes:
         if len(self) > KEPT_WORDS:
+            self.elder = dict(self)
             self.clear()
-        words = BLANK.split(text) if SEPARATORS.search(text) else text.split()
+        words = BLANK.split(text) if any(c in text for c in SEPARATORS) else text.split()
         return b"".join(map(self.__getitem__, words))
 
 
@@ -63,9 +102,15 @@ def projection(seed: int = 5) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((BUCKETS, DIMS))
 
 
-def coordinates(ids: np.ndarray, onto: np.ndarray) -> np.ndarray:
+def bucket_table(size: int = 1 << 20) -> np.ndarray:
+    """The hash bucket of every token id below ``size``; ids beyond share the buckets of their remainders."""
+    with np.errstate(over="ignore"):
+        return ((np.arange(size, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
+def coordinates(ids: np.ndarray, onto: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Where the hashed, damped and normalised token counts fall."""
-    counts = np.sqrt(np.bincount((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(BUCKETS), minlength=BUCKETS))
+    counts = np.sqrt(np.bincount(table[ids & np.uint32(len(table) - 1)], minlength=BUCKETS))
     return counts @ onto / max(float(np.linalg.norm(counts)), 1e-9)
 
 
@@ -101,12 +146,13 @@ def encoded(docs: DataFrame, doc_id: str, text: str, tokenizer: str, end_id: int
 
     @F.pandas_udf("packed binary, tokens long, x array<double>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words, squeeze, onto, end = Encoder(tokenizer), zstandard.ZstdCompressor(level=1), projection(), np.array([end_id], dtype="<u4").tobytes()
+        words, squeeze, onto, table = Encoder(tokenizer), zstandard.ZstdCompressor(level=1), projection(), bucket_table()
+        end = np.array([end_id], dtype="<u4").tobytes()
         for texts in batches:
             out = []
             for t in texts:
                 ids = (words.encode(t) if t else b"") + end
-                out.append((squeeze.compress(ids), len(ids) // 4, coordinates(np.frombuffer(ids, dtype="<u4"), onto)))
+                out.append((squeeze.compress(ids), len(ids) // 4, coordinates(np.frombuffer(ids, dtype="<u4"), onto, table)))
             yield pd.DataFrame(out, columns=["packed", "tokens", "x"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), encode(F.col(text)).alias("e"))
