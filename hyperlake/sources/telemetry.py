@@ -62,23 +62,21 @@ def _scan_keys(line: Column) -> tuple[Column, Column]:
     return both(1), both(2)
 
 
-_FIELDS = {**KPM_ALIASES, "time_s": TIME_ALIASES, "ue_id": UE_ALIASES, "cell_id": CELL_ALIASES}
-_ALL_ALIASES = list(dict.fromkeys(a for al in _FIELDS.values() for a in al))
+FIELDS = {**KPM_ALIASES, "time_s": TIME_ALIASES, "ue_id": UE_ALIASES, "cell_id": CELL_ALIASES}
 
 
-def _positions(keys: Column) -> Column:
+def _positions(keys: Column, names: Sequence[str]) -> Column:
     """Where each known alias stands among the keys (0 when absent): one pass per line."""
-    return F.transform(F.array(*[F.lit(a) for a in _ALL_ALIASES]), lambda a: F.array_position(keys, a))
+    return F.transform(F.array(*[F.lit(a) for a in names]), lambda a: F.array_position(keys, a))
 
 
-def _lookup(keys: Column, values: Column, positions: Column, dotted: Column, field: str) -> Column:
+def _lookup(keys: Column, values: Column, positions: Column, dotted: Column, aliases: Sequence[str], names: Sequence[str]) -> Column:
     """Scalar of the first alias present; exact names before dotted suffixes.
 
     Where a name occurs more than once the last one counts, as it does when nested
     objects are flattened in order.
     """
-    aliases = _FIELDS[field]
-    exact = F.coalesce(*[F.nullif(F.get(positions, F.lit(_ALL_ALIASES.index(a))), F.lit(0)) for a in aliases])
+    exact = F.coalesce(*[F.nullif(F.get(positions, F.lit(names.index(a))), F.lit(0)) for a in aliases])
     wanted = F.array(*[F.lit(a) for a in aliases])
     tails = F.transform(wanted, lambda a: F.array_position(F.transform(keys, lambda k: F.endswith(k, F.concat(F.lit("."), a))), F.lit(True)))
     suffix = F.get(F.filter(tails, lambda i: i > 0), F.lit(0))
@@ -90,11 +88,12 @@ def _unescape(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("\\")), F.regexp_replace(text, r"\\(.)", "$1")).otherwise(text)
 
 
-def parse_kpm(lines: DataFrame, column: str = "value", throughput_scale: float = 1.0, volume_scale: float = 1.0, default_time_s: float | None = None) -> DataFrame:
+def parse_kpm(lines: DataFrame, column: str = "value", throughput_scale: float = 1.0, volume_scale: float = 1.0, default_time_s: float | None = None, aliases: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """KPM rows plus ``problem`` (invalid_json / no_time) from JSON lines.
 
     Blank lines and control envelopes (a ``cmd`` key and at most two keys) are
     skipped.  Rows with a problem keep their text so that a caller can reject them.
+    ``aliases`` replaces the accepted names of the columns it mentions.
     """
     text = F.trim(F.col(column))
     df = lines.withColumn("_t", text).filter("_t <> ''")
@@ -104,9 +103,11 @@ def parse_kpm(lines: DataFrame, column: str = "value", throughput_scale: float =
     found = _scan_keys(t)
     df = df.withColumns({"_k": found[0], "_v": found[1]})
     # most lines have no dotted key beyond the aliases, and skip the suffix search
-    plain = F.array(*[F.lit(a) for a in _ALL_ALIASES if "." in a])
-    df = df.withColumns({"_pos": _positions(F.col("_k")), "_dot": F.contains(F.array_join(F.array_except("_k", plain), " "), F.lit("."))})
-    look = lambda field: _lookup(F.col("_k"), F.col("_v"), F.col("_pos"), F.col("_dot"), field)
+    fields = {**FIELDS, **(aliases or {})}
+    names = list(dict.fromkeys(a for al in fields.values() for a in al))
+    plain = F.array(*[F.lit(a) for a in names if "." in a]).cast("array<string>")
+    df = df.withColumns({"_pos": _positions(F.col("_k"), names), "_dot": F.contains(F.array_join(F.array_except("_k", plain), " "), F.lit("."))})
+    look = lambda field: _lookup(F.col("_k"), F.col("_v"), F.col("_pos"), F.col("_dot"), fields[field], names)
     vals = {name: numeric_or_null(look(name)) for name in KPM_ALIASES}
     for name in FRACTIONS:
         vals[name] = percent_to_fraction(vals[name])
@@ -150,7 +151,9 @@ def parse_native_scheduler(lines: DataFrame, column: str = "value", line_no: str
             raise ValueError("period_s needs a line_no column")
         from .. import ordered
 
-        df = ordered.scan(df, [], [line_no], {"_i": ordered.rnumber()})
+        # only the numbers are ordered, not the lines; lines of one number share their index
+        numbers = ordered.scan(lines.select(line_no).distinct(), [], [line_no], {"_i": ordered.rnumber()})
+        df = df.join(numbers, line_no)
         t = F.coalesce(t, F.lit(float(start_time_s)) + (F.col("_i") - 1) * F.lit(float(period_s)))
     df = df.withColumn("time_s", t)
     keep = [c for c in lines.columns if c != column]

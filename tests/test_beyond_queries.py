@@ -165,3 +165,19 @@ def test_streams_remember_ids_and_see_late_events(spark, tmp_path):
             want.append((float(k), now))
         was = now
     assert sorted((r["t"], r["available"]) for r in moves) == want and len(want) > 1
+
+
+def test_telemetry_names_can_be_given(spark):
+    lines = spark.createDataFrame([('{"clock": 3, "quality": 7, "cqi": 1}',)], "value STRING")
+    got = tm.parse_kpm(lines, aliases={"time_s": ["clock"], "cqi": ["quality"]}).first()
+    assert (got["time_s"], got["cqi"], got["problem"]) == (3.0, 7.0, None)
+
+
+def test_event_logs_have_a_bounded_number_of_folders(spark, tmp_path):
+    from hyperlake.sources import trust_io as io
+
+    io.write_event_log(spark.range(500).selectExpr("id as run_id", "'x' as v"), str(tmp_path / "log"))
+    folders = [p for p in (tmp_path / "log").iterdir() if p.is_dir()]
+    assert len(folders) <= io.RUN_BUCKETS
+    back = io.read_event_log(spark, str(tmp_path / "log"))
+    assert back.filter("intact").count() == 500 and set(back.columns) == {"run_id", "v", "record_sha256", "intact"}
