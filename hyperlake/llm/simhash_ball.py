@@ -137,8 +137,9 @@ def projected_links(fps: DataFrame, similarity: float, tables: int = 8, spare: i
         mask = sum(1 << b for b in chosen)
         entries += [F.struct(F.lit(k).alias("k"), F.lit(signed(mask)).alias("mask"), F.lit(signed(flip)).alias("flip")) for flip in (0, *(1 << b for b in chosen))]
     variants = fps.select("fp").distinct().withColumn("e", F.explode(F.array(*entries)))
-    variants = variants.select("fp", "e.k", F.col("fp").bitwiseAND(F.col("e.mask")).bitwiseXOR(F.col("e.flip")).alias("variant"))
-    pairs = variants.select("fp", F.lag("fp").over(Window.partitionBy("k", "variant").orderBy("fp")).alias("b")).filter("b is not null")
+    # table and variant travel as one hash; who meets by chance is turned down below
+    variants = variants.select("fp", F.xxhash64("e.k", F.col("fp").bitwiseAND(F.col("e.mask")).bitwiseXOR(F.col("e.flip"))).alias("variant"))
+    pairs = variants.select("fp", F.lag("fp").over(Window.partitionBy("variant").orderBy("fp")).alias("b")).filter("b is not null")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= likely_bits(similarity)
     return pairs.filter(near).select(F.col("fp").alias("a"), "b").distinct()
 
@@ -157,11 +158,11 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: fl
     def both(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"fp": [fingerprint_of(t, words) for t in texts], "shingles": [shingle_set(t, words) for t in texts]}, columns=["fp", "shingles"])
 
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes, "fp")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(ends, F.col("doc_id") == F.col("first_doc"))
-    # an id may repeat with another text
-    sets = rows.select("fp", both("text").alias("e")).filter(F.col("e.fp") == F.col("fp")).select("fp", "e.shingles").dropDuplicates(["fp"])
-    sets = cut(sets)
+    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes, "fp").select("first_doc")
+    # the ids are written, so the planner knows whether they are few enough to leave the texts where they are
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(cut(ends), F.col("doc_id") == F.col("first_doc"), "left_semi")
+    # an id that repeats with another text gives a set that no pair asks for
+    sets = cut(rows.select(both("text").alias("e")).select("e.fp", "e.shingles"))
     joined = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return joined.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
@@ -181,7 +182,14 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the smallest of its group of similar texts, with all their columns."""
-    mark, = fresh(docs, "_first_doc")
-    firsts = similar_groups(docs, doc_id, text, words, similarity).select(F.col("component_id").alias(mark)).distinct()
-    return docs.join(firsts, docs[doc_id].eqNullSafe(firsts[mark]), "left_semi")
+    """The rows of ``docs`` whose ``doc_id`` is the smallest of its group of similar texts, with all their columns.
+
+    Rows with a null ``doc_id`` stay if all of their group are null.
+    """
+    mark, = fresh(docs, "_gone_doc")
+    groups = similar_groups(docs, doc_id, text, words, similarity)
+    # an id that repeats with another text stays while one of its rows does
+    stays = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = groups.groupBy(F.col("doc_id").alias(mark)).agg(stays.alias("stays")).filter("not stays").select(mark)
+    # far fewer than the documents; written, so that the planner knows how many
+    return docs.join(cut(gone), docs[doc_id].eqNullSafe(F.col(mark)), "left_anti")

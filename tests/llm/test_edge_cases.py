@@ -143,7 +143,7 @@ def test_simhash_groups(docs, empty):
     assert got == [(-1, 1), (1, 1), (2, 1), (3, 3), (4, 3), (5, 3), (6, 6), (7, 7), (7, 7), (8, 8), (9, 9)]
     assert simhash_ball.simhash_groups(empty).count() == 0
     assert simhash_ball.similar_groups(empty).count() == 0
-    left = simhash_ball.drop_near(clashing(docs, "_first_doc", "fp"))
+    left = simhash_ball.drop_near(clashing(docs, "_gone_doc", "fp", "first_doc"))
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 3, 6, 7, 7, 8, 9]
 
 
