@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -24,18 +23,22 @@ from pyspark.sql import functions as F
 from .common import components, cut, fresh
 
 SEED = 42
+MIX = np.uint64(0xD6E8FEB86659FD93)
 #: so many shingles are unpacked to bits at a time
 BLOCK = 1 << 16
 
 
 def fingerprint_of(text: str | None, words: int) -> int:
     """The signed 64-bit fingerprint of one text."""
-    if not text:
-        return 0
+    return fingerprint_pair(text, words, False)[0]
+
+
+def fingerprint_pair(text: str | None, words: int, second: bool = True) -> tuple[int, int]:
+    """The fingerprint and, if asked for, an independent one of the same shingles (their hashes mixed once more)."""
     # on bytes, lower() and split() know the ASCII letters and blanks only
-    parts = text.encode("utf-8", "replace").lower().split()
+    parts = text.encode("utf-8", "replace").lower().split() if text else []
     if not parts:
-        return 0
+        return 0, 0
     n = len(parts)
     if n <= words:
         hashes = [xxhash.xxh64_intdigest(b" ".join(parts), SEED)]
@@ -45,29 +48,32 @@ def fingerprint_of(text: str | None, words: int) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist())]
-    votes = np.zeros(64, dtype=np.int64)
+    votes = np.zeros((2, 64), dtype=np.int64)
     for k in range(0, len(hashes), BLOCK):
         h = np.array(hashes[k : k + BLOCK], dtype="<u8")
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * votes > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<i8")[0])
+        for row in range(1 + second):
+            if row:
+                with np.errstate(over="ignore"):
+                    h = (h ^ (h >> np.uint64(31))) * MIX
+                    h ^= h >> np.uint64(29)
+            votes[row] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = np.packbits((2 * votes > len(hashes)).astype(np.uint8), axis=1, bitorder="little").view("<i8").ravel()
+    return int(bits[0]), int(bits[1])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """``doc_id, fp``: the 64-bit SimHash over all shingles of ``words`` words of the whole text.
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, second: bool = False) -> DataFrame:
+    """``doc_id, fp``: the 64-bit SimHash over all shingles of ``words`` words of the whole text; ``second`` adds ``fp2``.
 
     Words are runs of other than ASCII blanks, with A-Z in lower case.  A text of fewer words is one shingle; one
     without words (null, empty, blanks) has fingerprint zero.
     """
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.array([fingerprint_of(t, words) for t in batch["text"]], dtype=np.int64)})
+    @F.pandas_udf("fp long, fp2 long")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(np.array([fingerprint_pair(t, words, second) for t in texts], dtype=np.int64).reshape(-1, 2), columns=["fp", "fp2"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    # nullable ids would pass through floating point in pandas, so they travel as text
-    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
-    return rows.mapInPandas(of, "doc_id string, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), of(F.col(text)).alias("e"))
+    return rows.select("doc_id", "e.fp", *(["e.fp2"] if second else []))
 
 
 def ball(radius: int) -> list[int]:
@@ -175,9 +181,13 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     similarity of their sets of shingles of ``words`` words is at least ``similarity``; no pair below it links.  The
     candidates are approximate: a pair near the bound is found with a likelihood that grows with ``tables``.
     """
-    rows = cut(fingerprints(docs, doc_id, text, words))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
-    pairs = cut(projected_links(nodes, similarity, tables))
+    rows = cut(fingerprints(docs, doc_id, text, words, second=True))
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.min("fp2").alias("fp2")))
+    pairs = projected_links(nodes, similarity, tables)
+    # strangers that met by chance are as far apart as any by the second fingerprint, so few texts are read for nothing
+    seconds = lambda name: nodes.select(F.col("fp").alias(name), F.col("fp2").alias(f"second_{name}"))
+    near = F.bit_count(F.col("second_a").bitwiseXOR(F.col("second_b"))) <= likely_bits(similarity)
+    pairs = cut(pairs.join(seconds("a"), "a").join(seconds("b"), "b").filter(near).select("a", "b"))
     return _grouped(rows, nodes, verified(pairs, docs, nodes, similarity, doc_id, text, words))
 
 
