@@ -1,8 +1,8 @@
 """Quality classifier: random-indexing word vectors and a two-layer network.
 
 Each word gives up to two tokens, its letters in lower case and its shape (``Xx``,
-``X!!``, ``x$$$``); a word that repeats the one before gives a third.  A token has a
-fixed sparse ternary *index vector* picked by a hash.  Its *context vector*, learned
+``X!``, ``x$``), both as hash buckets; a word that repeats the one before gives a
+third.  A token has a fixed sparse ternary *index vector* picked by its bucket.  Its *context vector*, learned
 from a bounded sample, is the average of the index vectors of the tokens around it
 plus its own.  A document is pooled to the mean and the root mean square of its word
 vectors and classified by a network of two layers, in numpy.  A part of the sample
@@ -12,7 +12,6 @@ mix of labels in the sample.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -22,12 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, held_out
-from .words import WordVectors, fit_temperature, sample_per_label
-
-SHAPES = ((re.compile(r"[^\W\d_a-z]*[A-Z][^\W\d_a-z]*"), "X"), (re.compile(r"[^\W\d_A-Z]+"), "x"), (re.compile(r"\d+"), "9"), (re.compile(r"(\W)\1+"), r"\1\1"))
-NOT_LETTER = re.compile(r"[\W\d_]+")
-
+from .common import cut, held_out
+from .words import blocks, fit_temperature, sample_per_label, word_hashes
 
 @dataclass(frozen=True)
 class QualityModel:
@@ -42,18 +37,16 @@ class QualityModel:
     shift: float
 
 
-def tokens_of(word: str, buckets: int) -> tuple[int, ...]:
-    """The buckets of a word's shape and, where it has letters, of the letters."""
-    shape = word
-    for pattern, by in SHAPES:
-        shape = pattern.sub(by, shape)
-    own = NOT_LETTER.sub("", word.lower())
-    at = (crc32(b"s" + shape.encode("utf-8", "replace")) % buckets,)
-    return (*at, crc32(b"w" + own.encode("utf-8", "replace")) % buckets) if own else at
-
-
-def repeat_token(buckets: int) -> int:
-    return crc32(b"repeated") % buckets
+def tokens(text: str | None, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Letter buckets, shape buckets (the upper half of all buckets) and whether a word repeats the one before, block by block."""
+    before = None
+    for block in blocks((text or "").encode("utf-8", "replace")):
+        own, shape, whole = word_hashes(block, bits - 1)
+        if not len(own):
+            continue
+        again = np.concatenate([[before is not None and whole[0] == before], whole[1:] == whole[:-1]])
+        before = whole[-1]
+        yield own, shape + (1 << (bits - 1)), again
 
 
 def index_vectors(buckets: int, dim: int, seed: int, nonzero: int = 4) -> np.ndarray:
@@ -64,66 +57,54 @@ def index_vectors(buckets: int, dim: int, seed: int, nonzero: int = 4) -> np.nda
     return out / nonzero**0.5
 
 
-def context_vectors(texts: list[str], buckets: int, dim: int, seed: int, window: int = 2) -> np.ndarray:
+def context_vectors(texts: list[str], bits: int, dim: int, seed: int, window: int = 2) -> np.ndarray:
     """Unit vectors of all token buckets; a bucket that the texts lack keeps its index vector."""
-    index = index_vectors(buckets, dim, seed)
-    total, seen, known = np.zeros((buckets, dim), dtype=np.float64), np.zeros(buckets), {}
+    index = index_vectors(1 << bits, dim, seed)
+    total, seen = np.zeros((1 << bits, dim), dtype=np.float64), np.zeros(1 << bits)
     for text in texts:
-        words = text.split()
-        for w in words:
-            if w not in known:
-                known[w] = tokens_of(w, buckets)
-        if not words:
-            continue
-        shape = np.array([known[w][0] for w in words])
-        own = np.array([known[w][-1] for w in words])
-        word = index[shape] + index[own]
-        near = np.zeros_like(word)
-        for k in range(1, window + 1):
-            near[k:] += word[:-k]
-            near[:-k] += word[k:]
-        for at in (shape, own):
-            np.add.at(total, at, near)
-            np.add.at(seen, at, 2.0 * window)
+        for own, shape, _ in tokens(text, bits):
+            word = index[shape] + index[own]
+            near = np.zeros_like(word)
+            for k in range(1, window + 1):
+                near[k:] += word[:-k]
+                near[:-k] += word[k:]
+            for at in (shape, own):
+                np.add.at(total, at, near)
+                np.add.at(seen, at, 2.0 * window)
     context = total / np.maximum(seen, 1)[:, None]
     length = np.linalg.norm(context, axis=1, keepdims=True)
     mixed = index + np.divide(context, length, out=np.zeros_like(context), where=length > 0)
     return (mixed / np.maximum(np.linalg.norm(mixed, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def pooled(text: str | None, known: WordVectors, repeated: np.ndarray) -> np.ndarray:
+def pooled(text: str | None, vectors: np.ndarray) -> np.ndarray:
     """Mean and root mean square of the word vectors, the share of repeated words and the logarithm of the length."""
-    words = (text or "").split()
-    dim = len(repeated)
-    out = np.zeros(2 * dim + 2)
-    if not words:
-        return out
-    again = sum(a == b for a, b in zip(words, words[1:]))
-    for block in known.blocks(words):
-        out[:dim] += block.sum(axis=0)
-        out[dim : 2 * dim] += np.einsum("ij,ij->j", block, block)
-    out[:dim] += again * repeated
-    out[: 2 * dim] /= len(words)
-    out[dim : 2 * dim] = np.sqrt(out[dim : 2 * dim])
-    out[-2:] = again / len(words), np.log1p(len(words)) / 10
+    dim, bits = vectors.shape[1], len(vectors).bit_length() - 1
+    out, words, repeats = np.zeros(2 * dim + 2), 0, 0
+    for own, shape, again in tokens(text, bits):
+        x = vectors[own] + vectors[shape]
+        out[:dim] += x.sum(axis=0)
+        out[dim : 2 * dim] += np.einsum("ij,ij->j", x, x)
+        words += len(own)
+        repeats += int(again.sum())
+    if words:
+        # the repeat token has the last bucket
+        out[:dim] += repeats * vectors[-1]
+        out[: 2 * dim] /= words
+        out[dim : 2 * dim] = np.sqrt(out[dim : 2 * dim])
+        out[-2:] = repeats / words, np.log1p(words) / 10
     return out
 
 
-def word_vectors(vectors: np.ndarray) -> tuple[WordVectors, np.ndarray]:
-    known = WordVectors(lambda w: vectors[list(tokens_of(w, len(vectors)))].sum(axis=0), vectors.shape[1])
-    return known, vectors[repeat_token(len(vectors))].astype(np.float64)
-
-
 def train(
-    texts: list[str], labels: list[int], prior: tuple[float, float], buckets: int = 1 << 14, dim: int = 48, hidden: int = 24, epochs: int = 150, seed: int = 11,
+    texts: list[str], labels: list[int], prior: tuple[float, float], bits: int = 15, dim: int = 32, hidden: int = 24, epochs: int = 150, seed: int = 11,
 ) -> QualityModel | None:
     """Fit on all but every fifth text, which calibrate.  ``prior``: how many of all labelled documents are 0 and 1."""
     if not texts:
         return None
     rng = np.random.default_rng(seed)
-    vectors = context_vectors(texts, buckets, dim, seed)
-    known, repeated = word_vectors(vectors)
-    x, y = np.stack([pooled(t, known, repeated) for t in texts]), np.array(labels, dtype=np.float64)
+    vectors = context_vectors(texts, bits, dim, seed)
+    x, y = np.stack([pooled(t, vectors) for t in texts]), np.array(labels, dtype=np.float64)
     test = np.arange(len(y)) % 5 == 4
     if not test.any():
         test[:] = True
@@ -162,8 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """
     known = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("_doc")).agg(F.max(label).cast("int").alias("label")).filter(~held_out(F.col("_doc")))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    picked = sample_per_label(known, "label", per_label, "_doc")
-    rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text")).join(picked, "_doc").select("_doc", "label", F.coalesce("text", F.lit("")).alias("text"))
+    picked = cut(sample_per_label(known, "label", per_label, "_doc"))
+    rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text")).join(F.broadcast(picked), "_doc").select("_doc", "label", F.coalesce("text", F.lit("")).alias("text"))
     sample = sorted(rows.collect())
     # labels alternate, so that each fifth row calibrates on both
     sample.sort(key=lambda r: crc32(str(r["_doc"]).encode()))
@@ -175,13 +156,11 @@ def scorer(model: QualityModel | None):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        if model is not None:
-            known, repeated = word_vectors(model.vectors)
         for texts in batches:
             if model is None:
                 yield pd.Series(np.full(len(texts), 0.5))
                 continue
-            x = np.stack([pooled(t, known, repeated) for t in texts]) if len(texts) else np.zeros((0, len(model.mean)))
+            x = np.stack([pooled(t, model.vectors) for t in texts]) if len(texts) else np.zeros((0, len(model.mean)))
             h = np.tanh(np.clip((x - model.mean) / model.scale, -8, 8) @ model.w1 + model.b1)
             z = (h @ model.w2 + model.b2) / model.temperature + model.shift
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -40, 40))))
