@@ -13,7 +13,7 @@ from ..session import cut, shared_dir
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["BLANKS", "ascii_lower", "components", "cut", "fresh", "held_out", "shared_dir", "table"]
+__all__ = ["BLANKS", "ascii_lower", "components", "cut", "fresh", "held_out", "same", "share_of", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def share_of(key: Column, wanted: int, total: int) -> Column:
+    """True for about ``wanted`` of ``total`` keys, chosen by a hash; for all when there are no more.
+
+    Unlike a sorted limit this gathers nothing beyond the chosen rows, however many tasks read the table.
+    """
+    top = 1 << 30
+    return F.pmod(F.xxhash64(F.lit(29), key), F.lit(top)) < F.lit(top if total <= wanted else int(top * wanted / total))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of ``df`` has, one for each of ``names``."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import cut, fresh, share_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: labels of the field; 0 is outside
@@ -307,10 +307,13 @@ def train(texts: list[str], epochs: int = 4, rate: float = 0.25, seed: int = 3,
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", documents: int = 4000, **options) -> SpanField | None:
-    """Train on at most ``documents`` documents with a digit or ``@``, picked by a hash of their id; others teach nothing."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").rlike("[0-9@]") & (F.length("text") < 20_000))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents).select("text").collect()
-    return train([r["text"] for r in sample], **options) if sample else None
+    """Train on about ``documents`` documents with a digit or ``@``, picked by a hash of their id; others teach nothing."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    ids = cut(rows.filter(F.col("text").rlike("[0-9@]") & (F.length("text") < 20_000)).select("doc_id").distinct())
+    picked = ids.filter(share_of(F.col("doc_id"), documents, ids.count())).withColumnRenamed("doc_id", "picked")
+    # about ``documents`` ids, whatever the size of the table
+    sample = sorted(r["text"] for r in rows.filter(F.length("text") < 20_000).join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("picked"))).select("text").collect())
+    return train(sample, **options) if sample else None
 
 
 def added_spans(text: str, field: SpanField | None, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
