@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, share_of
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
 
 def centroids(nodes: DataFrame, rows: int, options: GraphOptions) -> dict[int, np.ndarray]:
     """Centroids by dimension; a dimension that the sample lacks has a single cluster."""
-    sample = nodes.orderBy(F.xxhash64("node")).limit(options.sample).select("vector").toPandas()["vector"]
+    sample = nodes.filter(share_of(F.col("node"), options.sample, rows)).select("vector").toPandas()["vector"]
     by_dim: dict[int, list[np.ndarray]] = {}
     for v in sample:
         by_dim.setdefault(len(v), []).append(v)
@@ -200,7 +200,11 @@ def search(x: np.ndarray, lists: list[np.ndarray], threshold: float, options: Gr
         flat = np.unique(qs[new] * n + rows[new])
         qs, rows = flat // n, flat % n
         seen[qs, rows] = True
-        return qs, rows, np.einsum("ij,ij->i", x[qs], x[rows])
+        # a slice at a time, as the gathered vectors are many times larger than the pairs
+        sims = np.empty(len(qs), dtype=np.float32)
+        for k in range(0, len(qs), 1 << 15):
+            sims[k : k + (1 << 15)] = np.einsum("ij,ij->i", x[qs[k : k + (1 << 15)]], x[rows[k : k + (1 << 15)]])
+        return qs, rows, sims
 
     loose = threshold - options.slack
     start = medoid(x)
@@ -283,8 +287,8 @@ def judge(pdf: pd.DataFrame, threshold: float, options: GraphOptions) -> pd.Data
     links = np.zeros(n, dtype=np.int64)
     edges = []
     qs, rs = np.nonzero(np.triu(found))
-    for k in range(0, len(qs), 100_000):
-        q, r = qs[k : k + 100_000], rs[k : k + 100_000]
+    for k in range(0, len(qs), 1 << 15):
+        q, r = qs[k : k + (1 << 15)], rs[k : k + (1 << 15)]
         true = np.einsum("ij,ij->i", exact[q], exact[r]) >= threshold
         q, r = q[true], r[true]
         edges.append((q, r))
@@ -318,9 +322,9 @@ def link_counts(nodes: DataFrame, centres: dict[int, np.ndarray], threshold: flo
     return cut(told)
 
 
-def audited(nodes: DataFrame, links: DataFrame, threshold: float, options: GraphOptions) -> float:
+def audited(nodes: DataFrame, rows: int, links: DataFrame, threshold: float, options: GraphOptions) -> float:
     """Links found over links there are, for a bounded set of nodes against all vectors."""
-    chosen = nodes.orderBy(F.xxhash64(F.lit(17), "node")).limit(options.audit).select("node", "vector").toPandas()
+    chosen = nodes.filter(share_of(F.hash("node"), options.audit, rows)).select("node", "vector").toPandas()
     if not len(chosen):
         return 1.0
     ids = chosen["node"].to_numpy()
@@ -365,7 +369,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     while True:
         links = link_counts(nodes, centroids(nodes, total, options) if total else {}, threshold, options)
         everywhere = options.overlap * options.rows_per_cluster >= 2 * max(total, 1)
-        if everywhere or audited(nodes, links, threshold, options) >= options.recall:
+        if everywhere or audited(nodes, total, links, threshold, options) >= options.recall:
             break
         options = GraphOptions(**{**options.__dict__, "overlap": options.overlap * 2, "beam": options.beam * 2, "degree": options.degree + 8, "slack": options.slack * 1.5})
     roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
