@@ -30,7 +30,7 @@ from ..ordered import rnumber, scan
 from .common import cut, fresh, same
 
 #: documents of a source that are rounded together
-ROWS_PER_PART = 100_000
+ROWS_PER_PART = 4096
 
 
 def word_count(text: Column) -> Column:
