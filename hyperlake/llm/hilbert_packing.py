@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 #: distinct words a Python worker remembers, and the longest such word
-KEPT_WORDS, LONGEST = 300_000, 200
+KEPT_WORDS, LONGEST = 100_000, 200
 BLANK = re.compile(r"[ \t\n\x0b\x0c\r]+")
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Latin letters, then punctuation that no special token has
@@ -154,6 +154,9 @@ def encoded(docs: DataFrame, doc_id: str, text: str, tokenizer: str, end_id: int
                 ids = (words.encode(t) if t else b"") + end
                 out.append((squeeze.compress(ids), len(ids) // 4, coordinates(np.frombuffer(ids, dtype="<u4"), onto, table)))
             yield pd.DataFrame(out, columns=["packed", "tokens", "x"])
+        # the worker goes on to other tasks and should not hold these words meanwhile
+        for held in (words, words.elder, words.known):
+            held.clear()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), encode(F.col(text)).alias("e"))
     return cut(rows.select("row", "doc_id", "e.packed", "e.tokens", "e.x"))
