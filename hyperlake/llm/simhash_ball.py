@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by meet-in-the-middle ball hashing.
+"""SimHash near-duplicates by meet-in-the-middle ball hashing, and near-duplicates by similarity of texts.
 
 Two fingerprints at most ``2 r`` bits apart have a variant in common that is at most
 ``r`` bits from either.  So every distinct fingerprint emits the whole ball of radius
@@ -11,7 +11,6 @@ near copies with one fingerprint were collapsed before.
 from __future__ import annotations
 
 import math
-import random
 from itertools import combinations
 
 import numpy as np
@@ -20,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, fresh
+from .common import components, cut, fresh, share_of
 
 SEED = 42
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -119,76 +118,136 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 # --- by similarity -----------------------------------------------------------
 
 
-def likely_bits(similarity: float, deviations: float = 3.0) -> int:
-    """How many of 64 bits differ between two sets of this Jaccard similarity, with a margin of standard deviations."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(64 * share + deviations * math.sqrt(64 * share * (1 - share)))
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Distinct 64-bit hashes of all shingles of a whole text, in order."""
+    parts = (text or "").encode("utf-8", "replace").lower().split()
+    shingles = [b" ".join(parts[k : k + words]) for k in range(max(len(parts) - words + 1, 1 if parts else 0))]
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles], dtype=np.uint64).view(np.int64))
 
 
-def projected_links(fps: DataFrame, similarity: float, tables: int = 8, spare: int = 6, seed: int = 9) -> DataFrame:
-    """``a, b``: pairs of distinct fingerprints that may belong to texts of this similarity.
+def set_hash(shingles: np.ndarray) -> int:
+    """A signed 64-bit hash of a set of shingles; zero for none."""
+    return int(np.array([xxhash.xxh64_intdigest(shingles.tobytes(), SEED)], dtype=np.uint64).view(np.int64)[0]) if len(shingles) else 0
 
-    Two fingerprints of similar texts differ in more bits than a ball over all 64 can bridge.  So the balls of radius
-    one are taken over ``tables`` random choices of fewer bits: ``spare`` more than the logarithm of the number of
-    fingerprints, so that a variant meets less than one stranger on average, whatever the size of the table.  In a bucket
-    each fingerprint is paired with its neighbour in order, so a crowded one makes a chain, not all pairs; pairs that
-    differ in too many of the 64 bits are dropped.
+
+def frequent_shingles(docs: DataFrame, text: str, words: int, texts: int = 4000, least: int = 3, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a bounded sample have, in order, and how many have them.
+
+    They only set the order in which shingles are looked at, so what the sample lacks costs time and loses no pair.
     """
-    width = min(64, math.ceil(math.log2(max(fps.count(), 2))) + spare)
-    rng = random.Random(seed)
-    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    entries = []
-    for k in range(tables):
-        chosen = rng.sample(range(64), width)
-        mask = sum(1 << b for b in chosen)
-        entries += [F.struct(F.lit(k).alias("k"), F.lit(signed(mask)).alias("mask"), F.lit(signed(flip)).alias("flip")) for flip in (0, *(1 << b for b in chosen))]
-    variants = fps.select("fp").distinct().withColumn("e", F.explode(F.array(*entries)))
-    # table and variant travel as one hash; who meets by chance is turned down below
-    variants = variants.select("fp", F.xxhash64("e.k", F.col("fp").bitwiseAND(F.col("e.mask")).bitwiseXOR(F.col("e.flip"))).alias("variant"))
-    pairs = variants.select("fp", F.lag("fp").over(Window.partitionBy("variant").orderBy("fp")).alias("b")).filter("b is not null")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= likely_bits(similarity)
-    return pairs.filter(near).select(F.col("fp").alias("a"), "b").distinct()
 
+    @F.pandas_udf("array<long>")
+    def of(column: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, words) for t in column])
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Distinct hashes of all shingles of a whole text."""
-    parts = (text or "").encode("utf-8", "replace").lower().split()
-    shingles = [b" ".join(parts[k : k + words]) for k in range(max(len(parts) - words + 1, 1 if parts else 0))]
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) & 0xFFFFFFFF for s in shingles], dtype=np.uint32).view(np.int32))
+    sample = docs.select(F.col(text).alias("text")).filter(share_of(F.col("text"), texts, docs.count())).distinct()
+    counts = sample.select(F.explode(of("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    found = counts.orderBy(F.desc("n"), "token").limit(most).toPandas().sort_values("token")
+    return found["token"].to_numpy(dtype=np.int64), found["n"].to_numpy(dtype=np.int64)
+
+
+def least_shared(n: int, similarity: float) -> int:
+    """How many of its ``n`` shingles a set has in common with any set of this Jaccard similarity, at least."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def prefix_of(shingles: np.ndarray, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set, rare ones first: two sets of this similarity have at least one of them in common."""
+    n, (known, counts) = len(shingles), frequent
+    if not n:
+        return shingles
+    rank = np.zeros(n, dtype=np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        rank = np.where(known[at] == shingles, counts[at], 0)
+    return shingles[np.lexsort((shingles, rank))[: n - least_shared(n, similarity) + 1]]
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float, doc_id: str, text: str, words: int) -> DataFrame:
     """The pairs whose texts have at least this Jaccard similarity of shingle sets; only texts in pairs are read again."""
 
-    @F.pandas_udf("fp long, shingles array<int>")
+    @F.pandas_udf("fp long, shingles array<long>")
     def both(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"fp": [fingerprint_of(t, words) for t in texts], "shingles": [shingle_set(t, words) for t in texts]}, columns=["fp", "shingles"])
+        sets = [shingle_set(t, words) for t in texts]
+        return pd.DataFrame({"fp": [set_hash(s) for s in sets], "shingles": sets}, columns=["fp", "shingles"])
 
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes, "fp").select("first_doc")
+    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes, "fp").select("first_doc").distinct()
     # the ids are written, so the planner knows whether they are few enough to leave the texts where they are
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(cut(ends), F.col("doc_id") == F.col("first_doc"), "left_semi")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(cut(ends), F.col("doc_id").eqNullSafe(F.col("first_doc")), "left_semi")
     # an id that repeats with another text gives a set that no pair asks for
     sets = cut(rows.select(both("text").alias("e")).select("e.fp", "e.shingles"))
     joined = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return joined.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return joined.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+
+
+def _likely(met: DataFrame, similarity: float) -> DataFrame:
+    """``a, b`` of pairs that met (``a, b, na, nb``, a row for each shared prefix shingle) often enough to be similar.
+
+    Beyond the prefixes a set has one shingle less in common than :func:`least_shared` at most.
+    """
+    least = lambda n: F.ceil(F.lit(similarity) * F.col(n) - 1e-9)
+    size = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9
+    counted = met.filter(size).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    wanted = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-9)
+    return counted.filter(F.col("shared") + F.greatest(least("na"), least("nb")) - 1 >= wanted).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, tables: int = 8) -> DataFrame:
+def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, doc_id: str, text: str, words: int, rounds: int = 2) -> DataFrame:
+    """``a, b``: verified links that connect all of ``nodes`` (``fp, first_doc, n, prefix``) that similar pairs connect.
+
+    Sets of this similarity meet in a shingle of their prefixes.  In ``rounds`` every crowd at a shingle is compared with
+    its most typical set that is not yet in their component, which makes one component of a family without looking at
+    its pairs.  Then all that meet in a shingle and are not in one component are compared: a pair that is left out is
+    connected already, or has too few prefix shingles in common to be similar.
+    """
+    postings = nodes.select("fp", "n", F.explode("prefix").alias("token"))
+    crowds = cut(postings.groupBy("token").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1"))
+    postings = cut(postings.join(crowds, "token"))
+    # a set whose shingles many others have is typical
+    weights = cut(postings.groupBy("fp").agg((F.sum("crowd") / F.any_value("n")).alias("weight")))
+    links = None
+    for k in range(rounds + 1):
+        placed = postings.drop("crowd")
+        if links is not None:
+            placed = placed.join(components(links).withColumnRenamed("node", "fp"), "fp", "left")
+            placed = placed.withColumn("root", F.coalesce("root", "fp"))
+            open_ = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
+            placed = cut(placed.join(open_, "token"))
+            if placed.isEmpty():
+                break
+        else:
+            placed = placed.withColumn("root", F.col("fp"))
+        if k < rounds:
+            # the typical set of the crowd at first, that of the largest rest of a family later
+            typical = placed.join(weights, "fp").groupBy("token").agg(F.max(F.struct("weight", "fp", "n", "root")).alias("t"))
+            met = placed.join(typical, "token").filter("root <> t.root").select(F.least("fp", "t.fp").alias("a"), F.greatest("fp", "t.fp").alias("b"), F.when(F.col("fp") < F.col("t.fp"), F.col("n")).otherwise(F.col("t.n")).alias("na"), F.when(F.col("fp") < F.col("t.fp"), F.col("t.n")).otherwise(F.col("n")).alias("nb"))
+        else:
+            x = placed.select("token", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+            y = placed.select("token", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+            met = x.join(y, "token").filter("a < b and ra <> rb").select("a", "b", "na", "nb")
+        new = verified(cut(_likely(met, similarity)), docs, nodes, similarity, doc_id, text, words)
+        links = cut(new if links is None else links.union(new))
+    return links
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id, fp, component_id`` like :func:`simhash_groups`, for texts of at least ``similarity``.
 
-    Texts with one fingerprint link.  Other candidates come from :func:`projected_links` and link when the Jaccard
-    similarity of their sets of shingles of ``words`` words is at least ``similarity``; no pair below it links.  The
-    candidates are approximate: a pair near the bound is found with a likelihood that grows with ``tables``.
+    Texts link when the Jaccard similarity of their sets of shingles of ``words`` words is at least ``similarity``.  No
+    pair below it links and no group that pairs at or above it connect is missed.
     """
-    rows = cut(fingerprints(docs, doc_id, text, words, second=True))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.min("fp2").alias("fp2")))
-    pairs = projected_links(nodes, similarity, tables)
-    # strangers that met by chance are as far apart as any by the second fingerprint, so few texts are read for nothing
-    seconds = lambda name: nodes.select(F.col("fp").alias(name), F.col("fp2").alias(f"second_{name}"))
-    near = F.bit_count(F.col("second_a").bitwiseXOR(F.col("second_b"))) <= likely_bits(similarity)
-    pairs = cut(pairs.join(seconds("a"), "a").join(seconds("b"), "b").filter(near).select("a", "b"))
-    return _grouped(rows, nodes, verified(pairs, docs, nodes, similarity, doc_id, text, words))
+    frequent = frequent_shingles(docs, text, words)
+
+    @F.pandas_udf("fp long, n int, prefix array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, words) for t in texts]
+        return pd.DataFrame({"fp": [set_hash(s) for s in sets], "n": [len(s) for s in sets], "prefix": [prefix_of(s, similarity, frequent) for s in sets]}, columns=["fp", "n", "prefix"])
+
+    read = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), of(F.col(text)).alias("e")).select("doc_id", "e.fp", "e.n", "e.prefix"))
+    nodes = cut(read.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")))
+    links = similar_links(nodes, docs, similarity, doc_id, text, words)
+    return _grouped(read.select("doc_id", "fp"), nodes.select("fp", "first_doc"), links)
 
 
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
