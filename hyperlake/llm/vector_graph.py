@@ -12,9 +12,10 @@
    medoid with a beam, then by range expansion through everything within a slack of the
    threshold.  Pairs found are verified in double precision.  Shards hand on only counts
    and a spanning forest, never pairs; a pair in several shards counts in the first.
-6. A bounded set of nodes is compared with all vectors by brute force.  While the links
-   found for them fall short of ``recall``, all is done again with more overlap and a
-   wider beam; with every node in every shard nothing can be missed between shards.
+6. A bounded set of nodes is compared with all vectors by brute force; it grows until
+   enough of them have links.  Every node with links counts the same, whatever its copies
+   and its links, and ordinary nodes and hot ones are judged apart.  While one of the two
+   falls short of ``recall``, all is done again with more overlap and a wider beam.
 """
 
 from __future__ import annotations
@@ -32,7 +33,10 @@ from .common import components, cut, share_of
 
 @dataclass(frozen=True)
 class GraphOptions:
-    """``sample``, ``clusters`` and ``audit`` bound what comes to the driver; ``rows_per_shard`` bounds a task."""
+    """``sample``, ``clusters`` and ``audit_most`` bound what comes to the driver; ``rows_per_shard`` bounds a task.
+
+    The audit takes ``audit`` nodes, and more while fewer than ``linked`` of them have 1 to ``hot`` linked nodes.
+    """
 
     overlap: int = 3
     rows_per_cluster: int = 1000
@@ -46,6 +50,9 @@ class GraphOptions:
     beam: int = 8
     slack: float = 0.06
     audit: int = 512
+    audit_most: int = 8192
+    linked: int = 128
+    hot: int = 64
     recall: float = 0.995
 
 
@@ -267,7 +274,7 @@ def spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def judge(pdf: pd.DataFrame, threshold: float, options: GraphOptions) -> pd.DataFrame:
-    """``node, links, root`` of a shard's members: verified copies that this shard counts, and a node of their component."""
+    """``node, links, pairs, root`` of a shard's members: verified copies and nodes that this shard counts, and a node of their component."""
     pdf = pdf.sort_values("node").reset_index(drop=True)
     n, nodes = len(pdf), pdf["node"].to_numpy()
     exact = unit(np.stack(pdf["vector"].to_list()).astype(np.float64))
@@ -284,7 +291,7 @@ def judge(pdf: pd.DataFrame, threshold: float, options: GraphOptions) -> pd.Data
     # clusters before this one: a pair that shares one of them counts there
     earlier = np.where((home >= 0) & (home < cluster), home, -1)
     block, copies = pdf["block"].to_numpy(), pdf["copies"].to_numpy()
-    links = np.zeros(n, dtype=np.int64)
+    links, pairs = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     edges = []
     qs, rs = np.nonzero(np.triu(found))
     for k in range(0, len(qs), 1 << 15):
@@ -296,18 +303,20 @@ def judge(pdf: pd.DataFrame, threshold: float, options: GraphOptions) -> pd.Data
         mine = ~other & (np.minimum(block[q], block[r]) == low) & (np.maximum(block[q], block[r]) == high)
         np.add.at(links, q[mine], copies[r[mine]])
         np.add.at(links, r[mine], copies[q[mine]])
+        np.add.at(pairs, q[mine], 1)
+        np.add.at(pairs, r[mine], 1)
     a = np.concatenate([e[0] for e in edges]) if edges else np.zeros(0, dtype=np.int64)
     b = np.concatenate([e[1] for e in edges]) if edges else np.zeros(0, dtype=np.int64)
     root = spanning(n, a, b)
     told = (links > 0) | (root != np.arange(n))
-    return pd.DataFrame({"node": nodes[told], "links": links[told], "root": nodes[root[told]]})
+    return pd.DataFrame({"node": nodes[told], "links": links[told], "pairs": pairs[told], "root": nodes[root[told]]})
 
 
 # --- all shards --------------------------------------------------------------
 
 
 def link_counts(nodes: DataFrame, centres: dict[int, np.ndarray], threshold: float, options: GraphOptions) -> DataFrame:
-    """``node, links, root`` of every shard, for nodes with links."""
+    """``node, links, pairs, root`` of every shard, for nodes with links."""
     shards = cut(members(nodes, centres, options))
 
     def graph(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -318,34 +327,61 @@ def link_counts(nodes: DataFrame, centres: dict[int, np.ndarray], threshold: flo
 
     edges = shards.select("shard", "node", "vector").groupBy("shard").applyInPandas(graph, "node long, near array<long>")
     united = edges.select("node", F.explode("near").alias("v")).groupBy("node").agg(F.collect_set("v").alias("near"))
-    told = shards.join(united, "node", "left").groupBy("shard").applyInPandas(lambda pdf: judge(pdf, threshold, options), "node long, links long, root long")
+    told = shards.join(united, "node", "left").groupBy("shard").applyInPandas(lambda pdf: judge(pdf, threshold, options), "node long, links long, pairs long, root long")
     return cut(told)
 
 
-def audited(nodes: DataFrame, rows: int, links: DataFrame, threshold: float, options: GraphOptions) -> float:
-    """Links found over links there are, for a bounded set of nodes against all vectors."""
-    chosen = nodes.filter(share_of(F.hash("node"), options.audit, rows)).select("node", "vector").toPandas()
-    if not len(chosen):
-        return 1.0
-    ids = chosen["node"].to_numpy()
+def true_pairs(nodes: DataFrame, chosen: pd.DataFrame, threshold: float) -> np.ndarray:
+    """How many other nodes each chosen node (``node, vector``) links with, by brute force."""
+    size = len(chosen)
     by_dim = {d: [k for k, v in enumerate(chosen["vector"]) if len(v) == d] for d in {len(v) for v in chosen["vector"]}}
     queries = {d: (np.array(at), unit(np.stack([chosen["vector"].iloc[k] for k in at]).astype(np.float64))) for d, at in by_dim.items()}
+    # a pair at the threshold itself may be summed in another order than in its shard
+    bound = threshold + 1e-12
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(ids), dtype=np.int64)
+        total = np.zeros(size, dtype=np.int64)
         for b in batches:
-            dims, copies = b["vector"].map(len).to_numpy(), b["copies"].to_numpy()
+            dims = b["vector"].map(len).to_numpy()
             for d, (at, q) in queries.items():
                 if (dims == d).any():
                     x = unit(np.stack(b["vector"][dims == d].to_list()).astype(np.float64))
-                    total[at] += ((q @ x.T) >= threshold) @ copies[dims == d]
-        yield pd.DataFrame({"k": np.arange(len(ids)), "n": total})
+                    for k in range(0, len(at), 512):
+                        total[at[k : k + 512]] += ((q[k : k + 512] @ x.T) >= bound).sum(axis=1)
+        yield pd.DataFrame({"k": np.arange(size), "n": total})
+
+    true = nodes.select("vector").mapInPandas(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas().sort_values("k")
+    # without the node itself
+    return np.maximum(true["n"].to_numpy() - 1, 0)
+
+
+def worst_recall(there: np.ndarray, got: np.ndarray, hot: int) -> float:
+    """The smaller of the mean recalls of nodes with 1 to ``hot`` true links and of those with more."""
+    recall = np.minimum(got / np.maximum(there, 1), 1.0)
+    classes = [(there > 0) & (there <= hot), there > hot]
+    return min((float(recall[c].mean()) for c in classes if c.any()), default=1.0)
 
-    true = nodes.select("vector", "copies").mapInPandas(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    own = nodes.join(F.broadcast(nodes.sparkSession.createDataFrame(pd.DataFrame({"node": ids}))), "node").agg(F.sum("copies")).first()[0]
-    got = links.join(F.broadcast(nodes.sparkSession.createDataFrame(pd.DataFrame({"node": ids}))), "node").agg(F.sum("links")).first()[0] or 0
-    there = int(true["n"].sum()) - own
-    return got / there if there else 1.0
+
+def truth(nodes: DataFrame, rows: int, threshold: float, options: GraphOptions) -> pd.DataFrame:
+    """``node, there``: the audited nodes and how many nodes each truly links with."""
+    wanted = options.audit
+    while True:
+        chosen = nodes.filter(share_of(F.hash("node"), wanted, rows)).select("node", "vector").toPandas()
+        there = true_pairs(nodes, chosen, threshold) if len(chosen) else np.zeros(0, dtype=np.int64)
+        ordinary = int(((there > 0) & (there <= options.hot)).sum())
+        if ordinary >= options.linked or wanted >= min(rows, options.audit_most):
+            return pd.DataFrame({"node": chosen["node"], "there": there})
+        wanted = min(wanted * 4, options.audit_most)
+
+
+def audited(true: pd.DataFrame, links: DataFrame, options: GraphOptions) -> float:
+    """The worst mean recall of links over the audited nodes."""
+    if not len(true):
+        return 1.0
+    chosen = links.sparkSession.createDataFrame(true[["node"]])
+    got = links.join(F.broadcast(chosen), "node").groupBy("node").agg(F.sum("pairs").alias("got")).toPandas()
+    both = true.merge(got, on="node", how="left").fillna({"got": 0})
+    return worst_recall(both["there"].to_numpy(), both["got"].to_numpy(dtype=np.float64), options.hot)
 
 
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, options: GraphOptions = GraphOptions()) -> DataFrame:
@@ -366,10 +402,12 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embe
     whole = cut(groups.withColumn("node", F.monotonically_increasing_id()))
     nodes = whole.select("node", "copies", "vector")
     total = nodes.count()
+    true = truth(nodes, total, threshold, options)
     while True:
         links = link_counts(nodes, centroids(nodes, total, options) if total else {}, threshold, options)
         everywhere = options.overlap * options.rows_per_cluster >= 2 * max(total, 1)
-        if everywhere or audited(nodes, total, links, threshold, options) >= options.recall:
+        # everything is in one reach: each shard has compared all its members
+        if audited(true, links, options) >= options.recall or everywhere and options.slack > 1 + threshold:
             break
         options = GraphOptions(**{**options.__dict__, "overlap": options.overlap * 2, "beam": options.beam * 2, "degree": options.degree + 8, "slack": options.slack * 1.5})
     roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
