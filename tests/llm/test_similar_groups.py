@@ -42,3 +42,15 @@ def test_family_around_a_base_is_one_group(spark):
     want = brute(texts)
     assert want[:401] == [0] * 401
     assert groups(spark, texts) == want
+
+
+def test_pairs_near_the_bound_are_all_found(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(120):
+        base = rng.choice(WORDS, size=200)
+        # 0.815 and 0.774
+        texts += [" ".join(base), " ".join(changed(rng, base, 4)), " ".join(changed(rng, base, 5))]
+    want = brute(texts)
+    assert sum(r < k for k, r in enumerate(want)) >= 120
+    assert groups(spark, texts) == want
