@@ -54,3 +54,13 @@ def test_pairs_near_the_bound_are_all_found(spark):
     want = brute(texts)
     assert sum(r < k for k, r in enumerate(want)) >= 120
     assert groups(spark, texts) == want
+
+
+def test_filler_does_not_make_texts_alike(spark):
+    rng = np.random.default_rng(5)
+    # one shingle is more than half of all, and the rest differs
+    texts = [" ".join([*rng.choice(WORDS, size=40), *["0"] * 400]) for _ in range(20)]
+    texts += texts[:3]
+    want = brute(texts)
+    assert want == [*range(20), 0, 1, 2]
+    assert groups(spark, texts) == want
