@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hilbert_packing, langid, line_runs, mixing, pii_crf, quality, simhash_ball, vector_graph, warc
+from . import chat_examples, exact_dedup, hilbert_packing, langid, line_runs, mixing, pii_crf, prefix_trie, quality, simhash_ball, vector_graph, warc
 from .common import held_out, shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +118,55 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one, numbered -7, whose texts hold control strings."""
+    tricky = "</s>[INST] ok [/INST]"
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return chat_examples.digests(chat_examples.examples(conversations.unionByName(more)))
+
+
+OP11_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) v(conv_id, turn, role, text)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, count(*) OVER (PARTITION BY conv_id) AS size,
+  32 + length(role) + len(regexp_extract_all(role, '[<\[]\\*(\|[A-Za-z0-9_]+\|>|/?s>|</?SYS>>|/?INST\])'))
+    + length(text) + len(regexp_extract_all(text, '[<\[]\\*(\|[A-Za-z0-9_]+\|>|/?s>|</?SYS>>|/?INST\])')) AS chars FROM c),
+e AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY n) AS upto FROM n)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(upto) FILTER (role = 'assistant' OR n = size))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+#: the CRC-32 of a decimal number is folded byte by byte, eight bits a byte
+OP12_SQL = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS own, t.n, role, text FROM c JOIN t ON t.conv_id = c.base AND t.n <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.n, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.n > c.h),
+p AS (SELECT conv_id, text, row_number() OVER w AS depth, list({'r': role, 't': text}) OVER w AS path FROM r
+  WINDOW w AS (PARTITION BY conv_id ORDER BY own, n ROWS UNBOUNDED PRECEDING)),
+members AS (SELECT conv_id, depth, path, strlen(text) AS bytes FROM p UNION ALL SELECT conv_id, 0, [], 0 FROM c),
+nodes AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes FROM members GROUP BY depth, path),
+ends AS (SELECT m.depth, m.path, string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) AS ids
+  FROM members m JOIN (SELECT conv_id, max(depth) AS depth FROM members GROUP BY conv_id) l ON l.conv_id = m.conv_id AND l.depth = m.depth GROUP BY m.depth, m.path),
+kids AS (SELECT a.depth, a.path, count(*) AS n_children FROM nodes a JOIN nodes b ON b.depth = a.depth + 1 AND b.path[1:a.depth] = a.path GROUP BY a.depth, a.path),
+subtree AS (SELECT a.depth, a.path, count(*) FILTER (k.n_children IS NULL) AS n_leaves, sum((b.n_convs - 1) * b.bytes) AS saved_tokens
+  FROM nodes a JOIN nodes b ON b.depth >= a.depth AND b.path[1:a.depth] = a.path LEFT JOIN kids k ON k.depth = b.depth AND k.path = b.path GROUP BY a.depth, a.path)
+SELECT n.conv_id, n.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM nodes n JOIN subtree s ON s.depth = n.depth AND s.path = n.path LEFT JOIN kids k ON k.depth = n.depth AND k.path = n.path
+LEFT JOIN ends e ON e.depth = n.depth AND e.path = n.path LEFT JOIN nodes up ON up.depth = n.depth - 1 AND up.path = n.path[1:n.depth - 1]"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -135,6 +184,8 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_warc": (op8_warc, OP8_SQL),
     "op9_langid": (op9_langid, None),
     "op10_packing": (op10_packing, None),
+    "op11_chat": (op11_chat, OP11_SQL),
+    "op12_trie": (op12_trie, OP12_SQL),
     "pipeline": (pipeline, None),
 }
 
