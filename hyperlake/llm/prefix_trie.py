@@ -106,10 +106,7 @@ def tour(kin: DataFrame) -> DataFrame:
 
 
 def _rank_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches))
-    if not len(rows):
-        return
-    after = {p: (a, gap) for a, p, gap in rows[["arc", "prev", "gap"]].itertuples(index=False)}
+    after = {p: (a, gap) for b in batches for a, p, gap in b[["arc", "prev", "gap"]].itertuples(index=False)}
     out, arc, place = [], -1, 0
     while arc in after:
         arc, gap = after[arc]

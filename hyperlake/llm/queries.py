@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_examples, exact_dedup, hilbert_packing, langid, line_runs, mixing, pii_crf, prefix_trie, quality, simhash_ball, vector_graph, warc
+from . import chat_examples, exact_dedup, hilbert_packing, langid, line_runs, mixing, pii_crf, prefix_trie, quality, simhash_ball, token_alignment, vector_graph, warc
 from .common import held_out, shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,11 +106,11 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def tokenizer_path() -> str:
-    """Where the installed vocabulary of the packing query lies."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where an installed vocabulary lies."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,6 +167,10 @@ FROM nodes n JOIN subtree s ON s.depth = n.depth AND s.path = n.path LEFT JOIN k
 LEFT JOIN ends e ON e.depth = n.depth AND e.path = n.path LEFT JOIN nodes up ON up.depth = n.depth - 1 AND up.path = n.path[1:n.depth - 1]"""
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -186,6 +190,7 @@ _QUERIES: dict[str, tuple[Query, str | None]] = {
     "op10_packing": (op10_packing, None),
     "op11_chat": (op11_chat, OP11_SQL),
     "op12_trie": (op12_trie, OP12_SQL),
+    "op13_alignment": (op13_alignment, None),
     "pipeline": (pipeline, None),
 }
 
