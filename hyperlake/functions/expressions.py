@@ -1,14 +1,15 @@
-"""Guards, rates and attribute rules as Spark SQL text, checked before use.
+"""Guards, rates and attribute rules as text, turned into Columns.
 
-Users write Spark SQL over the columns of a match.  The text is checked against
-a whitelist of names and functions and then handed to Catalyst; no Python is
-evaluated at run time.
+Users write Spark SQL expressions over the columns of a match, with ``**``, ``//``, ``==``, ``a if c else b``, chained
+comparisons and ``None`` besides.  A precedence-climbing parser makes a tree of the text, names and functions are held
+against a whitelist, and the tree becomes a Column; no text is handed on and no Python is evaluated at run time.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,124 +20,264 @@ FUNCTIONS = (
     "floor", "ceil", "isfinite", "clip", "softplus",
 )
 # Spark names that carry the same meaning
-SPARK_NAMES = ("least", "greatest", "bround", "double", "boolean", "size", "ln", "pow", "coalesce", "isnan", "mod", "cast", "bigint")
-KEYWORDS = ("and", "or", "not", "in", "is", "null", "true", "false", "case", "when", "then", "else", "end", "as", "between", "div")
-
-_TOKEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|`[^`]+`|[A-Za-z_][A-Za-z_0-9.]*|\d+\.?\d*(?:[eE][+-]?\d+)?[dDlL]?|\S")
-_RENAME = {"round": "bround", "min": "least", "max": "greatest", "float": "double", "bool": "boolean", "len": "size", "log": "ln"}
+SPARK_NAMES = ("least", "greatest", "bround", "double", "boolean", "size", "ln", "pow", "coalesce", "isnan", "mod", "bigint")
+KEYWORDS = ("and", "or", "not", "in", "is", "null", "none", "true", "false", "case", "when", "then", "else", "end", "as", "between", "div", "if", "cast")
 
+# operators of two and three signs come before their first sign
+_TOKEN = re.compile(
+    r"\s*('(?:[^'\\]|\\.|'')*'|`[^`]+`|[A-Za-z_][A-Za-z_0-9]*|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?(?:[dDlLfF]|[bB][dD])?|<=>|\*\*|//|==|<>|!=|<=|>=|\|\||[-+*/%<>=(),.\[\]&|^~])"
+)
+_RENAME = {"round": "bround", "float": "double", "bool": "boolean", "len": "size", "log": "ln"}
 
-# functions Spark has no name for, as built-in terms of their arguments
-_TERMS = {
-    "clip": "least(greatest({0}, {1}), {2})",
-    "softplus": "(CASE WHEN {0} > 40 THEN {0} ELSE log1p(exp({0})) END)",
-    "isfinite": "({0} IS NOT NULL AND NOT isnan({0}) AND abs({0}) < double('Infinity'))",
-    "sum": "aggregate({0}, double(0), (_acc, _item) -> _acc + double(_item))",
+Tree = tuple[Any, ...]
+_COMPARISONS: dict[str, Callable[[Column, Column], Column]] = {
+    "=": lambda a, b: a == b, "==": lambda a, b: a == b, "<>": lambda a, b: a != b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b,
+    ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<=>": lambda a, b: a.eqNullSafe(b),
+}
+_OPERATIONS: dict[str, Callable[[Column, Column], Column]] = {
+    "or": lambda a, b: a | b, "and": lambda a, b: a & b, "|": lambda a, b: a.bitwiseOR(b), "^": lambda a, b: a.bitwiseXOR(b), "&": lambda a, b: a.bitwiseAND(b),
+    "+": lambda a, b: a + b, "-": lambda a, b: a - b, "||": F.concat, "*": lambda a, b: a * b, "/": lambda a, b: a / b, "%": lambda a, b: a % b,
+    "//": lambda a, b: F.floor(a / b), "div": lambda a, b: F.call_function("div", a, b), "**": F.pow,
 }
+#: how tightly operators bind; ``not`` lies between ``and`` and comparisons, a sign between products and powers
+_BINDS = {"or": 1, "and": 2, "|": 5, "^": 6, "&": 7, "+": 8, "-": 8, "||": 8, "*": 9, "/": 9, "%": 9, "//": 9, "div": 9, "**": 11}
+_NOT, _COMPARES, _SIGN = 3, 4, 10
+_TERMS: dict[str, tuple[int, Callable[..., Column]]] = {
+    "clip": (3, lambda x, low, high: F.least(F.greatest(x, low), high)),
+    "softplus": (1, lambda x: F.when(x > 40, x).otherwise(F.log1p(F.exp(x)))),
+    "isfinite": (1, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))),
+    "sum": (1, lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, item: acc + item.cast("double"))),
+}
+
+
+class _Parser:
+    """A tree of one expression: tuples of an operator and its operands."""
+
+    def __init__(self, text: str) -> None:
+        self.tokens, at = [], 0
+        while at < len(text.rstrip()):
+            m = _TOKEN.match(text, at)
+            if not m:
+                raise ValueError(f"an expression is a single term; what is {text[at:].strip()[:20]!r}?")
+            self.tokens.append(m[1])
+            at = m.end()
+        self.at = 0
+
+    def whole(self) -> Tree:
+        tree = self.choice()
+        if self.at < len(self.tokens):
+            raise ValueError(f"an expression is a single term; {self.tokens[self.at]!r} is left over")
+        return tree
+
+    def peek(self) -> str:
+        """The next token, words that are keywords or operators in lower case."""
+        t = self.tokens[self.at] if self.at < len(self.tokens) else ""
+        return t.lower() if t.lower() in KEYWORDS else t
+
+    def take(self, *wanted: str) -> str:
+        t = self.peek()
+        if not t or wanted and t not in wanted:
+            raise ValueError(f"expected {' or '.join(wanted) or 'a term'}, found {t or 'the end'!r}")
+        self.at += 1
+        return t
+
+    def met(self, *words: str) -> bool:
+        """Whether the words come next; they are taken then."""
+        here = self.at
+        for w in words:
+            if self.peek() != w:
+                self.at = here
+                return False
+            self.at += 1
+        return True
+
+    def choice(self) -> Tree:
+        value = self.climb(1)
+        if self.met("if"):
+            condition = self.climb(1)
+            self.take("else")
+            return ("case", [(condition, value)], self.choice())
+        return value
+
+    def climb(self, least: int) -> Tree:
+        left = self.prefix()
+        while True:
+            op = self.peek()
+            if op in _BINDS and _BINDS[op] >= least:
+                self.at += 1
+                # powers bind from the right, and a sign may stand before an exponent
+                left = (op, left, self.climb(_SIGN if op == "**" else _BINDS[op] + 1))
+            elif least <= _COMPARES and (compared := self.comparison(left)):
+                left = compared
+            else:
+                return left
+
+    def comparison(self, left: Tree) -> Tree | None:
+        op = self.peek()
+        if op in _COMPARISONS:
+            whole, last = None, left
+            while self.peek() in _COMPARISONS:
+                op, right = self.take(), self.climb(_COMPARES + 1)
+                link = (op, last, right)
+                whole, last = link if whole is None else ("and", whole, link), right
+            return whole
+        if self.met("is"):
+            negated = self.met("not")
+            word = self.take("null", "none", "true", "false")
+            tree = ("isnull", left) if word in ("null", "none") else ("<=>", left, ("literal", word))
+        else:
+            here = self.at
+            negated = self.met("not")
+            if self.met("in"):
+                if self.met("(") or self.met("["):
+                    tree = ("in", left, self.list_until(")" if self.tokens[self.at - 1] == "(" else "]"))
+                else:
+                    tree = ("within", left, self.climb(_COMPARES + 1))
+            elif self.met("between"):
+                low = self.climb(_COMPARES + 1)
+                self.take("and")
+                tree = ("and", (">=", left, low), ("<=", left, self.climb(_COMPARES + 1)))
+            else:
+                self.at = here
+                return None
+        return ("not", tree) if negated else tree
+
+    def list_until(self, end: str) -> list[Tree]:
+        out: list[Tree] = []
+        while not self.met(end):
+            if out:
+                self.take(",")
+            out.append(self.choice())
+        return out
+
+    def prefix(self) -> Tree:
+        if self.met("not"):
+            return ("not", self.climb(_NOT))
+        for sign in "-+~":
+            if self.met(sign):
+                return (f"unary{sign}", self.climb(_SIGN))
+        return self.suffixes(self.primary())
+
+    def suffixes(self, tree: Tree) -> Tree:
+        while self.met("["):
+            tree = ("item", tree, self.choice())
+            self.take("]")
+        return tree
+
+    def primary(self) -> Tree:
+        t = self.take()
+        if t == "(":
+            tree = self.choice()
+            self.take(")")
+            return tree
+        if t == "[":
+            return ("array", self.list_until("]"))
+        if t in ("null", "none", "true", "false") or t[0] in "'0123456789" or t[0] == "." and len(t) > 1:
+            return ("literal", t)
+        if t == "case":
+            return self.case()
+        if t == "cast":
+            self.take("(")
+            value, kind = self.choice(), []
+            self.take("as")
+            depth = 1
+            while depth:
+                kind.append(self.take())
+                depth += (kind[-1] == "(") - (kind[-1] == ")")
+            return ("cast", value, " ".join(kind[:-1]))
+        if t in KEYWORDS or not re.match(r"[A-Za-z_`]", t):
+            raise ValueError(f"{t!r} is not a term")
+        if self.met("("):
+            return ("call", t, self.list_until(")"))
+        while self.met("."):
+            t += f".{self.take()}"
+        return ("name", t)
+
+    def case(self) -> Tree:
+        value = None if self.peek() == "when" else self.choice()
+        branches, other = [], ("literal", "null")
+        while self.met("when"):
+            condition = self.choice()
+            self.take("then")
+            branches.append((condition if value is None else ("=", value, condition), self.choice()))
+        if not branches:
+            raise ValueError("a case without a branch")
+        if self.met("else"):
+            other = self.choice()
+        self.take("end")
+        return ("case", branches, other)
+
+
+def _names(tree: Any) -> Iterator[str]:
+    if isinstance(tree, list) or isinstance(tree, tuple) and tree and isinstance(tree[0], tuple):
+        for x in tree:
+            yield from _names(x)
+    elif isinstance(tree, tuple) and tree:
+        if tree[0] == "name":
+            yield tree[1].strip("`")
+        elif tree[0] != "literal":
+            for x in tree[1:]:
+                yield from _names(x)
 
 
 def names_in(text: str) -> set[str]:
     """Column names an expression mentions."""
-    toks = _TOKEN.findall(text)
-    out = set()
-    for i, t in enumerate(toks):
-        if not re.match(r"[A-Za-z_`]", t) or t.lower() in KEYWORDS:
-            continue
-        if i + 1 < len(toks) and toks[i + 1] == "(":
-            continue
-        if i > 0 and toks[i - 1].lower() == "as" and t.lower() in SPARK_NAMES:
-            continue
-        out.add(t.strip("`"))
-    return out
+    return set(_names(_Parser(text).whole()))
 
 
 def checked(text: str, columns: Iterable[str]) -> Column:
     """The expression as a Column, or ValueError for an unknown name or function."""
-    toks = _TOKEN.findall(text)
-    if ";" in toks:
-        raise ValueError("an expression is a single term")
-    known = set(columns)
-    unknown = sorted(n for n in names_in(text) if n not in known and n.split(".")[0] not in known)
+    tree, known = _Parser(text).whole(), set(columns)
+    unknown = sorted(n for n in set(_names(tree)) if n not in known and n.split(".")[0] not in known)
     if unknown:
         raise ValueError(f"unknown names in expression: {unknown}")
-    return F.expr(" ".join(_terms(toks)))
-
-
-def _closing(toks: list[str], at: int) -> int:
-    """Where the parenthesis opened at ``at`` closes."""
-    depth = 0
-    for k in range(at, len(toks)):
-        depth += (toks[k] == "(") - (toks[k] == ")")
-        if depth == 0:
-            return k
-    raise ValueError("a parenthesis is not closed")
-
-
-def _arguments(toks: list[str]) -> list[str]:
-    parts, depth = [[]], 0
-    for t in toks:
-        depth += (t == "(") - (t == ")")
-        if t == "," and depth == 0:
-            parts.append([])
-        else:
-            parts[-1].append(t)
-    return [" ".join(_terms(p)) for p in parts] if toks else []
-
-
-def _terms(toks: list[str]) -> list[str]:
-    """The tokens with calls and groups folded to one term each, and ``**`` and ``//`` as functions."""
-    out, i = [], 0
-    while i < len(toks):
-        t = toks[i]
-        if i + 1 < len(toks) and toks[i + 1] == "(" and re.match(r"[A-Za-z_]", t) and t.lower() not in KEYWORDS:
-            name = t.lower()
-            if name not in FUNCTIONS and name not in SPARK_NAMES:
-                raise ValueError(f"function {t!r} is not allowed")
-            end = _closing(toks, i + 1)
-            args = _arguments(toks[i + 2 : end])
-            if name in _TERMS and len(args) != _ARITY[name]:
-                raise ValueError(f"{t} takes {_ARITY[name]} arguments")
-            # cast keeps its own syntax inside the parentheses
-            out.append(_TERMS[name].format(*[f"({a})" for a in args]) if name in _TERMS else f"{_RENAME.get(name, t)}({', '.join(args)})")
-            i = end + 1
-        elif t == "(":
-            end = _closing(toks, i)
-            out.append(f"({', '.join(_arguments(toks[i + 1 : end]))})")
-            i = end + 1
-        else:
-            out.append(t)
-            i += 1
-    return _floor_divisions(_powers(out))
-
-
-_ARITY = {"clip": 3, "softplus": 1, "isfinite": 1, "sum": 1}
-_OPERATORS = {"+", "-", "*", "/", "%", "<", ">", "=", "!", ",", "|", "&", "(", ")"} | set(KEYWORDS) - {"null", "true", "false", "end"}
-
-
-def _powers(terms: list[str]) -> list[str]:
-    """``a ** b``, right to left; it binds tighter than a sign on its left."""
-    for k in range(len(terms) - 3, 0, -1):
-        if terms[k : k + 2] == ["*", "*"] and k + 2 < len(terms):
-            end = k + 3 + (terms[k + 2] == "-")
-            terms = [*terms[: k - 1], f"power({terms[k - 1]}, {' '.join(terms[k + 2 : end])})", *terms[end:]]
-    return terms
-
-
-def _floor_divisions(terms: list[str]) -> list[str]:
-    """``a // b``, left to right, where ``a`` is the product before it."""
-    k = 1
-    while k + 2 < len(terms):
-        if terms[k : k + 2] == ["/", "/"]:
-            first = k - 1
-            while first >= 2 and terms[first - 1] in ("*", "/", "%"):
-                first -= 2
-            if first and terms[first - 1] == "-" and (first == 1 or terms[first - 2].lower() in _OPERATORS):
-                first -= 1
-            end = k + 3 + (terms[k + 2] == "-")
-            terms = [*terms[:first], f"floor(({' '.join(terms[first:k])}) / ({' '.join(terms[k + 2 : end])}))", *terms[end:]]
-            k = first
-        k += 1
-    return terms
+    return _column(tree)
+
+
+def _call(name: str, args: list[Column]) -> Column:
+    lower = name.lower()
+    if lower in _TERMS:
+        arity, build = _TERMS[lower]
+        if len(args) != arity:
+            raise ValueError(f"{name} takes {arity} arguments")
+        return build(*args)
+    if lower in ("min", "max"):
+        # of one list, or of several values
+        return (F.array_min if lower == "min" else F.array_max)(args[0]) if len(args) == 1 else (F.least if lower == "min" else F.greatest)(*args)
+    if lower not in FUNCTIONS and lower not in SPARK_NAMES:
+        raise ValueError(f"function {name!r} is not allowed")
+    return F.call_function(_RENAME.get(lower, lower), *args)
+
+
+def _column(tree: Tree) -> Column:
+    op, *rest = tree
+    if op == "literal":
+        # one token only: a number, a quoted text or a word that stands for itself
+        return F.expr("null" if rest[0] == "none" else rest[0])
+    if op == "name":
+        return F.col(rest[0])
+    if op == "call":
+        return _call(rest[0], [_column(a) for a in rest[1]])
+    if op == "case":
+        out = None
+        for condition, value in rest[0]:
+            out = (F if out is None else out).when(_column(condition), _column(value))
+        return out.otherwise(_column(rest[1]))
+    if op == "cast":
+        return _column(rest[0]).cast(rest[1])
+    if op == "in":
+        return _column(rest[0]).isin(*[_column(x) for x in rest[1]])
+    if op == "array":
+        return F.array(*[_column(x) for x in rest[0]])
+    args = [_column(x) for x in rest]
+    if op in _COMPARISONS:
+        return _COMPARISONS[op](*args)
+    if op in _OPERATIONS:
+        return _OPERATIONS[op](*args)
+    return {
+        "not": lambda a: ~a, "unary-": lambda a: -a, "unary+": lambda a: a, "unary~": F.bitwise_not, "isnull": lambda a: a.isNull(),
+        "within": lambda a, b: F.array_contains(b, a), "item": lambda a, b: a[b],
+    }[op](*args)
 
 
 def with_context(df: DataFrame, parameters: Mapping[str, float] | None = None, memory: Mapping[str, float] | None = None, time: float | None = None) -> DataFrame:
@@ -149,9 +290,9 @@ def with_context(df: DataFrame, parameters: Mapping[str, float] | None = None, m
 
 
 def dead_zone_sign(x: Column, eps: float = 0.0) -> Column:
+    """1, 0 or -1 with a band of ``eps`` around zero; null stays null."""
     if eps < 0:
         raise ValueError(f"the band around zero cannot be {eps}")
-    """1, 0 or -1 with a band of ``eps`` around zero; null stays null."""
     return F.when(x > eps, 1).when(x < -eps, -1).when(x.isNotNull(), 0)
 
 

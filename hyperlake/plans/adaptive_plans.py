@@ -94,6 +94,18 @@ def functions(spark, sf):
         e("floor(l_extendedprice / 7)").alias("whole"), r6(e("l_quantity % 7")).alias("rest"))
 
 
+@query("expression_operators", f"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity >= 25 AND l_tax <> 0.05 AS kept, floor(l_extendedprice / 7)::BIGINT * 2 AS floored, {q6('-(l_discount ** 2) + 2 ** -1')} AS power,
+ CASE WHEN l_quantity > 40 THEN 'many' WHEN l_quantity <= 5 THEN 'few' ELSE 'some' END AS size_class, 10 < l_quantity AND l_quantity <= 30 AS chained, l_returnflag NOT IN ('A', 'R') AS fresh,
+ CAST(l_quantity AS INT) // 4 AS quarters, l_returnflag || '-' || l_linestatus AS flags, l_shipdate IS NOT NULL AS known FROM lineitem""")
+def operators(spark, sf):
+    li = table(spark, sf, "lineitem")
+    e = lambda text: ex.checked(text, li.columns)
+    return li.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", e("l_quantity >= 25 and l_tax != 0.05d").alias("kept"), e("l_extendedprice // 7 * 2").alias("floored"), r6(e("-l_discount ** 2 + 2 ** -1")).alias("power"),
+        e("'many' if l_quantity > 40 else 'few' if l_quantity <= 5 else 'some'").alias("size_class"), e("10 < l_quantity <= 30").alias("chained"), e("l_returnflag not in ['A', 'R']").alias("fresh"),
+        e("cast(l_quantity as int) // 4").alias("quarters"), e("l_returnflag || '-' || l_linestatus").alias("flags"), e("l_shipdate is not None").alias("known"))
+
+
 @query("expression_dead_zone_sign", "SELECT c_custkey, CASE WHEN c_acctbal > 100 THEN 1 WHEN c_acctbal < -100 THEN -1 ELSE 0 END AS sign FROM customer")
 def sign(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", ex.dead_zone_sign(F.col("c_acctbal"), 100.0).alias("sign"))

@@ -51,6 +51,13 @@ def guard(spark, sf):
     return got.select(*COLS)
 
 
+@query("match_guard_comparisons", f"""WITH {SAME} SELECT {', '.join(COLS)} FROM same JOIN part ON v_p = 'P:' || p_partkey JOIN orders ON v_o = 'O:' || o_orderkey
+ WHERE floor(l_quantity / 3) >= floor(p_size / 2) AND o_orderstatus <> 'P' AND (p_size <= 20 OR NOT p_brand = 'Brand#12') AND l_quantity >= 2 AND l_quantity < p_retailprice AND (p_size - 25) ** 2 >= 1""")
+def comparisons(spark, sf):
+    text = "l__qty // 3 >= p__size // 2 and o__status <> 'P' and (p__size <= 20 or not p__brand == 'Brand#12') and p_low <= l__qty < p__price and (p__size - 25) ** 2 >= 1"
+    return mt.matches(graph(spark, sf), SAME_NATION, guard=text, parameters={"low": 2}).select(*COLS)
+
+
 @query("match_literals_any_and_variables", """SELECT 'P:' || p_partkey AS v_p, 'O:' || o_orderkey AS v_o, l_quantity AS b_q, p_brand AS b_brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
  WHERE p_size = 7 AND o_orderstatus = 'F' GROUP BY ALL""")
 def literals(spark, sf):

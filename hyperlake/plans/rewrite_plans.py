@@ -142,6 +142,16 @@ def activity(spark, sf):
     return rw.integrated_activity(rw.integrated_hazard(occ, TIMED, 1.0, 3.0)).withColumn("integral", r6("integral", 3))
 
 
+TIERED = Rule("tiered", LEFT, CANCEL.vertices, hazard="l__qty * (2 if o__status == 'F' else 1) if l__qty >= 10 else l__qty // 2", guard="l__discount <> 0 and l__qty != 7", bound="l__qty * 2")
+
+
+@query("rewrite_tiered_hazard", """SELECT 'O:' || l_orderkey AS v_o, count(*) AS n, sum(CASE WHEN l_quantity >= 10 THEN l_quantity * CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END ELSE floor(l_quantity / 2) END)::DOUBLE AS activity
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_discount <> 0 AND l_quantity <> 7 GROUP BY l_orderkey""")
+def tiered(spark, sf):
+    occ = rw.occurrences(graph(spark, sf), TIERED)
+    return occ.groupBy("v_o").agg(F.count(F.lit(1)).alias("n"), F.sum("hazard").alias("activity"))
+
+
 @query("rewrite_outputs", f"WITH {OCC} SELECT 'ledger' AS handle_id, 'refund' AS event_type, v_o AS order_id, {q6('l_extendedprice', 2)} AS amount FROM occ")
 def outputs(spark, sf):
     got = rw.outputs(rw.occurrences(graph(spark, sf), CANCEL), CANCEL, {"ledger": "output"})
