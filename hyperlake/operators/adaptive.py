@@ -51,17 +51,21 @@ def linear_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], log_de
     return joined.withColumn(out, z).drop("_blk", "_x", "_s", "_in")
 
 
-def eligibility_trace(df: DataFrame, keys: Sequence[str], t: str, impulse: str, tau: float, out: str = "trace", initial: float = 0.0) -> DataFrame:
-    """z <- z * exp(-dt / tau) + impulse, evaluated at every event of a key."""
+def eligibility_trace(df: DataFrame, keys: Sequence[str], t: str, impulse: str, tau: float, out: str = "trace", initial: float = 0.0, ties: Sequence[str] = ()) -> DataFrame:
+    """z <- z * exp(-dt / tau) + impulse, evaluated at every event of a key.
+
+    Events at one time follow in the order of ``ties``, then of the impulse, so running values are the same in every run.
+    """
     if not tau > 0:
         raise ValueError("tau must be positive")
+    order = [t, *ties, impulse]
     first = df.groupBy(*keys).agg(F.min(t).alias("_t0"))
     base = df.join(first, list(keys)).withColumn("_g", (F.col(t) - F.col("_t0")) / tau)
     if initial:
-        got = linear_scan(base, keys, [t], "_g", impulse, out)
+        got = linear_scan(base, keys, order, "_g", impulse, out)
         got = got.withColumn(out, F.col(out) + F.lit(initial) * F.exp(-F.col("_g")))
     else:
-        got = linear_scan(base, keys, [t], "_g", impulse, out)
+        got = linear_scan(base, keys, order, "_g", impulse, out)
     return got.drop("_t0", "_g")
 
 

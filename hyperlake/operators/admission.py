@@ -55,8 +55,15 @@ def missing_dependencies(messages: DataFrame, components: DataFrame) -> DataFram
 
 
 def fidelity_reason(messages: DataFrame, fidelity: DataFrame) -> DataFrame:
-    """Verification of each message's artifact: runner_passed or why not."""
-    f = fidelity.select("name", "passed", "suite_hash", "exit_code", "outcome")
+    """Verification of each message's artifact: runner_passed or why not.
+
+    Of several facts of one name the worst counts (undecided, then failed, then passed), of equal ones the one with the
+    greater suite hash, so that a message gets one reason whatever the order of the rows.
+    """
+    failed = ~F.coalesce("passed", F.lit(False)) | ~F.col("outcome").eqNullSafe(F.lit("pass")) | ~F.col("exit_code").eqNullSafe(F.lit(0))
+    badness = F.when(F.col("outcome").isin(*UNDECIDED), 2).when(failed, 1).otherwise(0)
+    facts = F.struct(badness.alias("badness"), "suite_hash", "outcome", "exit_code", "passed")
+    f = fidelity.groupBy("name").agg(F.max(facts).alias("f")).select("name", "f.passed", "f.suite_hash", "f.exit_code", "f.outcome")
     j = messages.join(f, "name", "left")
     outcome = F.create_map(*[x for k, v in UNDECIDED.items() for x in (F.lit(k), F.lit(v))])[F.col("outcome")]
     reason = (
@@ -220,7 +227,10 @@ def admission_preview(triples: DataFrame, proposals: DataFrame, content: DataFra
     """
     props = {"name": ns + "name", "component": ns + "component", "module_digest": ns + "moduleDigest", "evidence_digest": ns + "evidenceDigest"}
     p = pivot_properties(triples, props, proposals.select(F.col("proposal").alias("s"))).withColumnRenamed("s", "proposal")
-    p = p.join(proposals, "proposal").join(content, "proposal", "left")
+    # contents of one proposal that differ cannot both be its exact bytes
+    one = lambda c: F.when(F.count_distinct(c) == 1, F.max(c)).alias(c)
+    content = content.groupBy("proposal").agg(one("module_sha256"), one("evidence_sha256"))
+    p = p.join(proposals.distinct(), "proposal").join(content, "proposal", "left")
     members = triples.filter(F.col("p") == PROV + "hadMember").select(F.col("s").alias("cell"), F.col("o").alias("member"))
     names = triples.filter(F.col("p") == ns + "name").select(F.col("s").alias("member"), F.col("o").alias("name"))
     taken = members.join(names, "member").select("cell", "name").distinct().withColumn("_taken", F.lit(True))

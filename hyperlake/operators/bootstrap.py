@@ -47,8 +47,10 @@ def draw_means(
 
     ``strata`` resamples inside each stratum and pools the draws.  ``index``
     draws exactly n units with replacement.  ``poisson`` weights each unit with
-    a hashed Poisson(1) count; it needs no join, suits unit tables of many
-    millions of rows and agrees with ``index`` in distribution as n grows.
+    a hashed Poisson(1) count (at most 11, which a unit exceeds once in 1e9
+    draws); it needs no join, suits unit tables of many millions of rows and
+    agrees with ``index`` in distribution as n grows.  A draw in which every unit
+    of a group has weight 0 is empty: its mean is null and intervals leave it out.
     """
     keys, strata = list(keys), list(strata)
     cell = keys + strata
@@ -67,7 +69,7 @@ def draw_means(
             p /= k
         return (
             w.withColumn("_w", weight).groupBy(*keys, "draw")
-            .agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("draw_mean"))
+            .agg(F.try_divide(F.sum(F.col("_w") * F.col("_v")), F.sum("_w")).alias("draw_mean"))
         )
     placed = positions(units, cell, order)
     picks = placed.select(*cell, "n", "pos").withColumn("draw", ladder)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import ordered
@@ -207,10 +207,14 @@ def explosion_check(events: DataFrame, window: float, limit: int, keys: Sequence
     """Events with more than ``limit`` events in the trailing window ending at them.
 
     Per key, more than ``limit`` events in the window means the event ``limit``
-    places earlier is at most ``window`` older, so the check compares row numbers
-    and needs no growing window frame.
+    places earlier is at most ``window`` older: one lag, and row numbers where a
+    key is so hot that it is split.
     """
-    n = ordered.scan(events.select(*keys, "event_index", "t"), keys, ["event_index"], {"_rn": rnumber()})
+    rows = ordered.measured(events.select(*keys, "event_index", "t"), keys, "event_index")
+    if ordered.CHUNK not in rows.columns:
+        back = F.lag("t", limit).over(Window.partitionBy(*keys).orderBy("event_index"))
+        return ordered.unmarked(rows).withColumn("_t0", back).filter(F.col("t") - F.col("_t0") <= window).select(*keys, "event_index", "t")
+    n = ordered.unmarked(ordered.scan(rows, keys, ["event_index"], {"_rn": rnumber()}))
     earlier = n.select(*keys, (F.col("_rn") + limit).alias("_rn"), F.col("t").alias("_t0"))
     hit = n.join(earlier, [*keys, "_rn"]).filter(F.col("t") - F.col("_t0") <= window)
     return hit.select(*keys, "event_index", "t")
@@ -265,7 +269,10 @@ def weighted_select(items: DataFrame, draws: DataFrame, keys: Sequence[str], ite
 
 
 def selection_probability(occurrences: DataFrame, rate: str = "hazard", rule: str = "rule_id", keys: Sequence[str] = ()) -> DataFrame:
-    """Rate over the rule's activity and over the total, from two grouped totals."""
+    """Rate over the rule's activity and over the total, from two grouped totals.
+
+    A rule, or all rules of a key, without any activity cannot be chosen from: the probability is null.
+    """
     rules = occurrences.groupBy(*keys, rule).agg(F.sum(rate).alias("rule_activity"))
     total = rules.groupBy(*keys).agg(F.sum("rule_activity").alias("total_activity"))
     if keys:
@@ -273,7 +280,7 @@ def selection_probability(occurrences: DataFrame, rate: str = "hazard", rule: st
     else:
         rules = rules.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k").drop("_k")
     got = occurrences.join(rules, [*keys, rule])
-    return got.withColumns({"p_in_rule": F.col(rate) / F.col("rule_activity"), "p_overall": F.col(rate) / F.col("total_activity")})
+    return got.withColumns({"p_in_rule": F.try_divide(rate, "rule_activity"), "p_overall": F.try_divide(rate, "total_activity")})
 
 
 def activity(occurrences: DataFrame, rate: str = "hazard", rule: str = "rule_id") -> DataFrame:

@@ -162,17 +162,20 @@ def loso(errors: DataFrame, grid: Sequence[float] = GRID, predictive: DataFrame
     """Leave one scenario out: select alpha on the others, score on the held-out one.
 
     (sum - x) / (n - 1) needs only the cell totals, so no scenario pair is formed.
+    A scenario with no other one in its cell, or no alpha with a predictive error,
+    has nothing to select by: its row has a null alpha and a ``problem``.
     """
     e = on_grid(errors, grid)
     cell = ["estimand", "regime", "alpha"]
     totals = e.groupBy(*cell).agg(F.sum("abs_error").alias("_s"), F.count("abs_error").alias("_n"))
-    held = e.join(totals, cell).withColumn("_loo", (F.col("_s") - F.col("abs_error")) / (F.col("_n") - 1))
+    held = e.join(totals, cell).withColumn("_loo", F.try_divide(F.col("_s") - F.col("abs_error"), F.col("_n") - 1))
     if predictive is not None:
-        held = held.join(predictive.select("alpha", "nmae"), "alpha").withColumn("_loo", F.col("_loo") + F.lit(lam) * F.col("nmae"))
-    best = F.min(F.struct("_loo", "alpha", "abs_error", "oracle_effect"))
-    return held.groupBy("estimand", "regime", "scenario").agg(best.alias("_b")).select(
-        "estimand", "regime", "scenario", F.col("_b.alpha").alias("alpha"), F.col("_b.abs_error").alias("abs_error"),
-        F.col("_b.oracle_effect").alias("oracle_effect"),
+        held = held.join(predictive.select("alpha", "nmae"), "alpha", "left").withColumn("_loo", F.col("_loo") + F.lit(lam) * F.col("nmae"))
+    best = F.min(F.when(F.col("_loo").isNotNull(), F.struct("_loo", "alpha", "abs_error", "oracle_effect")))
+    lone = F.max("_n") < 2
+    return held.groupBy("estimand", "regime", "scenario").agg(best.alias("_b"), lone.alias("_lone")).select(
+        "estimand", "regime", "scenario", F.col("_b.alpha").alias("alpha"), F.col("_b.abs_error").alias("abs_error"), F.col("_b.oracle_effect").alias("oracle_effect"),
+        F.when(F.col("_b").isNull(), F.when(F.col("_lone"), "no_other_scenario").otherwise("no_predictive_error")).alias("problem"),
     )
 
 
@@ -186,7 +189,10 @@ def oracle_cell_errors(errors: DataFrame, grid: Sequence[float] = GRID) -> DataF
 
 
 def trust_grid(errors: DataFrame, predictive: DataFrame | None = None, weight: float = 0.0, keys: Sequence[str] = ("estimand",)) -> DataFrame:
-    """Per alpha: error overall, per regime and in the worst regime, plus the objective."""
+    """Per alpha: error overall, per regime and in the worst regime, plus the objective.
+
+    An alpha without a predictive error keeps its row; its objective is null and it is not selected.
+    """
     keys = list(keys)
     per = errors.groupBy(*keys, "alpha", "regime").agg(F.sum("abs_error").alias("_s"), F.count("abs_error").alias("_n"), F.avg("abs_error").alias("_m"))
     got = per.groupBy(*keys, "alpha").agg(
@@ -194,14 +200,17 @@ def trust_grid(errors: DataFrame, predictive: DataFrame | None = None, weight: f
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("regime", "_m")))).alias("regime_mae"),
     )
     got = got.withColumn("predictive_nmae", F.lit(0.0)) if predictive is None else got.join(
-        predictive.select("alpha", F.col("nmae").alias("predictive_nmae")), "alpha"
+        predictive.select("alpha", F.col("nmae").alias("predictive_nmae")), "alpha", "left"
     )
     return got.withColumn("objective", F.col("intervention_effect_mae") + F.lit(float(weight)) * F.col("predictive_nmae"))
 
 
 def trust_grid_selection(grid: DataFrame, by: Sequence[str] = ("objective", "intervention_effect_mae", "predictive_nmae"), keys: Sequence[str] = ("estimand",)) -> DataFrame:
     """The alpha that minimises ``by`` in order, earlier alphas first on full ties."""
-    return grid.groupBy(*keys).agg(F.min(F.struct(*by, "alpha")).alias("_b")).select(
+    whole = F.lit(True)
+    for c in by:
+        whole = whole & F.col(c).isNotNull()
+    return grid.groupBy(*keys).agg(F.min(F.when(whole, F.struct(*by, "alpha"))).alias("_b")).select(
         *keys, F.col("_b.alpha").alias("alpha"), *[F.col(f"_b.{c}").alias(c) for c in by]
     )
 

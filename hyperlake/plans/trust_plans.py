@@ -142,7 +142,7 @@ def global_alpha(spark, sf):
 SELECT estimand, regime, scenario, alpha, {q6('abs_error')} AS abs_error, {q6('oracle_effect')} AS oracle_effect
 FROM (SELECT *, row_number() OVER (PARTITION BY estimand, regime, scenario ORDER BY loo, alpha) AS rn FROM h) WHERE rn = 1""")
 def loso(spark, sf):
-    return rounded(tr.loso(errors(spark, sf)), "abs_error", "oracle_effect")
+    return rounded(tr.loso(errors(spark, sf)).drop("problem"), "abs_error", "oracle_effect")
 
 
 @query("trust_best_alpha_per_scenario", f"""WITH {EFFECTS} SELECT estimand, regime, scenario, alpha, {q6('abs_error')} AS abs_error, {q6('oracle_effect')} AS oracle_effect

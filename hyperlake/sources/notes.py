@@ -84,4 +84,6 @@ def claim_notes(claims: DataFrame) -> DataFrame:
 
 
 def write_claim_notes(claims: DataFrame, path: str) -> None:
-    claim_notes(claims).select("status", "value").write.mode("append").partitionBy("status").text(path)
+    """One folder of notes for each status; a rerun replaces the folders of the statuses it writes and leaves the others."""
+    notes = claim_notes(claims).select("status", "value")
+    notes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("status").text(path)

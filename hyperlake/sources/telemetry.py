@@ -152,7 +152,7 @@ def parse_native_scheduler(lines: DataFrame, column: str = "value", line_no: str
         from .. import ordered
 
         # only the numbers are ordered, not the lines; lines of one number share their index
-        numbers = ordered.scan(lines.select(line_no).distinct(), [], [line_no], {"_i": ordered.rnumber()})
+        numbers = ordered.scan(df.select(line_no).distinct(), [], [line_no], {"_i": ordered.rnumber()})
         df = df.join(numbers, line_no)
         t = F.coalesce(t, F.lit(float(start_time_s)) + (F.col("_i") - 1) * F.lit(float(period_s)))
     df = df.withColumn("time_s", t)
