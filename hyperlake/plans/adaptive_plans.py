@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
 from ..operators import adaptive as ad
+from ..operators import outage as outages
 from .data import q6, r6, table
 from .event_data import BASE, WHOLE, base, whole_log
 from .registry import query
@@ -83,6 +84,26 @@ def scheduled(spark, sf):
     return got.select("user_id", "event_id", r6("rate").alias("rate"), r6("gain").alias("gain"))
 
 
+#: availability between the two bounds for most rows: high and low spells with some noise, a few rows at the bounds
+SPELLS = f"""{BASE}, spell AS (SELECT user_id, t, event_id, CASE WHEN event_id % 97 = 0 THEN 0.0 WHEN event_id % 89 = 0 THEN 1.0 ELSE CASE WHEN floor(t / 432000)::BIGINT % 2 = 0 THEN 0.92 ELSE 0.58 END + (event_id % 10) / 200 END AS x,
+  row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM base),
+ heads AS (SELECT a.user_id, a.n, any_value(a.x) AS x, any_value(a.t) AS t, any_value(a.event_id) AS event_id, avg(b.x) FILTER (b.n <= greatest(1, a.n // 2)) AS m FROM spell a JOIN spell b ON b.user_id = a.user_id AND b.n <= a.n GROUP BY a.user_id, a.n),
+ runs AS (SELECT h.user_id, h.n, b.n AS j, sum(h.m - 0.15 - b.x) OVER (PARTITION BY h.user_id, h.n ORDER BY b.n) AS p FROM heads h JOIN spell b ON b.user_id = h.user_id AND b.n <= h.n),
+ drops AS (SELECT user_id, n, max(d) AS cusum FROM (SELECT user_id, n, p - least(0, min(p) OVER (PARTITION BY user_id, n ORDER BY j)) AS d FROM runs) GROUP BY user_id, n),
+ avail AS (SELECT h.*, CASE WHEN x <= 0 THEN false WHEN x >= 0.99 THEN true WHEN x < 0.45 THEN false ELSE cusum <= 1.25 END AS available FROM heads h JOIN drops USING (user_id, n))"""
+
+
+def spells(b):
+    """The same series from a table or a stream of events."""
+    spell = F.when(F.floor(F.col("t") / 432000) % 2 == 0, 0.92).otherwise(0.58) + (F.col("event_id") % 10) / 200
+    return b.select("user_id", "t", "event_id", F.when(F.col("event_id") % 97 == 0, 0.0).when(F.col("event_id") % 89 == 0, 1.0).otherwise(spell).alias("x"))
+
+
+@query("adaptive_outage_prefix", f"WITH {SPELLS} SELECT user_id, event_id, available FROM avail")
+def outage_prefix(spark, sf):
+    return outages.outage_prefix(spells(base(spark, sf)), K, O, "x").select("user_id", "event_id", "available")
+
+
 @query("expression_functions", f"""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {q6('least(greatest(l_quantity, 10), 20)')} AS clipped, {q6('ln(1 + exp(l_discount))')} AS soft, round_even(l_extendedprice / 1000, 0)::DOUBLE AS rounded,
  l_tax BETWEEN 0.02 AND 0.05 AND l_returnflag IN ('A', 'N') AS chosen, {q6('CASE WHEN l_quantity > 25 THEN tanh(l_discount) ELSE sqrt(l_tax) END')} AS branch, floor(l_extendedprice / 7)::BIGINT AS whole, {q6('l_quantity % 7')} AS rest FROM lineitem""")
 def functions(spark, sf):

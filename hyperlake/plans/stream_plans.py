@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import cut, shared_dir
 from ..streaming import stateful as st
-from .adaptive_plans import SERIES
+from .adaptive_plans import SERIES, SPELLS, spells
 from .data import q6, r6
-from .event_data import BASE, EPOCH
+from .event_data import BASE, EPOCH, base
 from .eventlog_plans import STOCK
 from .registry import query
 
@@ -59,6 +60,40 @@ def outage(spark, sf):
     return drained(spark, st.outage(s, ["user_id"], ["t", "event_id"], "x")).withColumn("t", r6("t"))
 
 
+@query("stream_outage_prefix", f"""WITH {SPELLS}, l AS (SELECT *, lag(available) OVER (PARTITION BY user_id ORDER BY n) AS was FROM avail) SELECT user_id, {q6('t')} AS t, available FROM l WHERE was IS NULL OR was <> available""")
+def outage_prefix(spark, sf):
+    return drained(spark, st.outage(spells(stream(spark, sf)), ["user_id"], ["t", "event_id"], "x")).withColumn("t", r6("t"))
+
+
+#: three micro-batches; an event of every 13th user comes again in the next one, and one of every 11th comes a batch too late
+LATE = f"""{BASE}, m AS (SELECT *, CASE WHEN t < 864000 THEN 0 WHEN t < 1728000 THEN 1 ELSE 2 END AS own, row_number() OVER (PARTITION BY user_id, CASE WHEN t < 864000 THEN 0 WHEN t < 1728000 THEN 1 ELSE 2 END ORDER BY t DESC, event_id DESC) AS back FROM base),
+ sent AS (SELECT user_id, event_id, t, own + CASE WHEN user_id % 11 = 3 AND back = 1 AND own < 2 THEN 1 ELSE 0 END AS batch, 0 AS again FROM m
+   UNION ALL SELECT user_id, event_id, t, own + 1, 1 FROM m WHERE user_id % 13 = 5 AND back = 2 AND own < 2)"""
+
+
+@query("stream_ingest_over_batches", f"""WITH RECURSIVE {LATE}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY batch, t, again, event_id) AS n FROM sent),
+ w AS (SELECT user_id, n, 0::BIGINT AS dummy, event_id, t AS last, 'accepted' AS status, [event_id] AS ids FROM o WHERE n = 1
+   UNION ALL SELECT o.user_id, o.n, 0, o.event_id, CASE WHEN list_contains(ids, o.event_id) OR o.t < last THEN last ELSE o.t END,
+     CASE WHEN list_contains(ids, o.event_id) THEN 'duplicate' WHEN o.t < last THEN 'late' ELSE 'accepted' END,
+     CASE WHEN list_contains(ids, o.event_id) OR o.t < last THEN ids ELSE list_append(ids, o.event_id) END FROM w JOIN o ON o.user_id = w.user_id AND o.n = w.n + 1)
+SELECT user_id AS run_id, event_id::VARCHAR AS event_id, status, count(*) AS n FROM w GROUP BY ALL""")
+def ingest_over_batches(spark, sf):
+    """Events in three micro-batches, with events that come late and events that come twice, batches apart."""
+    b = base(spark, sf)
+    own = F.when(F.col("t") < 864000, 0).when(F.col("t") < 1728000, 1).otherwise(2)
+    back = F.row_number().over(Window.partitionBy("user_id", "own").orderBy(F.desc("t"), F.desc("event_id")))
+    m = b.withColumn("own", own).withColumn("back", back)
+    late = (F.col("user_id") % 11 == 3) & (F.col("back") == 1) & (F.col("own") < 2)
+    first = m.select("user_id", "event_id", "t", (F.col("own") + late.cast("int")).alias("batch"), F.lit(0).alias("again"))
+    again = m.filter("user_id % 13 = 5 and back = 2 and own < 2").select("user_id", "event_id", "t", (F.col("own") + 1).alias("batch"), F.lit(1).alias("again"))
+    sent = cut(first.union(again).select(F.col("user_id").alias("run_id"), "event_id", "t", F.col("again").alias("namespace"), F.col("event_id").alias("sequence"), "batch"))
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for k in range(3):
+        sent.filter(F.col("batch") == k).write.mode("append").parquet(f"{path}/in")
+        out = st.drain(st.ordered_ingest(spark.readStream.schema(sent.schema).parquet(f"{path}/in")), f"{path}/out")
+    return out.groupBy("run_id", "event_id", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("stream_inventory", f"WITH RECURSIVE {STOCK} SELECT sku, event_id, status, a + r AS on_hand, r AS reserved FROM st WHERE n > 0")
 def inventory(spark, sf):
     kind = F.when(F.col("event_type") == "signup", "receive").when(F.col("event_type") == "purchase", "reserve").when(F.col("event_type") == "error", "release")

@@ -1,81 +1,135 @@
 """Keyed streaming operators and their sinks.
 
-Each operator folds the rows of a key in (t, sequence) order and keeps a small
-state row per key.  Rows of one micro-batch arrive unordered and are sorted
-before folding; rows that are late across batches are the business of
-:func:`ordered_ingest`.
+Each operator folds the rows of a key in (t, sequence) order and keeps its state in the state store: one small value for
+each key, and maps with an entry of their own for everything that grows.  Rows of a key arrive in a micro-batch unordered
+and in pieces of an Arrow batch.  One piece is sorted in memory; when there are more, sorted pieces are spooled to a map
+in the state store and merged from there, so no micro-batch of a key is ever gathered.  Rows that are late across batches
+are the business of :func:`ordered_ingest`.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators import outage as outages
 from ..operators.adaptive import CUSUM_H, CUSUM_K, DROP_THRESHOLD, EMA_ALPHA, UP_LEVEL
 
-Step = Callable[[tuple, object], tuple[tuple, tuple | None]]
+Step = Callable[[tuple, Any, dict[str, Any]], tuple[tuple, tuple | None]]
+#: rows of output handed on at a time, and rows of a spooled piece read ahead
+OUT, AHEAD = 4096, 64
+
+
+class _Fold(StatefulProcessor):
+    """``step`` over the ordered rows of a key."""
+
+    def __init__(self, order: list[str], rows: str, names: list[str], state: str, initial: tuple, step: Step, maps: dict[str, tuple[str, str]]) -> None:
+        self.order, self.rows, self.names, self.state, self.initial, self.step, self.maps = order, rows, names, state, initial, step, maps
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("value", self.state)
+        self.kept = {name: handle.getMapState(name, *kinds) for name, kinds in self.maps.items()}
+        self.spool = handle.getMapState("spool", "piece INT, block INT", "rows STRING")
+
+    def _spooled(self, piece: int, blocks: int) -> Iterator[tuple]:
+        for block in range(blocks):
+            (text,) = self.spool.getValue((piece, block))
+            self.spool.removeKey((piece, block))
+            yield from (tuple(r) for r in json.loads(text))
+
+    def _ordered(self, frames: Iterator[pd.DataFrame], row: Any) -> Iterator[Any]:
+        """All rows in order: from memory if they are one piece, else merged from the spool."""
+        make = lambda r: row(*[None if v is None or v is pd.NaT or v != v else v for v in r])
+        # Spark gives columns whose names are no Python names others
+        frames = (f.set_axis(self.rows.split(","), axis=1).sort_values(self.order, kind="stable") for f in frames)
+        first, second = next(frames), next(frames, None)
+        if second is None:
+            yield from map(make, first.itertuples(index=False, name=None))
+            return
+        places = [list(first.columns).index(o) for o in self.order]
+        pieces, frame, waiting = [], first, second
+        while frame is not None:
+            blocks = -(-len(frame) // AHEAD)
+            for block in range(blocks):
+                part = frame.iloc[block * AHEAD : (block + 1) * AHEAD].astype(object)
+                self.spool.updateValue((len(pieces), block), (json.dumps([[None if v != v else v for v in r] for r in part.itertuples(index=False, name=None)], default=str),))
+            pieces.append(blocks)
+            frame, waiting = waiting, next(frames, None)
+        merged = heapq.merge(*[self._spooled(p, n) for p, n in enumerate(pieces)], key=lambda r: tuple((r[i] is not None, r[i]) for i in places))
+        yield from map(make, merged)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        from collections import namedtuple
+
+        key = tuple(key)
+        current = tuple(self.value.get()) if self.value.exists() else self.initial
+        out: list[tuple] = []
+        for r in self._ordered(rows, namedtuple("Row", self.rows.split(","), rename=True)):
+            current, made = self.step(current, r, self.kept)
+            if made is not None:
+                out.append((*key, *made))
+                if len(out) == OUT:
+                    yield pd.DataFrame(out, columns=self.names)
+                    out = []
+        self.value.update(current)
+        yield pd.DataFrame(out, columns=self.names)
+
+    def close(self) -> None:
+        pass
 
 
 def fold(
-    stream: DataFrame, keys: Sequence[str], order: Sequence[str], output: str, state: str, initial: tuple, step: Step,
-    load: Callable[[tuple], tuple] = tuple, dump: Callable[[tuple], tuple] = tuple,
+    stream: DataFrame, keys: Sequence[str], order: Sequence[str], output: str, state: str, initial: tuple, step: Step, maps: dict[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
-    """Apply ``step(state, row) -> (state, output or None)`` to every row of a key in order.
+    """Apply ``step(state, row, maps) -> (state, output or None)`` to every row of a key in order.
 
-    ``output`` and ``state`` are DDL schemas; the key columns are put in front of
-    the output.  ``load`` and ``dump`` turn the stored state into the one ``step``
-    works on and back, once for each key and micro-batch, not for each row.
+    ``output`` and ``state`` are DDL schemas; the key columns are put in front of the output.  ``maps`` names maps of the
+    key (schemas of their keys and values), which ``step`` reads and writes entry by entry.  Columns are numbers or
+    text.  The session's state store is set to RocksDB, which the maps need.
     """
     keys, order = list(keys), list(order)
     types = dict(stream.dtypes)
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + [output])
-    names = [c.strip().split(" ")[0] for c in output.split(",")]
-
-    def run(key: tuple, frames, group: GroupState):
-        current = load(tuple(group.get if group.exists else initial))
-        rows = []
-        batch = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable")
-        for row in batch.itertuples(index=False):
-            current, out = step(current, row)
-            if out is not None:
-                rows.append((*key, *out))
-        group.update(dump(current))
-        yield pd.DataFrame(rows, columns=[*keys, *names])
-
-    return stream.groupBy(*keys).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
+    names = [*keys, *[c.strip().split(" ")[0] for c in output.split(",")]]
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    processor = _Fold(order, ",".join(stream.columns), names, state, initial, step, maps or {})
+    return stream.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None")
 
 
 def ordered_ingest(stream: DataFrame, keys: Sequence[str] = ("run_id",), keep_seconds: float | None = None) -> DataFrame:
     """accepted, late or duplicate for every event of a run.
 
     An event earlier than the run's current time is late; an id accepted before is a
-    duplicate, however long ago.  The state of a run is its clock and its accepted ids;
-    ``keep_seconds`` is an explicit choice to forget ids that are older than that and
-    to take them as new again.  Needs t, namespace, sequence, event_id.
+    duplicate, however long ago.  The state of a run is its clock and a map with an
+    entry for each accepted id, of which an event reads one; ``keep_seconds`` is an
+    explicit choice to forget ids that are older than that and to take them as new
+    again.  Needs t, namespace, sequence, event_id.
     """
-    def step(s: tuple, r) -> tuple:
-        last, ids = s
-        ident = str(r.event_id)
-        if ident in ids and (keep_seconds is None or ids[ident] >= r.t - keep_seconds):
-            return s, (ident, float(r.t), "duplicate")
-        if r.t < last:
-            return s, (ident, float(r.t), "late")
-        ids[ident] = float(r.t)
-        return (float(r.t), ids), (ident, float(r.t), "accepted")
-
-    def dump(s: tuple) -> tuple:
-        kept = s[1] if keep_seconds is None else {i: t for i, t in s[1].items() if t >= s[0] - keep_seconds}
-        return s[0], json.dumps(kept)
+    def step(s: tuple, r, maps: dict[str, Any]) -> tuple:
+        (last, swept), ids, ident, t = s, maps["ids"], str(r.event_id), float(r.t)
+        known = ids.getValue((ident,))
+        if known is not None and (keep_seconds is None or known[0] >= t - keep_seconds):
+            return s, (ident, t, "duplicate")
+        if t < last:
+            return s, (ident, t, "late")
+        ids.updateValue((ident,), (t,))
+        if keep_seconds is not None and t - swept > keep_seconds:
+            # once in a while what is too old is removed, entry by entry
+            for (old,) in [k for k, v in ids.iterator() if v[0] < t - keep_seconds]:
+                ids.removeKey((old,))
+            swept = t
+        return (t, swept), (ident, t, "accepted")
 
     return fold(
-        stream, keys, ["t", "namespace", "sequence"], "event_id STRING, t DOUBLE, status STRING", "last DOUBLE, ids STRING", (-math.inf, "{}"), step,
-        lambda s: (s[0], json.loads(s[1])), dump,
+        stream, keys, ["t", "namespace", "sequence"], "event_id STRING, t DOUBLE, status STRING", "last DOUBLE, swept DOUBLE", (-math.inf, -math.inf), step, {"ids": ("event_id STRING", "t DOUBLE")},
     )
 
 
@@ -84,7 +138,7 @@ def handle_state(stream: DataFrame, immutable: Sequence[str] = (), keys: Sequenc
 
     Needs t, sequence, mode (merge, replace, signal_only) and payload (JSON object).
     """
-    def step(s: tuple, r) -> tuple:
+    def step(s: tuple, r, _: dict[str, Any]) -> tuple:
         before = json.loads(s[0])
         payload = json.loads(r.payload)
         if r.mode == "signal_only":
@@ -104,7 +158,7 @@ def statistics(stream: DataFrame, keys: Sequence[str], order: Sequence[str], val
     """EMA, eligibility trace and Robbins-Monro estimate after every row."""
     t = order[0]
 
-    def step(s: tuple, r) -> tuple:
+    def step(s: tuple, r, _: dict[str, Any]) -> tuple:
         n, last, ema, trace, theta = s
         x, now = float(getattr(r, value)), float(getattr(r, t))
         ema = x if n == 0 else alpha * x + (1 - alpha) * ema
@@ -135,26 +189,32 @@ def infer_outage(values: Sequence[float], drop: float = DROP_THRESHOLD, k: float
 
 
 def outage(stream: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
-    """Availability transitions only.
+    """Availability transitions only, by :mod:`hyperlake.operators.outage` over every prefix.
 
-    The detector compares with the mean of the first half of the whole series, so
-    the series of a key is its state; inputs are expected per cell and study.
+    The detector compares with the mean of the first half of all rows so far, so prefix sums from that half on are kept,
+    each an entry of a map of which a row reads one and removes one.  The rest of the state are hulls, one map entry for
+    each power of two of rows.
     """
-    def step(s: tuple, r) -> tuple:
-        series, was = s
-        series.append(float(getattr(r, value)))
-        now = infer_outage(series)
+    def step(s: tuple, r, maps: dict[str, Any]) -> tuple:
+        n, total, was = s
+        x = float(getattr(r, value))
+        n, total = n + 1, total + x
+        maps["sums"].updateValue((n,), (total,))
+        half = max(1, n // 2)
+        (before,) = maps["sums"].getValue((half,))
+        if n > 2 and n % 2 == 0:
+            maps["sums"].removeKey((half - 1,))
+        now = outages.add_row(n, total, x, before / half, maps["hulls"])
         state = "up" if now else "down"
-        return (series, state), ((float(getattr(r, order[0])), now) if state != was else None)
+        return (n, total, state), ((float(getattr(r, order[0])), now) if state != was else None)
 
-    return fold(
-        stream, keys, order, "t DOUBLE, available BOOLEAN", "series STRING, was STRING", ("[]", ""), step, lambda s: (json.loads(s[0]), s[1]), lambda s: (json.dumps(s[0]), s[1]),
-    )
+    kept = {"sums": ("n BIGINT", "total DOUBLE"), "hulls": ("level INT", "hulls STRING")}
+    return fold(stream, keys, order, "t DOUBLE, available BOOLEAN", "n BIGINT, total DOUBLE, was STRING", (0, 0.0, ""), step, kept)
 
 
 def inventory(stream: DataFrame, keys: Sequence[str] = ("sku",), order: Sequence[str] = ("t", "event_id")) -> DataFrame:
     """Stock ledger with rejections: event_id, status, on_hand, reserved."""
-    def step(s: tuple, r) -> tuple:
+    def step(s: tuple, r, _: dict[str, Any]) -> tuple:
         free, held = s
         q = int(r.quantity)
         ok = r.kind == "receive" or (r.kind == "reserve" and q <= free) or (r.kind == "release" and q <= held)
@@ -173,16 +233,16 @@ def scheduled(stream: DataFrame, names: dict[str, float], keys: Sequence[str] =
     """
     order = list(names)
 
-    def step(s: tuple, r) -> tuple:
+    def step(s: tuple, r, _: dict[str, Any]) -> tuple:
         now = json.loads(s[0])
         if r.parameter is not None and r.parameter == r.parameter and r.parameter in now:
             now[r.parameter] = float(r.value)
             return (json.dumps(now),), None
         return s, (int(r.event_id), *[now[n] for n in order])
 
-    marked = stream.withColumn("_late", F.col("parameter").isNull().cast("int"))
+    marked = stream.withColumn("after_updates", F.col("parameter").isNull().cast("int"))
     out = ", ".join(["event_id BIGINT", *[f"{n} DOUBLE" for n in order]])
-    return fold(marked, keys, ["t", "_late", "sequence"], out, "values STRING", (json.dumps(names),), step)
+    return fold(marked, keys, ["t", "after_updates", "sequence"], out, "values STRING", (json.dumps(names),), step)
 
 
 def windowed_counts(stream: DataFrame, ts: str, width: str, delay: str, marks: Sequence[str]) -> DataFrame:
