@@ -81,29 +81,55 @@ def causal_edges(prints: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
     return got.select(*keys, F.col("writer").alias("cause"), F.col("event_id").alias("effect")).distinct()
 
 
+def _chains(step: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, node, chain, pos``: disjoint paths along the edges ``_from`` -> ``event_id`` that cover all nodes.
+
+    Every node hands on to at most one node and takes from at most one.  Where a path starts and how far down a node lies
+    is found by pointer jumping, four jumps a round, so a path of n nodes takes log4(n) rounds.  Nodes of a cycle, which
+    has no start, stay paths of their own.
+    """
+    pick = step.groupBy(*keys, "_from").agg(F.max("event_id").alias("node")).groupBy(*keys, "node").agg(F.max("_from").alias("_up"))
+    nodes = step.select(*keys, F.col("_from").alias("node")).union(step.select(*keys, "event_id")).distinct()
+    now = cut(nodes.join(pick, [*keys, "node"], "left").select(*keys, "node", F.coalesce("_up", "node").alias("chain"), F.col("_up").isNotNull().cast("long").alias("pos"), F.col("_up").isNull().alias("done")))
+    total, jumps = now.count(), 1
+    while jumps <= total and not now.filter("not done").isEmpty():
+        above = now.select(*keys, F.col("node").alias("chain"), F.col("chain").alias("_chain"), F.col("pos").alias("_pos"), F.col("done").alias("_done"))
+        for _ in range(3):
+            # who has arrived joins with its own start, which moves it no further
+            now = now.join(above, [*keys, "chain"]).select(*keys, "node", F.col("_chain").alias("chain"), (F.col("pos") + F.when(F.col("done"), 0).otherwise(F.col("_pos"))).alias("pos"), (F.col("done") | F.col("_done")).alias("done"))
+        now, jumps = cut(now), jumps * 4
+    return now.select(*keys, "node", F.when(F.col("done"), F.col("chain")).otherwise(F.col("node")).alias("chain"), F.when(F.col("done"), F.col("pos")).otherwise(F.lit(0)).alias("pos"))
+
+
 def reachable(edges: DataFrame, targets: DataFrame, keys: Sequence[str] = RUN, forward: bool = False) -> DataFrame:
     """Ancestors (or descendants with ``forward``) of each target: keys, target, event_id.
 
-    Frontier iteration: each round joins only the newly found events, drops those
-    already seen and cuts lineage in the shared folder.  The number of rounds is
-    the longest causal chain above a target.
+    Events are laid out on chains of the causal graph.  What a target reaches on a chain is all of it from some place on,
+    so the search carries one place for each target and chain and moves over edges between chains only.  The number of
+    rounds is how often a path has to change chains, not how long it is.
     """
     src, dst = ("cause", "effect") if forward else ("effect", "cause")
-    step = edges.select(*keys, F.col(src).alias("_from"), F.col(dst).alias("event_id"))
-    ids = [*keys, "target", "event_id"]
-    frontier = cut(
-        targets.select(*keys, F.col("event_id").alias("target"), F.col("event_id").alias("_from"))
-        .join(step, [*keys, "_from"]).select(*ids).distinct()
-    )
-    parts = [frontier]
+    step = cut(edges.select(*keys, F.col(src).alias("_from"), F.col(dst).alias("event_id")).distinct())
+    placed = cut(_chains(step, keys))
+    end = lambda column, chain, pos: placed.select(*keys, F.col("node").alias(column), F.col("chain").alias(chain), F.col("pos").alias(pos))
+    across = step.join(end("_from", "chain", "_p"), [*keys, "_from"]).join(end("event_id", "_c2", "_p2"), [*keys, "event_id"])
+    across = cut(across.filter("chain <> _c2 or _p2 <= _p").select(*keys, "chain", "_p", "_c2", "_p2"))
+    ids = [*keys, "target", "chain"]
+    # a target itself is where its search starts and no result, unless it lies on a cycle
+    starts = targets.select(*keys, F.col("event_id").alias("target")).distinct()
+    frontier = cut(starts.join(end("target", "chain", "pos"), [*keys, "target"]).select(*ids, "pos"))
+    known = frontier
     while True:
-        seen = reduce(lambda x, y: x.unionByName(y), parts)
-        found = frontier.withColumnRenamed("event_id", "_from").join(step, [*keys, "_from"]).select(*ids).distinct()
-        frontier = cut(found.join(seen, ids, "left_anti"))
+        met = frontier.join(across, [*keys, "chain"]).filter("_p >= pos").select(*keys, "target", F.col("_c2").alias("chain"), F.col("_p2").alias("pos"))
+        met = met.groupBy(*ids).agg(F.min("pos").alias("pos"))
+        frontier = cut(met.join(known.withColumnRenamed("pos", "_was"), ids, "left").filter("_was is null or pos < _was").select(*ids, "pos"))
         if frontier.isEmpty():
-            return seen
-        # earlier rounds are files already; only now and then are they merged into one
-        parts = [cut(seen), frontier] if len(parts) >= 16 else [*parts, frontier]
+            break
+        known = cut(known.unionByName(frontier).groupBy(*ids).agg(F.min("pos").alias("pos")))
+    reached = known.withColumnRenamed("pos", "_least").join(placed, [*keys, "chain"]).filter("pos >= _least").select(*keys, "target", F.col("node").alias("event_id"))
+    looped = reached.filter("target = event_id").join(step.withColumnRenamed("event_id", "target"), [*keys, "target"])
+    looped = looped.select(*keys, "target", F.col("_from").alias("event_id")).join(reached, [*keys, "target", "event_id"], "left_semi")
+    return reached.filter("target <> event_id").unionByName(looped.select(*keys, "target", F.col("target").alias("event_id")).distinct())
 
 
 def state_as_of(initial: DataFrame, deltas: DataFrame, index: int | None, keys: Sequence[str] = RUN) -> DataFrame:
