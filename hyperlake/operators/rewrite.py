@@ -438,10 +438,92 @@ def conflict_free_batch(touch: DataFrame) -> DataFrame:
             return chosen
 
 
+def _prefixes(cond: Condition) -> list[Pattern]:
+    """The condition's pattern grown edge by edge from what it shares, without attributes."""
+    v = {x.key: x for x in cond.pattern.vertices}
+    e = {x.key: x for x in cond.pattern.edges}
+    bound = set(cond.shared_vertices) | {k for x in cond.shared_edges for k in e[x].endpoints()}
+    done, out = [k for k in cond.shared_edges], []
+    while len(done) < len(e):
+        near = [k for k in e if k not in done and bound & set(e[k].endpoints())]
+        if not near:
+            raise ValueError("a condition of a batch must hang together with what it shares with its rule")
+        done.append(near[0])
+        bound |= set(e[near[0]].endpoints())
+        edges = [mt.E(k, e[k].type, e[k].tail, e[k].head) for k in done]
+        ends = list(dict.fromkeys(x for x in edges for x in x.endpoints()))
+        out.append(Pattern([mt.V(k, v[k].type, subtypes=v[k].subtypes) for k in dict.fromkeys([*ends, *cond.shared_vertices])], edges))
+    if bound < set(v):
+        raise ValueError("a condition of a batch must hang together with what it shares with its rule")
+    return out
+
+
+def _seen_by(graph: Graph, open_: DataFrame, cond: Condition, patterns: Sequence[Pattern]) -> DataFrame:
+    """match_id, entity_id: what matches of these patterns hold around each open match."""
+    parts = []
+    for p in patterns:
+        ext = mt.find(graph, p)
+        keys = {f"v_{c}": f"v_{b}" for c, b in cond.shared_vertices.items()} | {f"e_{c}": f"e_{b}" for c, b in cond.shared_edges.items() if f"e_{c}" in ext.columns}
+        on = None
+        for c, b in keys.items():
+            hit = F.col(f"_s_{c}") == F.col(b)
+            on = hit if on is None else on & hit
+        ids = [c for c in ext.columns if c[:2] in ("v_", "e_")]
+        around = ext.select(*[F.col(c).alias(f"_s_{c}") for c in ids])
+        base = open_.select("match_id", *dict.fromkeys(keys.values()))
+        parts.append(base.join(around, on).select("match_id", F.explode(F.array(*[F.col(f"_s_{c}") for c in ids])).alias("entity_id")))
+    return reduce(lambda a, b: a.unionByName(b), parts).distinct()
+
+
+def conditional_batch(graph: Graph, rule: Rule, occ: DataFrame) -> tuple[Graph, DataFrame]:
+    """(graph, delta) after a conflict-free batch of a rule with conditions, as firing one match at a time in id order.
+
+    A match fires if nothing it writes is read or written by a match that fired, nothing it reads is written by one, and
+    its conditions hold on the graph that those left behind.  What the extension of a positive condition binds at the
+    start counts as read.
+
+    Rounds are semi-naive: each keeps only the matches still open.  A match waits while one with a smaller id writes what
+    its conditions look at (everything that the conditions' patterns reach, edge by edge and whatever the attributes), or
+    looks at what it writes itself; so all that fire in a round find what they would find one at a time.  Then their delta
+    is applied, what conflicts with them leaves, and the conditions of the rest are asked again on the new graph.
+    """
+    around = [(c, _prefixes(c)) for c in rule.conditions]
+    own = access(rule, occ)
+    for c in rule.conditions:
+        if c.positive:
+            bound = _seen_by(graph, occ, c, [c.pattern]).withColumn("is_write", F.lit(False))
+            own = own.unionByName(bound.select(*own.columns))
+    own = cut(own.groupBy("match_id", "entity_id").agg(F.bool_or("is_write").alias("is_write")))
+    open_, deltas = cut(occ), []
+    types = sorted({v.type for v in rule.left.vertices} | {v.type for v in rule.vertices})
+    etypes = sorted({e.type for e in rule.left.edges} | {e.type for e in rule.edges})
+    while True:
+        looks = [_seen_by(graph, open_, c, ps).withColumn("is_write", F.lit(False)) for c, ps in around if ps]
+        mine = own.join(open_.select("match_id"), "match_id", "left_semi")
+        touch = reduce(lambda a, b: a.unionByName(b.select(*a.columns)), looks, mine)
+        touch = cut(touch.groupBy("match_id", "entity_id").agg(F.bool_or("is_write").alias("is_write")))
+        won = cut(first_winners(touch))
+        deltas.append(cut(delta(graph, rule, open_.join(won, "match_id", "left_semi"))))
+        graph = apply_delta(graph, deltas[-1], types, etypes)
+        # tables that changed are files, so plans do not grow with the rounds
+        graph = Graph(graph.catalog, {t: cut(d) if t in types else d for t, d in graph.vertex_tables.items()}, {t: cut(d) if t in etypes else d for t, d in graph.edge_tables.items()})
+        fired = own.join(won, "match_id", "left_semi").groupBy("entity_id").agg(F.bool_or("is_write").alias("_ww"))
+        rest = open_.join(won, "match_id", "left_anti")
+        clash = own.join(rest.select("match_id"), "match_id", "left_semi").join(fired, "entity_id").filter("is_write or _ww").select("match_id").distinct()
+        rest = rest.join(clash, "match_id", "left_anti")
+        for c in rule.conditions:
+            rest = mt.apply_condition(graph, rest, c)
+        open_ = cut(rest)
+        if open_.isEmpty():
+            return graph, reduce(lambda a, b: a.unionByName(b), deltas)
+
+
 def apply_batch(graph: Graph, rule: Rule, *, handles: DataFrame | None = None) -> tuple[Graph, DataFrame]:
-    """Occurrences, conflict-free choice, delta and the resulting graph of one epoch."""
+    """Occurrences, conflict-free choice, delta and the resulting graph of one epoch; conditions are asked again as matches fire."""
     keep = [v.key for v in rule.left.vertices] + [e.key for e in rule.left.edges]
     occ = cut(occurrences(graph, rule, handles=handles, keep_attrs=keep))
+    if rule.conditions:
+        return conditional_batch(graph, rule, occ)
     chosen = conflict_free_batch(access(rule, occ))
     d = cut(delta(graph, rule, occ.join(chosen, "match_id", "left_semi")))
     types = {v.type for v in rule.left.vertices} | {v.type for v in rule.vertices}
