@@ -458,6 +458,29 @@ def _prefixes(cond: Condition) -> list[Pattern]:
     return out
 
 
+def _noticed(graph: Graph, rule: Rule) -> list[str]:
+    """The columns of a match whose entities it changes in a way that its rule's conditions could notice.
+
+    Whatever comes or goes with its endpoints, and what gets attributes that a condition asks for.
+    """
+    (_, dv, _), (_, de, ce) = rule.vertex_keys, rule.edge_keys
+    left, right = {e.key: e for e in rule.left.edges}, {e.key: e for e in rule.edges}
+    keys = {v.key: v for v in rule.left.vertices}
+    out = {f"v_{k}" for k in dv} | {f"e_{k}" for k in de}
+    out |= {f"v_{x}" for k in de for x in left[k].endpoints()}
+    out |= {f"v_{x}" for k in ce for ks in [*right[k].tail.values(), *right[k].head.values()] for x in ks if x in keys}
+    for c in rule.conditions:
+        names = ex.names_in(c.guard) if c.guard else set()
+        asked = lambda x: set(x.attrs) | {n.removeprefix(f"{x.key}__") for n in names if n.startswith(f"{x.key}__")}  # noqa: B023, E731
+        for v in rule.vertices:
+            if v.key in keys and any(mt._may_equal(graph, keys[v.key], x) and asked(x) & set(v.attrs) for x in c.pattern.vertices):
+                out.add(f"v_{v.key}")
+        for e in rule.edges:
+            if e.key in left and any(x.type == e.type and asked(x) & set(e.attrs) for x in c.pattern.edges):
+                out.add(f"e_{e.key}")
+    return sorted(out)
+
+
 def _seen_by(graph: Graph, open_: DataFrame, cond: Condition, patterns: Sequence[Pattern]) -> DataFrame:
     """match_id, entity_id: what matches of these patterns hold around each open match."""
     parts = []
@@ -488,6 +511,7 @@ def conditional_batch(graph: Graph, rule: Rule, occ: DataFrame) -> tuple[Graph,
     is applied, what conflicts with them leaves, and the conditions of the rest are asked again on the new graph.
     """
     around = [(c, _prefixes(c)) for c in rule.conditions]
+    shown = _noticed(graph, rule)
     own = access(rule, occ)
     for c in rule.conditions:
         if c.positive:
@@ -498,8 +522,12 @@ def conditional_batch(graph: Graph, rule: Rule, occ: DataFrame) -> tuple[Graph,
     types = sorted({v.type for v in rule.left.vertices} | {v.type for v in rule.vertices})
     etypes = sorted({e.type for e in rule.left.edges} | {e.type for e in rule.edges})
     while True:
-        looks = [_seen_by(graph, open_, c, ps).withColumn("is_write", F.lit(False)) for c, ps in around if ps]
         mine = own.join(open_.select("match_id"), "match_id", "left_semi")
+        looks = []
+        if shown:
+            # where nothing changes that a condition could notice, nobody has to wait
+            changing = open_.select(F.explode(F.array(*[F.col(c) for c in shown])).alias("entity_id")).distinct()
+            looks = [_seen_by(graph, open_, c, ps).join(changing, "entity_id", "left_semi").withColumn("is_write", F.lit(False)) for c, ps in around if ps]
         touch = reduce(lambda a, b: a.unionByName(b.select(*a.columns)), looks, mine)
         touch = cut(touch.groupBy("match_id", "entity_id").agg(F.bool_or("is_write").alias("is_write")))
         won = cut(first_winners(touch))
@@ -510,10 +538,11 @@ def conditional_batch(graph: Graph, rule: Rule, occ: DataFrame) -> tuple[Graph,
         fired = own.join(won, "match_id", "left_semi").groupBy("entity_id").agg(F.bool_or("is_write").alias("_ww"))
         rest = open_.join(won, "match_id", "left_anti")
         clash = own.join(rest.select("match_id"), "match_id", "left_semi").join(fired, "entity_id").filter("is_write or _ww").select("match_id").distinct()
-        rest = rest.join(clash, "match_id", "left_anti")
-        for c in rule.conditions:
-            rest = mt.apply_condition(graph, rest, c)
-        open_ = cut(rest)
+        open_ = cut(rest.join(clash, "match_id", "left_anti"))
+        if not open_.isEmpty():
+            for c in rule.conditions:
+                open_ = mt.apply_condition(graph, open_, c)
+            open_ = cut(open_)
         if open_.isEmpty():
             return graph, reduce(lambda a, b: a.unionByName(b), deltas)
 

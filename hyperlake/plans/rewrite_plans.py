@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as gr
 from ..operators import match as mt
 from ..operators import rewrite as rw
-from ..operators.match import E, Pattern, V
+from ..operators.match import NAC, E, Pattern, V
 from ..operators.rewrite import NE, NV, Ex, Rule
 from .data import q6, r6, table
 from .match_plans import LINES
@@ -115,6 +115,22 @@ def batch(spark, sf):
     return a.join(b, "k").join(c, "k").drop("k")
 
 
+# an open order is closed unless its customer ever returned a part of size 7: two steps from the customer
+SIZED_RETURN = Pattern([V("c", "Customer"), V("o2", "Order"), V("p", "Part", {"size": 7}), V("s", "Supplier")],
+                       [E("p2", "Placed", {"customer": ["c"]}, {"order": ["o2"]}), E("r", "Supply", {"order": ["o2"]}, {"part": ["p"], "supplier": ["s"]}, {"flag": "R"})])
+CLOSE = Rule("close-order", Pattern([V("c", "Customer"), V("o", "Order")], [E("pl", "Placed", {"customer": ["c"]}, {"order": ["o"]})]), [NV("c", "Customer"), NV("o", "Order", {"status": "closed"})],
+             [NE("pl", "Placed", {"customer": ["c"]}, {"order": ["o"]})], guard="o__status == 'P'", conditions=[NAC(SIZED_RETURN, {"c": "c"})])
+
+
+@query("rewrite_conditional_batch", """SELECT o_orderstatus AS before, CASE WHEN o_orderstatus = 'P' AND o_custkey NOT IN (SELECT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND p_size = 7)
+ THEN 'closed' ELSE o_orderstatus END AS after, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY ALL""")
+def conditional_batch(spark, sf):
+    g = graph(spark, sf)
+    after, _ = rw.apply_batch(g, CLOSE)
+    both = g.vertex_tables["Order"].select("vertex_id", F.col("status").alias("before")).join(after.vertex_tables["Order"].select("vertex_id", F.col("status").alias("after"), "priority"), "vertex_id")
+    return both.groupBy("before", "after", "priority").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("rewrite_hazard_validity", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'invalid_hazard' AS hazard_problem FROM lineitem WHERE l_discount = 0 OR l_discount - 0.02 < 0")
 def hazard(spark, sf):
     li = table(spark, sf, "lineitem")
