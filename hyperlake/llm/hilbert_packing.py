@@ -12,8 +12,10 @@ own tokens, and one small table of partition totals shifts them.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +26,24 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: distinct words a Python worker remembers, and the longest such word
-KEPT_WORDS, LONGEST = 100_000, 200
-BLANK = re.compile(r"[ \t\n\x0b\x0c\r]+")
-SEPARATORS = "\x1c\x1d\x1e\x1f"
-#: Latin letters, then punctuation that no special token has
-SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([.,;:!?#$%&*()\"-]*)")
+#: characters of a text that go to the tokenizer at once
+SLICE = 1 << 16
+BLANKS = r" \t\n\x0b\x0c\r"
+
+
+def char_class(kind: str, below: int = 0x180) -> str:
+    """The Latin characters of a Unicode category (the first letter of its name), for a regular expression."""
+    return "".join(re.escape(chr(c)) for c in range(1, below) if unicodedata.category(chr(c))[0] == kind)
+
+
+LETTERS, NUMBERS = char_class("L"), char_class("N")
+#: printable Latin characters and blanks: their lower case is one of them, and normalisation does nothing else to them
+PLAIN = re.compile(f"[{BLANKS}!-~\xa1-\u012f\u0131-\u017f]*")
+#: how the tokenizer splits a text in lower case before it merges (a fixed value of this vocabulary)
+PARTS = re.compile(f"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
+BREAK, WORD = re.compile(f"[{BLANKS}]"), re.compile(f"[^{BLANKS}]+")
+#: ends a part, as it occurs in no plain text
+MARK = "\0"
 BUCKETS, DIMS, ORDER = 256, 3, 16
 
 
@@ -40,62 +54,66 @@ def byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class Encoder(dict):
-    """word -> its token ids as little-endian 32-bit bytes.
+class Encoder:
+    """Token ids of texts as little-endian 32-bit numbers.
 
-    The tokenizer never merges across white space, so a text is the concatenation of its words' ids; that makes most of
-    a corpus a look-up.  Python also splits at four control characters that the tokenizer does not know as blanks; texts
-    that have them are split at ASCII blanks only.  Of a word of Latin letters and closing punctuation, normalisation
-    and splitting are known, so its two parts go straight to the tokenizer's model; all other words go through the
-    whole tokenizer.  Two generations of words are remembered: when the younger is full, the elder is forgotten.
+    The tokenizer makes no token across a blank, so a text can be cut at any.  Plain texts are split into parts by one
+    regular expression, and every part gets a mark at its end.  With the mark as a byte, the vocabulary's tokens that end
+    a word are ordinary tokens of bytes, and ids that rise with the order of merges serve as their ranks, so a faster
+    merger gives the same ids.  Words with other characters, or with what might be a special token, go through the
+    tokenizer itself.  Nothing is remembered between texts.
     """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.elder, self.known = Tokenizer.from_file(path), {}, {}
-        self.model, signs = self.tokenizer.model, byte_signs()
-        self.signs = {c: "".join(signs[b] for b in chr(c).lower().encode()) for c in range(256)}
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        plain = {sign: byte for byte, sign in byte_signs().items()}
+        ranks = {bytes(plain.get(c, 0) for c in t.removesuffix("</w>")) + MARK.encode() * t.endswith("</w>"): i for t, i in vocab.items()}
         # a tokenizer that prepares words in another way is only used as a whole
-        probe = ["Abc", "\u00c9\u00df\u00fc", "word,", "...", "a\u00e9!?", "%%%", "zz;"]
-        self.split = all(self._parts(w) == self._whole(w) for w in probe)
-
-    def _ids(self, part: str) -> list[int]:
-        """Ids of letters or of punctuation; words share these parts, whatever their case."""
-        if not part:
-            return []
-        part = part.translate(self.signs)
-        out = self.known.get(part)
-        if out is None:
-            if len(self.known) > KEPT_WORDS // 2:
-                self.known.clear()
-            out = self.known[part] = [t.id for t in self.model.tokenize(part)]
-        return out
-
-    def _parts(self, word: str) -> list[int] | None:
-        m = SIMPLE.fullmatch(word)
-        return self._ids(m[1]) + self._ids(m[2]) if m else None
-
-    def _whole(self, word: str) -> list[int]:
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
-    def __missing__(self, word: str) -> bytes:
-        out = self.elder.get(word)
-        if out is None:
-            ids = self._parts(word) if self.split else None
-            out = np.array(self._whole(word) if ids is None else ids, dtype="<u4").tobytes()
-        if len(word) <= LONGEST:
-            self[word] = out
-        return out
+        probe = ["Abc", "\u00c9\u00df\u00fc", "word,", "...", "a\u00e9!?", "%%%", "zz;", "it's 12\u00b2"]
+        self.fast = None
+        if len(ranks) == len(vocab) and all(bytes([b]) in ranks for b in range(256)):
+            self.fast = tiktoken.Encoding("words", pat_str=f"[^{MARK}]+{MARK}", mergeable_ranks=ranks, special_tokens={})
+            if any(self._merged(w) != self._whole(w) for w in probe):
+                self.fast = None
+
+    def _merged(self, text: str) -> list[int]:
+        parts = PARTS.findall(text.lower())
+        parts.append("")
+        return self.fast.encode_ordinary(MARK.join(parts))
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _words(self, text: str) -> list[int]:
+        """Ids of a text with some odd words: what lies between them is plain."""
+        out, plain = [], []
+        for m in WORD.finditer(text):
+            if PLAIN.fullmatch(m[0]) and "<|" not in m[0]:
+                plain.append(m[0])
+                continue
+            out += self._merged(" ".join(plain)) + self._whole(m[0])
+            plain = []
+        return out + self._merged(" ".join(plain))
 
     def encode(self, text: str) -> bytes:
-        if len(self) > KEPT_WORDS:
-            self.elder = dict(self)
-            self.clear()
-        words = BLANK.split(text) if any(c in text for c in SEPARATORS) else text.split()
-        return b"".join(map(self.__getitem__, words))
+        out, at = [], 0
+        while at < len(text):
+            cut_ = BREAK.search(text, at + SLICE)
+            end = cut_.start() if cut_ else len(text)
+            part = text[at:end]
+            if self.fast is None:
+                ids = self._whole(part)
+            else:
+                ids = self._merged(part) if PLAIN.fullmatch(part) and "<|" not in part else self._words(part)
+            out.append(np.array(ids, dtype="<u4").tobytes())
+            at = end
+        return b"".join(out)
 
 
 def projection(seed: int = 5) -> np.ndarray:
@@ -154,9 +172,6 @@ def encoded(docs: DataFrame, doc_id: str, text: str, tokenizer: str, end_id: int
                 ids = (words.encode(t) if t else b"") + end
                 out.append((squeeze.compress(ids), len(ids) // 4, coordinates(np.frombuffer(ids, dtype="<u4"), onto, table)))
             yield pd.DataFrame(out, columns=["packed", "tokens", "x"])
-        # the worker goes on to other tasks and should not hold these words meanwhile
-        for held in (words, words.elder, words.known):
-            held.clear()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), encode(F.col(text)).alias("e"))
     return cut(rows.select("row", "doc_id", "e.packed", "e.tokens", "e.x"))
