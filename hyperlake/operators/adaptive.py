@@ -72,7 +72,7 @@ def eligibility_trace(df: DataFrame, keys: Sequence[str], t: str, impulse: str,
 def ema_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, alpha: float = EMA_ALPHA, out: str = "ema") -> DataFrame:
     """Exponential smoothing; the first value of a series seeds it."""
     if not 0 < alpha <= 1:
-        raise ValueError("alpha must lie in (0, 1]")
+        raise ValueError("a smoothing weight lies above 0 and at most at 1")
     if alpha == 1:
         return df.withColumn(out, F.col(value).cast("double"))
     n = ordered.scan(df, keys, order, {"_i": rnumber()})

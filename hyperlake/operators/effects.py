@@ -90,7 +90,7 @@ def sign_of(x: Column | str, eps: float = 0.0) -> Column:
     """Dead-zone sign; negative zero counts as zero."""
     x = F.col(x) if isinstance(x, str) else x
     if eps < 0:
-        raise ValueError("eps must be nonnegative")
+        raise ValueError("a band cannot be narrower than nothing")
     return F.when(x > eps, 1).when(x < -eps, -1).when(x.isNotNull(), 0)
 
 

@@ -71,7 +71,7 @@ class Pattern:
         for e in self.edges:
             unknown = set(e.endpoints()) - known
             if unknown:
-                raise ValueError(f"edge {e.key} references unknown keys {sorted(unknown)}")
+                raise ValueError(f"edge {e.key} has ends that are no vertices of its pattern: {sorted(unknown)}")
 
 
 @dataclass(frozen=True)

@@ -11,6 +11,7 @@ from ..effects_names import GRID, POLICIES, PRIMARY_ESTIMAND
 from . import claims as cl
 
 # fixed values: licence kinds and reasons, recommended actions and the claims each one forbids
+# fixed values: arm names and texts that packets carry
 SEMANTIC_ARM = "vault_gated"
 SCALAR_ARM = "scalar_semantic"
 HOLD_ARM = "brain_at_hold"
@@ -86,12 +87,12 @@ def scenario_violations(scenarios: DataFrame, schema: str, seed_mix: Sequence[st
     absent = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED_FIELDS]), lambda x: x.isNotNull())
     rule = (
         F.when(F.size(absent) > 0, F.concat(F.lit("missing required fields: "), F.array_join(absent, ",")))
-        .when(F.col("schema") != schema, "unsupported scenario schema")
+        .when(F.col("schema") != schema, "the schema is another one")
         .when(F.col("seed_mix") != F.array(*[F.lit(s) for s in seed_mix]), "seed mix is refused")
         .when(F.col("semantic_policy") != SEMANTIC_ARM, "semantic_policy is not an intervention policy")
         .when(F.col("baseline_policy") != POLICIES[0], "baseline_policy is not the baseline")
         .when(F.col("estimand") != PRIMARY_ESTIMAND, "unsupported estimand")
-        .when(~(F.col("horizon_s") > 0), "horizon_s must be positive")
+        .when(~(F.col("horizon_s") > 0), "the horizon is not above zero")
     )
     return scenarios.withColumn("violation", rule)
 
@@ -114,8 +115,8 @@ def build_packets(scenarios: DataFrame, claims: DataFrame, schema: str, seed: in
     again = cl.status_of(sign, F.transform(F.map_values("effects_by_alpha"), lambda v: cl.signed(v, eps)))
     stored = stored.withColumn(
         "_bad",
-        F.when(keys != want, "incomplete ensemble").when(again != F.col("status"), "claim status does not match the ensemble")
-        .when(sign != F.col("oracle_sign"), "oracle sign does not match the ensemble"),
+        F.when(keys != want, "incomplete ensemble").when(again != F.col("status"), "the ensemble gives another status")
+        .when(sign != F.col("oracle_sign"), "the ensemble gives another sign"),
     )
     got = checked.join(stored.drop("estimand"), "scenario_id", "left")
     got = got.withColumn(
@@ -136,8 +137,8 @@ def replay(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:
     problem = (
         F.when(F.col("checksum") != F.col("_own"), "packet checksum mismatch")
         .when(F.col("_checksum").isNull(), "packet cannot be rebuilt")
-        .when((F.col("action") != F.col("_action")) | (F.col("claim") != F.col("_claim")), "stored licenses do not recompute")
-        .when(F.col("recommendation") != F.col("_recommendation"), "stored recommendation does not recompute")
+        .when((F.col("action") != F.col("_action")) | (F.col("claim") != F.col("_claim")), "the rebuild licenses otherwise")
+        .when(F.col("recommendation") != F.col("_recommendation"), "the rebuild recommends otherwise")
     )
     return s.select("scenario_id", problem.alias("problem"))
 
@@ -174,7 +175,7 @@ def rewrite_requests(requests: DataFrame, current: DataFrame) -> DataFrame:
     got = requests.join(current.select("rule_id", "match_id", "admissible"), ["rule_id", "match_id"], "left")
     reason = (
         F.when(F.col("status") != "hold_unresolved", F.concat(F.lit("claim status '"), F.col("status"), F.lit("' does not license Brain rewrite")))
-        .when(F.col("admissible").isNull(), "occurrence is not currently matched")
-        .when(~F.col("admissible"), "requested occurrence is not vault-legal")
+        .when(F.col("admissible").isNull(), "there is no such match now")
+        .when(~F.col("admissible"), "the match is not admissible")
     )
     return got.withColumn("outcome", F.when(reason.isNull(), "accepted").otherwise("refused")).withColumn("reason", reason).drop("admissible")

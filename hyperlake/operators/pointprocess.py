@@ -214,7 +214,7 @@ def ks_uniform(increments: DataFrame, keys: Sequence[str], value: str = "increme
 def sparsify_flags(intervals: DataFrame, keep_probability: float, seed: int, keys: Sequence[str] = TRACE) -> DataFrame:
     """Deterministic keep flag per interval; the first is kept and at least two are."""
     if not 0 < keep_probability <= 1:
-        raise ValueError("keep_probability must be in (0, 1]")
+        raise ValueError("a share to keep lies above 0 and at most at 1")
     ident = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
     lucky = hashed(F.lit(seed), ident, F.col("i")) / 4294967296.0 < keep_probability
     flagged = intervals.withColumn("keep", (F.col("i") == 0) | lucky | F.lit(keep_probability >= 1))

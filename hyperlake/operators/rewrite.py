@@ -584,7 +584,7 @@ def outputs(occ: DataFrame, rule: Rule, directions: Mapping[str, str]) -> DataFr
     rows = []
     for i, o in enumerate(rule.outputs):
         if directions.get(o.handle) not in ("output", "bidirectional"):
-            raise ValueError(f"handle {o.handle} does not permit output")
+            raise ValueError(f"handle {o.handle} takes no output")
         body = _json({n: ex.checked(v.text, occ.columns) if isinstance(v, Ex) else F.lit(v) for n, v in o.payload.items()})
         ident = F.sha2(F.concat_ws("|", F.col("match_id"), F.lit(i), F.lit(o.handle)), 256)
         rows.append(F.struct(ident.alias("output_id"), F.lit(i).alias("position"), F.lit(o.handle).alias("handle_id"), F.lit(o.event_type).alias("event_type"), body.alias("payload")))

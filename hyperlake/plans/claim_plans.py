@@ -167,9 +167,9 @@ STORED = """st AS (SELECT c_custkey AS id, c_acctbal AS oe, CASE WHEN c_acctbal
 true_st AS (SELECT *, CASE WHEN os = 0 THEN 'outcome_unknown' WHEN list_min(ss) <> list_max(ss) THEN 'hold_unresolved' WHEN list_max(ss) = 0 THEN 'reject' WHEN list_max(ss) = os THEN 'admit' ELSE 'reject' END AS real_status FROM st),
 stored AS (SELECT *, CASE WHEN id % 19 = 0 THEN 'admit' ELSE real_status END AS status FROM true_st),
 packets AS (SELECT c_custkey AS scenario_id, status, os AS oracle_sign,
-  CASE WHEN c_custkey % 17 = 0 THEN 'semantic_policy is not an intervention policy' WHEN c_custkey % 11 = 0 THEN 'horizon_s must be positive'
+  CASE WHEN c_custkey % 17 = 0 THEN 'semantic_policy is not an intervention policy' WHEN c_custkey % 11 = 0 THEN 'the horizon is not above zero'
    WHEN c_custkey % 13 = 0 THEN 'root_seed is not the confirmatory seed' WHEN id IS NULL THEN 'underidentified: scenario is not in the evaluation corpus'
-   WHEN real_status <> status THEN 'claim status does not match the ensemble' END AS rejected FROM customer LEFT JOIN stored ON c_custkey = id)"""
+   WHEN real_status <> status THEN 'the ensemble gives another status' END AS rejected FROM customer LEFT JOIN stored ON c_custkey = id)"""
 
 
 def packets(spark, sf):
@@ -221,8 +221,8 @@ def decision(spark, sf):
 @query("junction_rewrite_requests", f"""WITH {OCC}, cur AS (SELECT junction, match_id, bool_or(admissible) AS admissible FROM occ GROUP BY ALL),
  req AS (SELECT l_orderkey AS junction, l_partkey || ':' || l_suppkey || ':' || (l_linenumber % 6) AS match_id, status FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem) JOIN jn ON l_orderkey = junction)
 SELECT junction, match_id, status, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'refused' END AS outcome, reason FROM (
- SELECT r.*, CASE WHEN status <> 'hold_unresolved' THEN concat('claim status ', chr(39), status, chr(39), ' does not license Brain rewrite') WHEN admissible IS NULL THEN 'occurrence is not currently matched'
-  WHEN NOT admissible THEN 'requested occurrence is not vault-legal' END AS reason FROM req r LEFT JOIN cur USING (junction, match_id))""")
+ SELECT r.*, CASE WHEN status <> 'hold_unresolved' THEN concat('claim status ', chr(39), status, chr(39), ' does not license Brain rewrite') WHEN admissible IS NULL THEN 'there is no such match now'
+  WHEN NOT admissible THEN 'the match is not admissible' END AS reason FROM req r LEFT JOIN cur USING (junction, match_id))""")
 def requests(spark, sf):
     cur = occurrences(spark, sf).groupBy(F.col("junction").alias("rule_id"), "match_id").agg(F.bool_or("admissible").alias("admissible"))
     req = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").distinct().select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,17 +19,32 @@ RUN_SCHEMA = (
 REQUIRED = ("regime", "scenario", "replicate", "model", "policy", "trust", "goal_utility_ratio", "critical_success_rate", "mean_latency")
 
 
+def by_layout(spark: SparkSession, path: str | Sequence[str]) -> list[tuple[str, list[str]]]:
+    """The header lines of the files of a path or glob, each with its files.
+
+    One pass over the first blocks finds the first line of every file; only headers and file names come to the driver.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    heads = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "n").alias("header"))
+    found = heads.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    # Spark reports file names as encoded URIs
+    return [(r["header"], [unquote(f) for f in r["files"]]) for r in found]
+
+
 def read_run_table(spark: SparkSession, path: str | Sequence[str], required: Sequence[str] = REQUIRED, schema: str = RUN_SCHEMA) -> DataFrame:
-    """CSV run table: header checked against ``required``, columns typed by name; ``problem`` names malformed values.
+    """CSV run table of a file, a glob or several: headers checked against ``required``, columns typed by name; ``problem`` names malformed values.
 
-    Only the header lines are looked at on the driver; row order is left to
-    whoever writes the result, see :func:`canonical_order`.
+    Shards may order their columns differently or lack some (null then): files are grouped by header, and no file is read
+    by position of another.  Row order is left to whoever writes the result, see :func:`canonical_order`.
     """
-    # a file whose header differs from the first one's is refused, never read by position
-    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
-    missing = sorted(set(required) - set(raw.columns))
+    layouts = by_layout(spark, path)
+    if not layouts:
+        raise ValueError("a run table without a header")
+    parts = [spark.read.option("header", True).option("enforceSchema", False).csv(files) for _, files in layouts]
+    missing = sorted({c for p in parts for c in set(required) - set(p.columns)})
     if missing:
         raise ValueError(f"run table is missing columns: {missing}")
+    raw = union_shards(parts)
     types = dict(part.strip().split(" ") for part in schema.split(","))
     typed = {c: F.col(c).try_cast(types[c]) for c in raw.columns if c in types}
     lost = F.filter(F.array(*[F.when(F.col(c).isNotNull() & x.isNull(), F.lit(c)) for c, x in typed.items()]), lambda c: c.isNotNull())
