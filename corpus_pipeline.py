@@ -10,34 +10,63 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hyperlake.llm import hilbert_packing, langid, line_runs, mixing, queries, simhash_ball
-from hyperlake.llm.common import shared_dir, table
+from hyperlake.llm.common import fresh, shared_dir, table
+
+#: bytes of an Arrow batch: a few hundred documents at a time are enough for Python workers, and take little memory
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Python workers of this session get batches of a few MB, whatever the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language identification (operator 9), learned from the documents' own labels: documents that it rejects go."""
-    found = langid.identify(docs, langid.fit(docs), names=("_lang_pred", "_lang_score", "_lang_rejected"))
-    return found.filter("not _lang_rejected").select(*docs.columns)
+    """Language identification (operator 9), learned from the documents' own labels: documents that it rejects go.
+
+    Null, empty and letterless texts are rejected; rows that repeat are judged alike.  An empty table stays empty.
+    """
+    small_batches(spark)
+    names = fresh(docs, "_lang_pred", "_lang_score", "_lang_rejected")
+    found = langid.identify(docs, langid.fit(docs), names=tuple(names))
+    return found.filter(~F.col(names[2])).select(*docs.columns)
 
 
 def drop_frequent_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Line dedup (operator 5): a line of many documents stays in the last of them; ``n_chars`` follows the text."""
-    return line_runs.dedup_lines(docs, n_lines="_n_lines", n_dropped="_n_dropped").withColumn("n_chars", line_runs.n_chars("text")).select(*docs.columns)
+    """Line dedup (operator 5): a line of many documents stays in the last of them; ``n_chars`` follows the text.
+
+    Null and empty texts have one empty line, which stays.  An empty table stays empty.
+    """
+    lines, dropped = fresh(docs, "_n_lines", "_n_dropped")
+    return line_runs.dedup_lines(docs, n_lines=lines, n_dropped=dropped).withColumn("n_chars", line_runs.n_chars("text")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup (operator 4): of every group the document with the smallest id stays."""
+    """Near-dedup of five-word shingles at 0.8: of every group the document with the smallest id stays.
+
+    Balls of SimHashes (operator 4) link first, each link verified; as they reach 2 of 64 bits only, a join on prefixes
+    of the shingle sets finds all other pairs of this similarity.  Texts without words are alike.  An empty table stays
+    empty.
+    """
+    small_batches(spark)
     return simhash_ball.drop_near(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing (operator 7): every document as many times as its source's target asks for."""
+    """Mixing (operator 7): every document as many times as its source's target asks for.
+
+    A null source is a source of its own; texts without words change no sum and stay.  An empty table stays empty.
+    """
+    small_batches(spark)
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing (operator 10): pieces of token sequences, with their ids."""
+    """Packing (operator 10): pieces of token sequences, with their ids; every row is a document of its own."""
+    small_batches(spark)
     return hilbert_packing.pack(docs, queries.tokenizer_path())
 
 
