@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..effects_names import ARMS, GRID, INTERVENTION, NOTES, ORACLE, STATUSES
+from ..session import cut
 from . import bootstrap as boot
 from . import effects as fx
 
@@ -84,9 +85,9 @@ def activation_contrast(runs: DataFrame, counts: Sequence[str] = COUNTS) -> Data
     return wide.select("regime", "scenario", *[g.alias(c) for c, g in gaps.items()]).withColumn("response_activation", F.coalesce(moved, F.lit(False)))
 
 
-def ensembles(runs: DataFrame, estimands: Sequence[str], hypotheses: Sequence[float] = GRID) -> DataFrame:
-    """One row per oracle unit with its arms folded into ``effects_by_alpha``."""
-    arms = fx.arm_abs_error(fx.scenario_effects(runs, estimands)).filter(F.col("alpha").isin(*[float(a) for a in hypotheses]))
+def ensembles(runs: DataFrame, estimands: Sequence[str], hypotheses: Sequence[float] = GRID, arms: DataFrame | None = None) -> DataFrame:
+    """One row per oracle unit with its arms folded into ``effects_by_alpha``; ``arms`` are their errors where a caller has them."""
+    arms = (fx.arm_abs_error(fx.scenario_effects(runs, estimands)) if arms is None else arms).filter(F.col("alpha").isin(*[float(a) for a in hypotheses]))
     entry = F.struct(F.format_string("%.2f", F.col("alpha")), F.col("effect"))
     folded = arms.groupBy(*UNIT).agg(
         F.max("oracle_effect").alias("oracle_effect"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("effects_by_alpha")
@@ -96,9 +97,10 @@ def ensembles(runs: DataFrame, estimands: Sequence[str], hypotheses: Sequence[fl
 
 def score_table(runs: DataFrame, estimands: Sequence[str], eps: Sequence[float] = (0.0,), horizon: float = 0.0, hypotheses: Sequence[float] = GRID) -> DataFrame:
     """Claims of all units; a unit without exactly the declared alphas and effects has a ``problem`` and no status."""
-    arms = fx.arm_abs_error(fx.scenario_effects(runs, estimands))
+    # asked for gaps and folded: the runs are read once for both
+    arms = cut(fx.arm_abs_error(fx.scenario_effects(runs, estimands)))
     gaps = incomplete_ensembles(arms.filter(F.col("effect").isNotNull()), hypotheses).select(*UNIT, F.lit("incomplete_ensemble").alias("problem"))
-    found = score(ensembles(runs, estimands, hypotheses), eps, horizon).join(gaps, list(UNIT), "left")
+    found = score(ensembles(runs, estimands, hypotheses, arms), eps, horizon).join(gaps, list(UNIT), "left")
     sound = F.col("problem").isNull()
     return found.withColumns({c: F.when(sound, F.col(c)) for c in ("status", "notes", "spread")})
 
