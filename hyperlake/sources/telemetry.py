@@ -62,6 +62,27 @@ def _scan_keys(line: Column) -> tuple[Column, Column]:
     return both(1), both(2)
 
 
+def _ranked_keys(line: Column) -> Column:
+    """``array<struct<path, at, k, v>>`` of all keys with scalar values, the one that counts first.
+
+    Of equal names the one in a nested container counts before one beside that container, and of several containers the
+    last one.  ``path`` holds where the containers around a key open, from the outside in, and a zero: compared as arrays,
+    the greater path is the one that counts.
+    """
+    key = r'"((?:[^"\\]|\\.)*)"\s*:\s*' + _SCALAR
+    tokens = F.regexp_extract_all(line, F.lit(f'{key}|"(?:[^"\\\\]|\\\\.)*"|[{{}}\\[\\]]'), F.lit(0))
+    none = "array<struct<path: array<int>, at: int, k: string, v: string>>"
+    start = F.struct(F.array().cast("array<int>").alias("stack"), F.array().cast(none).alias("out"), F.lit(0).alias("at"))
+
+    def step(s: Column, t: Column) -> Column:
+        at = s["at"] + 1
+        stack = F.when(t.isin("{", "["), F.concat(s["stack"], F.array(at))).when(t.isin("}", "]"), F.slice(s["stack"], F.lit(1), F.greatest(F.size(s["stack"]) - 1, F.lit(0)))).otherwise(s["stack"])
+        entry = F.struct(F.concat(s["stack"], F.array(F.lit(0))).alias("path"), at.alias("at"), F.regexp_extract(t, key, 1).alias("k"), F.regexp_extract(t, key, 2).alias("v"))
+        return F.struct(stack.alias("stack"), F.when(t.rlike(f"^{key}$"), F.concat(s["out"], F.array(entry))).otherwise(s["out"]).alias("out"), at.alias("at"))
+
+    return F.reverse(F.array_sort(F.aggregate(tokens, start, step, lambda s: s["out"])))
+
+
 FIELDS = {**KPM_ALIASES, "time_s": TIME_ALIASES, "ue_id": UE_ALIASES, "cell_id": CELL_ALIASES}
 
 
@@ -73,8 +94,7 @@ def _positions(keys: Column, names: Sequence[str]) -> Column:
 def _lookup(keys: Column, values: Column, positions: Column, dotted: Column, aliases: Sequence[str], names: Sequence[str]) -> Column:
     """Scalar of the first alias present; exact names before dotted suffixes.
 
-    Where a name occurs more than once the last one counts, as it does when nested
-    objects are flattened in order.
+    Where a name occurs more than once, keys come in the order of :func:`_ranked_keys`.
     """
     exact = F.coalesce(*[F.nullif(F.get(positions, F.lit(names.index(a))), F.lit(0)) for a in aliases])
     wanted = F.array(*[F.lit(a) for a in aliases])
@@ -102,6 +122,9 @@ def parse_kpm(lines: DataFrame, column: str = "value", throughput_scale: float =
     t = F.col("_t")
     found = _scan_keys(t)
     df = df.withColumns({"_k": found[0], "_v": found[1]})
+    # only where a name comes twice does it matter which of its places counts
+    df = df.withColumn("_ranked", F.when(F.size("_k") != F.size(F.array_distinct("_k")), _ranked_keys(t)))
+    df = df.withColumns({"_k": F.coalesce("_ranked.k", "_k"), "_v": F.coalesce("_ranked.v", "_v")}).drop("_ranked")
     # most lines have no dotted key beyond the aliases, and skip the suffix search
     fields = {**FIELDS, **(aliases or {})}
     names = list(dict.fromkeys(a for al in fields.values() for a in al))

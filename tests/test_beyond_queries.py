@@ -185,3 +185,13 @@ def test_event_logs_have_a_bounded_number_of_folders(spark, tmp_path):
     assert len(folders) <= io.RUN_BUCKETS
     back = io.read_event_log(spark, str(tmp_path / "log"))
     assert back.filter("intact").count() == 500 and set(back.columns) == {"run_id", "v", "record_sha256", "intact"}
+
+
+def test_the_nested_place_of_a_telemetry_name_counts(spark):
+    cases = [
+        ('{"time":1,"ue":{"x":{"cqi":1},"cqi":2}}', 1.0), ('{"time":1,"cqi":2,"x":{"cqi":1}}', 1.0), ('{"time":1,"x":{"cqi":1},"cqi":2}', 1.0), ('{"time":1,"l":[{"cqi":1},{"cqi":2}]}', 2.0),
+        ('{"time":1,"a":{"cqi":1},"b":{"cqi":2},"cqi":3}', 2.0), ('{"time":1,"a":{"cqi":1,"s":"} { [ \\\\" cqi"},"cqi":3}', 1.0), ('{"time":1,"a":{"b":{"cqi":4},"cqi":5},"c":{"d":1},"cqi":6}', 4.0), ('{"time":1,"cqi":7}', 7.0), ('{"time":1,"cqi":8,"cqi":9}', 9.0),
+    ]
+    lines = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, value string")
+    got = {r["i"]: (r["cqi"], r["problem"]) for r in tm.parse_kpm(lines).collect()}
+    assert [got[i][0] for i in range(len(cases))] == [w for _, w in cases]
