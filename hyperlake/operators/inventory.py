@@ -27,32 +27,31 @@ _INF = float("inf")
 
 def fold(kinds: np.ndarray, qty: np.ndarray, available: int, reserved: int):
     """Statuses, states after each row and the bounds in which they would not change."""
-    n = len(kinds)
-    ok = np.zeros(n, dtype=bool)
-    free, held = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    kinds, qty = kinds.tolist(), qty.tolist()
+    ok, free, held = [], [], []
     a, r = available, reserved
     lo_a, hi_a, lo_r, hi_r = -_INF, _INF, -_INF, _INF
-    for i in range(n):
-        q = int(qty[i])
-        if kinds[i] == "receive":
-            a += q
-            ok[i] = True
-        elif kinds[i] == "reserve":
-            slack = a - q
-            if slack >= 0:
-                lo_a = max(lo_a, available - slack)
-                a, r, ok[i] = a - q, r + q, True
+    for kind, q in zip(kinds, qty, strict=True):
+        fine = False
+        if kind == "receive":
+            a, fine = a + q, True
+        elif kind == "reserve":
+            if a >= q:
+                lo_a = max(lo_a, available - a + q)
+                a, r, fine = a - q, r + q, True
             else:
-                hi_a = min(hi_a, available - slack)
-        elif kinds[i] == "release":
-            slack = r - q
-            if slack >= 0:
-                lo_r = max(lo_r, reserved - slack)
-                a, r, ok[i] = a + q, r - q, True
+                hi_a = min(hi_a, available - a + q)
+        elif kind == "release":
+            if r >= q:
+                lo_r = max(lo_r, reserved - r + q)
+                a, r, fine = a + q, r - q, True
             else:
-                hi_r = min(hi_r, reserved - slack)
-        free[i], held[i] = a, r
-    return ok, free, held, (a - available, r - reserved, lo_a, hi_a, lo_r, hi_r)
+                hi_r = min(hi_r, reserved - r + q)
+        ok.append(fine)
+        free.append(a)
+        held.append(r)
+    made = np.array(ok, dtype=bool), np.array(free, dtype=np.int64), np.array(held, dtype=np.int64)
+    return *made, (a - available, r - reserved, lo_a, hi_a, lo_r, hi_r)
 
 
 def ledger(events: DataFrame, keys: Sequence[str] = ("sku",), order: Sequence[str] = ("t",)) -> DataFrame:
@@ -70,18 +69,23 @@ def ledger(events: DataFrame, keys: Sequence[str] = ("sku",), order: Sequence[st
         now, a, r = None, 0, 0
         for pdf in batches:
             out = pdf[names].copy()
-            ident = list(zip(*[pdf[k] for k in keys]))
+            if not len(pdf):
+                yield out.assign(status=pd.Series(dtype=str), on_hand=0, reserved=0)
+                continue
+            # rows come sorted by item: one fold for each item of a batch, from where the last batch left it
+            changes = np.flatnonzero((pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy())
+            starts = np.unique(np.concatenate(([0], changes)))
             kinds, qty = pdf["kind"].to_numpy(), pdf["quantity"].to_numpy()
-            status, on_hand, held = [], [], []
-            for i, item in enumerate(ident):
+            parts = []
+            for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(pdf)], strict=True):
+                item = tuple(pdf[k].iloc[start] for k in keys)
                 if item != now:
                     now, a, r = item, 0, 0
-                ok, free, taken, _ = fold(kinds[i:i + 1], qty[i:i + 1], a, r)
-                a, r = int(free[0]), int(taken[0])
-                status.append("applied" if ok[0] else "rejected")
-                on_hand.append(a + r)
-                held.append(r)
-            out["status"], out["on_hand"], out["reserved"] = status, on_hand, held
+                ok, free, taken, _ = fold(kinds[start:end], qty[start:end], a, r)
+                a, r = int(free[-1]), int(taken[-1])
+                parts.append((ok, free, taken))
+            ok, free, held = (np.concatenate(x) for x in zip(*parts, strict=True))
+            out["status"], out["on_hand"], out["reserved"] = np.where(ok, "applied", "rejected"), free + held, held
             yield out
 
     def replay(pdf: pd.DataFrame, a: int, r: int) -> pd.DataFrame:
