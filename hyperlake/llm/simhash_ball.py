@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by meet-in-the-middle ball hashing, and near-duplicates by similarity of texts.
+"""SimHash near-duplicates by meet-in-the-middle ball hashing, and near-duplicates that a similarity of texts defines.
 
 Two fingerprints at most ``2 r`` bits apart have a variant in common that is at most
 ``r`` bits from either.  So every distinct fingerprint emits the whole ball of radius
@@ -16,28 +16,31 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, fresh, share_of
 
 SEED = 42
-MIX = np.uint64(0xD6E8FEB86659FD93)
 #: so many shingles are unpacked to bits at a time
 BLOCK = 1 << 16
 
 
-def fingerprint_of(text: str | None, words: int) -> int:
-    """The signed 64-bit fingerprint of one text."""
-    return fingerprint_pair(text, words, False)[0]
+def majority_bits(hashes: np.ndarray) -> int:
+    """The signed 64-bit number whose bits are those that more than half of the hashes have."""
+    votes = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(hashes), BLOCK):
+        h = np.ascontiguousarray(hashes[k : k + BLOCK]).view(np.uint8).reshape(-1, 8)
+        votes += np.unpackbits(h, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * votes > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
-def fingerprint_pair(text: str | None, words: int, second: bool = True) -> tuple[int, int]:
-    """The fingerprint and, if asked for, an independent one of the same shingles (their hashes mixed once more)."""
+def fingerprint_of(text: str | None, words: int) -> int:
+    """The signed 64-bit fingerprint of one text."""
     # on bytes, lower() and split() know the ASCII letters and blanks only
     parts = text.encode("utf-8", "replace").lower().split() if text else []
     if not parts:
-        return 0, 0
+        return 0
     n = len(parts)
     if n <= words:
         hashes = [xxhash.xxh64_intdigest(b" ".join(parts), SEED)]
@@ -47,32 +50,21 @@ def fingerprint_pair(text: str | None, words: int, second: bool = True) -> tuple
         starts = np.concatenate(([0], ends[:-1] + 1))
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: n - words + 1].tolist(), ends[words - 1 :].tolist())]
-    votes = np.zeros((2, 64), dtype=np.int64)
-    for k in range(0, len(hashes), BLOCK):
-        h = np.array(hashes[k : k + BLOCK], dtype="<u8")
-        for row in range(1 + second):
-            if row:
-                with np.errstate(over="ignore"):
-                    h = (h ^ (h >> np.uint64(31))) * MIX
-                    h ^= h >> np.uint64(29)
-            votes[row] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits((2 * votes > len(hashes)).astype(np.uint8), axis=1, bitorder="little").view("<i8").ravel()
-    return int(bits[0]), int(bits[1])
+    return majority_bits(np.array(hashes, dtype="<u8"))
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, second: bool = False) -> DataFrame:
-    """``doc_id, fp``: the 64-bit SimHash over all shingles of ``words`` words of the whole text; ``second`` adds ``fp2``.
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+    """``doc_id, fp``: the 64-bit SimHash over all shingles of ``words`` words of the whole text.
 
     Words are runs of other than ASCII blanks, with A-Z in lower case.  A text of fewer words is one shingle; one
     without words (null, empty, blanks) has fingerprint zero.
     """
 
-    @F.pandas_udf("fp long, fp2 long")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(np.array([fingerprint_pair(t, words, second) for t in texts], dtype=np.int64).reshape(-1, 2), columns=["fp", "fp2"])
+    @F.pandas_udf("long")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint_of(t, words) for t in texts], dtype=np.int64))
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), of(F.col(text)).alias("e"))
-    return rows.select("doc_id", "e.fp", *(["e.fp2"] if second else []))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), of(F.col(text)).alias("fp"))
 
 
 def ball(radius: int) -> list[int]:
@@ -181,53 +173,77 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: fl
     return joined.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
 
 
+def _wanted(similarity: float) -> Column:
+    """How many shingles sets of ``na`` and ``nb`` shingles have in common at least, at this similarity."""
+    return F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-9)
+
+
 def _likely(met: DataFrame, similarity: float) -> DataFrame:
-    """``a, b`` of pairs that met (``a, b, na, nb``, a row for each shared prefix shingle) often enough to be similar.
+    """``a, b`` of pairs (``a, b, na, nb``) whose prefixes have enough shingles in common (``shared``) to be similar.
 
     Beyond the prefixes a set has one shingle less in common than :func:`least_shared` at most.
     """
     least = lambda n: F.ceil(F.lit(similarity) * F.col(n) - 1e-9)
     size = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9
-    counted = met.filter(size).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    wanted = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-9)
-    return counted.filter(F.col("shared") + F.greatest(least("na"), least("nb")) - 1 >= wanted).select("a", "b")
+    return met.filter(size & (F.col("shared") + F.greatest(least("na"), least("nb")) - 1 >= _wanted(similarity))).select("a", "b")
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, doc_id: str, text: str, words: int, rounds: int = 2) -> DataFrame:
-    """``a, b``: verified links that connect all of ``nodes`` (``fp, first_doc, n, prefix``) that similar pairs connect.
+def _met_first(placed: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """``a, b`` of all pairs in different components (``fp, n, pos, token, root``) that may be similar by what they meet in first.
+
+    All prefixes have one order.  After the first shingle that two similar sets have in common there must be room for all
+    others, so it lies early in both: a passage that many otherwise different texts hold comes after what is their own, and
+    they do not meet in it.  In the smaller set it lies within ``n - 2 s / (1 + s) n`` shingles.
+    """
+    early = F.col("n") - F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.col("n") - 1e-9)
+    x = placed.select("token", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("pos").alias("pa"))
+    y = placed.filter(F.col("pos") <= early).select("token", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("pos").alias("pb"))
+    smaller = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _wanted(similarity)
+    pairs = x.join(y, "token").filter("ra <> rb").filter(smaller & room).select("a", "b", "na", "nb").distinct()
+    prefix = lambda end, c: nodes.select(F.col("fp").alias(end), F.col("prefix").alias(c))
+    both = pairs.join(prefix("a", "x"), "a").join(prefix("b", "y"), "b")
+    return _likely(both.withColumn("shared", F.size(F.array_intersect("x", "y"))), similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def ball_links(nodes: DataFrame, docs: DataFrame, similarity: float, doc_id: str, text: str, words: int) -> DataFrame:
+    """``a, b``: verified links of ``nodes`` (``fp, first_doc, sim``) whose SimHash ``sim`` is the same or meets in a ball of radius 1."""
+    first = cut(nodes.groupBy("sim").agg(F.min("fp").alias("one")))
+    same = nodes.join(first, "sim").filter("fp <> one").select(F.col("one").alias("a"), F.col("fp").alias("b"))
+    end = lambda c: first.select(F.col("sim").alias(f"{c}_sim"), F.col("one").alias(c))
+    near = fingerprint_links(first.select(F.col("sim").alias("fp"))).withColumnsRenamed({"a": "a_sim", "b": "b_sim"})
+    return verified(cut(same.union(near.join(end("a"), "a_sim").join(end("b"), "b_sim").select("a", "b"))), docs, nodes, similarity, doc_id, text, words)
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, doc_id: str, text: str, words: int, links: DataFrame, rounds: int = 2) -> DataFrame:
+    """``a, b``: ``links`` and further verified ones that connect all of ``nodes`` (``fp, first_doc, n, prefix``) that similar pairs connect.
 
     Sets of this similarity meet in a shingle of their prefixes.  In ``rounds`` every crowd at a shingle is compared with
     its most typical set that is not yet in their component, which makes one component of a family without looking at
-    its pairs.  Then all that meet in a shingle and are not in one component are compared: a pair that is left out is
-    connected already, or has too few prefix shingles in common to be similar.
+    its pairs.  Then all that meet early enough in a shingle and are not in one component are compared: a pair that is left
+    out is connected already, or has too few shingles in common to be similar.
     """
-    postings = nodes.select("fp", "n", F.explode("prefix").alias("token"))
+    postings = nodes.select("fp", "n", F.posexplode("prefix").alias("pos", "token"))
     crowds = cut(postings.groupBy("token").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1"))
     postings = cut(postings.join(crowds, "token"))
     # a set whose shingles many others have is typical
     weights = cut(postings.groupBy("fp").agg((F.sum("crowd") / F.any_value("n")).alias("weight")))
-    links = None
     for k in range(rounds + 1):
-        placed = postings.drop("crowd")
-        if links is not None:
-            placed = placed.join(components(links).withColumnRenamed("node", "fp"), "fp", "left")
-            placed = placed.withColumn("root", F.coalesce("root", "fp"))
-            open_ = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-            placed = cut(placed.join(open_, "token"))
-            if placed.isEmpty():
-                break
-        else:
-            placed = placed.withColumn("root", F.col("fp"))
+        placed = postings.drop("crowd").join(components(links).withColumnRenamed("node", "fp"), "fp", "left")
+        placed = placed.withColumn("root", F.coalesce("root", "fp"))
+        open_ = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
+        placed = cut(placed.join(open_, "token"))
+        if placed.isEmpty():
+            break
         if k < rounds:
             # the typical set of the crowd at first, that of the largest rest of a family later
             typical = placed.join(weights, "fp").groupBy("token").agg(F.max(F.struct("weight", "fp", "n", "root")).alias("t"))
             met = placed.join(typical, "token").filter("root <> t.root").select(F.least("fp", "t.fp").alias("a"), F.greatest("fp", "t.fp").alias("b"), F.when(F.col("fp") < F.col("t.fp"), F.col("n")).otherwise(F.col("t.n")).alias("na"), F.when(F.col("fp") < F.col("t.fp"), F.col("t.n")).otherwise(F.col("n")).alias("nb"))
+            likely = _likely(met.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")), similarity)
         else:
-            x = placed.select("token", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-            y = placed.select("token", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            met = x.join(y, "token").filter("a < b and ra <> rb").select("a", "b", "na", "nb")
-        new = verified(cut(_likely(met, similarity)), docs, nodes, similarity, doc_id, text, words)
-        links = cut(new if links is None else links.union(new))
+            likely = _met_first(placed, nodes, similarity)
+        new = verified(cut(likely), docs, nodes, similarity, doc_id, text, words)
+        links = cut(links.union(new))
     return links
 
 
@@ -236,17 +252,22 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Texts link when the Jaccard similarity of their sets of shingles of ``words`` words is at least ``similarity``.  No
     pair below it links and no group that pairs at or above it connect is missed.
+
+    The balls of SimHashes of the sets, which reach 2 bits, find most near copies and make components of families.  Sets
+    just above 0.8 differ in about 9 bits, so what balls cannot reach is found by the shingles of prefixes.
     """
     frequent = frequent_shingles(docs, text, words)
 
-    @F.pandas_udf("fp long, n int, prefix array<long>")
+    names = ["fp", "n", "sim", "prefix"]
+
+    @F.pandas_udf("fp long, n int, sim long, prefix array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, words) for t in texts]
-        return pd.DataFrame({"fp": [set_hash(s) for s in sets], "n": [len(s) for s in sets], "prefix": [prefix_of(s, similarity, frequent) for s in sets]}, columns=["fp", "n", "prefix"])
+        sets = (shingle_set(t, words) for t in texts)
+        return pd.DataFrame([(set_hash(s), len(s), majority_bits(s) if len(s) else 0, prefix_of(s, similarity, frequent)) for s in sets], columns=names)
 
-    read = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), of(F.col(text)).alias("e")).select("doc_id", "e.fp", "e.n", "e.prefix"))
-    nodes = cut(read.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")))
-    links = similar_links(nodes, docs, similarity, doc_id, text, words)
+    read = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), of(F.col(text)).alias("e")).select("doc_id", *[f"e.{n}" for n in names]))
+    nodes = cut(read.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), *[F.any_value(n).alias(n) for n in names[1:]]))
+    links = similar_links(nodes, docs, similarity, doc_id, text, words, cut(ball_links(nodes, docs, similarity, doc_id, text, words)))
     return _grouped(read.select("doc_id", "fp"), nodes.select("fp", "first_doc"), links)
 
 

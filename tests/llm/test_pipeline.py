@@ -102,3 +102,44 @@ def test_words_are_counted_alike(spark):
     texts = ["a b\tc\n\nd", "", None, " é ü ", "x" * 10_000]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(mixing.word_count(df["t"])).collect()] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
+KIND = "doc_id long, text string, lang string, source string, n_chars long, _lang_pred string, _n_lines string, _gone_doc string, _copies string, row string"
+NEAR = " ".join(f"word{k}" for k in range(60))
+
+
+def odd_documents(spark):
+    line = "a line that many of the documents of this table have in common"
+    given = [
+        (1, NEAR, "en", "a"), (2, NEAR + " more", "en", "a"), (3, NEAR + " more", "en", "b"), (None, None, None, None), (4, None, "en", None), (5, "", "en", "a"), (6, " \n", None, "a"),
+        (7, "twice " + NEAR[::-1], "en", "b"), (7, "twice " + NEAR[::-1], "en", "b"), (8, "very long " * 30_000, "en", "c"), *[(20 + k, f"{line}\nthe words of document number {k} are its own", "en", "a") for k in range(8)],
+    ]
+    return spark.createDataFrame([(*g, len(g[1] or ""), *["x"] * 5) for g in given], KIND)
+
+
+def run_stages(spark, docs, top):
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(top / name))
+        docs = out[name] = spark.read.parquet(str(top / name))
+    return out
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark, tmp_path):
+    docs = odd_documents(spark)
+    out = run_stages(spark, docs, tmp_path)
+    for name, df in out.items():
+        if name != "packing":
+            assert df.columns == docs.columns
+            assert {tuple(r)[5:] for r in df.collect()} == {("x",) * 5}, name
+    lines = {r["doc_id"]: r["text"] for r in out["line_dedup"].collect()}
+    # documents without a letter went; the common line stays in the last document only
+    assert set(lines) == {1, 2, 3, 7, 8, *range(20, 28)} and [d for d in range(20, 28) if "in common" in lines[d]] == [27]
+    kept = [r["doc_id"] for r in out["simhash_dedup"].collect()]
+    # near copies go, all rows of the document that stays do not
+    assert {2, 3}.isdisjoint(kept) and sorted(d for d in kept if d < 10) == [1, 7, 7, 8]
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    out = run_stages(spark, odd_documents(spark).limit(0), tmp_path)
+    assert [df.count() for df in out.values()] == [0] * 5

@@ -64,3 +64,18 @@ def test_filler_does_not_make_texts_alike(spark):
     want = brute(texts)
     assert want == [*range(20), 0, 1, 2]
     assert groups(spark, texts) == want
+
+
+def test_a_passage_of_a_third_of_the_texts_does_not_pair_them(spark, monkeypatch):
+    """Texts that share most of their shingles but are not similar: no pair of them is compared, and those that are similar are found."""
+    rng = np.random.default_rng(6)
+    passage = rng.choice(WORDS, size=60)
+    holders = [" ".join([*passage, *rng.choice(WORDS, size=18)]) for _ in range(150)]
+    texts = [*holders, *[" ".join(rng.choice(WORDS, size=70)) for _ in range(300)], *[h + " end" for h in holders[:5]]]
+    want = brute(texts)
+    assert want[:150] == list(range(150)) and want[-5:] == list(range(5))
+    seen = []
+    verified = simhash_ball.verified
+    monkeypatch.setattr(simhash_ball, "verified", lambda pairs, *a: seen.append(pairs.count()) or verified(pairs, *a))
+    assert groups(spark, texts) == want
+    assert sum(seen) < 5 * len(texts)
