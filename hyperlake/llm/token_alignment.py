@@ -65,6 +65,7 @@ class Tokenizers:
         # ids of this vocabulary are in the order of its merges, so they serve as ranks
         self.fast = tiktoken.Encoding("a", pat_str=SPLIT, mergeable_ranks={t: i for i, t in self.bytes_a.items() if i not in special}, special_tokens={})
         self.bytes_b = {i: self._piece(i) for i in range(self.b.vocab_size())}
+        self.len_a, self.len_b = lengths(self.bytes_a), lengths(self.bytes_b)
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -78,10 +79,11 @@ class Tokenizers:
             wanted = spaced.encode("utf-8", "surrogatepass")
             ids_a = self.fast.encode_ordinary(spaced) if LATIN.fullmatch(part) else self.a.encode(spaced, add_special_tokens=False).ids
             ids_b = self.b.encode(part, num_threads=1)
-            if b"".join(map(self.bytes_a.__getitem__, ids_a)) != wanted or b"".join(map(self.bytes_b.__getitem__, ids_b)) != wanted:
+            # A is made of bytes and cannot change any, so its lengths tell whether all are there
+            a.append(np.fromiter(ids_a, dtype=np.int64, count=len(ids_a)))
+            if self.len_a[a[-1]].sum() != len(wanted) or b"".join(map(self.bytes_b.__getitem__, ids_b)) != wanted:
                 return NONE, NONE
-            a.append(np.array(ids_a, dtype=np.int64))
-            b.append(np.array(ids_b, dtype=np.int64))
+            b.append(np.fromiter(ids_b, dtype=np.int64, count=len(ids_b)))
         return (np.concatenate(a), np.concatenate(b)) if a else (NONE, NONE)
 
 
@@ -130,15 +132,18 @@ class Piece:
         self.ids_a, self.ids_b = (np.frombuffer(expand.decompress(x), dtype="<u2").astype(np.int64) for x in (a, b))
         self.a, self.b = self.ids_a[:n_a], self.ids_b[:n_b]
         self.ends_a, self.ends_b = start_a + np.cumsum(len_a[self.a]), start_b + np.cumsum(len_b[self.b])
-        at = np.searchsorted(self.ends_b, self.ends_a)
-        both = self.ends_b[np.minimum(at, max(n_b - 1, 0))] == self.ends_a if n_a and n_b else np.zeros(n_a, dtype=bool)
+        #: the B token in which each A token ends
+        self.in_b = np.searchsorted(self.ends_b, self.ends_a)
+        both = self.ends_b[np.minimum(self.in_b, max(n_b - 1, 0))] == self.ends_a if n_a and n_b else np.zeros(n_a, dtype=bool)
         #: how many A and B tokens end at or before each offset where both end
-        self.upto_a, self.upto_b = np.flatnonzero(both) + 1, at[both] + 1
+        self.upto_a, self.upto_b = np.flatnonzero(both) + 1, self.in_b[both] + 1
 
     def pairs(self, size_b: int) -> np.ndarray:
-        """``a * size_b + b`` of all overlaps, by place: each stretch between merged ends belongs to one token of either."""
-        ends = np.union1d(self.ends_a, self.ends_b)
-        return self.ids_a[np.searchsorted(self.ends_a, ends)] * size_b + self.ids_b[np.searchsorted(self.ends_b, ends)]
+        """``a * size_b + b`` of all overlaps: each stretch between merged ends belongs to the token that ends there and the one it ends in."""
+        alone = np.ones(len(self.b), dtype=bool)
+        alone[self.upto_b - 1] = False
+        in_a = np.searchsorted(self.ends_a, self.ends_b[alone])
+        return np.concatenate((self.a * size_b + self.ids_b[self.in_b], self.ids_a[in_a] * size_b + self.b[alone]))
 
     def text(self, start: int, end: int, signs: tuple[np.ndarray, ...]) -> bytes:
         """The closed groups from ``start`` to before ``end``, each ended by a semicolon."""
@@ -152,15 +157,15 @@ class Piece:
         sign_a[last_a - a0 - 1], sign_b[last_b - b0 - 1] = bar[a[last_a - a0 - 1]], semicolon[b[last_b - b0 - 1]]
         # A tokens of a group follow the B tokens of those before, B tokens the A tokens of their own
         size_a, size_b = np.diff(last_a, prepend=a0), np.diff(last_b, prepend=b0)
-        out = np.empty((len(a) + len(b), WIDTH), dtype=np.uint8)
+        out = np.empty(len(a) + len(b), dtype=comma.dtype)
         out[np.arange(len(a)) + np.repeat(last_b - b0 - size_b, size_a)] = sign_a
         out[np.arange(len(b)) + np.repeat(last_a - a0, size_b)] = sign_b
-        return out.tobytes().replace(b"\0", b"")
+        return out.tobytes().translate(None, b"\0")
 
 
 def sign_tables(size: int) -> tuple[np.ndarray, ...]:
     """The decimals of all ids below ``size`` followed by a comma, a bar and a semicolon, filled up with zero bytes."""
-    return tuple(np.array([f"{i}{sign}" for i in range(size)], dtype=f"S{WIDTH}").view(np.uint8).reshape(size, WIDTH) for sign in ",|;")
+    return tuple(np.array([f"{i}{sign}" for i in range(size)], dtype=f"S{WIDTH}") for sign in ",|;")
 
 
 # --- Spark -------------------------------------------------------------------
@@ -173,7 +178,7 @@ def pieces(rows: DataFrame, path_a: str, path_b: str, steps: int = STEPS) -> Dat
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizers, squeeze = Tokenizers(path_a, path_b), zstandard.ZstdCompressor(level=1)
-        len_a, len_b = lengths(tokenizers.bytes_a), lengths(tokenizers.bytes_b)
+        len_a, len_b = tokenizers.len_a, tokenizers.len_b
         for batch in batches:
             out, held = [], 0
             for row, doc, text in zip(batch["row"].to_list(), batch["doc"], batch["text"], strict=True):
@@ -208,7 +213,7 @@ def pair_counts(cut_pieces: DataFrame, path_a: str, path_b: str, held: int = HEL
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizers = Tokenizers(path_a, path_b)
-        len_a, len_b = lengths(tokenizers.bytes_a), lengths(tokenizers.bytes_b)
+        len_a, len_b = tokenizers.len_a, tokenizers.len_b
         del tokenizers
         seen, counts, new, waiting = NONE, NONE, [], 0
 
@@ -310,7 +315,7 @@ def align(
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizers = Tokenizers(path_a, path_b)
-        len_a, len_b = lengths(tokenizers.bytes_a), lengths(tokenizers.bytes_b)
+        len_a, len_b = tokenizers.len_a, tokenizers.len_b
         del tokenizers
         signs, (known_pair, known_n, known_best) = sign_tables(max(len(len_a), len(len_b))), sent.value
         listed = lambda x: b",".join(b"%d" % i for i in x.tolist())
