@@ -134,20 +134,24 @@ class Catalog:
 def subtype_closure(edges: DataFrame, child: str = "type_id", parent: str = "parent") -> DataFrame:
     """Reflexive-transitive closure of a type table that is itself data.
 
-    Path doubling: each round joins the closure with itself, so a chain of any depth
-    takes a logarithmic number of rounds, and a cycle ends as soon as it adds nothing.
+    Path doubling: ``step`` holds the walks of exactly 2^k edges and each round appends
+    them to all shorter ones.  So a chain of any depth takes a logarithmic number of
+    rounds, each pair of a chain is made once, and a cycle ends as soon as it adds nothing.
     """
     e = edges.select(F.col(child).alias("type_id"), F.col(parent).alias("ancestor")).filter("type_id IS NOT NULL AND ancestor IS NOT NULL")
-    names = edges.select(F.col(child).alias("t")).union(edges.select(parent)).filter("t IS NOT NULL")
-    up = cut(e.unionByName(names.select(F.col("t").alias("type_id"), F.col("t").alias("ancestor"))).distinct())
+    names = edges.select(F.col(child).alias("t")).union(edges.select(parent)).filter("t IS NOT NULL").distinct()
+    up = cut(names.select(F.col("t").alias("type_id"), F.col("t").alias("ancestor")))
+    step = cut(e.filter("type_id <> ancestor").distinct())
     size = up.count()
-    while True:
-        further = up.select(F.col("type_id").alias("ancestor"), F.col("ancestor").alias("_further"))
-        up = cut(up.join(further, "ancestor").select("type_id", F.col("_further").alias("ancestor")).distinct())
+    while not step.isEmpty():
+        further = step.select(F.col("type_id").alias("ancestor"), F.col("ancestor").alias("_further"))
+        add = lambda d: d.join(further, "ancestor").select("type_id", F.col("_further").alias("ancestor"))
+        up = cut(up.unionByName(add(up)).distinct())
         grown = up.count()
         if grown == size:
-            return up
-        size = grown
+            break
+        size, step = grown, cut(add(step).distinct())
+    return up
 
 
 def subtype_cycles(closure: DataFrame) -> DataFrame:
