@@ -152,11 +152,15 @@ def shape_check(triples: DataFrame, constraints: DataFrame) -> DataFrame:
     unused columns are null.
     """
     types = triples.filter(F.col("p") == RDF_TYPE).select("s", F.col("o").alias("cls"))
-    focus = types.withColumnRenamed("cls", "target_class").join(constraints, "target_class").withColumnRenamed("path", "p")
-    vals = triples.select("s", "p", "o", "o_kind", "o_datatype")
-    v = focus.join(vals, ["s", "p"], "left")
-    is_a = types.select(F.col("s").alias("o"), F.col("cls").alias("value_class"), F.lit(True).alias("_isa")).distinct()
-    v = v.join(is_a, ["o", "value_class"], "left")
+    focus = types.withColumnRenamed("cls", "target_class").join(F.broadcast(constraints), "target_class").withColumnRenamed("path", "p")
+    paths = constraints.select(F.col("path").alias("p")).distinct()
+    vals = triples.select("s", "p", "o", "o_kind", "o_datatype").join(F.broadcast(paths), "p", "left_semi")
+    # triples compress so well that by the size of their files or shuffle all subjects would be broadcast, so joins are told to sort
+    v = focus.join(vals.hint("merge"), ["s", "p"], "left")
+    # only classes that a constraint asks for
+    asked = constraints.select(F.col("value_class").alias("cls")).filter("cls IS NOT NULL").distinct()
+    is_a = types.join(F.broadcast(asked), "cls", "left_semi").select(F.col("s").alias("o"), F.col("cls").alias("value_class"), F.lit(True).alias("_isa")).distinct()
+    v = v.join(is_a.hint("merge"), ["o", "value_class"], "left")
     has = F.col("o").isNotNull()
     bad = lambda need, test: F.count_if(has & F.col(need).isNotNull() & test)
     per = v.groupBy("s", "shape", "p").agg(

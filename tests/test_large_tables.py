@@ -23,3 +23,15 @@ def made(spark, monkeypatch):
 def test_a_closure_makes_each_pair_of_a_chain_once(spark, made):
     n = gr.subtype_closure(spark.range(1, 151).selectExpr("id as type_id", "id - 1 as parent")).count()
     assert n == 151 * 152 // 2 and sum(made) < 4 * n
+
+
+def joins(df):
+    """The joins of the planned query."""
+    return [line.strip() for line in df._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line]
+
+
+def test_subjects_and_triples_are_not_broadcast(spark):
+    import __spark_entry__ as entry
+
+    found = joins(entry.queries()["triples_shape_check"](spark, "/root/testdata/sf0.001"))
+    assert sum("SortMergeJoin" in j for j in found) == 2
