@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import ordered
 from ..ordered import rlag, rmin, rnumber, rsum
+from ..session import cut
 
 # fixed values: smoothing defaults, detector thresholds, the alpha search grid
 EMA_ALPHA = 0.35
@@ -100,20 +101,41 @@ def load_level(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
 def fit_ema_alpha(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, grid: Sequence[float] = ALPHA_GRID, default: float = EMA_ALPHA) -> DataFrame:
     """Alpha of least one-step-ahead squared error per series, the smaller on ties.
 
-    Each series is smoothed once per alpha; (key, alpha) pairs are independent, so
-    a long series is spread over the alphas as well as over its chunks.
+    Rows are numbered once and cut into blocks short enough for the fastest decay.  In a block the prediction is a part
+    of its own rows plus (1 - alpha)^row times the level at its start, so sums of squares per (block, alpha) leave the
+    rows, and only blocks, one row each, are multiplied by the grid and chained.
     """
     keys = list(keys)
     rows = ordered.measured(df.select(*keys, *order, F.col(value).cast("double").alias("_y")), keys, order)
-    rows = ordered.scan(rows, keys, order, {"_i": rnumber()})
-    each = rows.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in grid])))
-    each = each.withColumns({
-        "_g": (F.col("_i") - 1) * -F.log(1 - F.col("alpha")),
-        "_imp": F.when(F.col("_i") == 1, F.col("_y")).otherwise(F.col("alpha") * F.col("_y")),
-    })
-    s = linear_scan(each, [*keys, "alpha"], order, "_g", "_imp", "_e", per_row=True)
-    s = ordered.scan(s, [*keys, "alpha"], order, {"_pred": rlag("_e")})
-    err = s.groupBy(*keys, "alpha").agg(F.avg(F.when(F.col("_i") > 1, F.pow(F.col("_pred") - F.col("_y"), 2))).alias("mse"), F.count(F.lit(1)).alias("n"))
+    rows = ordered.unmarked(ordered.scan(rows, keys, order, {"_i": rnumber()}))
+    decays = [-_ln(1 - float(a)) for a in grid]
+    size = max(1, int(_BLOCK / max(decays)))
+    rows = rows.withColumns({"_part": F.floor((F.col("_i") - 1) / size), "_at": (F.col("_i") - 1) % size})
+    before = Window.partitionBy(*keys, "_part").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    # until its first value a series has no level
+    rows = rows.withColumn("_seen", F.count("_y").over(before))
+    y, at = F.col("_y"), F.col("_at")
+    gain = lambda j: F.exp(at * F.lit(decays[j])) * F.when(F.col("_i") == 1, y).otherwise(F.lit(float(grid[j])) * y)
+    rows = rows.withColumns({f"_s{j}": F.sum(gain(j)).over(before) for j in range(len(grid))})
+    cells = []
+    for j, a in enumerate(grid):
+        left = F.exp(-at * F.lit(decays[j]))
+        own = F.coalesce(F.col(f"_s{j}"), F.lit(0.0)) * F.exp(-(at - 1) * F.lit(decays[j])) - y
+        cells.append(F.struct(
+            F.lit(float(a)).alias("alpha"), F.lit(decays[j]).alias("d"), F.sum(gain(j)).alias("z"),
+            F.sum(F.when(F.col("_seen") > 0, own * own)).alias("uu0"), F.sum(own * own).alias("uu"), F.sum(F.when(y.isNotNull(), own * left)).alias("uw"), F.sum(F.when(y.isNotNull(), left * left)).alias("ww")))
+    per = rows.groupBy(*keys, "_part").agg(
+        F.count(F.lit(1)).alias("n"), F.count("_y").alias("m"), F.count_if((F.col("_seen") > 0) & y.isNotNull()).alias("m0"), F.array(*cells).alias("_c"))
+    each = per.select(*keys, "_part", "n", "m", "m0", F.inline("_c"))
+    # level at the end of a full block, and with it the start of the next
+    each = each.withColumns({"_g": F.col("_part") * F.col("d") * size, "_z": F.col("z") * F.exp(-F.col("d") * (size - 1))})
+    each = ordered.measured(cut(each), [*keys, "alpha"], ["_part"])
+    each = linear_scan(each, [*keys, "alpha"], ["_part"], "_g", "_z", "_e", per_row=True)
+    each = ordered.scan(each, [*keys, "alpha"], ["_part"], {"_in": rlag("_e")})
+    c = F.col("_in")
+    whole = F.col("uu") + 2 * c * F.col("uw") + c * c * F.col("ww")
+    sq, m = F.when(c.isNull(), F.col("uu0")).otherwise(whole), F.when(c.isNull(), F.col("m0")).otherwise(F.col("m"))
+    err = each.groupBy(*keys, "alpha").agg((F.sum(sq) / F.nullif(F.sum(m), F.lit(0))).alias("mse"), F.sum("n").alias("n"))
     best = err.groupBy(*keys).agg(F.min(F.struct("mse", "alpha")).alias("_b"), F.max("n").alias("n"))
     return best.select(*keys, F.when(F.col("n") < 3, F.lit(default)).otherwise(F.col("_b.alpha")).alias("alpha"), F.col("_b.mse").alias("mse"), "n")
 

@@ -35,3 +35,24 @@ def test_subjects_and_triples_are_not_broadcast(spark):
 
     found = joins(entry.queries()["triples_shape_check"](spark, "/root/testdata/sf0.001"))
     assert sum("SortMergeJoin" in j for j in found) == 2
+
+
+def test_smoothing_weights_multiply_blocks_and_not_rows(spark, monkeypatch):
+    from hyperlake.operators import adaptive as ad
+
+    given, plain = [], ad.linear_scan
+    monkeypatch.setattr(ad, "linear_scan", lambda df, *a, **kw: given.append(df.count()) or plain(df, *a, **kw))
+    xs = [float((7 * i * i + 3 * i) % 41) for i in range(700)]
+    rows = [(1, i, x) for i, x in enumerate(xs)] + [(2, 0, None), (2, 1, 4.0), (2, 2, None), (2, 3, 6.0)]
+    got = {r["k"]: r for r in ad.fit_ema_alpha(spark.createDataFrame(rows, "k INT, t INT, y DOUBLE"), ["k"], ["t"], "y").collect()}
+
+    def mse(a):
+        level, total = xs[0], 0.0
+        for x in xs[1:]:
+            total += (level - x) ** 2
+            level = a * x + (1 - a) * level
+        return total / (len(xs) - 1)
+
+    best = min((mse(a), a) for a in ad.ALPHA_GRID)
+    assert got[1]["alpha"] == best[1] and got[1]["mse"] == pytest.approx(best[0], rel=1e-9) and got[1]["n"] == 700
+    assert got[2]["n"] == 4 and sum(given) < len(rows)
