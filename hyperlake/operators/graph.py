@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from ..functions import expressions as ex
 from ..session import cut
 
+# rows of offending vertices that are broadcast
+_FEW = 50_000
+
 INCIDENCE = ("edge_id", "edge_type", "side", "role", "ordinal", "vertex_id")
 
 
@@ -376,28 +379,64 @@ def port_violations(edges: DataFrame, incidences: DataFrame, vertices: DataFrame
 
     ``edges`` (edge_id, type_id), ``incidences`` (edge_id, side, role, ordinal,
     vertex_id), ``vertices`` (vertex_id, type_id).  Ports and closure are
-    catalogue tables.  One shuffle on the edge, one on the vertex.
+    catalogue tables.  An edge is judged by counts per slot, which the map side
+    combines; vertices are looked up once per distinct (slot, vertex), and only
+    the offending ones go back to the edges.
     """
+    rows = ports.collect()
     p = ports.withColumnRenamed("edge_type", "type_id")
-    # expected slots of each edge against what it has
-    have = incidences.groupBy("edge_id", "side", "role").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("vertex_id").alias("d")
-    )
-    want = edges.join(p, "type_id").select("edge_id", "side", "role", "minimum", "maximum", "repeated")
-    slots = want.join(have, ["edge_id", "side", "role"], "full_outer")
-    n = F.coalesce("n", F.lit(0))
-    code = (
-        F.when(F.col("minimum").isNull(), "unknown_role").when(n < F.col("minimum"), "below_port_minimum")
-        .when(n > F.col("maximum"), "above_port_maximum").when(~F.col("repeated") & (F.col("n") != F.col("d")), "repeated_vertex")
-    )
-    first = slots.select(F.col("edge_id").alias("entity_id"), code.alias("code"), F.concat_ws(".", "side", "role").alias("detail")).filter("code IS NOT NULL")
-    ends = incidences.join(vertices.select("vertex_id", F.col("type_id").alias("vtype")), "vertex_id", "left")
-    missing = ends.filter("vtype IS NULL").select(F.col("edge_id").alias("entity_id"), F.lit("unknown_vertex").alias("code"), F.col("vertex_id").alias("detail"))
-    typed = ends.filter("vtype IS NOT NULL").join(edges, "edge_id").join(p.select("type_id", "side", "role", F.col("vertex_type").alias("ancestor"), "allow_subtypes"), ["type_id", "side", "role"])
+    types, slots = sorted({r["edge_type"] for r in rows}), sorted({(r["side"], r["role"]) for r in rows})
+    here = lambda slot: (F.col("side") == slot[0]) & (F.col("role") == slot[1])
+    listed = reduce(lambda a, b: a | b, [here(s) for s in slots], F.lit(False))
+    both = incidences.select("edge_id", "side", "role", F.col("vertex_id").isNotNull().alias("_v"), F.lit(None).cast("string").alias("_t")).unionByName(
+        edges.select("edge_id", F.lit(None).cast("string").alias("side"), F.lit(None).cast("string").alias("role"), F.lit(False).alias("_v"), F.col("type_id").alias("_t")))
+    per = both.groupBy("edge_id").agg(
+        *[F.count_if(F.col("_t") == t).alias(f"_e{i}") for i, t in enumerate(types)], *[F.count_if(here(s)).alias(f"_n{j}") for j, s in enumerate(slots)],
+        *[F.count_if(here(s) & F.col("_v")).alias(f"_v{j}") for j, s in enumerate(slots)])
+    found = []
+    say = lambda code, slot: F.struct(code.alias("code"), F.lit(f"{slot[0]}.{slot[1]}").alias("detail"))
+    # a null edge id stands for no edge: its slots are unknown and edges without an id have no endpoints
+    known = F.col("edge_id").isNotNull()
+    for r in rows:
+        slot = r["side"], r["role"]
+        j = slots.index(slot)
+        n = F.when(known, F.col(f"_n{j}")).otherwise(F.lit(0))
+        code = F.when(n < r["minimum"], "below_port_minimum")
+        if r["maximum"] is not None:
+            code = code.when(n > r["maximum"], "above_port_maximum")
+        if not r["repeated"]:
+            code = code.when(known & (F.col(f"_v{j}") < F.col(f"_n{j}")), "repeated_vertex")
+        found.append(F.when(code.isNotNull(), F.array_repeat(say(code, slot), F.col(f"_e{types.index(r['edge_type'])}").cast("int"))))
+    for j, slot in enumerate(slots):
+        mine = [F.col(f"_e{types.index(r['edge_type'])}") > 0 for r in rows if (r["side"], r["role"]) == slot]
+        found.append(F.when((F.col(f"_n{j}") > 0) & ~(known & reduce(lambda a, b: a | b, mine)), F.array(say(F.lit("unknown_role"), slot))))
+    first = per.select(F.col("edge_id").alias("entity_id"), F.inline(F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull())))) if found else None
+    strange = incidences.filter(~F.coalesce(listed, F.lit(False))).select("edge_id", "side", "role").distinct()
+    strange = strange.select(F.col("edge_id").alias("entity_id"), F.lit("unknown_role").alias("code"), F.concat_ws(".", "side", "role").alias("detail"))
+    first = strange if first is None else first.unionByName(strange)
+    many = [(r["side"], r["role"]) for r in rows if not r["repeated"] and (r["maximum"] is None or r["maximum"] > 1)]
+    if many:
+        # only slots that may hold several vertices can repeat one
+        have = incidences.filter(reduce(lambda a, b: a | b, [here(s) for s in many])).groupBy("edge_id", "side", "role").agg(
+            F.count(F.lit(1)).alias("n"), F.count("vertex_id").alias("v"), F.count_distinct("vertex_id").alias("d")).filter("n = v AND n <> d")
+        fits = (F.col("n") >= F.col("minimum")) & (F.col("maximum").isNull() | (F.col("n") <= F.col("maximum"))) & ~F.col("repeated")
+        twice = have.join(edges, "edge_id").join(F.broadcast(p), ["type_id", "side", "role"]).filter(fits)
+        first = first.unionByName(twice.select(F.col("edge_id").alias("entity_id"), F.lit("repeated_vertex").alias("code"), F.concat_ws(".", "side", "role").alias("detail")))
+    used = incidences.select("side", "role", "vertex_id").distinct()
+    seen = used.join(vertices.select("vertex_id", F.col("type_id").alias("vtype")), "vertex_id", "left")
     ok = closure.select(F.col("type_id").alias("vtype"), "ancestor", F.lit(True).alias("_up"))
-    typed = typed.join(ok, ["vtype", "ancestor"], "left")
+    typed = seen.filter("vtype IS NOT NULL").join(F.broadcast(p.select("type_id", "side", "role", F.col("vertex_type").alias("ancestor"), "allow_subtypes")), ["side", "role"])
+    typed = typed.join(F.broadcast(ok), ["vtype", "ancestor"], "left")
     fits = (F.col("vtype") == F.col("ancestor")) | (F.col("allow_subtypes") & F.coalesce("_up", F.lit(False)))
-    wrong = typed.filter(~fits).select(F.col("edge_id").alias("entity_id"), F.lit("incompatible_vertex").alias("code"), F.col("vertex_id").alias("detail"))
+    bad = cut(seen.filter("vtype IS NULL").select("side", "role", "vertex_id", F.lit(None).cast("string").alias("_t")).unionByName(
+        typed.filter(~fits).select("side", "role", "vertex_id", F.col("type_id").alias("_t"))))
+    same = lambda cols: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cols])
+    bad = bad.select(*[F.col(c).alias(f"_{c}") for c in ("side", "role", "vertex_id")], "_t")
+    hit = incidences.join(bad.select("_side", "_role").distinct(), same(["side", "role"]), "left_semi")
+    hit = hit.join(F.broadcast(bad) if bad.count() <= _FEW else bad.hint("merge"), same(["side", "role", "vertex_id"]))
+    missing = hit.filter("_t IS NULL").select(F.col("edge_id").alias("entity_id"), F.lit("unknown_vertex").alias("code"), F.col("vertex_id").alias("detail"))
+    wrong = hit.filter("_t IS NOT NULL").select("edge_id", F.col("_t").alias("type_id"), "vertex_id").join(edges, ["edge_id", "type_id"])
+    wrong = wrong.select(F.col("edge_id").alias("entity_id"), F.lit("incompatible_vertex").alias("code"), F.col("vertex_id").alias("detail"))
     return first.unionByName(missing).unionByName(wrong)
 
 

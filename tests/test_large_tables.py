@@ -56,3 +56,22 @@ def test_smoothing_weights_multiply_blocks_and_not_rows(spark, monkeypatch):
     best = min((mse(a), a) for a in ad.ALPHA_GRID)
     assert got[1]["alpha"] == best[1] and got[1]["mse"] == pytest.approx(best[0], rel=1e-9) and got[1]["n"] == 700
     assert got[2]["n"] == 4 and sum(given) < len(rows)
+
+
+def test_ports_of_odd_edges(spark):
+    """Repeated and null ids, null vertices, unlisted roles; slots are counted per edge, without a join of all of them."""
+    ports = spark.createDataFrame([("T", "tail", "a", "X", 1, 1, True, True, False), ("T", "head", "b", "X", 0, 3, True, False, False), ("U", "head", "c", "Y", 0, None, True, True, True)],
+                                  "edge_type STRING, side STRING, role STRING, vertex_type STRING, minimum INT, maximum INT, ordered BOOLEAN, allow_subtypes BOOLEAN, repeated BOOLEAN")
+    closure = spark.createDataFrame([("X", "X"), ("Y", "Y"), ("Z", "Z"), ("Z", "X")], "type_id STRING, ancestor STRING")
+    vertices = spark.createDataFrame([("x1", "X"), ("x2", "X"), ("y1", "Y"), ("z1", "Z")], "vertex_id STRING, type_id STRING")
+    edges = spark.createDataFrame([("e1", "T"), ("e2", "T"), ("e2", "T"), ("e3", "U"), ("e4", "T"), (None, "T")], "edge_id STRING, type_id STRING")
+    inc = spark.createDataFrame([
+        ("e1", "tail", "a", 0, "z1"), ("e1", "head", "b", 0, "x1"), ("e1", "head", "b", 1, "x1"), ("e1", "head", "q", 0, "x2"), ("e1", "head", "c", 0, "x2"),
+        ("e2", "head", "b", 0, "z1"), ("e3", "head", "c", 0, "y1"), ("e3", "head", "c", 1, "y1"), ("e4", "tail", "a", 0, None), ("gone", "tail", "a", 0, "none"), (None, "tail", "a", 0, "x1"),
+    ], "edge_id STRING, side STRING, role STRING, ordinal INT, vertex_id STRING")
+    df = gr.port_violations(edges, inc, vertices, ports, closure)
+    assert not any("FullOuter" in j for j in joins(df))
+    assert sorted((tuple(r) for r in df.collect()), key=str) == sorted([
+        ("e1", "repeated_vertex", "head.b"), ("e1", "unknown_role", "head.q"), ("e1", "unknown_role", "head.c"), ("e2", "below_port_minimum", "tail.a"), ("e2", "below_port_minimum", "tail.a"),
+        ("e2", "incompatible_vertex", "z1"), ("e2", "incompatible_vertex", "z1"), ("e4", "repeated_vertex", "tail.a"), ("e4", "unknown_vertex", None), ("gone", "unknown_role", "tail.a"),
+        ("gone", "unknown_vertex", "none"), (None, "unknown_role", "tail.a"), (None, "below_port_minimum", "tail.a")], key=str)
