@@ -208,6 +208,23 @@ class Graph:
         per = self.incidences().select("vertex_id", "edge_id").distinct().groupBy("vertex_id").agg(F.count(F.lit(1)).alias("degree"))
         return self.vertices().join(per, "vertex_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
+    def slot_counts(self) -> DataFrame:
+        """Rows (n), distinct edges and distinct vertices of every slot of the long form.
+
+        The slots of an edge are counted in one group, where the map side meets them, so
+        an edge id is shuffled once for all its slots; vertices are made distinct apart.
+        """
+        slot, parts = ["edge_type", "side", "role"], []
+        for t in self.edge_tables:
+            ports = self.catalog.edge_types[t].ports
+            if ports:
+                per = self.incidences([t]).groupBy("edge_id").agg(*[F.count_if((F.col("side") == p.side) & (F.col("role") == p.role)).alias(f"_n{i}") for i, p in enumerate(ports)])
+                whole = per.agg(*[c for i in range(len(ports)) for c in (F.sum(f"_n{i}").alias(f"_n{i}"), F.count_if((F.col(f"_n{i}") > 0) & F.col("edge_id").isNotNull()).alias(f"_e{i}"))])
+                cells = [F.struct(F.lit(t).alias("edge_type"), F.lit(p.side).alias("side"), F.lit(p.role).alias("role"), F.col(f"_n{i}").alias("n"), F.col(f"_e{i}").alias("edges")) for i, p in enumerate(ports)]
+                parts.append(whole.select(F.inline(F.array(*cells))).filter("n > 0"))
+        vertices = self.incidences().select(*slot, "vertex_id").distinct().groupBy(*slot).agg(F.count("vertex_id").alias("vertices"))
+        return _union(parts).join(vertices, slot).select(*slot, "n", "edges", "vertices")
+
     def incident_edges(self) -> DataFrame:
         return self.incidences().select("vertex_id", "edge_id", "edge_type").distinct()
 

@@ -22,8 +22,7 @@ INC = f"""inc AS (SELECT {LINE_ID} AS e, 'Supply' AS t, unnest([{{'side': 'tail'
 
 @query("graph_incidences", f"WITH {INC} SELECT t AS edge_type, side, role, count(*) AS n, count(DISTINCT e) AS edges, count(DISTINCT v) AS vertices FROM inc GROUP BY ALL")
 def incidences(spark, sf):
-    return graph(spark, sf).incidences().groupBy("edge_type", "side", "role").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("edge_id").alias("edges"), F.count_distinct("vertex_id").alias("vertices"))
+    return graph(spark, sf).slot_counts()
 
 
 @query("graph_tables_round_trip", """SELECT 'O:' || l_orderkey AS tail_order, 'P:' || l_partkey AS head_part, 'S:' || l_suppkey AS head_supplier, count(*) AS n FROM lineitem GROUP BY ALL""")

@@ -75,3 +75,27 @@ def test_ports_of_odd_edges(spark):
         ("e1", "repeated_vertex", "head.b"), ("e1", "unknown_role", "head.q"), ("e1", "unknown_role", "head.c"), ("e2", "below_port_minimum", "tail.a"), ("e2", "below_port_minimum", "tail.a"),
         ("e2", "incompatible_vertex", "z1"), ("e2", "incompatible_vertex", "z1"), ("e4", "repeated_vertex", "tail.a"), ("e4", "unknown_vertex", None), ("gone", "unknown_role", "tail.a"),
         ("gone", "unknown_vertex", "none"), (None, "unknown_role", "tail.a"), (None, "below_port_minimum", "tail.a")], key=str)
+
+
+def odd_graph(spark):
+    """Edges that share ids or have none, ends that come twice or are null, a vertex that comes twice."""
+    cat = gr.Catalog([gr.VertexType("X")], [
+        gr.EdgeType("One", (gr.Port("tail", "a", "X"), gr.Port("head", "b", "X"))), gr.EdgeType("Many", (gr.Port("tail", "m", "X", 0, None, repeated=True),)), gr.EdgeType("Bare")])
+    v = spark.createDataFrame([("v1",), ("v2",), ("v3",), ("v3",), ("v4",)], "vertex_id STRING")
+    one = spark.createDataFrame([("e1", "v1", "v2"), ("e2", "v1", "v1"), ("e3", "v1", None), ("e3", "v2", "v1"), (None, "v1", "v2"), (None, "v1", "v3"), ("e4", "v3", "v2")], "edge_id STRING, tail_a STRING, head_b STRING")
+    many = spark.createDataFrame([("e4", ["v3", "v3", "v1"]), ("e5", ["v2", "v2", None]), ("e6", None), ("e7", [])], "edge_id STRING, tail_m ARRAY<STRING>")
+    return gr.Graph(cat, {"X": v}, {"One": one, "Many": many, "Bare": spark.createDataFrame([("e1",), ("e8",)], "edge_id STRING")})
+
+
+def test_slots_are_counted_without_expanding(spark):
+    import __spark_entry__ as entry
+
+    g = odd_graph(spark)
+    rows = [r.asDict() for r in g.incidences().collect()]
+    want = set()
+    for slot in {(r["edge_type"], r["side"], r["role"]) for r in rows}:
+        mine = [r for r in rows if (r["edge_type"], r["side"], r["role"]) == slot]
+        want.add((*slot, len(mine), len({r["edge_id"] for r in mine} - {None}), len({r["vertex_id"] for r in mine} - {None})))
+    assert {tuple(r) for r in g.slot_counts().collect()} == want
+    plan = entry.queries()["graph_incidences"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert "Expand" not in plan
