@@ -204,8 +204,18 @@ class Graph:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
     def degree(self) -> DataFrame:
-        """Distinct incident edges per vertex (0 for isolated ones)."""
-        per = self.incidences().select("vertex_id", "edge_id").distinct().groupBy("vertex_id").agg(F.count(F.lit(1)).alias("degree"))
+        """Distinct incident edges per vertex (0 for isolated ones).
+
+        Ends of an edge whose id is its own are counted where they stand; only edges
+        that share an id, or have none, are compared.
+        """
+        rows = [(d, [F.array(p.column) if p.scalar else F.coalesce(F.col(p.column), F.array().cast("array<string>")) for p in self.catalog.edge_types[t].ports]) for t, d in self.edge_tables.items()]
+        ends = _union([d.select("edge_id", F.array_distinct(F.concat(*cells)).alias("_ends")) for d, cells in rows if cells])
+        shared = cut(self.edges().groupBy("edge_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 OR edge_id IS NULL").select(F.col("edge_id").alias("_shared")))
+        same = F.col("edge_id").eqNullSafe(F.col("_shared"))
+        once = ends.join(shared, same, "left_anti").select(F.explode("_ends").alias("vertex_id"))
+        again = ends.join(shared, same, "left_semi").select("edge_id", F.explode("_ends").alias("vertex_id")).distinct().select("vertex_id")
+        per = once.unionByName(again).groupBy("vertex_id").agg(F.count(F.lit(1)).alias("degree"))
         return self.vertices().join(per, "vertex_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
     def slot_counts(self) -> DataFrame:

@@ -99,3 +99,13 @@ def test_slots_are_counted_without_expanding(spark):
     assert {tuple(r) for r in g.slot_counts().collect()} == want
     plan = entry.queries()["graph_incidences"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
     assert "Expand" not in plan
+
+
+def test_only_edges_that_share_an_id_are_compared_for_degrees(spark, made):
+    g = odd_graph(spark)
+    got = sorted(tuple(r) for r in g.degree().collect())
+    pairs = {(r["vertex_id"], r["edge_id"]) for r in g.incidences().collect()}
+    want = {v: sum(x == v for x, _ in pairs) for v in ("v1", "v2", "v3", "v4")}
+    assert got == sorted([(v, "X", want[v]) for v in ("v1", "v2", "v3", "v3", "v4")]) and want["v1"] == 5
+    # e2 and e5 have ids of their own
+    assert sum(made) < g.incidences().count() - 2
