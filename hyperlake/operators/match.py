@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
+from ..session import cut
 from .graph import Graph, _same_kind
 
 
@@ -286,13 +287,18 @@ def find(
     bound_v = {c[2:] for c in (anchors.columns if anchors is not None else []) if c.startswith("v_")}
     bound_e = {c[2:] for c in (anchors.columns if anchors is not None else []) if c.startswith("e_")}
     done_v: set[str] = set()
+    # edges that hold anchors leave few matches, so vertices with nothing but a type to look up wait for them
+    late: list[str] = []
 
     def settle(cur: DataFrame, key: str) -> DataFrame:
         """Check a freshly bound vertex: type, attributes, injectivity."""
         v = specs[key]
         if key not in done_v:
             done_v.add(key)
-            if v.attrs or key in mentioned or key in bound_v or not _proven(graph, pattern, v):
+            proven = _proven(graph, pattern, v)
+            if proven and not v.attrs and key in bound_v:
+                late.append(key)
+            elif v.attrs or key in mentioned or key in bound_v or not proven:
                 cur = _merge(cur, _vertex_side(graph, v, key in mentioned), {f"v_{key}": f"v_{key}"}, allow_cartesian)
             for other in done_v - {key}:
                 o = specs[other]
@@ -331,6 +337,8 @@ def find(
         placed.append(e)
         for k in fresh:
             cur = settle(cur, k)
+    for key in late:
+        cur = _merge(cur, _vertex_side(graph, specs[key], key in mentioned), {f"v_{key}": f"v_{key}"}, allow_cartesian)
     for v in pattern.vertices:
         if v.key not in have:
             side = _vertex_side(graph, v, v.key in mentioned)
@@ -462,12 +470,17 @@ def rematch(
     if conditions:
         return matches(graph_after, pattern, conditions=conditions, **kw)
     ids = [f"v_{v.key}" for v in pattern.vertices] + [f"e_{e.key}" for e in pattern.edges]
-    keep = cached.join(touched_matches(cached, pattern, entities), "match_id", "left_anti").select(*ids, "match_id")
-    parts = []
+    keep, parts = cached, []
+    types = {f"v_{v.key}": v for v in pattern.vertices}
     for c in ids:
-        anchors = entities.select(F.col("entity_id").alias(c)).distinct()
+        anchors = stale = entities.select(F.col("entity_id").alias(c)).distinct()
+        if c in types:
+            # entities of other kinds touch and bind nothing; how many are left tells how the matches and the graph are joined
+            known = graph_after.of_type(types[c].type, types[c].subtypes).select(F.col("vertex_id").alias(c))
+            stale, anchors = cut(stale.join(cached.select(c), c, "left_semi")), cut(anchors.join(known, c, "left_semi"))
+        keep = keep.join(stale, c, "left_anti")
         parts.append(matches(graph_after, pattern, anchors=anchors, **kw).select(*ids, "match_id"))
     local = parts[0]
     for p in parts[1:]:
         local = local.unionByName(p)
-    return keep.unionByName(local.dropDuplicates(["match_id"]))
+    return keep.select(*ids, "match_id").unionByName(local.dropDuplicates(["match_id"]))

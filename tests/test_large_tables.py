@@ -109,3 +109,32 @@ def test_only_edges_that_share_an_id_are_compared_for_degrees(spark, made):
     assert got == sorted([(v, "X", want[v]) for v in ("v1", "v2", "v3", "v3", "v4")]) and want["v1"] == 5
     # e2 and e5 have ids of their own
     assert sum(made) < g.incidences().count() - 2
+
+
+def test_rematch_joins_only_entities_of_the_asked_kind(spark, monkeypatch):
+    from hyperlake.operators import match as mt
+    from hyperlake.operators.match import E, Pattern, V
+
+    left, plain = [], mt.cut
+
+    def counted(df):
+        left.append(df.count())
+        return plain(df)
+
+    monkeypatch.setattr(mt, "cut", counted)
+    cat = gr.Catalog([gr.VertexType("X"), gr.VertexType("Y")], [gr.EdgeType("Arc", (gr.Port("tail", "s", "X"), gr.Port("head", "t", "Y")))])
+    p = Pattern([V("x", "X"), V("y", "Y")], [E("k", "Arc", {"s": ["x"]}, {"t": ["y"]})])
+
+    def graph(xs, ys, arcs):
+        return gr.Graph(cat, {"X": spark.createDataFrame([(x,) for x in xs], "vertex_id STRING"), "Y": spark.createDataFrame([(y,) for y in ys], "vertex_id STRING")},
+                        {"Arc": spark.createDataFrame(arcs, "edge_id STRING, tail_s STRING, head_t STRING")})
+
+    before = graph(["x1", "x2", "x3"], ["y1", "y2"], [("e1", "x1", "y1"), ("e2", "x2", "y1"), ("e3", "x3", "y2"), ("e4", "x1", "y2")])
+    after = graph(["x1", "x2", "x4"], ["y1", "y2"], [("e1", "x1", "y1"), ("e2", "x2", "y2"), ("e4", "x1", "y2"), ("e5", "x4", "y1")])
+    touched = spark.createDataFrame([("e2",), ("x3",), ("x4",), ("e5",), ("e3",), (None,)], "entity_id STRING")
+    cached = mt.matches(before, p, rule_id="r").select("v_x", "v_y", "e_k", "match_id")
+    got = mt.rematch(after, p, cached, touched, rule_id="r")
+    want = mt.matches(after, p, rule_id="r").select("v_x", "v_y", "e_k", "match_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 4
+    # x3 is gone from the graph and x4 new in it; no entity is a Y
+    assert left == [1, 1, 0, 0]
