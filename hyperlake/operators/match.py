@@ -262,6 +262,17 @@ def _merge(cur: DataFrame | None, side: _Side, on: Mapping[str, str], allow_cart
     return out.drop(*renamed.values(), *[f"_b_{v}" for v in side.binds])
 
 
+def _next_in_chain(e: E, left: Sequence[E], have: set[str]) -> E | None:
+    """The one edge left at the only unbound end of ``e``, where it leads to unbound vertices only and neither binds variables."""
+    fresh = [k for k in e.endpoints() if k not in have]
+    if len(e.endpoints()) != 2 or len(fresh) != 1:
+        return None
+    more = [f for f in left if fresh[0] in f.endpoints()]
+    if len(more) != 1 or len(more[0].endpoints()) != 2 or any(k in have for k in more[0].endpoints()) or e.attrs or more[0].attrs:
+        return None
+    return more[0]
+
+
 def find(
     graph: Graph, pattern: Pattern, *, anchors: DataFrame | None = None, uses: Sequence[str] = (), keep_attrs: Sequence[str] = (),
     allow_cartesian: bool = False,
@@ -287,7 +298,8 @@ def find(
     bound_v = {c[2:] for c in (anchors.columns if anchors is not None else []) if c.startswith("v_")}
     bound_e = {c[2:] for c in (anchors.columns if anchors is not None else []) if c.startswith("e_")}
     done_v: set[str] = set()
-    # edges that hold anchors leave few matches, so vertices with nothing but a type to look up wait for them
+    # edges that hold anchors or close a ring leave few matches, so vertices with nothing but a type or attributes to look up wait for them
+    closes = sum(len(e.endpoints()) for e in pattern.edges) >= len(pattern.vertices) + len(pattern.edges)
     late: list[str] = []
 
     def settle(cur: DataFrame, key: str) -> DataFrame:
@@ -296,7 +308,7 @@ def find(
         if key not in done_v:
             done_v.add(key)
             proven = _proven(graph, pattern, v)
-            if proven and not v.attrs and key in bound_v:
+            if proven and not v.attrs and (key in bound_v or (closes and key in mentioned)):
                 late.append(key)
             elif v.attrs or key in mentioned or key in bound_v or not proven:
                 cur = _merge(cur, _vertex_side(graph, v, key in mentioned), {f"v_{key}": f"v_{key}"}, allow_cartesian)
@@ -310,6 +322,8 @@ def find(
         for key in sorted(bound_v):
             cur = settle(cur, key)
     left = list(pattern.edges)
+    # literals keep matches few from the start
+    limits = any(not isinstance(t, (Var, _Any)) for x in (*pattern.vertices, *pattern.edges) for t in x.attrs.values())
     placed: list[E] = []
     have = set(bound_v)
     while left:
@@ -323,18 +337,28 @@ def find(
         e = min(left, key=rank)
         left.remove(e)
         side = _edge_side(graph, e, specs)
-        on = {f"v_{k}": f"_x_{k}" for k in e.endpoints() if k in have and cur is not None}
+        group = [e]
+        if cur is not None and anchors is None and not limits:
+            # what hangs on one end is joined before it meets the matches, which then travel once for all of it
+            while (f := _next_in_chain(group[-1], left, have)) is not None:
+                left.remove(f)
+                shared = next(k for k in group[-1].endpoints() if k in f.endpoints())
+                side = _Side(_merge(side.df, _edge_side(graph, f, specs), {f"_x_{shared}": f"_x_{shared}"}, False), {})
+                group.append(f)
+        ends = list(dict.fromkeys(k for g in group for k in g.endpoints()))
+        on = {f"v_{k}": f"_x_{k}" for k in ends if k in have and cur is not None}
         if e.key in bound_e:
             on[f"e_{e.key}"] = f"e_{e.key}"
         cur = _merge(cur, side, on, allow_cartesian)
-        fresh = [k for k in e.endpoints() if k not in have]
+        fresh = [k for k in ends if k not in have]
         for k in fresh:
             cur = cur.withColumnRenamed(f"_x_{k}", f"v_{k}")
             have.add(k)
-        for other in placed:
-            if other.type == e.type:
-                cur = cur.filter(F.col(f"e_{e.key}") != F.col(f"e_{other.key}"))
-        placed.append(e)
+        for g in group:
+            for other in placed:
+                if other.type == g.type:
+                    cur = cur.filter(F.col(f"e_{g.key}") != F.col(f"e_{other.key}"))
+            placed.append(g)
         for k in fresh:
             cur = settle(cur, k)
     for key in late:

@@ -87,6 +87,16 @@ def odd_graph(spark):
     return gr.Graph(cat, {"X": v}, {"One": one, "Many": many, "Bare": spark.createDataFrame([("e1",), ("e8",)], "edge_id STRING")})
 
 
+def test_only_edges_that_share_an_id_are_compared_for_degrees(spark, made):
+    g = odd_graph(spark)
+    got = sorted(tuple(r) for r in g.degree().collect())
+    pairs = {(r["vertex_id"], r["edge_id"]) for r in g.incidences().collect()}
+    want = {v: sum(x == v for x, _ in pairs) for v in ("v1", "v2", "v3", "v4")}
+    assert got == sorted([(v, "X", want[v]) for v in ("v1", "v2", "v3", "v3", "v4")]) and want["v1"] == 5
+    # e2 and e5 have ids of their own
+    assert sum(made) < g.incidences().count() - 2
+
+
 def test_slots_are_counted_without_expanding(spark):
     import __spark_entry__ as entry
 
@@ -101,14 +111,46 @@ def test_slots_are_counted_without_expanding(spark):
     assert "Expand" not in plan
 
 
-def test_only_edges_that_share_an_id_are_compared_for_degrees(spark, made):
-    g = odd_graph(spark)
-    got = sorted(tuple(r) for r in g.degree().collect())
-    pairs = {(r["vertex_id"], r["edge_id"]) for r in g.incidences().collect()}
-    want = {v: sum(x == v for x, _ in pairs) for v in ("v1", "v2", "v3", "v4")}
-    assert got == sorted([(v, "X", want[v]) for v in ("v1", "v2", "v3", "v3", "v4")]) and want["v1"] == 5
-    # e2 and e5 have ids of their own
-    assert sum(made) < g.incidences().count() - 2
+def test_matches_travel_once_for_a_chain_and_meet_attributes_last(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    from hyperlake.operators import match as mt
+
+    met, plain = [], mt._merge
+
+    def merged(cur, side, *rest):
+        if cur is not None and "e_l" in cur.columns:
+            met.append([c for c in side.df.columns if c[:2] in ("e_", "v_")])
+        return plain(cur, side, *rest)
+
+    monkeypatch.setattr(mt, "_merge", merged)
+    for name, vertices in (("match_two_edge_path", []), ("match_guard_with_parameters", [["v_p"]])):
+        met.clear()
+        entry.queries()[name](spark, "/root/testdata/sf0.001")
+        assert met == [["e_pl", "e_li"], ["e_ls"], *vertices]
+
+
+def test_a_chain_keeps_its_edges_apart(spark):
+    """A ring of edges of one type, with ids that repeat, against brute force."""
+    from itertools import product
+
+    from hyperlake.operators import match as mt
+    from hyperlake.operators.match import E, Pattern, V
+
+    arcs = [("e1", "a", "b"), ("e2", "b", "c"), ("e3", "c", "d"), ("e4", "d", "a"), ("e2", "d", "a"), ("e5", "a", "c"), ("e6", "c", "a"), ("e7", None, "a"), ("e3", "c", "d")]
+    cat = gr.Catalog([gr.VertexType("X", (), {"w": gr.Attr("int")})], [gr.EdgeType("Arc", (gr.Port("tail", "s", "X"), gr.Port("head", "t", "X")))])
+    v = spark.createDataFrame([(k, i) for i, k in enumerate("abcd")], "vertex_id STRING, w INT")
+    g = gr.Graph(cat, {"X": v}, {"Arc": spark.createDataFrame(arcs, "edge_id STRING, tail_s STRING, head_t STRING")})
+    for n, ring in ((4, True), (4, False), (3, True)):
+        ends = [(i, (i + 1) % n) if ring else (i, i + 1) for i in range(n)]
+        p = Pattern([V(f"x{i}", "X") for i in range(n + (not ring))], [E(f"k{i}", "Arc", {"s": [f"x{a}"]}, {"t": [f"x{b}"]}) for i, (a, b) in enumerate(ends)])
+        got = sorted((tuple(r) for r in mt.matches(g, p, guard="x0__w >= 0").select(*[f"e_k{i}" for i in range(n)], *[f"v_{x.key}" for x in p.vertices]).collect()), key=str)
+        want = []
+        for some in product([a for a in arcs if a[1]], repeat=n):
+            at = {}
+            if all(at.setdefault(k, x) == x for (a, b), (_, s, t) in zip(ends, some, strict=True) for k, x in ((a, s), (b, t))) and len(set(at.values())) == len(at) and len({e for e, _, _ in some}) == n:
+                want.append((*[e for e, _, _ in some], *[at[i] for i in range(len(at))]))
+        assert got == sorted(want, key=str)
 
 
 def test_rematch_joins_only_entities_of_the_asked_kind(spark, monkeypatch):
