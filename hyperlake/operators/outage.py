@@ -119,14 +119,14 @@ def add_row(n: int, total: float, x: float, mean: float, levels: Any, before: Se
     ``levels`` holds a stretch of ``2 ** level`` rows for each bit of the rows after ``first``; adding one carries as in
     counting.  ``mean`` is that of the first half of the prefix and ``before`` what lies before ``first``.
     """
-    stored = not isinstance(levels, Levels)
-    load = (lambda v: tuple([tuple(p) for p in hull] for hull in json.loads(v))) if stored else (lambda v: v)
+    # text gives lists back
+    load = lambda hulls: hulls if isinstance(hulls, tuple) else tuple([tuple(p) for p in hull] for hull in hulls)
     new, count, level = point(n, total), n - first - 1, 0
     while count >> level & 1:
         new = merge(load(levels.getValue((level,))[0]), new)
         levels.removeKey((level,))
         level += 1
-    levels.updateValue((level,), (json.dumps(new) if stored else new,))
+    levels.updateValue((level,), (new,))
     known = decided(x, drop)
     if known is not None:
         return known

@@ -12,6 +12,8 @@ from __future__ import annotations
 import heapq
 import json
 import math
+import zlib
+from collections import namedtuple
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -26,6 +28,49 @@ from ..operators.adaptive import CUSUM_H, CUSUM_K, DROP_THRESHOLD, EMA_ALPHA, UP
 Step = Callable[[tuple, Any, dict[str, Any]], tuple[tuple, tuple | None]]
 #: rows of output handed on at a time, and rows of a spooled piece read ahead
 OUT, AHEAD = 4096, 64
+#: entries of a map held in memory at a time, and values that share an entry
+HELD, SHARE = 2048, 64
+
+
+class _Held:
+    """A map of the state store whose entries, text there, are read once and written once for a micro-batch of a key.
+
+    ``empty`` tells that the key has nothing stored, so nothing is asked for.  At most :data:`HELD` entries are held.
+    """
+
+    def __init__(self, stored: Any, empty: bool) -> None:
+        self.stored, self.empty, self.held, self.changed = stored, empty, {}, set()
+
+    def getValue(self, key: tuple) -> tuple | None:
+        if key not in self.held:
+            found = None if self.empty else self.stored.getValue(key)
+            self._hold(key, None if found is None else (json.loads(found[0]),))
+        return self.held[key]
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        self._hold(key, value)
+        self.changed.add(key)
+
+    def removeKey(self, key: tuple) -> None:
+        if self.empty:
+            self.held.pop(key, None)
+            self.changed.discard(key)
+        else:
+            self.updateValue(key, None)
+
+    def _hold(self, key: tuple, value: tuple | None) -> None:
+        if len(self.held) >= HELD and key not in self.held:
+            self.flush()
+        self.held[key] = value
+
+    def flush(self) -> None:
+        for key in self.changed:
+            if self.held[key] is None:
+                self.stored.removeKey(key)
+            else:
+                self.stored.updateValue(key, (json.dumps(self.held[key][0]),))
+        self.empty = self.empty and not self.changed
+        self.held, self.changed = {}, set()
 
 
 class _Fold(StatefulProcessor):
@@ -37,6 +82,7 @@ class _Fold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.value = handle.getValueState("value", self.state)
         self.kept = {name: handle.getMapState(name, *kinds) for name, kinds in self.maps.items()}
+        self.row = namedtuple("Row", self.rows.split(","), rename=True)
         self.spool = handle.getMapState("spool", "piece INT, block INT", "rows STRING")
 
     def _spooled(self, piece: int, blocks: int) -> Iterator[tuple]:
@@ -67,18 +113,20 @@ class _Fold(StatefulProcessor):
         yield from map(make, merged)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        from collections import namedtuple
-
         key = tuple(key)
-        current = tuple(self.value.get()) if self.value.exists() else self.initial
+        known = self.value.get()
+        current = self.initial if known is None else tuple(known)
+        maps = {name: _Held(kept, known is None) for name, kept in self.kept.items()}
         out: list[tuple] = []
-        for r in self._ordered(rows, namedtuple("Row", self.rows.split(","), rename=True)):
-            current, made = self.step(current, r, self.kept)
+        for r in self._ordered(rows, self.row):
+            current, made = self.step(current, r, maps)
             if made is not None:
                 out.append((*key, *made))
                 if len(out) == OUT:
                     yield pd.DataFrame(out, columns=self.names)
                     out = []
+        for held in maps.values():
+            held.flush()
         self.value.update(current)
         yield pd.DataFrame(out, columns=self.names)
 
@@ -92,7 +140,8 @@ def fold(
     """Apply ``step(state, row, maps) -> (state, output or None)`` to every row of a key in order.
 
     ``output`` and ``state`` are DDL schemas; the key columns are put in front of the output.  ``maps`` names maps of the
-    key (schemas of their keys and values), which ``step`` reads and writes entry by entry.  Columns are numbers or
+    key (schemas of their keys and of one text each), in which ``step`` reads and writes what JSON can hold, entry by
+    entry; an entry travels to the state store and back once for a micro-batch.  Columns are numbers or
     text.  The session's state store is set to RocksDB, which the maps need.
     """
     keys, order = list(keys), list(order)
@@ -108,28 +157,45 @@ def ordered_ingest(stream: DataFrame, keys: Sequence[str] = ("run_id",), keep_se
     """accepted, late or duplicate for every event of a run.
 
     An event earlier than the run's current time is late; an id accepted before is a
-    duplicate, however long ago.  The state of a run is its clock and a map with an
-    entry for each accepted id, of which an event reads one; ``keep_seconds`` is an
-    explicit choice to forget ids that are older than that and to take them as new
-    again.  Needs t, namespace, sequence, event_id.
+    duplicate, however long ago.  The state of a run is its clock and a map of the
+    accepted ids, some :data:`SHARE` to an entry; an event reads the entry its id hashes
+    to, and entries split in two as ids get more.  ``keep_seconds`` is an explicit choice
+    to forget ids that are older than that and to take them as new again.  Needs t,
+    namespace, sequence, event_id.
     """
     def step(s: tuple, r, maps: dict[str, Any]) -> tuple:
-        (last, swept), ids, ident, t = s, maps["ids"], str(r.event_id), float(r.t)
-        known = ids.getValue((ident,))
-        if known is not None and (keep_seconds is None or known[0] >= t - keep_seconds):
+        (last, swept, n, parts), ids, ident, t = s, maps["ids"], str(r.event_id), float(r.t)
+        place = zlib.crc32(ident.encode("utf-8", "surrogatepass"))
+        mine = (ids.getValue((place % parts,)) or ({},))[0]
+        known = mine.get(ident)
+        if known is not None and (keep_seconds is None or known >= t - keep_seconds):
             return s, (ident, t, "duplicate")
         if t < last:
             return s, (ident, t, "late")
-        ids.updateValue((ident,), (t,))
+        n += known is None
+        mine[ident] = t
+        ids.updateValue((place % parts,), (mine,))
         if keep_seconds is not None and t - swept > keep_seconds:
             # once in a while what is too old is removed, entry by entry
-            for (old,) in [k for k, v in ids.iterator() if v[0] < t - keep_seconds]:
-                ids.removeKey((old,))
+            n = 0
+            for part in range(parts):
+                young = {k: v for k, v in (ids.getValue((part,)) or ({},))[0].items() if v >= t - keep_seconds}
+                ids.updateValue((part,), (young,))
+                n += len(young)
             swept = t
-        return (t, swept), (ident, t, "accepted")
+        if n > parts * SHARE:
+            for part in range(parts):
+                halves: tuple[dict, dict] = ({}, {})
+                for k, v in (ids.getValue((part,)) or ({},))[0].items():
+                    halves[zlib.crc32(k.encode("utf-8", "surrogatepass")) // parts % 2][k] = v
+                ids.updateValue((part,), (halves[0],))
+                ids.updateValue((part + parts,), (halves[1],))
+            parts *= 2
+        return (t, swept, n, parts), (ident, t, "accepted")
 
     return fold(
-        stream, keys, ["t", "namespace", "sequence"], "event_id STRING, t DOUBLE, status STRING", "last DOUBLE, swept DOUBLE", (-math.inf, -math.inf), step, {"ids": ("event_id STRING", "t DOUBLE")},
+        stream, keys, ["t", "namespace", "sequence"], "event_id STRING, t DOUBLE, status STRING", "last DOUBLE, swept DOUBLE, n BIGINT, parts BIGINT", (-math.inf, -math.inf, 0, 1), step,
+        {"ids": ("part BIGINT", "ids STRING")},
     )
 
 
@@ -192,23 +258,26 @@ def outage(stream: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     """Availability transitions only, by :mod:`hyperlake.operators.outage` over every prefix.
 
     The detector compares with the mean of the first half of all rows so far, so prefix sums from that half on are kept,
-    each an entry of a map of which a row reads one and removes one.  The rest of the state are hulls, one map entry for
+    :data:`SHARE` to an entry of a map of which a row reads one and writes one.  The rest of the state are hulls, one map entry for
     each power of two of rows.
     """
     def step(s: tuple, r, maps: dict[str, Any]) -> tuple:
         n, total, was = s
         x = float(getattr(r, value))
         n, total = n + 1, total + x
-        maps["sums"].updateValue((n,), (total,))
+        (mine,) = maps["sums"].getValue((n // SHARE,)) or ([],)
+        maps["sums"].updateValue((n // SHARE,), ([*mine, total],))
         half = max(1, n // 2)
-        (before,) = maps["sums"].getValue((half,))
-        if n > 2 and n % 2 == 0:
-            maps["sums"].removeKey((half - 1,))
+        # row 1 is the first of entry 0
+        (sums,) = maps["sums"].getValue((half // SHARE,))
+        before = sums[half % SHARE - (half < SHARE)]
+        if n % 2 == 0 and half % SHARE == 0:
+            maps["sums"].removeKey((half // SHARE - 1,))
         now = outages.add_row(n, total, x, before / half, maps["hulls"])
         state = "up" if now else "down"
         return (n, total, state), ((float(getattr(r, order[0])), now) if state != was else None)
 
-    kept = {"sums": ("n BIGINT", "total DOUBLE"), "hulls": ("level INT", "hulls STRING")}
+    kept = {"sums": ("block BIGINT", "totals STRING"), "hulls": ("level INT", "hulls STRING")}
     return fold(stream, keys, order, "t DOUBLE, available BOOLEAN", "n BIGINT, total DOUBLE, was STRING", (0, 0.0, ""), step, kept)
 
 

@@ -83,3 +83,75 @@ def test_merged_hulls_are_those_of_the_whole():
         for c in (-2.0, 0.0, 0.3, 1.7):
             brute = max((j - i) * c - (totals[j] - totals[i]) for i in range(n) for j in range(i, n))
             assert abs(outage.largest_drop([merged], c) - max(brute, 0.0)) < 1e-9
+
+
+class Store(dict):
+    """The calls of a state store's map, counted."""
+
+    calls = 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        self.pop(key, None)
+
+
+@pytest.fixture
+def in_memory(monkeypatch):
+    """The step of an operator over batches of rows, with stores that count."""
+    def run(operator, batches):
+        got = {}
+        monkeypatch.setattr(st, "fold", lambda stream, keys, order, output, state, initial, step, maps=None: got.update(step=step, now=initial, maps=maps or {}))
+        operator()
+        stores, out, state = {m: Store() for m in got["maps"]}, [], got["now"]
+        for k, rows in enumerate(batches):
+            maps = {m: st._Held(s, k == 0) for m, s in stores.items()}
+            for row in rows:
+                state, made = got["step"](state, row, maps)
+                out.append(made)
+            for held in maps.values():
+                held.flush()
+        return out, stores
+
+    return run
+
+
+@pytest.mark.parametrize("held", [3, 2048])
+@pytest.mark.parametrize("keep", [None, 40.0])
+def test_ids_share_entries_of_the_state_store(in_memory, monkeypatch, held, keep):
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(st, "HELD", held)
+    r, want, known, last = random.Random(4), [], {}, float("-inf")
+    batches = [[SimpleNamespace(event_id=f"e{r.randrange(3000)}", t=float(k * 8 + i // 250 - (r.random() < 0.1) * 9)) for i in range(2000)] for k in range(3)]
+    for row in [x for b in batches for x in b]:
+        was = known.get(row.event_id)
+        status = "duplicate" if was is not None and (keep is None or was >= row.t - keep) else "late" if row.t < last else "accepted"
+        want.append((row.event_id, row.t, status))
+        if status == "accepted":
+            known[row.event_id], last = row.t, row.t
+    out, stores = in_memory(lambda: st.ordered_ingest(None, keep_seconds=keep), batches)
+    assert out == want and {s for *_, s in want} == {"accepted", "late", "duplicate"}
+    import json
+
+    assert held == 3 or stores["ids"].calls < 600
+    assert keep is not None or {k for (text,) in stores["ids"].values() for k in json.loads(text)} == set(known)
+
+
+def test_prefix_sums_share_entries_of_the_state_store(in_memory):
+    from types import SimpleNamespace
+
+    r = random.Random(5)
+    xs = [x for _ in range(12) for x in series(r)]
+    rows = [SimpleNamespace(t=i, x=x) for i, x in enumerate(xs)]
+    out, stores = in_memory(lambda: st.outage(None, ["k"], ["t"], "x"), [rows[:200], rows[200:203], rows[203:]])
+    says = [st.infer_outage(xs[: i + 1]) for i in range(len(xs))]
+    assert out == [(float(i), now) if i == 0 or now != says[i - 1] else None for i, now in enumerate(says)] and set(says) == {True, False}
+    assert stores["sums"].calls < len(xs) / 4 and len(stores["sums"]) <= len(xs) / 64 / 2 + 2
