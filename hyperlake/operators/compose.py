@@ -31,28 +31,51 @@ def wire_pairs(wires: DataFrame, handles: DataFrame, vertices: DataFrame, closur
     return w.select(*wires.columns, "left_vertex", "right_vertex", problem.alias("problem"))
 
 
-def connected_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def connected_components(nodes: DataFrame | None, links: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable over undirected links.
 
-    Min-label propagation with pointer jumping, so long chains take a logarithmic
-    number of rounds.  A hub sends one combined minimum per round (map-side), and
-    every round is cut in the shared folder.
+    Every node points at its smallest neighbour if that is smaller than itself,
+    pointers are followed for a few steps, and the links are drawn again between
+    the nodes pointed at.  At least half of the nodes with links go in two rounds,
+    and links that fall together or into a node go with them, so later rounds are
+    small.  The pointers of the rounds, put one after the other, lead to the
+    smallest node.  A hub sends one combined minimum per round (map-side).
+
+    Without ``nodes`` the ends of all links are the nodes; else links to other
+    nodes are left out.
     """
-    edges = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(nodes.select("node", F.col("node").alias("root")))
-    while True:
-        sent = edges.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("root").alias("_m"))
-        near = labels.join(sent, "node", "left").select("node", F.col("root").alias("_old"), F.least("root", F.coalesce("_m", "root")).alias("root"))
-        near = cut(near)
-        # a root's new root is taken over by everything that points at it
-        over = near.groupBy(F.col("_old").alias("_r")).agg(F.min("root").alias("_o"))
-        jump = near.join(over, F.col("_old") == F.col("_r"), "left").select("node", "_old", F.least("root", "_o").alias("root"))
-        hop = jump.select(F.col("node").alias("_r"), F.col("root").alias("_h"))
-        nxt = cut(jump.withColumnRenamed("root", "_x").join(hop, F.col("_x") == F.col("_r"), "left").select("node", "_old", F.least("_x", F.coalesce("_h", "_x")).alias("root")))
-        settled = nxt.filter("root <> _old").isEmpty()
-        labels = nxt.select("node", "root")
-        if settled:
-            return labels
+    if nodes is not None:
+        known = nodes.select("node").distinct()
+        for c in ("a", "b"):
+            links = links.join(known.withColumnRenamed("node", c), c, "left_semi")
+    else:
+        links = cut(links.select("a", "b"))
+        nodes = links.select(F.col("a").alias("node")).distinct().union(links.select("b").distinct()).distinct()
+    falling = lambda df: df.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    # a link given twice changes no minimum, so links are made distinct only once they are drawn again
+    edges = cut(falling(links))
+    rounds: list[DataFrame] = []
+    while not edges.isEmpty():
+        up = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")))
+        # a chain of up to four pointers is followed to its end; of a longer one the rest stays as links
+        for _ in range(2):
+            up = cut(_follow(up, up, "root"))
+        rounds.append(up)
+        edges = cut(falling(_follow(_follow(edges, up, "a"), up, "b")).distinct())
+    if not rounds:
+        return nodes.select("node", F.col("node").alias("root"))
+    whole = rounds.pop()
+    while rounds:
+        # whoever a round left standing may have gone in a later one
+        earlier = rounds.pop()
+        whole = cut(_follow(earlier, whole, "root").unionByName(whole.join(earlier, "node", "left_anti")))
+    return nodes.join(whole, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def _follow(df: DataFrame, pointers: DataFrame, column: str) -> DataFrame:
+    """``df`` with ``column`` replaced by what it points at, if anything."""
+    at = pointers.select(F.col("node").alias("_at"), F.col("root").alias("_to"))
+    return df.join(at, F.col(column) == F.col("_at"), "left").withColumn(column, F.coalesce("_to", column)).drop("_at", "_to")
 
 
 def merge_vertices(members: DataFrame, attributes: Sequence[str], depth: Mapping[str, int], merge: Mapping[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:

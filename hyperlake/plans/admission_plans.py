@@ -250,6 +250,5 @@ def remap(spark, sf):
  e AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(node, m) USING KEY (node) AS (SELECT a, a FROM e UNION SELECT e.b, min(r.m) FROM r JOIN e ON r.node = e.a JOIN recurring.r AS c ON c.node = e.b WHERE r.m < c.m GROUP BY e.b) SELECT node, m AS root FROM r""")
 def components(spark, sf):
     li = table(spark, sf, "lineitem")
-    l = li.select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 100000000).alias("b")).distinct()
-    nodes = l.select(F.col("a").alias("node")).union(l.select("b")).distinct()
-    return cp.connected_components(nodes, l)
+    l = li.select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 100000000).alias("b"))
+    return cp.connected_components(None, l)
