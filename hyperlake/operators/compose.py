@@ -129,8 +129,7 @@ def compose(vertices: DataFrame, wires: DataFrame, handles: DataFrame, closure:
     nodes = vertices.withColumn("node", key("component", "vertex_id"))
     links = pairs.filter("problem IS NULL").select(key("left_component", "left_vertex").alias("a"), key("right_component", "right_vertex").alias("b"))
     # only wired vertices enter the iteration; all others are their own root
-    touched = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    roots = connected_components(touched, links)
+    roots = connected_components(None, links)
     mapping = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     merged, conflicts = merge_vertices(mapping, attributes, depth, merge)
     return {
