@@ -101,6 +101,8 @@ def names(spark, sf):
 def triples(spark, sf):
     """Nations are cells, their suppliers components, parts are proposals to a nation."""
     s, p, n = table(spark, sf, "supplier"), table(spark, sf, "part"), table(spark, sf, "nation")
+    # a part takes a few bytes in its file and many as triples: the rows are dealt out before they grow, not read as one block
+    p = p.repartition("p_partkey")
     X = ad.XSD + "string"
     t = lambda s_, p_, o, kind, dt=None: F.struct(s_.alias("s"), F.lit(p_).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), F.lit(dt).cast("string").alias("o_datatype"))
     lit = lambda x: F.lit(x)
@@ -138,7 +140,7 @@ PREV = """pv AS (SELECT p_partkey AS k, 'urn:p:' || p_partkey AS proposal, p_par
 
 
 def preview(spark, sf):
-    p = table(spark, sf, "part")
+    p = table(spark, sf, "part").repartition("p_partkey")
     k = F.col("p_partkey")
     props = p.select(vid("urn:p", "p_partkey").alias("proposal"), F.concat(F.lit("urn:n:"), k % 25).alias("cell"))
     content = p.select(vid("urn:p", "p_partkey").alias("proposal"), F.sha2("p_name", 256).alias("module_sha256"), F.when(k % 13 == 0, "x").otherwise(F.sha2("p_brand", 256)).alias("evidence_sha256"))

@@ -56,3 +56,12 @@ def test_components_leave_out_links_to_unknown_nodes(spark):
     nodes = spark.createDataFrame([(1,), (3,), (4,), (5,)], "node LONG")
     links = spark.createDataFrame([(1, 2), (2, 3), (5, 4)], "a LONG, b LONG")
     assert sorted(tuple(r) for r in cp.connected_components(nodes, links).collect()) == [(1, 1), (3, 3), (4, 4), (5, 4)]
+
+
+def test_parts_are_dealt_out_before_they_grow(spark, tmp_path):
+    spark.createDataFrame([(1, "s", 2)], "s_suppkey LONG, s_name STRING, s_nationkey INT").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(2, "n")], "n_nationkey INT, n_name STRING").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(i, "p", "b") for i in (1, 2, 2)], "p_partkey LONG, p_name STRING, p_brand STRING").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    t = admission_plans.triples(spark, str(tmp_path))
+    assert t.count() == 5 + 2 + 18 and t.filter(F.col("s") == "urn:p:2").count() == 12
+    assert "REPARTITION_BY_COL" in t._jdf.queryExecution().executedPlan().toString()
