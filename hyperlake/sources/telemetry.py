@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # fixed values: accepted terminal names per KPM column, first alias wins
 KPM_ALIASES = {
     "cqi": ("CQI", "cqi", "wideband_cqi", "wb_cqi"),
@@ -166,21 +168,24 @@ def parse_native_scheduler(lines: DataFrame, column: str = "value", line_no: str
     df = lines.withColumn("_t", F.trim(F.col(column))).filter("_t <> ''")
     keys = F.json_object_keys("_t")
     df = df.filter(~F.coalesce(F.array_contains(keys, "cmd") & (F.size(keys) <= 2), F.lit(False)))
-    j = F.from_json("_t", _NATIVE)
-    df = df.withColumn("_j", j)
+    df = df.withColumn("_j", F.from_json("_t", _NATIVE))
     t = numeric_or_null(F.coalesce(F.col("_j.time_s"), F.col("_j.timestamp_s")))
+    keep = [c for c in lines.columns if c != column]
+    df = df.select(*keep, t.alias("_time"), F.col("_j.cells").alias("_cells"))
+    t = F.col("_time")
     if period_s is not None:
         if line_no is None:
             raise ValueError("period_s needs a line_no column")
         from .. import ordered
 
-        # only the numbers are ordered, not the lines; lines of one number share their index
+        # lines are read and parsed once; what they hold is written, numbered and joined, not their text
+        df = cut(df)
+        # lines of one number share their index
         numbers = ordered.scan(df.select(line_no).distinct(), [], [line_no], {"_i": ordered.rnumber()})
         df = df.join(numbers, line_no)
         t = F.coalesce(t, F.lit(float(start_time_s)) + (F.col("_i") - 1) * F.lit(float(period_s)))
     df = df.withColumn("time_s", t)
-    keep = [c for c in lines.columns if c != column]
-    ue = df.select(*keep, "time_s", F.explode("_j.cells").alias("c")).select(*keep, "time_s", F.coalesce("c.pci", "c.cell_metrics.pci").alias("_pci"), F.explode("c.ue_list").alias("u"))
+    ue = df.select(*keep, "time_s", F.explode("_cells").alias("c")).select(*keep, "time_s", F.coalesce("c.pci", "c.cell_metrics.pci").alias("_pci"), F.explode("c.ue_list").alias("u"))
     n = lambda f: numeric_or_null(F.col(f"u.{f}"))
     drop = lambda bad, good: F.when(good + bad > 0, bad / (good + bad))
     null = F.lit(None).cast("double")

@@ -58,6 +58,13 @@ def test_components_leave_out_links_to_unknown_nodes(spark):
     assert sorted(tuple(r) for r in cp.connected_components(nodes, links).collect()) == [(1, 1), (3, 3), (4, 4), (5, 4)]
 
 
+def test_native_lines_are_parsed_once(spark):
+    lines = [(i, '{"cells":[{"pci":%d,"ue_list":[{"rnti":"u%d"}]}]}' % (i, i)) for i in (3, 8, 8, 20)] + [(5, '{"cmd":"x"}'), (6, '{"cells":[]}')]
+    got = tm.parse_native_scheduler(spark.createDataFrame(lines, "n INT, value STRING"), line_no="n", start_time_s=1.0, period_s=0.5)
+    assert sorted((r["n"], r["time_s"], r["ue_id"], r["cell_id"]) for r in got.collect()) == [(3, 1.0, "u3", "3"), (8, 2.0, "u8", "8"), (8, 2.0, "u8", "8"), (20, 2.5, "u20", "20")]
+    assert "from_json" not in _plan(got).lower() and "json_object_keys" not in _plan(got).lower()
+
+
 def test_parts_are_dealt_out_before_they_grow(spark, tmp_path):
     spark.createDataFrame([(1, "s", 2)], "s_suppkey LONG, s_name STRING, s_nationkey INT").write.parquet(f"{tmp_path}/supplier.parquet")
     spark.createDataFrame([(2, "n")], "n_nationkey INT, n_name STRING").write.parquet(f"{tmp_path}/nation.parquet")
