@@ -421,21 +421,26 @@ def conflict_free_batch(touch: DataFrame) -> DataFrame:
     round a match wins if it has the smallest id on every contested entity;
     winners and everything that conflicts with them leave.  The fixpoint equals
     choosing in id order.  A hot entity costs one row per match: its minimum is
-    combined on the map side and joins back as a single row.
+    combined on the map side and joins back as a single row.  An entity that no
+    open match writes is never contested again, so its rows leave at once.
     """
-    open_ = cut(touch)
+    open_ = cut(touch.filter("match_id IS NOT NULL").select("match_id", "entity_id", F.coalesce("is_write", F.lit(False)).alias("is_write")))
     parts: list[DataFrame] = []
     while True:
-        won = cut(first_winners(open_))
+        # of the smallest match's rows one that writes comes first
+        first = F.min(F.struct("match_id", (~F.col("is_write")).alias("reads")))
+        best = open_.groupBy("entity_id").agg(first.alias("_f"), F.bool_or("is_write").alias("_w")).filter("_w")
+        seen = cut(open_.join(best, "entity_id", "left").select("match_id", "entity_id", "is_write", F.col("_f.match_id").alias("_min"), (~F.col("_f.reads")).alias("_minw")))
+        won = cut(seen.groupBy("match_id").agg(F.bool_or(F.coalesce(F.col("match_id") != F.col("_min"), F.lit(False))).alias("_lost")).filter("NOT _lost").select("match_id"))
         # every part is a file already; now and then they are merged into one
         parts = [cut(reduce(lambda a, b: a.unionByName(b), parts)), won] if len(parts) >= 16 else [*parts, won]
-        chosen = reduce(lambda a, b: a.unionByName(b), parts)
-        mine = open_.join(won, "match_id", "left_semi").groupBy("entity_id").agg(F.bool_or("is_write").alias("_ww"))
-        rest = open_.join(won, "match_id", "left_anti")
-        clash = rest.join(mine, "entity_id").filter("is_write OR _ww").select("match_id").distinct()
-        open_ = cut(rest.join(clash, "match_id", "left_anti"))
+        # on a contested entity nobody but the smallest match can have won
+        late = seen.filter("match_id <> _min")
+        clash = late.filter("is_write OR _minw").join(won.select(F.col("match_id").alias("_min")), "_min", "left_semi").select("match_id")
+        gone = won.unionByName(clash.distinct())
+        open_ = cut(seen.filter("_min IS NOT NULL").select("match_id", "entity_id", "is_write").join(gone, "match_id", "left_anti"))
         if open_.isEmpty():
-            return chosen
+            return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def _prefixes(cond: Condition) -> list[Pattern]:

@@ -58,6 +58,15 @@ def test_components_leave_out_links_to_unknown_nodes(spark):
     assert sorted(tuple(r) for r in cp.connected_components(nodes, links).collect()) == [(1, 1), (3, 3), (4, 4), (5, 4)]
 
 
+def test_entities_without_writer_leave_the_batch(spark, monkeypatch):
+    touch = [(f"m{i}", e, w) for i in range(6) for e, w in (("shared", False), (f"e{i}", True), (f"e{i + 1}", True))]
+    seen = _written(monkeypatch, rw)
+    got = rw.conflict_free_batch(spark.createDataFrame([*touch, ("free", "shared", False)], "match_id STRING, entity_id STRING, is_write BOOLEAN"))
+    assert sorted(r[0] for r in got.collect()) == ["free", "m0", "m2", "m4"]
+    later = [d for d in seen if d.columns == ["match_id", "entity_id", "is_write"]][1:]
+    assert later and all(d.filter("entity_id = 'shared'").isEmpty() for d in later)
+
+
 def test_native_lines_are_parsed_once(spark):
     lines = [(i, '{"cells":[{"pci":%d,"ue_list":[{"rnti":"u%d"}]}]}' % (i, i)) for i in (3, 8, 8, 20)] + [(5, '{"cmd":"x"}'), (6, '{"cells":[]}')]
     got = tm.parse_native_scheduler(spark.createDataFrame(lines, "n INT, value STRING"), line_no="n", start_time_s=1.0, period_s=0.5)
