@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_dir
+from ..session import cut, passing_cuts, shared_dir
 
 #: what separates words: space, tab, newline, vertical tab, form feed, carriage return
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["BLANKS", "ascii_lower", "components", "cut", "fresh", "held_out", "same", "share_of", "shared_dir", "table"]
+__all__ = ["BLANKS", "ascii_lower", "components", "cut", "fresh", "held_out", "passing_cuts", "same", "share_of", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

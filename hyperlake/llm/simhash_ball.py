@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, fresh, share_of
+from .common import components, cut, fresh, passing_cuts, share_of
 
 SEED = 42
 #: so many shingles are unpacked to bits at a time
@@ -122,19 +122,25 @@ def set_hash(shingles: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(shingles.tobytes(), SEED)], dtype=np.uint64).view(np.int64)[0]) if len(shingles) else 0
 
 
-def frequent_shingles(docs: DataFrame, text: str, words: int, texts: int = 4000, least: int = 3, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a bounded sample have, in order, and how many have them.
+def frequent_shingles(docs: DataFrame, text: str, words: int, texts: int = 4000, least: int = 3, most: int = 1 << 18, one_in: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample have, in order, and how many have them; at most ``most``, the most frequent.
 
-    They only set the order in which shingles are looked at, so what the sample lacks costs time and loses no pair.
+    The sample is one in ``one_in`` texts, and ``texts`` at least.  It grows with the table, so that what it lacks is in a
+    bounded number of texts: a sample of fixed size lacks what a fixed share of all texts have, whose pairs grow with the
+    square of the table.  The order in which shingles are looked at is all they set: what the sample lacks costs time and
+    loses no pair.
     """
 
     @F.pandas_udf("array<long>")
     def of(column: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, words) for t in column])
 
-    sample = docs.select(F.col(text).alias("text")).filter(share_of(F.col("text"), texts, docs.count())).distinct()
+    total = docs.count()
+    sample = docs.select(F.col(text).alias("text")).filter(share_of(F.col("text"), max(texts, total // one_in), total)).distinct()
     counts = sample.select(F.explode(of("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    found = counts.orderBy(F.desc("n"), "token").limit(most).toPandas().sort_values("token")
+    with passing_cuts(docs.sparkSession):
+        # written: what was shuffled for a frame that the driver has asked for rows stays on disk longer
+        found = cut(counts).orderBy(F.desc("n"), "token").limit(most).toPandas().sort_values("token")
     return found["token"].to_numpy(dtype=np.int64), found["n"].to_numpy(dtype=np.int64)
 
 
@@ -163,14 +169,15 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: fl
         sets = [shingle_set(t, words) for t in texts]
         return pd.DataFrame({"fp": [set_hash(s) for s in sets], "shingles": sets}, columns=["fp", "shingles"])
 
-    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes, "fp").select("first_doc").distinct()
-    # the ids are written, so the planner knows whether they are few enough to leave the texts where they are
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(cut(ends), F.col("doc_id").eqNullSafe(F.col("first_doc")), "left_semi")
-    # an id that repeats with another text gives a set that no pair asks for
-    sets = cut(rows.select(both("text").alias("e")).select("e.fp", "e.shingles"))
-    joined = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return joined.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+    with passing_cuts(docs.sparkSession):
+        ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes, "fp").select("first_doc").distinct()
+        # the ids are written, so the planner knows whether they are few enough to leave the texts where they are
+        rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(cut(ends), F.col("doc_id").eqNullSafe(F.col("first_doc")), "left_semi")
+        # an id that repeats with another text gives a set that no pair asks for
+        sets = cut(rows.select(both("text").alias("e")).select("e.fp", "e.shingles"))
+        joined = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        return cut(joined.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct(), stays=True)
 
 
 def _wanted(similarity: float) -> Column:
@@ -188,12 +195,15 @@ def _likely(met: DataFrame, similarity: float) -> DataFrame:
     return met.filter(size & (F.col("shared") + F.greatest(least("na"), least("nb")) - 1 >= _wanted(similarity))).select("a", "b")
 
 
-def _met_first(placed: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+def _met_first(placed: DataFrame, similarity: float) -> DataFrame:
     """``a, b`` of all pairs in different components (``fp, n, pos, token, root``) that may be similar by what they meet in first.
 
     All prefixes have one order.  After the first shingle that two similar sets have in common there must be room for all
     others, so it lies early in both: a passage that many otherwise different texts hold comes after what is their own, and
     they do not meet in it.  In the smaller set it lies within ``n - 2 s / (1 + s) n`` shingles.
+
+    Whatever the prefixes of two such sets have in common is among their rows of ``placed``, as sets of two components
+    have it; so a pair carries these few shingles and not the prefixes.
     """
     early = F.col("n") - F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.col("n") - 1e-9)
     x = placed.select("token", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("pos").alias("pa"))
@@ -201,8 +211,8 @@ def _met_first(placed: DataFrame, nodes: DataFrame, similarity: float) -> DataFr
     smaller = (F.col("nb") < F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
     room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _wanted(similarity)
     pairs = x.join(y, "token").filter("ra <> rb").filter(smaller & room).select("a", "b", "na", "nb").distinct()
-    prefix = lambda end, c: nodes.select(F.col("fp").alias(end), F.col("prefix").alias(c))
-    both = pairs.join(prefix("a", "x"), "a").join(prefix("b", "y"), "b")
+    held = placed.groupBy("fp").agg(F.collect_set("token").alias("held"))
+    both = pairs.join(held.select(F.col("fp").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("fp").alias("b"), F.col("held").alias("y")), "b")
     return _likely(both.withColumn("shared", F.size(F.array_intersect("x", "y"))), similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -229,21 +239,22 @@ def similar_links(nodes: DataFrame, docs: DataFrame, similarity: float, doc_id:
     # a set whose shingles many others have is typical
     weights = cut(postings.groupBy("fp").agg((F.sum("crowd") / F.any_value("n")).alias("weight")))
     for k in range(rounds + 1):
-        placed = postings.drop("crowd").join(components(links).withColumnRenamed("node", "fp"), "fp", "left")
-        placed = placed.withColumn("root", F.coalesce("root", "fp"))
-        open_ = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-        placed = cut(placed.join(open_, "token"))
-        if placed.isEmpty():
-            break
-        if k < rounds:
-            # the typical set of the crowd at first, that of the largest rest of a family later
-            typical = placed.join(weights, "fp").groupBy("token").agg(F.max(F.struct("weight", "fp", "n", "root")).alias("t"))
-            met = placed.join(typical, "token").filter("root <> t.root").select(F.least("fp", "t.fp").alias("a"), F.greatest("fp", "t.fp").alias("b"), F.when(F.col("fp") < F.col("t.fp"), F.col("n")).otherwise(F.col("t.n")).alias("na"), F.when(F.col("fp") < F.col("t.fp"), F.col("t.n")).otherwise(F.col("n")).alias("nb"))
-            likely = _likely(met.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")), similarity)
-        else:
-            likely = _met_first(placed, nodes, similarity)
-        new = verified(cut(likely), docs, nodes, similarity, doc_id, text, words)
-        links = cut(links.union(new))
+        with passing_cuts(docs.sparkSession):
+            placed = postings.drop("crowd").join(components(links).withColumnRenamed("node", "fp"), "fp", "left")
+            placed = placed.withColumn("root", F.coalesce("root", "fp"))
+            open_ = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
+            placed = cut(placed.join(open_, "token"))
+            if placed.isEmpty():
+                break
+            if k < rounds:
+                # the typical set of the crowd at first, that of the largest rest of a family later
+                typical = placed.join(weights, "fp").groupBy("token").agg(F.max(F.struct("weight", "fp", "n", "root")).alias("t"))
+                met = placed.join(typical, "token").filter("root <> t.root").select(F.least("fp", "t.fp").alias("a"), F.greatest("fp", "t.fp").alias("b"), F.when(F.col("fp") < F.col("t.fp"), F.col("n")).otherwise(F.col("t.n")).alias("na"), F.when(F.col("fp") < F.col("t.fp"), F.col("t.n")).otherwise(F.col("n")).alias("nb"))
+                likely = _likely(met.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared")), similarity)
+            else:
+                likely = _met_first(placed, similarity)
+            new = verified(cut(likely), docs, nodes, similarity, doc_id, text, words)
+            links = cut(links.union(new), stays=True)
     return links
 
 
@@ -265,10 +276,14 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         sets = (shingle_set(t, words) for t in texts)
         return pd.DataFrame([(set_hash(s), len(s), majority_bits(s) if len(s) else 0, prefix_of(s, similarity, frequent)) for s in sets], columns=names)
 
-    read = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), of(F.col(text)).alias("e")).select("doc_id", *[f"e.{n}" for n in names]))
-    nodes = cut(read.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), *[F.any_value(n).alias(n) for n in names[1:]]))
-    links = similar_links(nodes, docs, similarity, doc_id, text, words, cut(ball_links(nodes, docs, similarity, doc_id, text, words)))
-    return _grouped(read.select("doc_id", "fp"), nodes.select("fp", "first_doc"), links)
+    with passing_cuts(docs.sparkSession):
+        with passing_cuts(docs.sparkSession):
+            read = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), of(F.col(text)).alias("e")).select("doc_id", *[f"e.{n}" for n in names]))
+            nodes = cut(read.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), *[F.any_value(n).alias(n) for n in names[1:]]), stays=True)
+            # prefixes are written once for each set, not for each document
+            rows = cut(read.select("doc_id", "fp"), stays=True)
+        links = similar_links(nodes, docs, similarity, doc_id, text, words, ball_links(nodes, docs, similarity, doc_id, text, words))
+        return cut(_grouped(rows, nodes.select("fp", "first_doc"), links), stays=True)
 
 
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -277,9 +292,10 @@ def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words
     Rows with a null ``doc_id`` stay if all of their group are null.
     """
     mark, = fresh(docs, "_gone_doc")
-    groups = similar_groups(docs, doc_id, text, words, similarity)
-    # an id that repeats with another text stays while one of its rows does
-    stays = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = groups.groupBy(F.col("doc_id").alias(mark)).agg(stays.alias("stays")).filter("not stays").select(mark)
-    # far fewer than the documents; written, so that the planner knows how many
-    return docs.join(cut(gone), docs[doc_id].eqNullSafe(F.col(mark)), "left_anti")
+    with passing_cuts(docs.sparkSession):
+        groups = similar_groups(docs, doc_id, text, words, similarity)
+        # an id that repeats with another text stays while one of its rows does
+        stays = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        # far fewer than the documents; written, so that the planner knows how many
+        gone = cut(groups.groupBy(F.col("doc_id").alias(mark)).agg(stays.alias("stays")).filter("not stays").select(mark), stays=True)
+    return docs.join(gone, docs[doc_id].eqNullSafe(F.col(mark)), "left_anti")

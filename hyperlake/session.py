@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,13 +51,39 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/hyperlake-{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: paths of the cuts of each open :func:`passing_cuts`, the innermost last
+_passing: ContextVar[tuple[list[str], ...]] = ContextVar("_passing", default=())
+
+
+@contextmanager
+def passing_cuts(spark: SparkSession) -> Iterator[None]:
+    """Cuts made in this block leave the shared folder when it ends, so nothing that is used later may read them.
+
+    A cut that ``stays`` belongs to the block around this one, or is left in the folder when there is none.  A block that
+    raises leaves its cuts.
+    """
+    mine: list[str] = []
+    token = _passing.set((*_passing.get(), mine))
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+    for path in mine:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def cut(df: DataFrame, stays: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back without its lineage.
 
     The files outlive any executor, so a lost executor costs a re-read and never a
     recomputation of what led here.  Parquet keeps column pruning and sizes, so
-    small results can still be broadcast where the planner sees fit.
+    small results can still be broadcast where the planner sees fit.  They outlive the
+    session too, unless a block of :func:`passing_cuts` ends their use.
     """
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    open_ = _passing.get()[:-1] if stays else _passing.get()
+    if open_:
+        open_[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
