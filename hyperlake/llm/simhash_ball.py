@@ -122,7 +122,7 @@ def set_hash(shingles: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(shingles.tobytes(), SEED)], dtype=np.uint64).view(np.int64)[0]) if len(shingles) else 0
 
 
-def frequent_shingles(docs: DataFrame, text: str, words: int, texts: int = 4000, least: int = 3, most: int = 1 << 18, one_in: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(docs: DataFrame, text: str, words: int, texts: int = 4000, least: int = 3, most: int = 1 << 18, one_in: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a sample have, in order, and how many have them; at most ``most``, the most frequent.
 
     The sample is one in ``one_in`` texts, and ``texts`` at least.  It grows with the table, so that what it lacks is in a

@@ -66,7 +66,7 @@ def test_an_empty_table_leaves_no_more(spark):
 def test_the_sample_that_orders_shingles_grows_with_the_table(spark):
     rng = np.random.default_rng(8)
     passage = rng.choice(WORDS, size=30)
-    # a passage in a tenth of the texts; ten texts hold it once, a sixteenth of the table ten times
+    # a passage in a tenth of the texts; ten texts hold it once, an eighth of the table twenty times
     texts = [" ".join([*(passage if k % 10 == 0 else []), *rng.choice(WORDS, size=20)]) for k in range(1600)]
     known, counts = simhash_ball.frequent_shingles(table(spark, texts), "text", 5, texts=10)
     assert set(simhash_ball.shingle_set(" ".join(passage), 5)) <= set(known.tolist())
